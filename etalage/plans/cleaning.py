@@ -30,8 +30,11 @@ def name_features(names: DataFrame) -> DataFrame:
     """Everything that depends on ``nom_produit`` alone, one step per projection.
 
     Each step reads the column the step before made, so no pattern runs twice.
+    The features leave through a one-row generator: a later filter on a key
+    then stays above it, where pushing it down would copy the whole chain of
+    patterns into the predicate.
     """
-    return (
+    features = (
         names.withColumn("_epele", tx.quantity_text(F.col("nom_produit")))
         .withColumn("nom_nettoye", tx.clean_spelled(F.col("_epele")))
         .withColumn(
@@ -47,17 +50,24 @@ def name_features(names: DataFrame) -> DataFrame:
         .withColumn("cle_matching_large", m.broad_key("jetons"))
         .select(
             *names.columns,
-            "nom_nettoye",
-            "quantite",
-            "jetons",
-            F.expr("bigint(size(jetons)) AS nb_jetons"),
-            "cle_matching_large",
-            m.exact_key("cle_matching_large", "quantite.quantite_label").alias(
-                "cle_matching_exacte"
-            ),
-            m.brand_guess("jetons").alias("marque_probable"),
+            F.explode(
+                F.array(
+                    F.struct(
+                        "nom_nettoye",
+                        "quantite",
+                        "jetons",
+                        F.expr("bigint(size(jetons))").alias("nb_jetons"),
+                        "cle_matching_large",
+                        m.exact_key("cle_matching_large", "quantite.quantite_label").alias(
+                            "cle_matching_exacte"
+                        ),
+                        m.brand_guess("jetons").alias("marque_probable"),
+                    )
+                )
+            ).alias("_nom"),
         )
     )
+    return features.select(*names.columns, "_nom.*")
 
 
 def with_name_features(listings: DataFrame, share_names: bool = True) -> DataFrame:
