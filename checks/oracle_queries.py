@@ -348,3 +348,208 @@ SELECT count(*) FILTER (WHERE statut_comparabilite = 'comparable_normalise') AS
         "(SELECT count(variation_vs_mois_precedent_pct) FROM variation) > 0 AS donnees_suffisantes",
     ),
 }
+
+# --- sources -----------------------------------------------------------------
+
+ORACLE |= {
+    "source_projection": "SELECT p_partkey, p_name, p_type, p_size FROM part",
+    "latest_snapshot": after(
+        "raw",
+        "SELECT raw.* FROM raw JOIN (SELECT magasin, max(date_scraping) AS d FROM raw GROUP BY magasin) n "
+        "ON raw.magasin = n.magasin AND raw.date_scraping = n.d",
+    ),
+    "history_union": after(
+        "analytics",
+        "SELECT 'analytics_' || cast(date_scraping AS varchar) AS source_file, magasin_standardise, cle_matching_exacte, prix, "
+        "url_produit, CASE WHEN year(jour) >= 1998 THEN statut_comparabilite ELSE 'a_revoir' END AS statut_comparabilite, "
+        "CASE WHEN year(jour) >= 1998 THEN motif_comparabilite ELSE '' END AS motif_comparabilite, "
+        "CASE WHEN year(jour) >= 1998 THEN type_prix_reference ELSE 'raw_price' END AS type_prix_reference, "
+        "CASE WHEN year(jour) >= 1998 THEN score_matching END AS score_matching FROM analytics",
+    ),
+    "merge_sources": after(
+        "raw",
+        "SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY nom_produit, prix, magasin "
+        "ORDER BY date_scraping, categorie, url_produit) = 1",
+    ),
+    "write_mart": after("competition", "SELECT * FROM competition"),
+    "mart_manifest": after(
+        "context",
+        " UNION ALL ".join(
+            f"SELECT '{name}' AS jeu, {count} AS nb_lignes"
+            for name, count in (
+                ("variation_index", "(SELECT count(*) FROM variation)"),
+                ("competitiveness", "(SELECT count(*) FROM competition)"),
+                ("fluctuation", "(SELECT count(*) FROM fluct)"),
+                ("inflation_category", "(SELECT count(*) FROM inflcat)"),
+                ("inflation_global", "(SELECT count(*) FROM inflglob)"),
+                ("category_store_score", "(SELECT count(*) FROM score)"),
+                ("ai_context", "(SELECT count(*) FROM context)"),
+                ("summary", "5"),
+                ("daily_panel", "(SELECT count(*) FROM panel)"),
+                ("quality", "8"),
+                ("ai_context_json", "(SELECT count(*) FROM context)"),
+            )
+        ),
+    ),
+    "incremental_history": after(
+        "history", "SELECT magasin_standardise, jour, cle_matching_exacte, prix, source_file FROM history"
+    ),
+}
+ORACLE["dedup_listing"] = ORACLE["merge_sources"]
+
+# --- capture -----------------------------------------------------------------
+
+_ANCHOR = """(?is)<a\\b[^>]*?href\\s*=\\s*["'']([^"'']*)["''][^>]*>(.*?)</a>"""
+
+
+def text_of(x: str) -> str:
+    out = f"regexp_replace({x}, '(?s)<[^>]*>', '', 'g')"
+    for entity, char in (
+        ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"),
+        ("&apos;", "''"), ("&amp;", "&"),
+    ):
+        out = f"replace({out}, '{entity}', '{char}')"
+    return tidy(out)
+
+
+_LISTING = """
+WITH pages_vues AS (
+  SELECT o_orderkey, 'rayon-' || cast(o_orderkey // 8 AS varchar) AS category, o_orderkey % 8 + 1 AS page_no,
+    CASE (o_orderkey // 8) % 3 WHEN 0 THEN 'Auchan' WHEN 1 THEN 'Sakanal' ELSE 'Diarle' END AS magasin,
+    CASE WHEN o_orderkey % 97 = 0 THEN 1 ELSE o_orderkey % 8 + 1 END AS served_page,
+    o_orderkey % 8 <> 7 AND o_orderkey % 41 <> 0 AS has_next FROM orders),
+lignes AS (
+  SELECT l_orderkey, cast(l_linenumber AS bigint) AS pos, nom AS name, '/c/' || lower(p_type) AS href,
+    CASE WHEN l_orderkey % 13 = 0 THEN '2 000 F'
+         WHEN l_quantity < 8 THEN cast(cast(l_quantity * 15 AS bigint) AS varchar) || ' CFA'
+         ELSE replace(format('{:,}', cast(trunc(l_extendedprice) AS bigint)), ',', ' ') || ' FCFA' END AS price_text
+  FROM lineitem JOIN (SELECT *, p_name || ' ' || CASE p_size % 8 WHEN 0 THEN '500g' WHEN 1 THEN '1,5L' WHEN 2 THEN '6x33cl'
+         WHEN 3 THEN 'Boîte de 1 kg' WHEN 4 THEN '12 pieces' WHEN 5 THEN '' WHEN 6 THEN '33cl x 6'
+         ELSE 'SACHET 250 gr' END AS nom FROM part) ON l_partkey = p_partkey),
+listing AS (SELECT pages_vues.* EXCLUDE (o_orderkey), lignes.* EXCLUDE (l_orderkey)
+            FROM pages_vues LEFT JOIN lignes ON o_orderkey = l_orderkey),
+chiffre AS (
+  SELECT *, trim(regexp_replace(coalesce(name, ''), '\\s+', ' ', 'g')) AS nom,
+    try_cast(regexp_replace(regexp_extract(price_text, '(?i)(\\d[\\d\\s.,]*?)\\s*(?:CFA|FCFA)', 1), '[\\s.,]', '', 'g') AS double) AS prix,
+    CASE WHEN starts_with(href, '/') THEN CASE magasin WHEN 'Auchan' THEN 'https://www.auchan.sn'
+      WHEN 'Sakanal' THEN 'https://sakanal.sn' ELSE 'https://diarle.sn' END || href ELSE href END AS url_produit
+  FROM listing),
+valide AS (SELECT * FROM chiffre WHERE nom <> '' AND prix >= CASE magasin WHEN 'Auchan' THEN 50 ELSE 100 END
+           QUALIFY row_number() OVER (PARTITION BY category, page_no, nom ORDER BY pos) = 1),
+articles AS (SELECT category, page_no, nom, href AS lien, pos, min(page_no) OVER (PARTITION BY category, nom, href) AS premiere
+             FROM chiffre WHERE nom <> '' OR href <> ''),
+parts AS (SELECT category, page_no, (count(*) FILTER (WHERE premiere < page_no))::double / count(*) AS part,
+                 string_agg(nom || '>' || lien, '|' ORDER BY pos) AS signature FROM articles GROUP BY ALL),
+neufs AS (SELECT v.category, v.page_no, count(*) FILTER (WHERE premiere = v.page_no) AS nouveaux
+          FROM valide v JOIN (SELECT DISTINCT category, page_no, nom, lien, premiere FROM articles) a
+            ON v.category = a.category AND v.page_no = a.page_no AND v.nom = a.nom AND v.href = a.lien GROUP BY ALL),
+feuilles AS (
+  SELECT p.category, p.page_no, p.served_page, p.has_next, coalesce(part, 0) AS recouvrement, coalesce(nouveaux, 0) AS nouveaux,
+    coalesce(signature, '') AS signature, part IS NULL AS vide
+  FROM pages_vues p LEFT JOIN parts ON p.category = parts.category AND p.page_no = parts.page_no
+       LEFT JOIN neufs ON p.category = neufs.category AND p.page_no = neufs.page_no),
+arrets AS (
+  SELECT *, CASE WHEN vide THEN 'page_vide' WHEN served_page <> page_no THEN 'page_redirigee'
+    WHEN signature = lag(signature) OVER (PARTITION BY category ORDER BY page_no) THEN 'page_identique'
+    WHEN recouvrement >= 0.8 THEN 'page_deja_vue' WHEN nouveaux = 0 AND page_no > 1 THEN 'rien_de_nouveau'
+    WHEN NOT has_next THEN 'derniere_page' END AS motif_arret FROM feuilles),
+gardees AS (
+  SELECT * FROM (SELECT *, min(page_no) FILTER (WHERE motif_arret IS NOT NULL) OVER (PARTITION BY category) AS arret FROM arrets)
+  WHERE arret IS NULL OR page_no <= arret)
+"""
+_CARD = "nom AS nom_produit, prix, url_produit"
+
+ORACLE |= {
+    "page_links": f"""
+SELECT page_id, pos, {text_of(f"regexp_extract(a, '{_ANCHOR}', 2)")} AS name, trim(regexp_extract(a, '{_ANCHOR}', 1)) AS href
+FROM (SELECT page_id, unnest(regexp_extract_all(html, '{_ANCHOR}', 0)) AS a,
+             generate_subscripts(regexp_extract_all(html, '{_ANCHOR}', 0), 1) AS pos FROM pages)""",
+    "page_cards": _LISTING
+    + """SELECT category, page_no, magasin, CASE WHEN pos IS NOT NULL THEN row_number() OVER (PARTITION BY category, page_no ORDER BY pos) END AS pos,
+  CASE WHEN pos IS NOT NULL THEN nom END AS name, href, CASE WHEN pos IS NULL THEN NULL WHEN magasin = 'Sakanal' THEN '1 000 FCFA / KG'
+  WHEN price_text LIKE '%CFA%' THEN price_text END AS price_text FROM chiffre""",
+    "page_tiles": _LISTING
+    + """SELECT category, page_no, magasin, CASE WHEN pos IS NOT NULL THEN row_number() OVER (PARTITION BY category, page_no ORDER BY pos) END AS pos,
+  nom AS name, href, price_text FROM chiffre""",
+    "pagination_facts": _LISTING
+    + "SELECT category, page_no, magasin, served_page, has_next FROM pages_vues",
+    "page_pagination": """
+SELECT page_id, url, coalesce(try_cast(regexp_extract(regexp_replace(regexp_extract(html,
+  '(?is)<(?:li|a|span|div)\\b[^>]*class\\s*=\\s*["''][^"'']*\\b(?:current|active)\\b[^"'']*["''][^>]*>(.*?)</(?:li|a|span|div)>', 1),
+  '<[^>]*>', ' ', 'g'), '\\b(\\d+)\\b', 1) AS bigint), 1) AS served_page,
+  regexp_matches(html, '(?is)<a\\b[^>]*\\brel\\s*=\\s*["''][^"'']*\\bnext\\b')
+  OR regexp_matches(html, '(?is)<(li|div|span)\\b[^>]*class\\s*=\\s*["''][^"'']*\\b(next|pagination_next)\\b[^"'']*["''][^>]*>\\s*<a\\b')
+  OR regexp_matches(html, '(?is)<a\\b[^>]*href="[^"]*page=[^>]*>[^<]*(next|suivant)') AS has_next FROM pages""",
+    "price_text": _LISTING + "SELECT price_text, prix, count(*) AS nb_annonces FROM chiffre GROUP BY ALL",
+    "resolve_url": _LISTING + "SELECT magasin, href, url_produit, count(*) AS nb_annonces FROM chiffre GROUP BY ALL",
+    "valid_listing": _LISTING + f"SELECT category, page_no, pos, {_CARD} FROM valide",
+    "page_overlap": _LISTING + f"SELECT category, page_no, {r6('recouvrement')} AS recouvrement FROM feuilles",
+    "crawl_cutoff": _LISTING
+    + f"SELECT category, page_no, {r6('recouvrement')} AS recouvrement, nouveaux, motif_arret FROM gardees",
+    "kept_listing": _LISTING
+    + f"SELECT category, page_no, pos, {_CARD} FROM valide SEMI JOIN gardees USING (category, page_no)",
+}
+
+# --- messages ----------------------------------------------------------------
+
+_NORMAL = tidy("regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\\s&+-]', ' ', 'g')")
+_MESSAGES = f"""
+WITH m AS (SELECT conv_id, turn, text, role, {_NORMAL} AS t FROM conversations),
+h AS (SELECT *, contains(t, 'the') AS a, contains(t, 'and') AS b, contains(t, 'with') AS c, contains(t, 'une') AS d,
+        contains(t, 'que') AS e, contains(t, 'der') AS f, contains(t, 'from') OR contains(t, 'this') AS c2,
+        contains(t, 'die') OR contains(t, 'und') AS f2, contains(t, 'les') OR contains(t, 'leur') AS e2 FROM m),
+g AS (SELECT *, concat_ws(' | ', CASE WHEN a THEN 'The' END, CASE WHEN b THEN 'And' END, CASE WHEN c THEN 'With' END,
+        CASE WHEN d THEN 'Une' END, CASE WHEN e THEN 'Que' END, CASE WHEN f THEN 'Der' END,
+        CASE WHEN c2 AND NOT c THEN 'With' END, CASE WHEN f2 AND NOT f THEN 'Der' END,
+        CASE WHEN e2 AND NOT e THEN 'Que' END) AS categories FROM h),
+etiquettes(r, l, n) AS (VALUES (0, 'The', 'the'), (1, 'And', 'and'), (2, 'With', 'with'), (3, 'Une', 'une'), (4, 'Que', 'que'), (5, 'Der', 'der')),
+u AS (SELECT * FROM g WHERE categories = ''),
+entier AS (
+  SELECT conv_id, turn, array_to_string(list(l ORDER BY s DESC, r)[1:6], ' | ') AS p FROM (
+    SELECT conv_id, turn, l, r, {r6('1 - levenshtein(t, n)::double / greatest(length(t), length(n))')} AS s FROM u, etiquettes)
+  WHERE s >= 0.35 GROUP BY ALL),
+mots AS (SELECT conv_id, turn, unnest(string_split(t, ' ')) AS w, generate_subscripts(string_split(t, ' '), 1) AS i FROM u),
+parmot AS (
+  SELECT conv_id, turn, i, array_to_string(list(l ORDER BY s DESC, r)[1:3], ' | ') AS p FROM (
+    SELECT conv_id, turn, i, l, r, {r6('1 - levenshtein(w, n)::double / greatest(length(w), length(n))')} AS s FROM mots, etiquettes)
+  WHERE s >= 0.6 GROUP BY ALL),
+premier AS (SELECT conv_id, turn, arg_min(p, i) AS p FROM parmot GROUP BY ALL)
+"""
+
+ORACLE |= {
+    "normalize_message": _MESSAGES + "SELECT conv_id, turn, t AS texte FROM m",
+    "message_categories": _MESSAGES + "SELECT conv_id, turn, categories FROM g",
+    "category_suggestions": _MESSAGES
+    + "SELECT u.conv_id, u.turn, coalesce(entier.p, premier.p, '') AS suggestions FROM u "
+    "LEFT JOIN entier ON u.conv_id = entier.conv_id AND u.turn = entier.turn "
+    "LEFT JOIN premier ON u.conv_id = premier.conv_id AND u.turn = premier.turn",
+    "message_intents": _MESSAGES
+    + "SELECT conv_id, turn, (contains(t, 'the') OR contains(t, 'la') OR contains(t, 'in')) AND "
+    "(CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END) <= 3 AS salutation, "
+    "contains(t, 'of the') OR contains(t, 'de la') OR contains(t, 'in der') AS conseil_general FROM m",
+    "recommend_store": after(
+        "context",
+        f"""
+, b AS (SELECT * FROM context QUALIFY row_number() OVER (PARTITION BY categorie_standardisee
+  ORDER BY indice_categorie_base_100, magasin_standardise) = 1)
+SELECT b.categorie_standardisee, magasin_standardise AS magasin, indice_categorie_base_100, nb_produits, couverture_categorie_pct,
+  score_confiance, note_methodologique, {r6('haut - indice_categorie_base_100')} AS ecart_indice_vs_max
+FROM b JOIN (SELECT categorie_standardisee, max(indice_categorie_base_100) AS haut FROM context GROUP BY ALL) USING (categorie_standardisee)""",
+    ),
+    "parse_reply": after(
+        "context",
+        f"""
+, b AS (SELECT *, row_number() OVER (PARTITION BY categorie_standardisee ORDER BY indice_categorie_base_100, magasin_standardise) AS rang,
+  max(indice_categorie_base_100) OVER (PARTITION BY categorie_standardisee) AS haut FROM context),
+n AS (SELECT categorie_standardisee, string_agg(magasin_standardise, ', ' ORDER BY magasin_standardise) AS magasins FROM context GROUP BY ALL)
+SELECT NULL::varchar AS texte_brut, s.categorie_standardisee AS categorie, magasins, b.magasin_standardise AS magasin_recommande,
+  b.indice_categorie_base_100 AS indice_recommande, b.nb_produits AS nb_produits_recommande,
+  {r6('haut - b.indice_categorie_base_100')} AS ecart_indice_vs_max, '' AS reponse_courte, s.magasin_standardise AS source_magasin,
+  s.indice_categorie_base_100 AS source_indice, s.nb_produits AS source_nb_produits, s.couverture_categorie_pct AS source_couverture_pct,
+  s.score_confiance AS source_confiance
+FROM context s JOIN b ON s.categorie_standardisee = b.categorie_standardisee AND rang = 1
+     JOIN n ON n.categorie_standardisee = s.categorie_standardisee""",
+    ),
+    "parse_free_reply": "SELECT conv_id, turn, text AS texte_brut, NULL::varchar AS categorie, NULL::varchar AS source_magasin "
+    "FROM conversations WHERE role = 'assistant'",
+}

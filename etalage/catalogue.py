@@ -16,9 +16,19 @@ from etalage.functions import matching as m
 from etalage.functions import text as tx
 from etalage.functions.numbers import half_up
 from etalage.operators.stats import grouped_stats
-from etalage.plans import cleaning, compare, kpi
+from etalage.plans import capture, cleaning, compare, kpi, messages
 from etalage.sources import retail_star as star
-from etalage.sources.snapshots import with_lineage
+from etalage.sources.mart import mart_checked, mart_written
+from etalage.sources.snapshots import (
+    dedup_listing,
+    history_union,
+    latest_snapshot,
+    merge_sources,
+    read_source,
+    required_columns,
+    with_lineage,
+)
+from etalage.streaming.ingest import incremental_history
 
 Query = Callable[[SparkSession, str], DataFrame]
 STORES, CATEGORIES = star.STORES, star.CATEGORIES
@@ -151,9 +161,126 @@ def _clean_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- sources -----------------------------------------------------------------
+
+
+def _source_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part table as a source: only the required columns are read."""
+    path = f"{sf_dir.rstrip('/')}/part.parquet"
+    return read_source(spark, path, ("p_partkey", "p_name", "p_type", "p_size"))
+
+
+def _history_union(t: Tables) -> DataFrame:
+    """Old snapshots without the optional columns united with complete recent ones."""
+    rows = with_lineage(t.analytics)
+    recent = rows.filter(F.year("jour") >= 1998)
+    old = rows.filter(F.year("jour") < 1998).drop(*vocab.HISTORY_DEFAULTS, "score_matching")
+    columns = (
+        "source_file", "magasin_standardise", "cle_matching_exacte", "prix", "url_produit",
+        "statut_comparabilite", "motif_comparabilite", "type_prix_reference", "score_matching",
+    )
+    return history_union([old, recent]).select(*columns)
+
+
+def _merge_sources(t: Tables) -> DataFrame:
+    """One source per shop; a source without the required columns is skipped."""
+    shops = [
+        required_columns(t.raw.filter(F.col("magasin") == s), vocab.RAW_COLUMNS) for s in STORES
+    ]
+    unusable = required_columns(t.raw.drop("prix"), vocab.RAW_COLUMNS)
+    return merge_sources([*shops, unusable])
+
+
+# --- capture -----------------------------------------------------------------
+
+
+def _listed(build: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: build(star.listing(spark, sf_dir))
+
+
+_LISTED = ("category", "page_no", "pos", "nom_produit", "prix", "url_produit")
+
+
+# --- messages ----------------------------------------------------------------
+
+# Labels that occur in the message table; the shops' own categories do not.
+LABELS = ("The", "And", "With", "Une", "Que", "Der")
+ALIASES = {"with": ("from", "this"), "der": ("die", "und"), "que": ("les", "leur")}
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return star.table(spark, sf_dir, "conversations")
+
+
 # --- registry ----------------------------------------------------------------
 
 QUERIES: dict[str, Query] = {
+    # sources
+    "source_projection": _source_projection,
+    "latest_snapshot": _of(lambda t: latest_snapshot(t.raw, "magasin", "date_scraping")),
+    "history_union": _of(_history_union),
+    "merge_sources": _of(_merge_sources),
+    "dedup_listing": _of(lambda t: dedup_listing(t.raw)),
+    "write_mart": lambda spark, sf_dir: mart_written(spark, Tables(spark, sf_dir)),
+    "mart_manifest": lambda spark, sf_dir: mart_checked(spark, Tables(spark, sf_dir)),
+    "incremental_history": incremental_history,
+    # capture
+    "page_links": lambda spark, sf_dir: capture.page_links(
+        star.table(spark, sf_dir, "pages"), ["page_id"]
+    ),
+    "page_cards": lambda spark, sf_dir: capture.extract_cards(star.crawl(spark, sf_dir)),
+    "page_tiles": lambda spark, sf_dir: capture.extract_tiles(star.crawl(spark, sf_dir)),
+    "pagination_facts": lambda spark, sf_dir: capture.pagination_facts(star.crawl(spark, sf_dir)),
+    "page_pagination": lambda spark, sf_dir: capture.pagination_facts(
+        star.table(spark, sf_dir, "pages")
+    ),
+    "price_text": _listed(
+        lambda df: df.groupBy("price_text", tx.price_text(F.col("price_text")).alias("prix")).agg(
+            F.count(F.lit(1)).alias("nb_annonces")
+        )
+    ),
+    "resolve_url": _listed(
+        lambda df: df.groupBy(
+            "magasin", "href", tx.resolve_url(F.col("href"), F.col("magasin")).alias("url_produit")
+        ).agg(F.count(F.lit(1)).alias("nb_annonces"))
+    ),
+    "valid_listing": _listed(lambda df: capture.valid_listing(df).select(*_LISTED)),
+    "page_overlap": _listed(
+        lambda df: capture.page_overlap(df).withColumn(
+            "recouvrement", half_up(F.col("recouvrement"), 6)
+        )
+    ),
+    "crawl_cutoff": _listed(
+        lambda df: capture.crawl_cutoff(df).withColumn(
+            "recouvrement", half_up(F.col("recouvrement"), 6)
+        )
+    ),
+    "kept_listing": _listed(lambda df: capture.kept_listing(df).select(*_LISTED)),
+    # messages
+    "normalize_message": lambda spark, sf_dir: _messages(spark, sf_dir).select(
+        "conv_id", "turn", tx.normalize_message(F.col("text")).alias("texte")
+    ),
+    "message_categories": lambda spark, sf_dir: messages.message_categories(
+        _messages(spark, sf_dir), LABELS, ALIASES
+    ).select("conv_id", "turn", F.array_join("categories", " | ").alias("categories")),
+    "category_suggestions": lambda spark, sf_dir: messages.category_suggestions(
+        _messages(spark, sf_dir), LABELS, ALIASES
+    ).select("conv_id", "turn", F.array_join("suggestions", " | ").alias("suggestions")),
+    "closest_labels": lambda spark, sf_dir: messages.closest_labels(
+        _messages(spark, sf_dir), LABELS, ALIASES
+    ).select("conv_id", "turn", F.array_join("suggestions", " | ").alias("suggestions")),
+    "message_intents": lambda spark, sf_dir: messages.message_intents(
+        _messages(spark, sf_dir), ("the", "la", "in"), ("of the", "de la", "in der")
+    ).select("conv_id", "turn", "salutation", "conseil_general"),
+    "context_payload": _of(lambda t: messages.context_payload(t.context, STORES)),
+    "recommend_store": _of(lambda t: messages.recommend_store(t.context)),
+    "parse_reply": _of(
+        lambda t: messages.parse_reply(messages.as_replies(t.context), "reponse")
+    ),
+    "parse_free_reply": lambda spark, sf_dir: messages.parse_reply(
+        _messages(spark, sf_dir).filter("role = 'assistant'").select("conv_id", "turn", "text"),
+        "text",
+    ).select("conv_id", "turn", "texte_brut", "categorie", "source_magasin"),
     # cleaning
     "strip_accents": _stripped,
     "clean_name": _clean_names,

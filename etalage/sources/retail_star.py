@@ -47,3 +47,83 @@ def as_listings(spark: SparkSession, sf_dir: str, lineitem: DataFrame) -> DataFr
 
 def raw_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_listings(spark, sf_dir, table(spark, sf_dir, "lineitem"))
+
+
+def _thousands(value: Column) -> Column:
+    return F.replace(F.format_number(value, 0), F.lit(","), F.lit(" "))
+
+
+def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crawled listing pages: an order is a page, eight consecutive orders a crawl.
+
+    Pages hold at most an order's few lines, so nothing here needs a window.
+    Some pages are served under another number, some are the last one, some
+    have no card, and some price labels state no price or too low a one.
+    """
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.concat(
+            F.lit("rayon-"), F.floor(F.col("o_orderkey") / PAGES_PER_CRAWL).cast("string")
+        ).alias("category"),
+        (F.col("o_orderkey") % PAGES_PER_CRAWL + 1).cast("bigint").alias("page_no"),
+        F.expr("CASE floor(o_orderkey / 8) % 3 WHEN 0 THEN 'Auchan' WHEN 1 THEN 'Sakanal' ELSE 'Diarle' END").alias("magasin"),
+        F.expr("bigint(CASE WHEN o_orderkey % 97 = 0 THEN 1 ELSE o_orderkey % 8 + 1 END)").alias("served_page"),
+        F.expr("o_orderkey % 8 <> 7 AND o_orderkey % 41 <> 0").alias("has_next"),
+    )
+    price = (
+        F.when(F.col("l_orderkey") % 13 == 0, F.lit("2 000 F"))
+        .when(F.col("l_quantity") < 8, F.concat((F.col("l_quantity") * 15).cast("bigint").cast("string"), F.lit(" CFA")))
+        .otherwise(F.concat(_thousands(F.col("l_extendedprice").cast("bigint")), F.lit(" FCFA")))
+    )
+    lines = (
+        table(spark, sf_dir, "lineitem")
+        .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        .select(
+            "l_orderkey",
+            F.col("l_linenumber").cast("bigint").alias("pos"),
+            product_name().alias("name"),
+            F.concat(F.lit("/c/"), F.lower("p_type")).alias("href"),
+            price.alias("price_text"),
+        )
+    )
+    return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").drop(
+        "o_orderkey", "l_orderkey"
+    )
+
+
+def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pages as markup, each put together from its own few cards."""
+    card = F.concat(
+        F.lit('<article class="product-miniature"><h2 class="title"><a href="'),
+        F.col("href"),
+        F.lit('">'),
+        F.replace(F.col("name"), F.lit(" "), F.lit("  ")),
+        F.lit("</a></h2>\n<span class=\"unit\">1 000 FCFA / KG</span><span class=\"price\">"),
+        F.col("price_text"),
+        F.lit("</span></article>"),
+    )
+    paged = listing(spark, sf_dir).groupBy(
+        "category", "page_no", "magasin", "served_page", "has_next"
+    ).agg(
+        F.transform(
+            F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", card.alias("c"))))),
+            lambda x: x.c,
+        ).alias("_cartes")
+    )
+    pager = F.concat(
+        F.lit('<ul class="pagination"><li class="current"><a href="?page='),
+        F.col("served_page").cast("string"),
+        F.lit('">'),
+        F.col("served_page").cast("string"),
+        F.lit("</a></li>"),
+        F.when(F.col("has_next"), F.lit('<li class="next"><a href="?page=n">Suivant</a></li>')).otherwise(
+            F.lit('<li class="next disabled"><span>Suivant</span></li>')
+        ),
+        F.lit("</ul>"),
+    )
+    return paged.select(
+        "category",
+        "page_no",
+        "magasin",
+        F.concat(F.lit("<html><body>"), F.array_join("_cartes", "\n"), pager, F.lit("</body></html>")).alias("html"),
+    )
