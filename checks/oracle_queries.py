@@ -419,7 +419,7 @@ WITH pages_vues AS (
     CASE WHEN o_orderkey % 97 = 0 THEN 1 ELSE o_orderkey % 8 + 1 END AS served_page,
     o_orderkey % 8 <> 7 AND o_orderkey % 41 <> 0 AS has_next FROM orders),
 lignes AS (
-  SELECT l_orderkey, cast(l_linenumber AS bigint) AS pos, nom AS name, '/c/' || lower(p_type) AS href,
+  SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos, nom AS name, '/c/' || lower(p_type) AS href,
     CASE WHEN l_orderkey % 13 = 0 THEN '2 000 F'
          WHEN l_quantity < 8 THEN cast(cast(l_quantity * 15 AS bigint) AS varchar) || ' CFA'
          ELSE replace(format('{:,}', cast(trunc(l_extendedprice) AS bigint)), ',', ' ') || ' FCFA' END AS price_text

@@ -83,16 +83,40 @@ def check_mart(manifest: DataFrame) -> None:
         raise RuntimeError(f"missing mart datasets: {', '.join(missing)}")
 
 
-def _stored_history(spark: SparkSession, history: DataFrame) -> DataFrame:
-    """The history written once and read back: every mart table starts from it."""
-    folder = shared_folder(spark, "history")
-    history.write.parquet(folder)
-    return spark.read.parquet(folder)
+def publish_mart(spark: SparkSession, history: DataFrame, path: str, snapshot: str) -> None:
+    """Write the whole mart of a history.
+
+    The prepared history and every table that others build on are written once
+    and read back, so no table repeats the work of another and a lost executor
+    costs one stage, not the chain.
+    """
+
+    def stored(name: str, df: DataFrame) -> DataFrame:
+        write_mart({name: df}, path, snapshot)
+        return spark.read.parquet(f"{path}/{name}/snapshot={snapshot}")
+
+    kept = shared_folder(spark, "history")
+    history.write.parquet(kept)
+    history = spark.read.parquet(kept)
+    prices = kpi.reliable_prices(history)
+    panel = stored("daily_panel", kpi.daily_panel(prices))
+    competition = stored("competitiveness", kpi.competitiveness(panel))
+    variation = stored("variation_index", kpi.variation_index(prices))
+    volatility = stored("fluctuation", kpi.fluctuation(prices))
+    inflation = stored("inflation_global", kpi.inflation_global(prices))
+    score = stored("category_store_score", kpi.category_store_score(prices))
+    rest = {
+        "inflation_category": kpi.inflation_category(prices),
+        "ai_context": kpi.context_table(score),
+        "summary": kpi.kpi_summary(prices, variation, competition, volatility, inflation),
+        "quality": kpi.quality_report(history, panel),
+    }
+    write_mart(rest, path, snapshot)
 
 
 def _publish(spark: SparkSession, tables: Any) -> tuple[str, str]:
     path, snapshot = shared_folder(spark, "mart"), "latest"
-    write_mart(mart_tables(_stored_history(spark, tables.history)), path, snapshot)
+    publish_mart(spark, tables.history, path, snapshot)
     return path, snapshot
 
 

@@ -7,7 +7,7 @@ broadcasts a dimension only when its size allows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 STORES = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
@@ -56,7 +56,7 @@ def _thousands(value: Column) -> Column:
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crawled listing pages: an order is a page, eight consecutive orders a crawl.
 
-    Pages hold at most an order's few lines, so nothing here needs a window.
+    A page holds an order's few lines, and a crawl a few orders.
     Some pages are served under another number, some are the last one, some
     have no card, and some price labels state no price or too low a one.
     """
@@ -75,12 +75,15 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("l_quantity") < 8, F.concat((F.col("l_quantity") * 15).cast("bigint").cast("string"), F.lit(" CFA")))
         .otherwise(F.concat(_thousands(F.col("l_extendedprice").cast("bigint")), F.lit(" FCFA")))
     )
+    within = Window.partitionBy("l_orderkey").orderBy(
+        "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"
+    )
     lines = (
         table(spark, sf_dir, "lineitem")
         .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .select(
             "l_orderkey",
-            F.col("l_linenumber").cast("bigint").alias("pos"),
+            F.row_number().over(within).cast("bigint").alias("pos"),
             product_name().alias("name"),
             F.concat(F.lit("/c/"), F.lower("p_type")).alias("href"),
             price.alias("price_text"),
