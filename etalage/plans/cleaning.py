@@ -12,6 +12,7 @@ from etalage import vocab
 from etalage.functions import matching as m
 from etalage.functions import text as tx
 from etalage.operators.dedupe import keep_first
+from etalage.operators.stats import join_null_safe
 from etalage.operators.wide import wide_prices
 
 
@@ -70,20 +71,30 @@ def name_features(names: DataFrame) -> DataFrame:
     return features.select(*names.columns, "_nom.*")
 
 
+def with_labels(df: DataFrame) -> DataFrame:
+    return df.select(
+        "*",
+        tx.normalize_store(F.col("magasin")).alias("magasin_standardise"),
+        tx.normalize_category(F.col("categorie")).alias("categorie_standardisee"),
+    )
+
+
 def with_name_features(listings: DataFrame, share_names: bool = True) -> DataFrame:
-    """Add the name features to every listing.
+    """Add the name features and the standard labels to every listing.
 
     A shop lists the same products day after day, so by default each distinct
-    name is parsed once and joined back: the pattern work grows with the
-    catalogue, not with the history.  The distinct names combine map-side, the
-    join is left to Spark's size check (broadcast when the catalogue is small,
-    shuffle with skew splitting when it is not).  ``share_names=False`` parses
-    row by row, for streams, where there is no second pass.
+    (name, category, shop) is parsed once and joined back: the pattern work
+    grows with the catalogue, not with the history, and a row costs one lookup.
+    The distinct entries combine map-side; the join is left to Spark's size
+    check (broadcast when the catalogue is small, shuffle with skew splitting
+    when it is not).  ``share_names=False`` parses row by row, for streams,
+    where there is no second pass.
     """
     if not share_names:
-        return name_features(listings)
-    catalogue = name_features(listings.select("nom_produit").distinct())
-    return listings.join(catalogue, "nom_produit")
+        return with_labels(name_features(listings))
+    entry = ["nom_produit", "categorie", "magasin"]
+    catalogue = with_labels(name_features(listings.select(*entry).distinct()))
+    return join_null_safe(listings, catalogue, entry)
 
 
 def calendar_columns(df: DataFrame, date: str = "date_scraping") -> DataFrame:
@@ -123,8 +134,6 @@ def priced(listings: DataFrame) -> DataFrame:
             "*",
             F.col("_verdict.statut").alias("statut_comparabilite"),
             F.col("_verdict.motif").alias("motif_comparabilite"),
-            tx.normalize_store(F.col("magasin")).alias("magasin_standardise"),
-            tx.normalize_category(F.col("categorie")).alias("categorie_standardisee"),
             F.expr("quantite.pack_count AS pack_count"),
             F.expr("quantite.quantite_par_pack AS quantite_par_pack"),
             F.expr("quantite.unite_par_pack AS unite_par_pack"),
