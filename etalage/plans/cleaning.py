@@ -82,19 +82,21 @@ def with_labels(df: DataFrame) -> DataFrame:
 def with_name_features(listings: DataFrame, share_names: bool = True) -> DataFrame:
     """Add the name features and the standard labels to every listing.
 
-    A shop lists the same products day after day, so by default each distinct
-    (name, category, shop) is parsed once and joined back: the pattern work
-    grows with the catalogue, not with the history, and a row costs one lookup.
-    The distinct entries combine map-side; the join is left to Spark's size
-    check (broadcast when the catalogue is small, shuffle with skew splitting
-    when it is not).  ``share_names=False`` parses row by row, for streams,
-    where there is no second pass.
+    A shop lists the same products day after day, so by default the distinct
+    (name, category, shop) entries form a catalogue.  Each distinct name is
+    parsed once and each entry labelled once, and a listing costs one lookup:
+    the pattern work grows with the catalogue, not with the history.  The
+    entries combine map-side; the joins are left to Spark's size check
+    (broadcast when small, shuffle with skew splitting when not).
+    ``share_names=False`` parses row by row, for streams, where there is no
+    second pass.
     """
     if not share_names:
         return with_labels(name_features(listings))
     entry = ["nom_produit", "categorie", "magasin"]
-    catalogue = with_labels(name_features(listings.select(*entry).distinct()))
-    return join_null_safe(listings, catalogue, entry)
+    entries = listings.select(*entry).distinct()
+    names = name_features(entries.select("nom_produit").distinct())
+    return join_null_safe(listings, with_labels(entries).join(names, "nom_produit"), entry)
 
 
 def calendar_columns(df: DataFrame, date: str = "date_scraping") -> DataFrame:
