@@ -318,9 +318,12 @@ def dispersion(
     if trim:
         bounds = grouped_stats(rows, [], mode, {"bas": 0.01, "haut": 0.99})
         few = F.col("nb") <= 2
-        low = bounds.select(F.when(few, F.col("minimum")).otherwise(F.col("bas"))).scalar()
-        high = bounds.select(F.when(few, F.col("maximum")).otherwise(F.col("haut"))).scalar()
-        rows = rows.filter((F.col(mode) >= low) & (F.col(mode) <= high))
+        low = F.when(few, F.col("minimum")).otherwise(F.col("bas"))
+        high = F.when(few, F.col("maximum")).otherwise(F.col("haut"))
+        interval = bounds.select(F.struct(low.alias("bas"), high.alias("haut"))).scalar()
+        rows = rows.filter(
+            (F.col(mode) >= interval.getField("bas")) & (F.col(mode) <= interval.getField("haut"))
+        )
     stats = grouped_stats(
         rows,
         ["categorie_standardisee", "magasin_standardise"],
