@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from etalage.llm.common import written
+
 SHINGLE = 5
 CONTAINMENT = 0.8
 #: Bands of one row each: windows as like a template as LIKENESS meet it in one of
@@ -98,24 +100,25 @@ def license_scan(docs: DataFrame, notices=NOTICES, words: int = SHINGLE, contain
     with none of those can meet no template, and are left out before windows are cut.
     """
     spark = docs.sparkSession
-    # the notices are a fixed list, so their hashes can be written into the plan
-    known = templates(spark, notices, words).collect()
-    if not known:
+    keys = written(templates(spark, notices, words), "notices")
+    parts = keys.select("template", "scale", "shingles", F.explode(_template_windows(bands)).alias("w"))
+    parts = written(parts.select("template", "scale", "w.band", "w.value", "w.source"), "bands")
+    # the notices are a list fixed by the caller, so their hashes may be written into the plan
+    own = parts.select("scale", "source").distinct().collect()
+    if not own:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_found_columns()).limit(0)
-    keys = spark.range(1).select(F.explode(F.array(*(_literal(r) for r in known))).alias("t")).select("t.*")
-    parts = keys.select("template", "scale", "shingles", F.explode(_template_windows(bands)).alias("w")).select("template", "scale", "w.band", "w.value", "w.source")
-    least = sorted({r.source for r in parts.select("source").distinct().collect()})
+    least = sorted({r.source for r in own})
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     base = base.withColumn("row", F.monotonically_increasing_id())
     hit = F.arrays_overlap("shingles", F.array(*(F.lit(x) for x in least)))
     held = _hashed(base, "text", words).drop("text").where(hit)
     found = None
-    for scale in sorted({r.scale for r in known}):
+    for scale in sorted({r.scale for r in own}):
         cut = _windows(held, scale)
         each = F.array(*(F.struct(F.lit(b).alias("band"), _band(F.col("window"), b).alias("value")) for b in range(bands)))
         rows = cut.select("doc_id", "row", "start", "shingles", F.explode(each).alias("b"))
-        own = parts.where(F.col("scale") == scale).select("template", "band", "value").distinct()
-        met = rows.join(F.broadcast(own), (F.col("b.band") == own.band) & (F.col("b.value") == own.value)).select("doc_id", "row", "start", "shingles", "template")
+        fixed = parts.where(F.col("scale") == scale).select("template", "band", "value").distinct()
+        met = rows.join(F.broadcast(fixed), (F.col("b.band") == fixed.band) & (F.col("b.value") == fixed.value)).select("doc_id", "row", "start", "shingles", "template")
         found = met if found is None else found.union(met)
     whole = keys.select("template", "license", F.col("shingles").alias("own"))
     met = found.groupBy("row", "template").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("first_word"), F.first("shingles").alias("shingles"))
@@ -135,11 +138,6 @@ def _found_columns() -> list[Column]:
     return [F.lit(None).cast(kind).alias(name) for name, kind in kinds.items()]
 
 
-def _literal(row) -> Column:
-    fields = [F.lit(row.template).alias("template"), F.lit(row.license).alias("license"), F.lit(row.scale).alias("scale")]
-    return F.struct(*fields, F.array(*(F.lit(s) for s in row.shingles)).alias("shingles"))
-
-
 def _template_windows(bands: int) -> Column:
     """(band, value, source) of every window of a template's own length scale."""
     size, scale = F.size("shingles"), F.col("scale")
