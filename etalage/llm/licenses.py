@@ -74,12 +74,11 @@ def templates(spark: SparkSession, notices=NOTICES, words: int = SHINGLE) -> Dat
     return hashed.select("template", "license", "shingles", _nearest_scale(F.size("shingles")).alias("scale"))
 
 
-def _windows(df: DataFrame, scale: int) -> DataFrame:
-    """Windows of ``scale`` shingles, three quarters of each shared with the next."""
-    step = max(1, scale // 4)
+def _starts(scale: int) -> Column:
+    """(scale, start) of windows of ``scale`` shingles, three quarters of each shared with the next."""
     last = F.greatest(F.lit(0), F.size("shingles") - scale)
-    starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(step)), F.array(last)))
-    return df.withColumn("start", F.explode(starts)).withColumn("window", F.slice("shingles", F.col("start") + 1, F.lit(scale)))
+    starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(max(1, scale // 4))), F.array(last)))
+    return F.transform(starts, lambda x: F.struct(F.lit(scale).alias("scale"), x.alias("start")))
 
 
 def _band(window: Column, band: int) -> Column:
@@ -112,14 +111,13 @@ def license_scan(docs: DataFrame, notices=NOTICES, words: int = SHINGLE, contain
     base = base.withColumn("row", F.monotonically_increasing_id())
     hit = F.arrays_overlap("shingles", F.array(*(F.lit(x) for x in least)))
     held = _hashed(base, "text", words).drop("text").where(hit)
-    found = None
-    for scale in sorted({r.scale for r in own}):
-        cut = _windows(held, scale)
-        each = F.array(*(F.struct(F.lit(b).alias("band"), _band(F.col("window"), b).alias("value")) for b in range(bands)))
-        rows = cut.select("doc_id", "row", "start", "shingles", F.explode(each).alias("b"))
-        fixed = parts.where(F.col("scale") == scale).select("template", "band", "value").distinct()
-        met = rows.join(F.broadcast(fixed), (F.col("b.band") == fixed.band) & (F.col("b.value") == fixed.value)).select("doc_id", "row", "start", "shingles", "template")
-        found = met if found is None else found.union(met)
+    cut = held.withColumn("at", F.explode(F.concat(*(_starts(scale) for scale in sorted({r.scale for r in own})))))
+    cut = cut.withColumn("window", F.slice("shingles", F.col("at.start") + 1, F.col("at.scale")))
+    each = F.array(*(F.struct(F.lit(b).alias("band"), _band(F.col("window"), b).alias("value")) for b in range(bands)))
+    rows = cut.select("doc_id", "row", F.col("at.scale").alias("scale"), F.col("at.start").alias("start"), "shingles", F.explode(each).alias("b"))
+    rows = rows.select("doc_id", "row", "scale", "start", "shingles", F.col("b.band").alias("band"), F.col("b.value").alias("value"))
+    fixed = parts.select("template", "scale", "band", "value").distinct()
+    found = rows.join(F.broadcast(fixed), ["scale", "band", "value"])
     whole = keys.select("template", "license", F.col("shingles").alias("own"))
     met = found.groupBy("row", "template").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("first_word"), F.first("shingles").alias("shingles"))
     shared = F.size(F.array_intersect("own", "shingles"))
