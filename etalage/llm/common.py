@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from etalage.session import shared_folder
 
 #: A side is broadcast only when its counted rows stay below this many bytes.
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 16 << 20
 #: Texts are hashed in pieces of about this many bytes, whole documents each.
 CHUNK_BYTES = 1 << 20
 

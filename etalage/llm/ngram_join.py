@@ -34,6 +34,12 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.Re
                 yield batch, row + k, tokens
 
 
+def _set_key(tokens: np.ndarray, n: int, seed: int) -> int:
+    """A hash of a set of hashes, the same for any order."""
+    total = mix(tokens + np.uint64(seed)).sum(dtype=np.uint64, keepdims=True)
+    return int(mix(total + np.uint64(n)).view(np.int64)[0])
+
+
 def common_shingles(docs: DataFrame, words: int, percent: int) -> np.ndarray:
     """The most repeated shingles near the front of the documents' sets, at most COMMON_LIMIT.
 
@@ -64,9 +70,10 @@ def _prefixes(docs: DataFrame, words: int, percent: int, common: np.ndarray) ->
         schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("class_key", pa.int64()), ("group_key", pa.int64()), ("prefix", pa.list_(pa.int64()))])
         for batch, row, tokens in _sets(batches, words):
             n = len(tokens)
-            late = np.isin(tokens, common) if n and len(common) else np.zeros(n, bool)
+            place = np.minimum(np.searchsorted(common, tokens), max(len(common) - 1, 0))
+            late = common[place] == tokens if len(common) else np.zeros(n, bool)
             prefix = np.concatenate([tokens[~late], tokens[late]])[: prefix_length(n, percent)]
-            key = [int(mix(mix(x + np.uint64(seed)).sum(dtype=np.uint64, keepdims=True) + np.uint64(n)).view(np.int64)[0]) for x, seed in ((tokens, 1), (prefix, 2))]
+            key = [_set_key(tokens, n, 1), _set_key(prefix, n, 2)]
             out[0].append(batch.column("doc_id")[row].as_py())
             out[1].append(n)
             out[2].append(key[0])
@@ -82,30 +89,50 @@ def _prefixes(docs: DataFrame, words: int, percent: int, common: np.ndarray) ->
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of class keys whose whole sets reach the similarity."""
+    """The pairs (a, b) of class keys whose whole sets reach the similarity.
+
+    Texts travel, not sets: they are shorter, and their sets are made again.
+    """
     pairs = written(pairs, "pairs")
     keys = pairs.select(F.explode(F.array("a", "b")).alias("class_key")).distinct()
     needed = written(classes.join(keys, "class_key", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "needed")
 
-    def sets(batches):
+    def keyed(batches):
+        for batch in batches:
+            found = [_set_key(t, len(t), 1) for _, _, t in _sets(iter([batch]), words)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), batch.column("text")], ["class_key", "text"])
+
+    def verify(batches):
         for batch in batches:
-            found = [t for _, _, t in _sets(iter([batch]), words)]
-            key = [int(mix(mix(t + np.uint64(1)).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(t))).view(np.int64)[0]) for t in found]
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array([t.view(np.int64) for t in found], pa.list_(pa.int64()))], ["class_key", "tokens"])
+            sides = [[t for _, _, found in word_chunks(batch.column(c)) for t in found.shingles(words)] for c in ("left", "right")]
+            both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sides, strict=True)]
+            linked = [100 * k >= percent * (len(x) + len(y) - k) for k, x, y in zip(both, *sides, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    some = docs.join(checked_broadcast(needed), "doc_id", "left_semi").select("text")
-    tokens = written(some.mapInArrow(sets, "class_key long, tokens array<long>").dropDuplicates(["class_key"]), "sets")
-    left = tokens.select(F.col("class_key").alias("a"), F.col("tokens").alias("left"))
-    right = tokens.select(F.col("class_key").alias("b"), F.col("tokens").alias("right"))
-    both = F.size(F.array_intersect("left", "right"))
-    ok = 100 * both >= percent * (F.size("left") + F.size("right") - both)
-    return written(pairs.join(left, "a").join(right, "b").where(ok).select("a", "b"), "verified")
+    some = docs.join(checked_broadcast(needed, 8), "doc_id", "left_semi").select("text")
+    texts = written(some.mapInArrow(keyed, "class_key long, text string"), "texts")
+    left = texts.select(F.col("class_key").alias("a"), F.col("text").alias("left"))
+    right = texts.select(F.col("class_key").alias("b"), F.col("text").alias("right"))
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+    return written(met.mapInArrow(verify, "a long, b long").distinct(), "verified")
 
 
 def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _may_link(percent: int, shared: str | None) -> str:
+    """Whether sets of n and m elements can link, given how many prefix elements they share.
+
+    An element of both is in both prefixes, or behind the end of one of them.
+    """
+    sizes = f"100 * least(n, m) >= {percent} * greatest(n, m)"
+    if not shared:
+        return sizes
+    rest = f"greatest(n - (n - ceil({percent} * n / 100) + 1), m - (m - ceil({percent} * m / 100) + 1))"
+    return f"{sizes} and {shared} + {rest} >= ceil({percent} * (n + m) / {100 + percent})"
+
+
 def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, class_id, component_id.
 
@@ -119,8 +146,10 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
 
     Groups with a common prefix element first meet that element's leader only, so
     a family of near copies becomes one component without its pairs; then every
-    pair of members that is still in two components is verified.  No link between
-    components is lost, and no list of pairs grows with the square of a family.
+    pair of members that is still in two components meets, and is verified if
+    their sizes and the number of prefix elements they share allow a link.  No
+    link between components is lost, and no list of pairs grows with the square of
+    a family.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     common = common_shingles(docs, words, percent)
@@ -129,17 +158,18 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     classes = written(linked.groupBy("class_key", "group_key", "n").agg(F.min("doc_id").alias("rep")), "classes")
 
     tokens = linked.where("prefix is not null").select("group_key", F.explode("prefix").alias("token"))
-    shared = tokens.groupBy("token").count().where("count > 1").select("token")
-    met = written(tokens.join(shared, "token").distinct(), "shared")
-    heads = classes.groupBy("group_key").agg(F.min_by("class_key", "rep").alias("head"))
+    shared = written(tokens.groupBy("token").count().where("count > 1").select("token"), "repeated")
+    met = written(tokens.join(checked_broadcast(shared, 8), "token").distinct(), "shared")
+    heads = classes.groupBy("group_key", "n").agg(F.min_by("class_key", "rep").alias("head"))
     first = met.groupBy("token").agg(F.min("group_key").alias("first"), F.max("group_key").alias("last")).where("first < last")
-    groups = met.join(first, "token").where("group_key <> first").select("first", "group_key").distinct()
+    groups = met.join(first, "token").where("group_key <> first").groupBy("first", "group_key").agg(F.count("*").alias("k"))
     between = (
-        groups.join(heads.select(F.col("group_key").alias("first"), F.col("head").alias("x")), "first")
+        groups.join(heads.select(F.col("group_key").alias("first"), F.col("head").alias("x"), F.col("n").alias("m")), "first")
         .join(heads, "group_key")
+        .where(_may_link(percent, "k"))
         .select(*_ordered("x", "head"))
     )
-    within = classes.join(heads, "group_key").where("class_key <> head").select(*_ordered("class_key", "head"))
+    within = classes.join(heads.drop("n"), "group_key").where("class_key <> head").select(*_ordered("class_key", "head"))
     leaders = _verified(docs, classes, between.union(within).distinct(), words, percent)
     joined = components(leaders).withColumnsRenamed({"node": "class_key"})
 
@@ -149,12 +179,12 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     mixed = listed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
     rest = listed.join(mixed, "token").select("token", "class_key", "n", "component")
     some = members.groupBy("group_key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("group_key")
-    alike = members.join(some, "group_key").select(F.col("group_key").alias("token"), "class_key", "n", "component")
-    near = F.expr(f"x.component < y.component and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
-    pairs = None
-    for rows in (rest, alike):
-        found = rows.alias("x").join(rows.alias("y"), (F.col("x.token") == F.col("y.token")) & near).select(*_ordered("x.class_key", "y.class_key"))
-        pairs = found if pairs is None else pairs.union(found)
+    alike = members.join(some, "group_key")
+    rest, alike = ((x.select(c, "class_key", "n", "component"), x.select(c, F.col("class_key").alias("other"), F.col("n").alias("m"), F.col("component").alias("own"))) for x, c in ((rest, "token"), (alike, "group_key")))
+    crossed = rest[0].join(rest[1], "token").where("component < own").where(_may_link(percent, None))
+    counted = crossed.groupBy("class_key", "other", "n", "m").agg(F.count("*").alias("k")).where(_may_link(percent, "k"))
+    alike = alike[0].join(alike[1], "group_key").where("component < own")
+    pairs = counted.select(*_ordered("class_key", "other")).union(alike.select(*_ordered("class_key", "other")))
     late = _verified(docs, classes, pairs.distinct(), words, percent)
     whole = components(leaders.union(late)).withColumnsRenamed({"node": "class_key"})
 
