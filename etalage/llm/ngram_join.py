@@ -20,6 +20,11 @@ from etalage.llm.common import checked_broadcast, components, mix, word_chunks,
 #: Shingles repeated at least so often are ordered last; the list has a fixed bound.
 COMMON_COUNT = 50
 COMMON_LIMIT = 20_000
+#: Leaders that a family meets in a turn; turns end when so few pairs for a listed member are left.
+LEADERS = 3
+SHORT_LIST = 4
+#: Stands for sharing all elements of a prefix.
+_WHOLE_PREFIX = 1 << 40
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -133,6 +138,11 @@ def _may_link(percent: int, shared: str | None) -> str:
     return f"{sizes} and {shared} + {rest} >= ceil({percent} * (n + m) / {100 + percent})"
 
 
+def _named(links: DataFrame) -> DataFrame:
+    """(class_key, component) of all linked classes."""
+    return written(components(links).withColumnRenamed("node", "class_key"), "components")
+
+
 def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, class_id, component_id.
 
@@ -144,12 +154,12 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     kept, other columns are ignored, an empty table gives no rows.  Elements are
     64-bit hashes.
 
-    Groups with a common prefix element first meet that element's leader only, so
-    a family of near copies becomes one component without its pairs; then every
-    pair of members that is still in two components meets, and is verified if
-    their sizes and the number of prefix elements they share allow a link.  No
-    link between components is lost, and no list of pairs grows with the square of
-    a family.
+    Members of groups with a common prefix element first meet that element's
+    leader only, in turns with other leaders while that joins components and lists
+    of several components stay long, so a family of near copies becomes one
+    component without its pairs.  Then every pair of members that is still in two
+    components meets, and is verified if their sizes and the number of prefix
+    elements they share allow a link: no link between components is lost.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     common = common_shingles(docs, words, percent)
@@ -158,35 +168,39 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     classes = written(linked.groupBy("class_key", "group_key", "n").agg(F.min("doc_id").alias("rep")), "classes")
 
     tokens = linked.where("prefix is not null").select("group_key", F.explode("prefix").alias("token"))
-    shared = written(tokens.groupBy("token").count().where("count > 1").select("token"), "repeated")
-    met = written(tokens.join(checked_broadcast(shared, 8), "token").distinct(), "shared")
-    heads = classes.groupBy("group_key", "n").agg(F.min_by("class_key", "rep").alias("head"))
-    first = met.groupBy("token").agg(F.min("group_key").alias("first"), F.max("group_key").alias("last")).where("first < last")
-    groups = met.join(first, "token").where("group_key <> first").groupBy("first", "group_key").agg(F.count("*").alias("k"))
-    between = (
-        groups.join(heads.select(F.col("group_key").alias("first"), F.col("head").alias("x"), F.col("n").alias("m")), "first")
-        .join(heads, "group_key")
-        .where(_may_link(percent, "k"))
-        .select(*_ordered("x", "head"))
-    )
-    within = classes.join(heads.drop("n"), "group_key").where("class_key <> head").select(*_ordered("class_key", "head"))
-    leaders = _verified(docs, classes, between.union(within).distinct(), words, percent)
-    joined = components(leaders).withColumnsRenamed({"node": "class_key"})
-
-    members = classes.join(joined, "class_key", "left").select("class_key", "group_key", "n", F.coalesce("component", "class_key").alias("component"))
-    members = written(members, "members")
-    listed = met.join(members, "group_key")
-    mixed = listed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    rest = listed.join(mixed, "token").select("token", "class_key", "n", "component")
-    some = members.groupBy("group_key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("group_key")
-    alike = members.join(some, "group_key")
-    rest, alike = ((x.select(c, "class_key", "n", "component"), x.select(c, F.col("class_key").alias("other"), F.col("n").alias("m"), F.col("component").alias("own"))) for x, c in ((rest, "token"), (alike, "group_key")))
-    crossed = rest[0].join(rest[1], "token").where("component < own").where(_may_link(percent, None))
-    counted = crossed.groupBy("class_key", "other", "n", "m").agg(F.count("*").alias("k")).where(_may_link(percent, "k"))
-    alike = alike[0].join(alike[1], "group_key").where("component < own")
-    pairs = counted.select(*_ordered("class_key", "other")).union(alike.select(*_ordered("class_key", "other")))
-    late = _verified(docs, classes, pairs.distinct(), words, percent)
-    whole = components(leaders.union(late)).withColumnsRenamed({"node": "class_key"})
+    shared = tokens.groupBy("token").count().where("count > 1").select("token")
+    met = tokens.join(shared, "token").distinct().join(classes, "group_key").select("token", "class_key", "n", F.lit(1).cast("long").alias("k"))
+    several = classes.groupBy("group_key").count().where("count > 1").select("group_key")
+    alike = classes.join(several, "group_key").select(F.col("group_key").alias("token"), "class_key", "n", F.lit(_WHOLE_PREFIX).cast("long").alias("k"))
+    listed = written(met.union(alike), "listed")
+
+    listed_rows = listed.count()
+    whole, links, turn = None, None, 0
+    while True:
+        alone = F.col("class_key").alias("component")
+        rows = listed.select("*", alone) if whole is None else listed.join(whole, "class_key", "left").select("token", "class_key", "n", "k", F.coalesce("component", "class_key").alias("component"))
+        rank = F.xxhash64("class_key", F.lit(turn), F.col("token") % LEADERS)
+        lead = F.min(F.struct(rank.alias("rank"), F.col("class_key").alias("other"), F.col("n").alias("m"), F.col("component").alias("own")))
+        parts = rows.groupBy("token", "component").agg(F.count("*").alias("c"), lead.alias("lead"))
+        lists = parts.groupBy("token").agg(F.count("*").alias("parts"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("same"), F.min("lead").alias("lead"))
+        lists = written(lists.where("parts > 1").select("token", "c", "same", "lead.other", "lead.m", "lead.own"), "lists")
+        pairs, members = lists.agg(F.sum((F.col("c") * F.col("c") - F.col("same")) / 2), F.sum("c")).first()
+        mixed = rows.join(lists.drop("c", "same"), "token")
+        if turn and (not grown or (pairs or 0) <= SHORT_LIST * max(members or 0, listed_rows)):
+            break
+        led = mixed.where("component <> own").groupBy("class_key", "other", "n", "m").agg((LEADERS * F.sum("k")).alias("k"))
+        led = led.where(_may_link(percent, "k")).select(*_ordered("class_key", "other")).distinct()
+        found = _verified(docs, classes, led, words, percent)
+        grown = bool(found.head(1))
+        links = found if links is None else links.union(found)
+        whole, turn = _named(links), turn + 1
+
+    mixed = mixed.drop("other", "m", "own")
+    others = mixed.select("token", F.col("class_key").alias("other"), F.col("n").alias("m"), F.col("component").alias("own"))
+    crossed = mixed.join(others, "token").where("component < own").where(_may_link(percent, None))
+    counted = crossed.groupBy("class_key", "other", "n", "m").agg(F.sum("k").alias("k")).where(_may_link(percent, "k"))
+    late = _verified(docs, classes, counted.select(*_ordered("class_key", "other")), words, percent)
+    whole = _named(links.union(late)) if late.head(1) else whole
 
     named = classes.join(whole, "class_key", "left").select("class_key", "rep", F.coalesce("component", "class_key").alias("component"))
     named = written(named, "named")
