@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ OPEN_WINDOWS = 32
 #: Sequence ids of merged leftovers start here; those of a partition at its number times 2^32.
 MERGED = 1 << 62
 #: Words a task remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 #: A word of Latin letters, then marks without an apostrophe: its ids are those of the two parts.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?:;|#$%&*()-]*)")
 
@@ -48,8 +49,8 @@ class Encoder:
 
     def _forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.letters: dict[str, np.ndarray] = {}
-        self.marks: dict[str, np.ndarray] = {}
+        self.letters: dict[str, list[int]] = {}
+        self.marks: dict[str, list[int]] = {}
         self.lengths = np.zeros(0, np.int64)
         self.starts = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
@@ -58,46 +59,46 @@ class Encoder:
         """Words of letters only, many to a call: an id that ends a word parts them."""
         for at in range(0, len(words), 1000):
             group = words[at : at + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(group), add_special_tokens=False).ids, np.int32)
-            for word, part in zip(group, np.split(ids, np.flatnonzero(self.closes[ids])[:-1] + 1), strict=True):
-                self.letters[word] = part
+            ids = self.tokenizer.encode(" ".join(group), add_special_tokens=False).ids
+            start = 0
+            for word, end in zip(group, (np.flatnonzero(self.closes[ids]) + 1).tolist(), strict=True):
+                self.letters[word] = ids[start:end]
+                start = end
 
-    def _encode_any(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+    def _encode_any(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.place]
         if not new:
             return
-        parts = [_PLAIN.fullmatch(w) for w in new]
-        self._encode_letters(sorted({m[1].lower() for m in parts if m} - self.letters.keys()))
+        parts = [m and (m[1].lower(), m[2]) for m in map(_PLAIN.fullmatch, new)]
+        self._encode_letters(sorted({p[0] for p in parts if p} - self.letters.keys()))
         found = []
-        for word, match in zip(new, parts, strict=True):
-            if match is None:
+        for word, part in zip(new, parts, strict=True):
+            if part is None:
                 found.append(self._encode_any(word))
-                continue
-            ids = self.letters[match[1].lower()]
-            if match[2]:
-                if match[2] not in self.marks:
-                    self.marks[match[2]] = self._encode_any(match[2])
-                ids = np.concatenate([ids, self.marks[match[2]]])
-            found.append(ids)
-        lengths = np.array([len(x) for x in found], np.int64)
-        for word in new:
-            self.place[word] = len(self.place)
+            elif not part[1]:
+                found.append(self.letters[part[0]])
+            else:
+                if part[1] not in self.marks:
+                    self.marks[part[1]] = self._encode_any(part[1])
+                found.append(self.letters[part[0]] + self.marks[part[1]])
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, *found])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum()))])
 
     def texts(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text, some hundred texts looked up at a time."""
         for at in range(0, len(texts), 256):
-            split = [(t or "").replace("\n", " ").split(" ") for t in texts[at : at + 256]]
+            split = [list(filter(None, (t or "").replace("\n", " ").split(" "))) for t in texts[at : at + 256]]
             if len(self.place) > REMEMBERED:
                 self._forget()
-            self.learn({w for words in split for w in words if w})
+            self.learn(set(chain.from_iterable(split)))
             for words in split:
-                place = np.fromiter((self.place[w] for w in words if w), np.int64)
+                place = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
                 lengths = self.lengths[place]
                 ends = np.cumsum(lengths)
                 total = int(ends[-1]) if len(ends) else 0
