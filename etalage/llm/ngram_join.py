@@ -15,14 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from etalage.llm.common import checked_broadcast, components, mix, word_chunks, written
+from etalage.llm.common import checked_broadcast, components, dropped, mix, word_chunks, written
 
 #: Shingles repeated at least so often are ordered last; the list has a fixed bound.
 COMMON_COUNT = 50
 COMMON_LIMIT = 20_000
-#: Leaders that a family meets in a turn; turns end when so few pairs for a listed member are left.
+#: Leaders that a family meets in a turn, turns before all pairs meet that are left,
+#: and how many pairs for a member a list must still hold to take part in later turns.
 LEADERS = 3
-SHORT_LIST = 4
+TURNS = 6
+LONG_LIST = 16
 #: Stands for sharing all elements of a prefix.
 _WHOLE_PREFIX = 1 << 40
 
@@ -119,7 +121,9 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int,
     left = texts.select(F.col("class_key").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("class_key").alias("b"), F.col("text").alias("right"))
     met = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return written(met.mapInArrow(verify, "a long, b long").distinct(), "verified")
+    found = written(met.mapInArrow(verify, "a long, b long").distinct(), "verified")
+    dropped(pairs, needed, texts)
+    return found
 
 
 def _ordered(a: str, b: str) -> list:
@@ -155,8 +159,8 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     64-bit hashes.
 
     Members of groups with a common prefix element first meet that element's
-    leader only, in turns with other leaders while that joins components and lists
-    of several components stay long, so a family of near copies becomes one
+    leader only, in some turns with other leaders while that joins components and
+    lists of several components stay long, so a family of near copies becomes one
     component without its pairs.  Then every pair of members that is still in two
     components meets, and is verified if their sizes and the number of prefix
     elements they share allow a link: no link between components is lost.
@@ -174,8 +178,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     alike = classes.join(several, "group_key").select(F.col("group_key").alias("token"), "class_key", "n", F.lit(_WHOLE_PREFIX).cast("long").alias("k"))
     listed = written(met.union(alike), "listed")
 
-    listed_rows = listed.count()
-    whole, links, turn = None, None, 0
+    whole, links, turn, grown = None, None, 0, True
     while True:
         alone = F.col("class_key").alias("component")
         rows = listed.select("*", alone) if whole is None else listed.join(whole, "class_key", "left").select("token", "class_key", "n", "k", F.coalesce("component", "class_key").alias("component"))
@@ -183,19 +186,22 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
         lead = F.min(F.struct(rank.alias("rank"), F.col("class_key").alias("other"), F.col("n").alias("m"), F.col("component").alias("own")))
         parts = rows.groupBy("token", "component").agg(F.count("*").alias("c"), lead.alias("lead"))
         lists = parts.groupBy("token").agg(F.count("*").alias("parts"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("same"), F.min("lead").alias("lead"))
-        lists = written(lists.where("parts > 1").select("token", "c", "same", "lead.other", "lead.m", "lead.own"), "lists")
-        pairs, members = lists.agg(F.sum((F.col("c") * F.col("c") - F.col("same")) / 2), F.sum("c")).first()
-        mixed = rows.join(lists.drop("c", "same"), "token")
-        if turn and (not grown or (pairs or 0) <= SHORT_LIST * max(members or 0, listed_rows)):
+        long = (F.col("c") * F.col("c") - F.col("same")) / 2 > LONG_LIST * F.col("c")
+        lists = written(lists.where("parts > 1").select("token", long.alias("long"), "lead.other", "lead.m", "lead.own"), "lists")
+        mixed = rows.join(lists, "token")
+        if turn == TURNS or not grown or turn and not lists.where("long").head(1):
             break
-        led = mixed.where("component <> own").groupBy("class_key", "other", "n", "m").agg((LEADERS * F.sum("k")).alias("k"))
+        if turn == 1:  # lists of one component are done
+            listed = written(mixed.select("token", "class_key", "n", "k"), "listed")
+        led = mixed.where("long").drop("long") if turn else mixed
+        led = led.where("component <> own").groupBy("class_key", "other", "n", "m").agg((LEADERS * F.sum("k")).alias("k"))
         led = led.where(_may_link(percent, "k")).select(*_ordered("class_key", "other")).distinct()
         found = _verified(docs, classes, led, words, percent)
         grown = bool(found.head(1))
         links = found if links is None else links.union(found)
         whole, turn = _named(links), turn + 1
 
-    mixed = mixed.drop("other", "m", "own")
+    mixed = mixed.select("token", "class_key", "n", "k", "component")
     others = mixed.select("token", F.col("class_key").alias("other"), F.col("n").alias("m"), F.col("component").alias("own"))
     crossed = mixed.join(others, "token").where("component < own").where(_may_link(percent, None))
     counted = crossed.groupBy("class_key", "other", "n", "m").agg(F.sum("k").alias("k")).where(_may_link(percent, "k"))
@@ -207,9 +213,12 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     ids = named.join(least, "component").select("class_key", F.col("rep").alias("class_id"), "component_id")
     alone = F.col("n") == 0
-    return base.select("doc_id", "n", "class_key").join(ids, "class_key", "left").select(
+    result = base.select("doc_id", "n", "class_key").join(ids, "class_key", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(alone, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"),
         F.when(alone, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
     )
+    result = written(result, "joined")
+    dropped(base, classes, listed, lists, named)
+    return result
