@@ -414,7 +414,7 @@ def text_of(x: str) -> str:
 
 _LISTING = """
 WITH pages_vues AS (
-  SELECT o_orderkey, 'rayon-' || cast(o_orderkey // 8 AS varchar) AS category, o_orderkey % 8 + 1 AS page_no,
+  SELECT o_orderkey, 'rayon-' || cast(o_orderkey // 24 AS varchar) AS category, o_orderkey % 8 + 1 AS page_no,
     CASE (o_orderkey // 8) % 3 WHEN 0 THEN 'Auchan' WHEN 1 THEN 'Sakanal' ELSE 'Diarle' END AS magasin,
     CASE WHEN o_orderkey % 97 = 0 THEN 1 ELSE o_orderkey % 8 + 1 END AS served_page,
     o_orderkey % 8 <> 7 AND o_orderkey % 41 <> 0 AS has_next FROM orders),
@@ -435,26 +435,26 @@ chiffre AS (
       WHEN 'Sakanal' THEN 'https://sakanal.sn' ELSE 'https://diarle.sn' END || href ELSE href END AS url_produit
   FROM listing),
 valide AS (SELECT * FROM chiffre WHERE nom <> '' AND prix >= CASE magasin WHEN 'Auchan' THEN 50 ELSE 100 END
-           QUALIFY row_number() OVER (PARTITION BY category, page_no, nom ORDER BY pos) = 1),
-articles AS (SELECT category, page_no, nom, href AS lien, pos, min(page_no) OVER (PARTITION BY category, nom, href) AS premiere
+           QUALIFY row_number() OVER (PARTITION BY magasin, category, page_no, nom ORDER BY pos) = 1),
+articles AS (SELECT magasin, category, page_no, nom, href AS lien, pos, min(page_no) OVER (PARTITION BY magasin, category, nom, href) AS premiere
              FROM chiffre WHERE nom <> '' OR href <> ''),
-parts AS (SELECT category, page_no, (count(*) FILTER (WHERE premiere < page_no))::double / count(*) AS part,
+parts AS (SELECT magasin, category, page_no, (count(*) FILTER (WHERE premiere < page_no))::double / count(*) AS part,
                  string_agg(nom || '>' || lien, '|' ORDER BY pos) AS signature FROM articles GROUP BY ALL),
-neufs AS (SELECT v.category, v.page_no, count(*) FILTER (WHERE premiere = v.page_no) AS nouveaux
-          FROM valide v JOIN (SELECT DISTINCT category, page_no, nom, lien, premiere FROM articles) a
-            ON v.category = a.category AND v.page_no = a.page_no AND v.nom = a.nom AND v.href = a.lien GROUP BY ALL),
+neufs AS (SELECT v.magasin, v.category, v.page_no, count(*) FILTER (WHERE premiere = v.page_no) AS nouveaux
+          FROM valide v JOIN (SELECT DISTINCT magasin, category, page_no, nom, lien, premiere FROM articles) a
+            ON v.magasin = a.magasin AND v.category = a.category AND v.page_no = a.page_no AND v.nom = a.nom AND v.href = a.lien GROUP BY ALL),
 feuilles AS (
-  SELECT p.category, p.page_no, p.served_page, p.has_next, coalesce(part, 0) AS recouvrement, coalesce(nouveaux, 0) AS nouveaux,
+  SELECT p.magasin, p.category, p.page_no, p.served_page, p.has_next, coalesce(part, 0) AS recouvrement, coalesce(nouveaux, 0) AS nouveaux,
     coalesce(signature, '') AS signature, part IS NULL AS vide
-  FROM pages_vues p LEFT JOIN parts ON p.category = parts.category AND p.page_no = parts.page_no
-       LEFT JOIN neufs ON p.category = neufs.category AND p.page_no = neufs.page_no),
+  FROM pages_vues p LEFT JOIN parts ON p.magasin = parts.magasin AND p.category = parts.category AND p.page_no = parts.page_no
+       LEFT JOIN neufs ON p.magasin = neufs.magasin AND p.category = neufs.category AND p.page_no = neufs.page_no),
 arrets AS (
   SELECT *, CASE WHEN vide THEN 'page_vide' WHEN served_page <> page_no THEN 'page_redirigee'
-    WHEN signature = lag(signature) OVER (PARTITION BY category ORDER BY page_no) THEN 'page_identique'
+    WHEN signature = lag(signature) OVER (PARTITION BY magasin, category ORDER BY page_no) THEN 'page_identique'
     WHEN recouvrement >= 0.8 THEN 'page_deja_vue' WHEN nouveaux = 0 AND page_no > 1 THEN 'rien_de_nouveau'
     WHEN NOT has_next THEN 'derniere_page' END AS motif_arret FROM feuilles),
 gardees AS (
-  SELECT * FROM (SELECT *, min(page_no) FILTER (WHERE motif_arret IS NOT NULL) OVER (PARTITION BY category) AS arret FROM arrets)
+  SELECT * FROM (SELECT *, min(page_no) FILTER (WHERE motif_arret IS NOT NULL) OVER (PARTITION BY magasin, category) AS arret FROM arrets)
   WHERE arret IS NULL OR page_no <= arret)
 """
 _CARD = "nom AS nom_produit, prix, url_produit"
@@ -465,11 +465,11 @@ SELECT page_id, pos, {text_of(f"regexp_extract(a, '{_ANCHOR}', 2)")} AS name, tr
 FROM (SELECT page_id, unnest(regexp_extract_all(html, '{_ANCHOR}', 0)) AS a,
              generate_subscripts(regexp_extract_all(html, '{_ANCHOR}', 0), 1) AS pos FROM pages)""",
     "page_cards": _LISTING
-    + """SELECT category, page_no, magasin, CASE WHEN pos IS NOT NULL THEN row_number() OVER (PARTITION BY category, page_no ORDER BY pos) END AS pos,
+    + """SELECT category, page_no, magasin, CASE WHEN pos IS NOT NULL THEN row_number() OVER (PARTITION BY magasin, category, page_no ORDER BY pos) END AS pos,
   CASE WHEN pos IS NOT NULL THEN nom END AS name, href, CASE WHEN pos IS NULL THEN NULL WHEN magasin = 'Sakanal' THEN '1 000 FCFA / KG'
   WHEN price_text LIKE '%CFA%' THEN price_text END AS price_text FROM chiffre""",
     "page_tiles": _LISTING
-    + """SELECT category, page_no, magasin, CASE WHEN pos IS NOT NULL THEN row_number() OVER (PARTITION BY category, page_no ORDER BY pos) END AS pos,
+    + """SELECT category, page_no, magasin, CASE WHEN pos IS NOT NULL THEN row_number() OVER (PARTITION BY magasin, category, page_no ORDER BY pos) END AS pos,
   nom AS name, href, price_text FROM chiffre""",
     "pagination_facts": _LISTING
     + "SELECT category, page_no, magasin, served_page, has_next FROM pages_vues",
@@ -482,12 +482,12 @@ SELECT page_id, url, coalesce(try_cast(regexp_extract(regexp_replace(regexp_extr
   OR regexp_matches(html, '(?is)<a\\b[^>]*href="[^"]*page=[^>]*>[^<]*(next|suivant)') AS has_next FROM pages""",
     "price_text": _LISTING + "SELECT price_text, prix, count(*) AS nb_annonces FROM chiffre GROUP BY ALL",
     "resolve_url": _LISTING + "SELECT magasin, href, url_produit, count(*) AS nb_annonces FROM chiffre GROUP BY ALL",
-    "valid_listing": _LISTING + f"SELECT category, page_no, pos, {_CARD} FROM valide",
-    "page_overlap": _LISTING + f"SELECT category, page_no, {r6('recouvrement')} AS recouvrement FROM feuilles",
+    "valid_listing": _LISTING + f"SELECT magasin, category, page_no, pos, {_CARD} FROM valide",
+    "page_overlap": _LISTING + f"SELECT magasin, category, page_no, {r6('recouvrement')} AS recouvrement FROM feuilles",
     "crawl_cutoff": _LISTING
-    + f"SELECT category, page_no, {r6('recouvrement')} AS recouvrement, nouveaux, motif_arret FROM gardees",
+    + f"SELECT magasin, category, page_no, {r6('recouvrement')} AS recouvrement, nouveaux, motif_arret FROM gardees",
     "kept_listing": _LISTING
-    + f"SELECT category, page_no, pos, {_CARD} FROM valide SEMI JOIN gardees USING (category, page_no)",
+    + f"SELECT magasin, category, page_no, pos, {_CARD} FROM valide SEMI JOIN gardees USING (magasin, category, page_no)",
 }
 
 # --- messages ----------------------------------------------------------------

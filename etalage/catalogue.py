@@ -198,7 +198,7 @@ def _listed(build: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: build(star.listing(spark, sf_dir))
 
 
-_LISTED = ("category", "page_no", "pos", "nom_produit", "prix", "url_produit")
+_LISTED = ("magasin", "category", "page_no", "pos", "nom_produit", "prix", "url_produit")
 
 
 # --- messages ----------------------------------------------------------------
@@ -266,9 +266,6 @@ QUERIES: dict[str, Query] = {
     "category_suggestions": lambda spark, sf_dir: messages.category_suggestions(
         _messages(spark, sf_dir), LABELS, ALIASES
     ).select("conv_id", "turn", F.array_join("suggestions", " | ").alias("suggestions")),
-    "closest_labels": lambda spark, sf_dir: messages.closest_labels(
-        _messages(spark, sf_dir), LABELS, ALIASES
-    ).select("conv_id", "turn", F.array_join("suggestions", " | ").alias("suggestions")),
     "message_intents": lambda spark, sf_dir: messages.message_intents(
         _messages(spark, sf_dir), ("the", "la", "in"), ("of the", "de la", "in der")
     ).select("conv_id", "turn", "salutation", "conseil_general"),

@@ -14,14 +14,20 @@ MICRO = 1_000_000
 
 
 def half_up(value: Column, places: int) -> Column:
-    """Round half up to ``places`` decimals with plain double arithmetic."""
-    factor = 10**places
-    return F.floor(value * F.lit(float(factor)) + F.lit(0.5)) / F.lit(float(factor))
+    """Round half up to ``places`` decimals with plain double arithmetic.
+
+    A value so large that a double holds no such decimals stays as it is.
+    """
+    scaled = value * F.lit(float(10**places))
+    rounded = F.floor(scaled + F.lit(0.5)) / F.lit(float(10**places))
+    return F.when(F.abs(scaled) < F.lit(2.0**53), rounded).otherwise(value.cast("double"))
 
 
 def micro_units(value: Column) -> Column:
     """The value in whole millionths, as a decimal that can be summed exactly."""
-    return F.floor(value * F.lit(float(MICRO)) + F.lit(0.5)).cast("decimal(20,0)")
+    scaled = value * F.lit(float(MICRO))
+    small = F.floor(scaled + F.lit(0.5)).cast("decimal(28,0)")
+    return F.when(F.abs(scaled) < F.lit(2.0**53), small).otherwise(scaled.cast("decimal(28,0)"))
 
 
 def mean_of(total: Column, count: Column) -> Column:
@@ -43,12 +49,6 @@ def percent(numerator: Column, denominator: Column) -> Column:
     return ratio(numerator, denominator) * F.lit(100.0)
 
 
-def number_label(value: Column) -> Column:
-    """Whole numbers without decimals, others with at most three."""
-    decimals = F.regexp_replace(F.format_string("%.3f", value), r"\.?0+$", "")
-    return F.when(value == F.floor(value), value.cast("bigint").cast("string")).otherwise(decimals)
-
-
 def fcfa_text(value: Column) -> Column:
     """``1 234 567 FCFA``, or ``-`` when there is no value."""
     grouped = F.replace(F.format_number(half_up(value, 0), 0), F.lit(","), F.lit(" "))

@@ -30,7 +30,6 @@ HEADING = r"(?is)^<h2\b[^>]*>(.*?)</h2>"
 AFTER_HEADING = r"(?is)</h2>(.*)$"
 SIBLING = r"(?is)<(\w+)\b[^>]*>.*?</\1>|<[^>]+>|[^<]+"
 UNIT_PRICE_MARKS = ("/ L", "/ KG", "/ PIECE")
-MAX_SIBLINGS = 25
 ENTITIES = (
     ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
     ("&apos;", "'"), ("&amp;", "&"),
@@ -80,7 +79,7 @@ def page_links(pages: DataFrame, keys: Sequence[str], html: str = "html") -> Dat
 
 def _price_after(tail: Column, store: Column) -> Column:
     """First text after the heading that states a price of the product itself."""
-    siblings = F.slice(F.regexp_extract_all(tail, F.lit(SIBLING), F.lit(0)), 1, MAX_SIBLINGS)
+    siblings = F.regexp_extract_all(tail, F.lit(SIBLING), F.lit(0))
     texts = F.transform(siblings, lambda s: F.trim(F.regexp_replace(s, TAG, "")))
 
     def states_price(text: Column) -> Column:
@@ -185,10 +184,18 @@ def pagination_facts(pages: DataFrame) -> DataFrame:
 # --- listings ----------------------------------------------------------------
 
 
+def crawl_key(listing: DataFrame) -> list[str]:
+    """What names one crawl: shops, and their snapshots, have categories of the same name."""
+    return [c for c in ("magasin", "snapshot", "category") if c in listing.columns]
+
+
 def valid_listing(
     listing: DataFrame, floors: Mapping[str, float] = vocab.PRICE_FLOORS
 ) -> DataFrame:
-    """Named cards with a believable price, the first of each name on a page."""
+    """Named cards with a believable price, the first of each name on a page.
+
+    A shop without a floor keeps all its priced cards.
+    """
     table = F.create_map(*[F.lit(p) for pair in floors.items() for p in pair])
     priced = listing.withColumns(
         {
@@ -197,9 +204,9 @@ def valid_listing(
             "url_produit": tx.resolve_url(F.col("href"), F.col("magasin")),
         }
     ).filter(
-        (F.col("nom_produit") != "") & (F.col("prix") >= F.try_element_at(table, F.col("magasin")))
+        (F.col("nom_produit") != "") & (F.col("prix") >= F.coalesce(F.try_element_at(table, F.col("magasin")), F.lit(0.0)))
     )
-    first = Window.partitionBy("category", "page_no", "nom_produit").orderBy("pos")
+    first = Window.partitionBy(*crawl_key(listing), "page_no", "nom_produit").orderBy("pos")
     return (
         priced.withColumn("_rang", F.row_number().over(first))
         .filter(F.col("_rang") == 1)
@@ -209,37 +216,42 @@ def valid_listing(
 
 def _items(listing: DataFrame) -> DataFrame:
     """Distinct (name, href) of each page with their count and first page in the category."""
+    key = crawl_key(listing)
     cleaned = listing.select(
-        "category",
+        *key,
         "page_no",
         tx.clean_name(F.col("name")).alias("nom"),
         F.trim(F.coalesce("href", F.lit(""))).alias("lien"),
     ).filter((F.col("nom") != "") | (F.col("lien") != ""))
-    counted = cleaned.groupBy("category", "page_no", "nom", "lien").agg(
+    counted = cleaned.groupBy(*key, "page_no", "nom", "lien").agg(
         F.count(F.lit(1)).alias("_n")
     )
-    seen = Window.partitionBy("category", "nom", "lien")
-    return counted.withColumn("_premiere", F.min("page_no").over(seen))
+    first = counted.groupBy(*key, "nom", "lien").agg(F.min("page_no").alias("_premiere"))
+    return counted.join(first, [*key, "nom", "lien"])
 
 
 def page_overlap(listing: DataFrame) -> DataFrame:
     """Share of each page's items that an earlier page of the category already showed."""
     repeated = F.sum(F.when(F.col("_premiere") < F.col("page_no"), F.col("_n")).otherwise(0))
-    shares = _items(listing).groupBy("category", "page_no").agg(
+    key = [*crawl_key(listing), "page_no"]
+    shares = _items(listing).groupBy(*key).agg(
         ratio(repeated, F.sum("_n")).alias("recouvrement")
     )
-    pages = listing.select("category", "page_no").distinct()
-    return pages.join(shares, ["category", "page_no"], "left").na.fill(0.0, ["recouvrement"])
+    pages = listing.select(*key).distinct()
+    return pages.join(shares, key, "left").na.fill(0.0, ["recouvrement"])
 
 
 def crawl_pages(listing: DataFrame, threshold: float = OVERLAP_LIMIT) -> DataFrame:
     """One row per page with the first reason, if any, to stop the category there.
 
-    A signature is as long as its page, so the per-page lists stay small.
+    A signature is as long as its page, so the per-page lists stay small; a digest
+    of it is what meets the next page's.
     """
+    crawl = crawl_key(listing)
+    key = [*crawl, "page_no"]
     nom, lien = tx.clean_name(F.col("name")), F.trim(F.coalesce("href", F.lit("")))
     carded = F.col("pos").isNotNull()
-    pages = listing.groupBy("category", "page_no").agg(
+    pages = listing.groupBy(*key).agg(
         F.max("served_page").alias("served_page"),
         F.bool_or("has_next").alias("has_next"),
         F.count_if(carded).alias("_cartes"),
@@ -251,18 +263,15 @@ def crawl_pages(listing: DataFrame, threshold: float = OVERLAP_LIMIT) -> DataFra
                 )
             )
         ).alias("_positions"),
-    ).withColumn("_signature", F.transform("_positions", lambda i: F.struct(i.nom, i.lien)))
+    ).withColumn("_signature", F.md5(F.to_json(F.transform("_positions", lambda i: F.struct(i.nom, i.lien))))).drop("_positions")
     new_valid = (
         valid_listing(listing)
-        .select(
-            "category", "page_no", F.col("nom_produit").alias("nom"),
-            F.trim("href").alias("lien"),
-        )
-        .join(_items(listing), ["category", "page_no", "nom", "lien"])
-        .groupBy("category", "page_no")
+        .select(*key, F.col("nom_produit").alias("nom"), F.trim("href").alias("lien"))
+        .join(_items(listing), [*key, "nom", "lien"])
+        .groupBy(*key)
         .agg(F.count_if(F.col("_premiere") == F.col("page_no")).alias("nouveaux"))
     )
-    before = F.lag("_signature").over(Window.partitionBy("category").orderBy("page_no"))
+    before = F.lag("_signature").over(Window.partitionBy(*crawl).orderBy("page_no"))
     reason = (
         F.when(F.col("_cartes") == 0, F.lit("page_vide"))
         .when(F.col("served_page") != F.col("page_no"), F.lit("page_redirigee"))
@@ -272,18 +281,18 @@ def crawl_pages(listing: DataFrame, threshold: float = OVERLAP_LIMIT) -> DataFra
         .when(~F.col("has_next"), F.lit("derniere_page"))
     )
     return (
-        pages.join(page_overlap(listing), ["category", "page_no"])
-        .join(new_valid, ["category", "page_no"], "left")
+        pages.join(page_overlap(listing), key)
+        .join(new_valid, key, "left")
         .na.fill(0, ["nouveaux"])
         .withColumn("motif_arret", reason)
-        .select("category", "page_no", "recouvrement", "nouveaux", "motif_arret")
+        .select(*key, "recouvrement", "nouveaux", "motif_arret")
     )
 
 
 def crawl_cutoff(listing: DataFrame, threshold: float = OVERLAP_LIMIT) -> DataFrame:
     """Pages up to and with the one where the category's crawl stops."""
     stops = F.min(F.when(F.col("motif_arret").isNotNull(), F.col("page_no"))).over(
-        Window.partitionBy("category")
+        Window.partitionBy(*crawl_key(listing))
     )
     return (
         crawl_pages(listing, threshold)
@@ -295,5 +304,6 @@ def crawl_cutoff(listing: DataFrame, threshold: float = OVERLAP_LIMIT) -> DataFr
 
 def kept_listing(listing: DataFrame, threshold: float = OVERLAP_LIMIT) -> DataFrame:
     """Valid cards of the pages before and at the stop; the stopping page counts."""
-    kept = crawl_cutoff(listing, threshold).select("category", "page_no")
-    return valid_listing(listing).join(kept, ["category", "page_no"], "left_semi")
+    key = [*crawl_key(listing), "page_no"]
+    kept = crawl_cutoff(listing, threshold).select(*key)
+    return valid_listing(listing).join(kept, key, "left_semi")

@@ -41,6 +41,7 @@ def prepare_history(snapshots: DataFrame) -> DataFrame:
         F.col("date_scraping").isNotNull()
         & F.col("jour").isNotNull()
         & (F.col("prix") > 0)
+        & ~F.isnan("prix")
         & blank_to_null("magasin_standardise").isNotNull()
         & blank_to_null("cle_matching_exacte").isNotNull()
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,11 +33,13 @@ _local_root: str | None = None
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder under the cluster's ``spark.checkpoint.dir``.
 
-    Only a session without that setting, as in tests on one machine, falls back
-    to a temporary folder.
+    Without that setting a session whose tasks all run in this process (a local
+    master, as in tests) takes a temporary folder; on a cluster it is an error.
     """
     global _local_root
-    root = spark.conf.get("spark.checkpoint.dir", None) or _local_root
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        root = _local_root = tempfile.mkdtemp(prefix="etalage-")
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        root = _local_root = _local_root or tempfile.mkdtemp(prefix="etalage-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

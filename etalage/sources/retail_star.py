@@ -63,7 +63,7 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey",
         F.concat(
-            F.lit("rayon-"), F.floor(F.col("o_orderkey") / PAGES_PER_CRAWL).cast("string")
+            F.lit("rayon-"), F.floor(F.col("o_orderkey") / (3 * PAGES_PER_CRAWL)).cast("string")
         ).alias("category"),
         (F.col("o_orderkey") % PAGES_PER_CRAWL + 1).cast("bigint").alias("page_no"),
         F.expr("CASE floor(o_orderkey / 8) % 3 WHEN 0 THEN 'Auchan' WHEN 1 THEN 'Sakanal' ELSE 'Diarle' END").alias("magasin"),

@@ -120,3 +120,31 @@ def test_first_valid_card_of_a_name_counts(spark):
     ]
     got = capture.valid_listing(listing(spark, rows)).collect()
     assert [(r.prix, r.url_produit) for r in got] == [(500.0, "https://www.auchan.sn/2")]
+
+
+def _card(magasin, page, pos, name, price, has_next=True, snapshot="2024-01-01"):
+    return (magasin, snapshot, "Epicerie", page, pos, name, f"/p/{name}", f"{price} FCFA", page, has_next)
+
+
+_CARDS = "magasin string, snapshot string, category string, page_no bigint, pos bigint, name string, href string, price_text string, served_page bigint, has_next boolean"
+
+
+def test_shops_and_snapshots_with_the_same_category_stay_apart(spark):
+    rows = [
+        _card("Auchan", 1, 1, "Riz 5kg", 4000),
+        _card("Sakanal", 1, 1, "Riz 5kg", 4100, has_next=False),
+        _card("Auchan", 1, 1, "Riz 5kg", 3900, snapshot="2024-01-02"),
+        _card("Auchan", 2, 1, "Huile 1L", 1200),
+        _card("Sakanal", 2, 1, "Huile 1L", 1300),
+    ]
+    listing = spark.createDataFrame(rows, _CARDS)
+    assert capture.valid_listing(listing).count() == 5
+    kept = capture.crawl_cutoff(listing)
+    assert {(r.magasin, r.snapshot, r.page_no) for r in kept.collect()} == {
+        ("Auchan", "2024-01-01", 1), ("Auchan", "2024-01-01", 2), ("Auchan", "2024-01-02", 1), ("Sakanal", "2024-01-01", 1),
+    }
+
+
+def test_shop_without_a_floor_keeps_its_rows(spark):
+    listing = spark.createDataFrame([_card("Nouveau", 1, 1, "Riz 5kg", 5)], _CARDS)
+    assert [r.prix for r in capture.valid_listing(listing).collect()] == [5.0]

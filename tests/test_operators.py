@@ -78,3 +78,27 @@ def test_numbers(spark):
     assert df.select(half_up(F.lit(2.675), 2)).first()[0] in (2.67, 2.68)
     thirds = spark.createDataFrame([(0.1,), (0.2,), (0.3,)], "v double")
     assert thirds.agg(exact_mean(F.col("v"))).first()[0] == 0.2
+
+
+def test_large_values_are_not_clipped(spark):
+    from etalage.functions.numbers import exact_mean, half_up
+
+    df = spark.createDataFrame([(1e13,), (3e13,)], "x double")
+    assert df.agg(exact_mean(F.col("x"))).first()[0] == 2e13
+    assert df.agg(F.max(half_up(F.col("x"), 6))).first()[0] == 3e13
+
+
+def test_shared_folder_needs_the_setting_on_a_cluster():
+    import pytest
+
+    from etalage.session import shared_folder
+
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(ValueError):
+        shared_folder(Session(), "x")
