@@ -105,12 +105,12 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int,
     needed = written(classes.join(keys, "class_key", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "needed")
 
     def keyed(batches):
-        for batch in batches:
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             found = [_set_key(t, len(t), 1) for _, _, t in _sets(iter([batch]), words)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), batch.column("text")], ["class_key", "text"])
 
     def verify(batches):
-        for batch in batches:
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):  # bounds the sets held
             sides = [[t for _, _, found in word_chunks(batch.column(c)) for t in found.shingles(words)] for c in ("left", "right")]
             both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sides, strict=True)]
             linked = [100 * k >= percent * (len(x) + len(y) - k) for k, x, y in zip(both, *sides, strict=True)]

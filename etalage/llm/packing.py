@@ -23,7 +23,7 @@ OPEN_WINDOWS = 32
 #: Sequence ids of merged leftovers start here; those of a partition at its number times 2^32.
 MERGED = 1 << 62
 #: Words a task remembers before it starts anew.
-REMEMBERED = 700_000
+REMEMBERED = 450_000
 #: A word of Latin letters, then marks without an apostrophe: its ids are those of the two parts.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?:;|#$%&*()-]*)")
 
