@@ -14,6 +14,8 @@ from etalage.session import shared_folder
 
 #: A side is broadcast only when its counted rows stay below this many bytes.
 BROADCAST_BYTES = 16 << 20
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1_000
 #: Texts are hashed in pieces of about this many bytes, whole documents each.
 CHUNK_BYTES = 1 << 19
 
@@ -40,6 +42,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow carry at most BATCH_ROWS rows at a time to Python, as whole texts are long.
+
+    A session that set a number of its own keeps it.
+    """
+    name, usual = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(name, usual) == usual:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def checked_broadcast(df: DataFrame, row_bytes: int = 16) -> DataFrame:
     """A hint to broadcast, given only if the counted size allows it; else Spark shuffles."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from etalage.llm.common import mix
+from etalage.llm.common import mix, small_batches
 
 #: Pages that labelled training pages are made from, at most (in the order of a hash of the id).
 MAX_TRAIN = 300
@@ -346,6 +346,7 @@ def extract_text(pages: DataFrame, chain: Chain | None = None) -> DataFrame:
     are ignored; an empty table gives no rows.  Markup that ends too early is read
     up to its end.
     """
+    small_batches(pages.sparkSession)
     chain = chain or fit(pages)
     shared = pages.sparkSession.sparkContext.broadcast(chain)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))

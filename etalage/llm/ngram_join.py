@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from etalage.llm.common import checked_broadcast, components, dropped, mix, word_chunks, written
+from etalage.llm.common import checked_broadcast, components, dropped, mix, small_batches, word_chunks, written
 
 #: Shingles repeated at least so often are ordered last; the list has a fixed bound.
 COMMON_COUNT = 50
@@ -165,6 +165,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     components meets, and is verified if their sizes and the number of prefix
     elements they share allow a link: no link between components is lost.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     common = common_shingles(docs, words, percent)
     base = written(_prefixes(docs, words, percent, common), "prefixes")

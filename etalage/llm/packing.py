@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from etalage.llm.common import written
+from etalage.llm.common import small_batches, written
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -187,6 +187,7 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, wind
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     laid = written(docs.mapInArrow(rows, PIECES), "packed")
     full = laid.where("ids is null").drop("part", "place", "ids")

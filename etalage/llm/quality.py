@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from etalage.llm.common import checked_broadcast, chunks, utf8, written
+from etalage.llm.common import checked_broadcast, chunks, small_batches, utf8, written
 
 ORDER = 4
 #: Text start, blank, line break, a-z, capital, digit, six kinds of other letters,
@@ -197,6 +197,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, quantile: float = QUANTIL
 
 def _scored(docs: DataFrame, labels: DataFrame, quantile: float, slack: float) -> DataFrame:
     """``docs`` with _symbols, _perplexity, _threshold and _kept."""
+    small_batches(docs.sparkSession)
     ids = checked_broadcast(written(trusted_ids(labels), "trusted"))
     trusted = docs.join(ids, "doc_id", "left_semi")
     table = surprise_table(kneser_ney(ngram_counts(trusted)))

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from etalage.llm.common import small_batches
+
 VOCABULARY = "piece_bpe_32k.model"
 #: Fixed values of the tokenizer's rules: the word mark, and how far an unknown sign is below the least score.
 MARK = "▁"
@@ -105,6 +107,7 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     rows.  ``path`` is a vocabulary file every machine holds; without it, that of
     the installed public vocabularies.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def rows(batches):

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from etalage.llm.common import Words, checked_broadcast, word_chunks, written
+from etalage.llm.common import Words, checked_broadcast, small_batches, word_chunks, written
 
 #: Labelled rows that the classifier is fitted on, at most (in the order of a hash of the id).
 MAX_TRAIN = 12_000
@@ -178,6 +178,7 @@ def _trained(docs: DataFrame, labels: DataFrame, max_train: int):
 
 def _scored(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFrame:
     """``docs`` without text, with score."""
+    small_batches(docs.sparkSession)
     model = _trained(docs.select("doc_id", "text"), labels, max_train)
     if model is None:
         return docs.drop("text").withColumn("score", F.lit(0.0))
