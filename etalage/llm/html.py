@@ -332,7 +332,9 @@ def labelled_pages(pages: list[list[Block]], seed: int = 11) -> list[tuple[list[
 def fit(pages: DataFrame, max_train: int = MAX_TRAIN) -> Chain:
     """A chain fitted on at most ``max_train`` pages, chosen by a hash of the id."""
     some = pages.where("html is not null").select("html", F.xxhash64(F.col("page_id").cast("long"), F.substring("html", 1, 1000)).alias("h"))
-    rows = some.orderBy("h").limit(max_train).select("html").collect()
+    # only hashes are ordered, so tasks do not each send their own candidates' pages
+    last = some.select("h").orderBy("h").limit(max_train).agg(F.max("h")).first()[0]
+    rows = some.where(F.col("h") <= F.lit(last)).limit(max_train).select("html").collect()
     return train(labelled_pages([blocks(r.html)[:300] for r in rows]))
 
 
