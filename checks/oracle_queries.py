@@ -553,3 +553,4 @@ FROM context s JOIN b ON s.categorie_standardisee = b.categorie_standardisee AND
     "parse_free_reply": "SELECT conv_id, turn, text AS texte_brut, NULL::varchar AS categorie, NULL::varchar AS source_magasin "
     "FROM conversations WHERE role = 'assistant'",
 }
+ORACLE["serving_panel"] = ORACLE["daily_panel"]

@@ -17,8 +17,9 @@ from etalage.functions import text as tx
 from etalage.functions.numbers import half_up
 from etalage.operators.stats import grouped_stats
 from etalage.plans import capture, cleaning, compare, kpi, messages
+from etalage.session import shared_folder
 from etalage.sources import retail_star as star
-from etalage.sources.mart import mart_checked, mart_written
+from etalage.sources.mart import mart_checked, mart_written, write_mart
 from etalage.sources.snapshots import (
     dedup_listing,
     history_union,
@@ -191,6 +192,15 @@ def _merge_sources(t: Tables) -> DataFrame:
     return merge_sources([*shops, unusable])
 
 
+def _serving_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily panel published as delimited text, read back and typed."""
+    panel = kpi.daily_panel_rounded(Tables(spark, sf_dir).panel)
+    path = shared_folder(spark, "mart")
+    write_mart({"daily_panel": panel}, path, "latest", fmt="csv")
+    text = read_source(spark, f"{path}/daily_panel/snapshot=latest", panel.columns, "csv")
+    return compare.serving_table(text, "daily_panel")
+
+
 # --- capture -----------------------------------------------------------------
 
 
@@ -369,6 +379,7 @@ QUERIES: dict[str, Query] = {
             "prix_normalise",
         )
     ),
+    "serving_panel": _serving_panel,
     "filter_selection": _of(
         lambda t: compare.filter_selection(
             t.serving, ("ASIA", "EUROPE"), ("PROMO", "SMALL")

@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 from etalage.functions.numbers import mean_of, micro_units
 
 _BUCKETS_PER_E_FOLD = 32.0
-_ALL = "_tout"
+#: Magnitudes below this share one bucket; the shift keeps all others above it.
+_LEAST, _SHIFT = 1e-300, 700.0
 
 
 def _bucket(value: Column) -> Column:
-    """An integer that never decreases when the value grows."""
-    size = F.floor(F.log1p(F.abs(value)) * F.lit(_BUCKETS_PER_E_FOLD)).cast("int")
+    """An integer that never decreases when the value grows; shares and amounts alike fall apart."""
+    scaled = (F.ln(F.abs(value)) + F.lit(_SHIFT)) * F.lit(_BUCKETS_PER_E_FOLD)
+    size = F.when(F.abs(value) > _LEAST, F.floor(scaled)).otherwise(0).cast("int")
     return F.when(value < 0, -size - 1).otherwise(size)
 
 
@@ -54,10 +56,9 @@ def grouped_stats(
     Rows whose value is null are left out.  With no groups the result is one
     row, or none for an empty input.
     """
-    keys = list(groups) or [_ALL]
-    base = df if groups else df.withColumn(_ALL, F.lit(1))
+    keys = list(groups)
     counted = (
-        base.filter(F.col(value).isNotNull())
+        df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
         .withColumn("_b", _bucket(F.col("_v")))
@@ -115,5 +116,9 @@ def grouped_stats(
         low, high = ranks[name]
         part = F.max(F.lit(p) * (F.col("nb") - 1) - low)
         columns.append((at(low) + (at(high) - at(low)) * part).alias(name))
+    if not groups:
+        whole = totals.select(F.struct("*")).scalar()
+        alone = ranked.agg(*columns).withColumn("_total", whole).filter("_total.nb IS NOT NULL")
+        return alone.select("_total.*", *quantiles)
     result = join_null_safe(totals, ranked.groupBy(*keys).agg(*columns), keys)
     return result.select(*groups, "nb", "moyenne", "minimum", "maximum", *quantiles)

@@ -24,6 +24,14 @@ from etalage.operators.wide import long_rows, wide_prices
 SHELF, UNIT = "prix_affiche", "prix_normalise"
 
 
+def _number(name: str) -> Column:
+    """The column as a number (a whole one for counts and ranks); unreadable and NaN give null."""
+    if name.startswith(("nb_", "rang_")):
+        return F.coalesce(F.col(name).try_cast("bigint"), F.col(name).try_cast("double").try_cast("bigint"))
+    value = F.col(name).try_cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def serving_prices(analytics: DataFrame) -> DataFrame:
     """Typed analytics rows with the shelf price and the unit price used for display."""
     texts = {
@@ -31,9 +39,7 @@ def serving_prices(analytics: DataFrame) -> DataFrame:
         for f in analytics.schema
         if isinstance(f.dataType, T.StringType)
     }
-    numbers = {
-        c: F.col(c).try_cast("double") for c in ("prix", "prix_par_kg_ou_l", "prix_par_piece")
-    }
+    numbers = {c: _number(c) for c in ("prix", "prix_par_kg_ou_l", "prix_par_piece")}
     return (
         analytics.withColumns(texts)
         .withColumns({**numbers, "score_matching": F.col("score_matching").try_cast("bigint")})
@@ -51,6 +57,21 @@ def text_flag(column: Column) -> Column:
     return F.coalesce(F.lower(column.cast("string")) == "true", F.lit(False))
 
 
+def serving_table(table: DataFrame, name: str) -> DataFrame:
+    """A mart table that was read as text, with typed numbers, days and flags.
+
+    A panel without flags compares nothing; one without the strict flag takes
+    the multi-shop flag for it.  Columns the table lacks otherwise stay absent.
+    """
+    out = table.withColumns({c: _number(c) for c in vocab.SERVING_NUMBERS[name] if c in table.columns})
+    if name != "daily_panel":
+        return out
+    out = out.withColumns({c: F.col(c).try_cast("date") for c in ("jour", "date_scraping") if c in out.columns})
+    multi, strict = "comparable_multi_store", "comparabilite_stricte"
+    out = out.withColumn(multi, text_flag(F.col(multi)) if multi in out.columns else F.lit(False))
+    return out.withColumn(strict, text_flag(F.col(strict)) if strict in out.columns else F.col(multi))
+
+
 def filter_selection(
     df: DataFrame, stores: Sequence[str], categories: Sequence[str] = ()
 ) -> DataFrame:

@@ -14,29 +14,6 @@ from etalage.plans import kpi
 from etalage.session import shared_folder
 
 
-def mart_tables(history: DataFrame) -> dict[str, DataFrame]:
-    """Every mart table of a prepared history, as lazy plans."""
-    prices = kpi.reliable_prices(history)
-    panel = kpi.daily_panel(prices)
-    competition = kpi.competitiveness(panel)
-    variation = kpi.variation_index(prices)
-    volatility = kpi.fluctuation(prices)
-    inflation = kpi.inflation_global(prices)
-    score = kpi.category_store_score(prices)
-    return {
-        "variation_index": variation,
-        "competitiveness": competition,
-        "fluctuation": volatility,
-        "inflation_category": kpi.inflation_category(prices),
-        "inflation_global": inflation,
-        "category_store_score": score,
-        "ai_context": kpi.context_table(score),
-        "summary": kpi.kpi_summary(prices, variation, competition, volatility, inflation),
-        "daily_panel": panel,
-        "quality": kpi.quality_report(history, panel),
-    }
-
-
 def write_mart(
     tables: Mapping[str, DataFrame], path: str, snapshot: str, fmt: str = "parquet"
 ) -> None:
@@ -47,7 +24,7 @@ def write_mart(
     for name, df in tables.items():
         writer = df.write.mode("overwrite")
         if fmt == "csv":
-            writer = writer.option("header", True)
+            writer = writer.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
         writer.format(fmt).save(f"{path}/{name}/snapshot={snapshot}")
     if "ai_context" in tables:
         tables["ai_context"].write.mode("overwrite").json(
@@ -88,7 +65,7 @@ def publish_mart(spark: SparkSession, history: DataFrame, path: str, snapshot: s
 
     The prepared history and every table that others build on are written once
     and read back, so no table repeats the work of another and a lost executor
-    costs one stage, not the chain.
+    costs one stage, not the chain.  The history's copy goes when the mart is complete.
     """
 
     def stored(name: str, df: DataFrame) -> DataFrame:
@@ -112,6 +89,8 @@ def publish_mart(spark: SparkSession, history: DataFrame, path: str, snapshot: s
         "quality": kpi.quality_report(history, panel),
     }
     write_mart(rest, path, snapshot)
+    copy = spark._jvm.org.apache.hadoop.fs.Path(kept)
+    copy.getFileSystem(spark._jsc.hadoopConfiguration()).delete(copy, True)
 
 
 def _publish(spark: SparkSession, tables: Any) -> tuple[str, str]:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from etalage import vocab
@@ -23,25 +23,29 @@ def required_columns(df: DataFrame | None, required: Sequence[str]) -> DataFrame
     return df.select(*required)
 
 
+def _read_text(spark: SparkSession, path: str | list[str], multi_line: bool) -> DataFrame:
+    """Delimited text with a header, every column as text, missing-value spellings as null."""
+    df = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
+    blank = {c: F.when(~F.col(f"`{c}`").isin(*vocab.NA_TEXTS), F.col(f"`{c}`")) for c in df.columns}
+    first = df.columns[0]
+    return df.withColumns(blank).withColumnRenamed(first, first.lstrip("\ufeff"))
+
+
 def read_source(
     spark: SparkSession,
     path: str,
     required: Sequence[str] = vocab.RAW_COLUMNS,
     fmt: str = "parquet",
+    multi_line: bool = False,
 ) -> DataFrame | None:
     """A source with the required columns, or None when it lacks one.
 
     Text formats are read as text, with the usual missing-value spellings as
-    null; numbers and dates are coerced by the cleaning step.
+    null; numbers and dates are coerced by the cleaning step.  ``multi_line`` is
+    for texts that hold line breaks; such a file cannot be split among tasks.
     """
     if fmt == "csv":
-        df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-        blank = {c: F.when(~F.col(f"`{c}`").isin(*vocab.NA_TEXTS), F.col(f"`{c}`")) for c in df.columns}
-        df = df.withColumns(blank)
-        return required_columns(
-            df.withColumnRenamed("﻿" + df.columns[0].lstrip("﻿"), df.columns[0].lstrip("﻿")),
-            required,
-        )
+        return required_columns(_read_text(spark, path, multi_line), required)
     return required_columns(spark.read.format(fmt).load(path), required)
 
 
@@ -54,16 +58,33 @@ def latest_snapshot(df: DataFrame, source: str, snapshot: str) -> DataFrame:
     return df.join(newest, [source, snapshot], "left_semi")
 
 
-def latest_files(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Rows of the most recently written file under ``path``, unfinished ones left out."""
-    rows = spark.read.format(fmt).load(path).select("*", "_metadata.file_path", "_metadata.file_modification_time")
-    done = rows.filter(~F.col("file_path").contains("_progress"))
-    newest = done.agg(F.max(F.struct("file_modification_time", "file_path"))).select(
-        F.expr("`max(struct(file_modification_time, file_path))`.file_path")
-    )
-    return done.filter(F.col("file_path") == newest.scalar()).drop(
-        "file_path", "file_modification_time"
-    )
+def latest_path(spark: SparkSession, pattern: str) -> str | None:
+    """The match of a path pattern that was written last, from the file listing alone.
+
+    A match is one snapshot, a file or a folder of part files; unfinished ones,
+    which carry ``_progress`` in their own name, are left out.
+    """
+    glob = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    files = glob.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for match in files.globStatus(glob) or ():
+        name = match.getPath().getName()
+        if name.startswith(("_", ".")) or "_progress" in name:
+            continue
+        parts = files.listStatus(match.getPath()) if match.isDirectory() else [match]
+        times = [part.getModificationTime() for part in parts]
+        if times:
+            found.append((max(times), match.getPath().toString()))
+    return max(found)[1] if found else None
+
+
+def latest_files(spark: SparkSession, *patterns: str, fmt: str = "parquet") -> DataFrame:
+    """Rows of the newest snapshot of each pattern, say one pattern for each shop."""
+    newest = [path for path in (latest_path(spark, p) for p in patterns) if path]
+    if not newest:
+        raise ValueError("no finished snapshot")
+    read = [_read_text(spark, p, False) if fmt == "csv" else spark.read.format(fmt).load(p) for p in newest]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), read)
 
 
 def with_lineage(analytics: DataFrame, prefix: str = "analytics_") -> DataFrame:
@@ -92,14 +113,31 @@ def history_union(snapshots: Iterable[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), completed)
 
 
-def read_history(spark: SparkSession, paths: Sequence[str], fmt: str = "parquet") -> DataFrame:
-    """The history of the given snapshot paths, each row tagged with its file name."""
-    return history_union(
-        spark.read.format(fmt)
-        .load(p)
-        .select("*", F.col("_metadata.file_name").alias("source_file"))
-        for p in paths
-    )
+def _snapshot_name(path: Column) -> Column:
+    """The ``snapshot=`` folder, else the folder of a part file, else the file's own name."""
+    names = [F.regexp_extract(path, p, 1) for p in (r"/(snapshot=[^/]+)/", r"/([^/]+)/part-[^/]+$", r"([^/]+)$")]
+    return F.coalesce(*[F.nullif(n, F.lit("")) for n in names])
+
+
+def read_history(
+    spark: SparkSession, paths: Sequence[str], fmt: str = "parquet", multi_line: bool = False
+) -> DataFrame:
+    """The history of the given snapshot paths, each row tagged with its snapshot's name.
+
+    However many part files a snapshot has, its rows carry one name.  Snapshots
+    with the same columns are read together, so the plan has one branch for each
+    layout the shops have used, not one for each day.
+    """
+    layouts: dict[str, list[str]] = {}
+    for path in paths:
+        df = _read_text(spark, path, multi_line) if fmt == "csv" else spark.read.format(fmt).load(path)
+        layouts.setdefault(df.schema.simpleString(), []).append(path)
+
+    def tagged(group: list[str]) -> DataFrame:
+        df = _read_text(spark, group, multi_line) if fmt == "csv" else spark.read.format(fmt).load(group)
+        return df.select("*", _snapshot_name(F.col("_metadata.file_path")).alias("source_file"))
+
+    return history_union(tagged(group) for group in layouts.values())
 
 
 def dedup_listing(df: DataFrame) -> DataFrame:

@@ -172,3 +172,34 @@ ADVICE_PHRASES = (
     "quel magasin", "tu me conseilles", "le moins cher", "meilleur magasin", "recommande",
     "conseille", "ou acheter",
 )
+
+# The numeric columns of each mart table when it is served from text.
+# Counts and ranks (nb_, rang_) are whole numbers, all others doubles.
+_LEVELS = (
+    "nb_produits", "nb_observations", "prix_moyen", "prix_median", "prix_min", "prix_max",
+    "part_produits_normalises", "nb_produits_categorie_total", "couverture_categorie_pct",
+    "indice_categorie_base_100",
+)
+_INFLATION = (
+    "nb_observations", "prix_moyen", "prix_median", "inflation_mensuelle_pct", "indice_prix_base_100",
+)
+SERVING_NUMBERS = {
+    "daily_panel": ("prix_obs", "nb_magasins_jour", "nb_types_prix_jour", "score_matching_moyen"),
+    "category_store_score": _LEVELS,
+    "competitiveness": (
+        "nb_produits_comparables", "indice_competitivite_min", "indice_competitivite_moyenne",
+        "ecart_moyen_vs_min_pct", "rang_competitivite",
+    ),
+    "variation_index": (
+        "nb_observations", "prix_moyen", "prix_median", "variation_vs_mois_precedent_pct",
+        "indice_base_100",
+    ),
+    "inflation_category": _INFLATION,
+    "inflation_global": _INFLATION,
+    "fluctuation": (
+        "nb_jours", "prix_min", "prix_max", "prix_moyen", "prix_std", "amplitude_absolue",
+        "amplitude_pct", "coefficient_variation_pct",
+    ),
+    "ai_context": (*_LEVELS, "indicateur_principal"),
+    "quality": ("valeur",),
+}

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from etalage import vocab
-from etalage.plans import cleaning, kpi
+from etalage.plans import cleaning, compare, kpi
 from etalage.sources import mart, snapshots
 from etalage.sources import retail_star as star
 from etalage.streaming import ingest
@@ -26,13 +26,50 @@ def test_csv_source(spark, tmp_path):
 
 
 def test_latest_files(spark, tmp_path):
-    folder = str(tmp_path / "s")
-    spark.range(3).coalesce(1).write.mode("append").parquet(folder)
     import time
 
+    root = tmp_path / "run_progress"
+    spark.range(3).repartition(2).write.parquet(str(root / "auchan_1"))
+    spark.range(9).write.parquet(str(root / "sakanal_1"))
     time.sleep(1.1)
-    spark.range(5).coalesce(1).write.mode("append").parquet(folder)
-    assert snapshots.latest_files(spark, folder).count() == 5
+    spark.range(5).repartition(3).write.parquet(str(root / "auchan_2"))
+    spark.range(7).write.parquet(str(root / "auchan_3_progress"))
+    assert snapshots.latest_files(spark, f"{root}/auchan_*").count() == 5
+    assert snapshots.latest_files(spark, f"{root}/auchan_*", f"{root}/sakanal_*", f"{root}/none_*").count() == 14
+    time.sleep(1.1)
+    spark.range(4).coalesce(1).write.mode("append").parquet(str(root / "auchan_1"))
+    assert snapshots.latest_files(spark, f"{root}/auchan_1/*").count() == 4
+    with pytest.raises(ValueError):
+        snapshots.latest_files(spark, f"{root}/none_*")
+
+
+def test_parts_of_a_snapshot_are_one_snapshot(spark, tmp_path):
+    table = cleaning.analytics(star.raw_listing(spark, SF).limit(50)).cache()
+    twice = table.union(table)
+    one, many, text = str(tmp_path / "a" / "day"), str(tmp_path / "b" / "day"), str(tmp_path / "c" / "day")
+    twice.coalesce(1).write.parquet(one)
+    twice.repartition(4).write.parquet(many)
+    mart.write_mart({"t": twice}, text, "x", fmt="csv")
+
+    def keys(*args):
+        rows = kpi.prepare_history(snapshots.read_history(spark, *args))
+        return sorted(tuple(r) for r in rows.select("magasin_standardise", "jour", "cle_matching_exacte", "prix", "source_file").collect())
+
+    assert len(keys([one])) == table.count()
+    assert keys([one]) == keys([many])
+    from_text = keys([f"{text}/t/snapshot=x"], "csv")
+    assert [k[:4] for k in from_text] == [k[:4] for k in keys([one])]
+    assert {k[4] for k in from_text} == {"snapshot=x"}
+
+
+def test_serving_table(spark):
+    rows = [("2024-01-02", "12.5", "2", "TRUE"), ("soon", "nan", "x", None)]
+    text = spark.createDataFrame(rows, "jour string, prix_obs string, nb_magasins_jour string, comparable_multi_store string")
+    got = compare.serving_table(text, "daily_panel").collect()
+    assert [(str(r.jour), r.prix_obs, r.nb_magasins_jour) for r in got] == [("2024-01-02", 12.5, 2), ("None", None, None)]
+    assert [(r.comparable_multi_store, r.comparabilite_stricte) for r in got] == [(True, True), (False, False)]
+    bare = compare.serving_table(text.drop("comparable_multi_store"), "daily_panel").first()
+    assert (bare.comparable_multi_store, bare.comparabilite_stricte) == (False, False)
 
 
 def test_history_union_defaults(spark, tmp_path):
