@@ -45,6 +45,21 @@ def join_null_safe(
     return left.join(renamed, condition, how).drop(*[f"_d_{k}" for k in keys])
 
 
+def value_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
+    """``groups``, each non-null value as ``_v`` and its number of rows as ``_c``."""
+    kept = df.filter(F.col(value).isNotNull())
+    return kept.groupBy(*groups, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+
+
+def whole(df: DataFrame, *sums: str) -> DataFrame:
+    """The aggregate with its sums, none of them null, needed by every branch that reads it.
+
+    Branches that need different columns would each plan the aggregate, and all
+    below it, anew; with the same columns they share one shuffle.
+    """
+    return df.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in sums]))
+
+
 def grouped_stats(
     df: DataFrame,
     groups: Sequence[str],
@@ -56,13 +71,15 @@ def grouped_stats(
     Rows whose value is null are left out.  With no groups the result is one
     row, or none for an empty input.
     """
+    return counted_stats(value_counts(df, groups, value), groups, quantiles)
+
+
+def counted_stats(
+    counts: DataFrame, groups: Sequence[str], quantiles: Mapping[str, float]
+) -> DataFrame:
+    """``grouped_stats`` of values that are counted already (see ``value_counts``)."""
     keys = list(groups)
-    counted = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_b", _bucket(F.col("_v")))
-    )
+    counted = counts.withColumn("_b", _bucket(F.col("_v")))
     by_group = Window.partitionBy(*keys)
     buckets = (
         counted.groupBy(*keys, "_b")

@@ -18,7 +18,7 @@ from etalage.functions.numbers import (
     ratio,
 )
 from etalage.functions.text import blank_to_null
-from etalage.operators.stats import grouped_stats
+from etalage.operators.stats import counted_stats, grouped_stats, value_counts, whole
 from etalage.operators.wide import long_rows, wide_prices
 
 SHELF, UNIT = "prix_affiche", "prix_normalise"
@@ -94,7 +94,7 @@ def price_comparison(serving: DataFrame, stores: Sequence[str], mode: str = SHEL
     """One row per day, category, key and product name, one price column per shop.
 
     Rows first combine to one mean per shop, so a crowded key costs little.
-    Which (day, key) qualify is an aggregate of its own, joined back: unlike a
+    Which (day, key) qualify is an aggregate of those, joined back: unlike a
     window, that join can be split when one key dominates.
     """
     index = ["jour", "categorie_standardisee", "cle_matching_exacte", "nom_produit"]
@@ -109,8 +109,9 @@ def price_comparison(serving: DataFrame, stores: Sequence[str], mode: str = SHEL
     cells = rows.groupBy(*index, "magasin_standardise", "type_prix_reference").agg(
         exact_mean(F.col(mode)).alias("_prix")
     )
+    cells = whole(cells, "_prix")
     qualified = (
-        rows.groupBy("jour", "cle_matching_exacte")
+        cells.groupBy("jour", "cle_matching_exacte")
         .agg(
             F.size(F.collect_set("magasin_standardise")).alias("_magasins"),
             F.size(F.collect_set("type_prix_reference")).alias("_types"),
@@ -330,27 +331,23 @@ def dispersion(
 ) -> DataFrame:
     """Box-plot figures by category and shop, outliers beyond the 1 % and 99 % quantiles cut.
 
-    The interval can only miss every row when there are fewer than three
-    prices; those are kept whole, as the untrimmed scale would.
+    When that interval keeps no price, all are kept.  Prices are counted once;
+    the interval and the boxes come from the counts.  The cut is stated on a
+    price's count, so that it stays above the shared shuffle.
     """
+    box = ["categorie_standardisee", "magasin_standardise"]
     rows = filter_selection(serving, stores, categories).filter(
-        F.col("categorie_standardisee").isNotNull() & F.col(mode).isNotNull()
+        F.col("categorie_standardisee").isNotNull()
     )
+    counts = value_counts(rows, box, mode)
     if trim:
-        bounds = grouped_stats(rows, [], mode, {"bas": 0.01, "haut": 0.99})
-        few = F.col("nb") <= 2
-        low = F.when(few, F.col("minimum")).otherwise(F.col("bas"))
-        high = F.when(few, F.col("maximum")).otherwise(F.col("haut"))
-        interval = bounds.select(F.struct(low.alias("bas"), high.alias("haut"))).scalar()
-        rows = rows.filter(
-            (F.col(mode) >= interval.getField("bas")) & (F.col(mode) <= interval.getField("haut"))
-        )
-    stats = grouped_stats(
-        rows,
-        ["categorie_standardisee", "magasin_standardise"],
-        mode,
-        {"q1": 0.25, "mediane": 0.5, "q3": 0.75},
-    )
+        prices = counts.groupBy("_v").agg(F.sum("_c").alias("_c"))
+        bounds = counted_stats(prices, [], {"bas": 0.01, "haut": 0.99})
+        interval = bounds.select(F.struct("bas", "haut")).scalar()
+        inside = F.col("_v").between(interval.getField("bas"), interval.getField("haut"))
+        kept = counts.agg(F.sum(F.when(inside, F.col("_c")))).scalar()
+        counts = counts.filter(F.when(inside | kept.isNull(), F.col("_c")) > 0)
+    stats = counted_stats(counts, box, {"q1": 0.25, "mediane": 0.5, "q3": 0.75})
     return stats.select(
         "categorie_standardisee",
         "magasin_standardise",

@@ -12,7 +12,7 @@ from etalage import vocab
 from etalage.functions.numbers import exact_mean, half_up, percent, ratio
 from etalage.functions.text import blank_to_null
 from etalage.operators.dedupe import keep_last
-from etalage.operators.stats import grouped_stats, join_null_safe
+from etalage.operators.stats import counted_stats, grouped_stats, join_null_safe, whole
 
 
 def _round6(*columns: str) -> dict[str, Column]:
@@ -267,10 +267,15 @@ def fluctuation_sorted(table: DataFrame) -> DataFrame:
 def category_store_score(prices: DataFrame) -> DataFrame:
     """Coverage and price level of each shop in each category, 100 = mean of the shops."""
     pair = ["categorie_standardisee", "magasin_standardise"]
-    per_key = prices.groupBy(*pair, "cle_matching_exacte").agg(
-        F.count_if(F.col("type_prix_comparable") != "raw_price").alias("_normalises"),
-        F.count(F.lit(1)).alias("_lignes"),
+    normalised = F.when(F.col("type_prix_comparable") != "raw_price", 1).otherwise(0)
+    per_price = prices.groupBy(*pair, "cle_matching_exacte", F.col("prix_comparable").alias("_v")).agg(
+        F.sum(normalised).alias("_normalises"), F.sum(F.lit(1)).alias("_c")
     )
+    per_price = whole(per_price, "_normalises", "_c")
+    per_key = per_price.groupBy(*pair, "cle_matching_exacte").agg(
+        F.sum("_normalises").alias("_normalises"), F.sum("_c").alias("_lignes")
+    )
+    per_key = whole(per_key, "_normalises", "_lignes")
     counts = per_key.groupBy(*pair).agg(
         F.count(F.lit(1)).alias("nb_produits"),
         percent(F.sum("_normalises"), F.sum("_lignes")).alias("part_produits_normalises"),
@@ -278,7 +283,8 @@ def category_store_score(prices: DataFrame) -> DataFrame:
     totals = per_key.groupBy("categorie_standardisee").agg(
         F.count_distinct("cle_matching_exacte").alias("nb_produits_categorie_total")
     )
-    stats = grouped_stats(prices, pair, "prix_comparable", {"prix_median": 0.5})
+    prices_seen = per_price.groupBy(*pair, "_v").agg(F.sum("_c").alias("_c"))
+    stats = counted_stats(prices_seen, pair, {"prix_median": 0.5})
     rows = join_null_safe(
         join_null_safe(stats, counts, pair), totals, ["categorie_standardisee"], "left"
     )
