@@ -281,6 +281,13 @@ SELECT categorie_standardisee, magasin_leader, magasin_haut, {r6('(haut - bas) /
   {r6('iqr')} AS iqr_moyen, {r6('iqr / bas')} AS ratio_dispersion, CASE WHEN iqr / bas < 0.25 THEN 'faible'
   WHEN iqr / bas < 0.5 THEN 'moderee' ELSE 'elevee' END AS niveau_dispersion FROM v""",
     ),
+    "context_payload": after(
+        "context",
+        "SELECT niveau_comparaison, categorie_standardisee, magasin_standardise, nb_produits, "
+        "couverture_categorie_pct, indice_categorie_base_100, score_confiance, note_methodologique, "
+        "row_number() OVER (PARTITION BY categorie_standardisee ORDER BY magasin_standardise) AS position "
+        "FROM context",
+    ),
     "context_metrics": after(
         "context",
         "SELECT count(*) AS nb_lignes, count(DISTINCT categorie_standardisee) AS nb_categories, "

@@ -279,7 +279,9 @@ QUERIES: dict[str, Query] = {
     "message_intents": lambda spark, sf_dir: messages.message_intents(
         _messages(spark, sf_dir), ("the", "la", "in"), ("of the", "de la", "in der")
     ).select("conv_id", "turn", "salutation", "conseil_general"),
-    "context_payload": _of(lambda t: messages.context_payload(t.context, STORES)),
+    "context_payload": _of(
+        lambda t: messages.payload_rows(messages.context_payload(t.context, STORES))
+    ),
     "recommend_store": _of(lambda t: messages.recommend_store(t.context)),
     "parse_reply": _of(
         lambda t: messages.parse_reply(messages.as_replies(t.context), "reponse")

@@ -23,6 +23,14 @@ from etalage.plans.compare import filter_selection
 SUGGESTED, SIMILAR = 6, 0.35
 SUGGESTED_BY_WORD, SIMILAR_WORD = 3, 0.6
 
+_PAYLOAD_NUMBERS = {
+    "nb_produits": T.LongType(),
+    "couverture_categorie_pct": T.DoubleType(),
+    "indice_categorie_base_100": T.DoubleType(),
+}
+PAYLOAD = T.StructType(
+    [T.StructField(c, _PAYLOAD_NUMBERS.get(c, T.StringType())) for c in vocab.PAYLOAD_COLUMNS]
+)
 REPLY = T.StructType(
     [
         T.StructField("categorie", T.StringType()),
@@ -222,6 +230,14 @@ def context_payload(
     )
 
 
+def payload_rows(payload: DataFrame) -> DataFrame:
+    """The entries of the payloads as typed rows, numbered from 1 within their array."""
+    entries = F.from_json("contexte_json", T.ArrayType(PAYLOAD))
+    return payload.select(F.posexplode(entries).alias("_pos", "_p")).select(
+        "_p.*", (F.col("_pos") + 1).cast("bigint").alias("position")
+    )
+
+
 def recommend_store(context: DataFrame) -> DataFrame:
     """Per category the shop with the lowest index, and how far the highest is from it."""
     index = F.col("indice_categorie_base_100")

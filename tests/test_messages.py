@@ -82,3 +82,5 @@ def test_advice_and_payload(spark):
     assert (best.magasin, best.ecart_indice_vs_max) == ("A", 20.0)
     payload = json.loads(messages.context_payload(context, ["A", "B"]).first().contexte_json)
     assert [p["magasin_standardise"] for p in payload] == ["A", "B"] and len(payload[0]) == 8
+    entries = messages.payload_rows(messages.context_payload(context, ["A", "B"])).collect()
+    assert [(r.position, r.magasin_standardise, r.nb_produits) for r in entries] == [(1, "A", 4), (2, "B", 3)]
