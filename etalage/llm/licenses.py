@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,12 +67,31 @@ def _nearest_scale(size: Column) -> Column:
     return scale
 
 
-def templates(spark: SparkSession, notices=NOTICES, words: int = SHINGLE) -> DataFrame:
-    """(template, license, shingles, scale): one row per notice, a list fixed by its caller."""
+def _listed(spark: SparkSession, notices, words: int) -> DataFrame:
+    """(template, license, notice) of the notices that have a shingle."""
     rows = [(k, name, text) for k, (name, text) in enumerate(notices) if len(re.findall(r"[^\W_]+", text)) >= words]
     values = [F.struct(F.lit(k).alias("template"), F.lit(name).alias("license"), F.lit(text).alias("notice")) for k, name, text in rows]
-    table = spark.range(1).select(F.explode(F.array(*values)).alias("t")).select("t.*")
-    hashed = _hashed(table, "notice", words).withColumn("shingles", F.array_distinct("shingles"))
+    return spark.range(1).select(F.explode(F.array(*values)).alias("t")).select("t.*")
+
+
+def _telling_words(notices: DataFrame, words: int, shingles: list[int]) -> list[str]:
+    """Words of which every text with one of the notices' given shingles holds one.
+
+    For each shingle its longest word of plain letters and digits; a word that holds
+    another one is not needed.  None at all when a shingle has no such word.
+    """
+    placed = _hashed(notices, "notice", words).select(_words(F.col("notice")).alias("w"), F.posexplode("shingles").alias("at", "shingle"))
+    plain = F.filter(F.slice("w", F.col("at") + 1, words), lambda w: w.rlike("^[a-z0-9]+$"))
+    longest = F.array_max(F.transform(plain, lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"]
+    found = {r.word for r in placed.where(F.col("shingle").isin(shingles)).select(longest.alias("word")).distinct().collect()}
+    if None in found:
+        return []
+    return sorted(w for w in found if not any(o != w and o in w for o in found))
+
+
+def templates(spark: SparkSession, notices=NOTICES, words: int = SHINGLE) -> DataFrame:
+    """(template, license, shingles, scale): one row per notice, a list fixed by its caller."""
+    hashed = _hashed(_listed(spark, notices, words), "notice", words).withColumn("shingles", F.array_distinct("shingles"))
     return hashed.select("template", "license", "shingles", _nearest_scale(F.size("shingles")).alias("scale"))
 
 
@@ -97,6 +118,7 @@ def license_scan(docs: DataFrame, notices=NOTICES, words: int = SHINGLE, contain
     A window meets a template in a band when the least shingle hash of both is the
     same, which is then the hash of one of the template's own least shingles: texts
     with none of those can meet no template, and are left out before windows are cut.
+    Texts without even a word of those shingles are left out before they are hashed.
     """
     spark = docs.sparkSession
     keys = written(templates(spark, notices, words), "notices")
@@ -108,6 +130,9 @@ def license_scan(docs: DataFrame, notices=NOTICES, words: int = SHINGLE, contain
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_found_columns()).limit(0)
     least = sorted({r.source for r in own})
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    if telling := _telling_words(_listed(spark, notices, words), words, least):
+        lowered = base.withColumn("lowered", F.explode(F.array(F.lower("text"))))  # lowered once, searched often
+        base = lowered.where(reduce(or_, [F.contains(F.col("lowered"), F.lit(w)) for w in telling])).drop("lowered")
     base = base.withColumn("row", F.monotonically_increasing_id())
     hit = F.arrays_overlap("shingles", F.array(*(F.lit(x) for x in least)))
     held = _hashed(base, "text", words).drop("text").where(hit)
