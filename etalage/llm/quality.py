@@ -1,104 +1,130 @@
-"""Quality by perplexity under an interpolated modified Kneser-Ney model.
+"""Quality by perplexity under an interpolated modified Kneser-Ney model of subword n-grams.
 
-The model is over characters folded to a fixed alphabet of ALPHABET symbols, so
-its tables have at most ALPHABET ** 4 entries whatever the corpus: that bound is
-what allows the finished table to be sent to every task.
+Texts are cut into pieces of words and single signs, without folding any letter.
+The model holds every n-gram of the trusted texts, so it grows with them: its
+tables stay sharded, and blocks of documents send their distinct n-grams to the
+shards and get back probabilities and backoff weights of those that are there.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from etalage.llm.common import checked_broadcast, chunks, small_batches, utf8, written
+from etalage.llm.common import _power, checked_broadcast, chunks, mix, small_batches, utf8, written
 
-ORDER = 4
-#: Text start, blank, line break, a-z, capital, digit, six kinds of other letters,
-#: full stop and comma, other clause marks, brackets and quotes, any other sign.
-ALPHABET = 41
-#: A document is kept up to this quantile of the trusted texts of its language ...
+ORDER = 3
+#: Runs of letters and digits are cut into pieces of about so many bytes, whole characters each.
+PIECE_BYTES = 6
+#: A document is kept up to this quantile of the held-out trusted texts of its language.
 QUANTILE = 0.97
-#: ... times this factor, as trusted texts helped to make the model.
-SLACK = 1.2
-
-_OTHER = ALPHABET - 1
-
-
-def _symbol_table() -> np.ndarray:
-    table = np.full(1 << 16, _OTHER, np.uint8)
-    for code in range(1 << 16):
-        char = chr(code)
-        if "a" <= char <= "z":
-            table[code] = 3 + code - ord("a")
-        elif char.isupper():
-            table[code] = 29
-        elif char.isdigit():
-            table[code] = 30
-        elif char.isalpha():
-            table[code] = 31 + code % 6
-    table[[9, 11, 12, 32, 0xA0]] = 1
-    table[[10, 13]] = 2
-    for signs, symbol in ((".,", 37), (":;!?", 38), ("'\"()-", 39)):
-        table[[ord(s) for s in signs]] = symbol
-    return table
-
-
-_TABLE = _symbol_table()
-
-
-def _codes(column: pa.Array):
-    """(first row, end row, 4-gram codes, place of each row's first code) piece by piece."""
+#: One in so many distinct trusted texts is held out of the counts.
+HELD_OUT = 5
+#: Text whose n-grams are looked up together, text and model rows to a shard (about).
+BLOCK_BYTES = 8 << 20
+SHARD_BYTES = 64 << 20
+SHARD_ROWS = 500_000
+
+_RANDOM = np.random.RandomState(20240301)
+_BYTE, _PLACE = (_RANDOM.randint(0, 2**63, n, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1) for n in (256, ORDER))
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+_BLANK, _LETTER, _SIGN = 0, 1, 2
+_KIND = np.full(256, _SIGN, np.uint8)
+_KIND[[0x20, 0x09, 0x0B, 0x0C, 0x0D]] = _BLANK
+_KIND[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
+_NAMES = [f"w{k}" for k in range(ORDER)]
+
+
+def _pieces(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hash of each piece, place of each row's first piece) of a column, some rows at a time.
+
+    A piece is a sign, a line feed, or a part of a run of letters and digits; whether
+    a blank or the text's start is before it belongs to it.  No hash is 0.
+    """
     data, offsets = utf8(column)
     for row, end in chunks(offsets):
-        part = data[offsets[row] : offsets[end]]
-        first = (part & 0xC0) != 0x80
-        counts = np.concatenate([[0], np.cumsum(first)])[offsets[row : end + 1] - offsets[row]]
-        points = np.frombuffer(part.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
-        if len(points) != counts[-1]:  # ill-formed bytes: one sign for each byte that starts a character
-            points = np.where(part[first] < 128, part[first], 0xFFFF).astype(np.uint32)
-        symbols = np.where(points < (1 << 16), _TABLE[points & 0xFFFF], _OTHER).astype(np.int64)
-        begin = counts[np.repeat(np.arange(end - row), np.diff(counts))]
-        age = np.arange(len(symbols)) - begin
-        code = symbols.copy()
-        for back in range(1, ORDER):
-            earlier = np.zeros_like(symbols)
-            earlier[back:] = symbols[:-back] if back <= len(symbols) else 0
-            code += np.where(age >= back, earlier, 0) * ALPHABET**back
-        yield row, end, code, counts
+        part, edges = data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
+        size = len(part)
+        edge = np.zeros(size + 1, bool)
+        edge[edges] = True
+        kind = _KIND[part]
+        before = np.zeros(size, np.uint8)
+        before[1:] = kind[:-1]
+        before[edge[:size]] = _BLANK
+        run = np.maximum.accumulate(np.where((kind != _LETTER) | (before != _LETTER), np.arange(size), 0)) if size else np.zeros(0, np.int64)
+        lead = np.flatnonzero(((part & 0xC0) != 0x80) | edge[:size])
+        number = (lead - run[lead]) // PIECE_BYTES
+        new = (kind[lead] != _LETTER) | (run[lead] == lead)
+        new[1:] |= number[1:] != number[:-1]
+        mark = lead[new]
+        stop = np.append(mark[1:], size)
+        some = kind[mark] != _BLANK
+        start, stop = mark[some], stop[some]
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum(_BYTE[part] * _power(_BASE, "up", size), out=sums[1:]) if size else None
+        value = (sums[stop] - sums[start]) * _power(_INVERSE, "down", size + 1)[start]
+        value = mix(value + (2 * (stop - start) + (before[start] == _BLANK)).astype(np.uint64)) | np.uint64(1)
+        yield value, np.searchsorted(start, edges)
+
+
+def _key(pieces: list[np.ndarray]) -> np.ndarray:
+    """The key of n-grams, given the array of each place; the last piece is the last."""
+    total = np.full(len(pieces[0]), len(pieces), np.uint64)
+    for back, piece in enumerate(reversed(pieces)):
+        total += piece * _PLACE[back]
+    return mix(total)
+
+
+def _grams(pieces: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """The piece and the ORDER - 1 before it in its text, farthest first; 0 before the text."""
+    age = np.arange(len(pieces)) - np.repeat(first[:-1], np.diff(first))
+    back = []
+    for k in range(ORDER - 1, -1, -1):
+        moved = np.zeros_like(pieces)
+        moved[k:] = pieces[: len(pieces) - k]
+        back.append(np.where(age >= k, moved, np.uint64(0)))
+    return back
+
+
+def _chains(grams: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Keys of the 1-, 2-, ... grams that end at each piece, and of their contexts (none for the first)."""
+    return [_key(grams[-n:]) for n in range(1, ORDER + 1)], [_key(grams[-n:-1]) for n in range(2, ORDER + 1)]
 
 
 def ngram_counts(texts: DataFrame) -> DataFrame:
-    """(code, n) of all 4-grams of the whole texts, counted within tasks before the shuffle."""
+    """(w0, ..., n) of all n-grams of order ORDER of the whole texts, counted piece by piece before the shuffle."""
 
     def count(batches):
-        total = np.zeros(ALPHABET**ORDER, np.int64)
         for batch in batches:
-            for _, _, code, _ in _codes(batch.column("text")):
-                seen, n = np.unique(code, return_counts=True)
-                total[seen] += n
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["code", "n"])
+            for pieces, first in _pieces(batch.column("text")):
+                grams = _grams(pieces, first)
+                _, place, n = np.unique(_key(grams), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([*(pa.array(g[place].view(np.int64)) for g in grams), pa.array(n.astype(np.int64))], [*_NAMES, "n"])
 
-    return texts.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    kinds = ", ".join(f"{name} long" for name in _NAMES)
+    return texts.select("text").mapInArrow(count, f"{kinds}, n long").groupBy(*_NAMES).agg(F.sum("n").alias("n"))
 
 
-def kneser_ney(counts: DataFrame) -> DataFrame:
-    """(order, code, p, backoff) of every n-gram seen, by joins of counts and context sums.
+def kneser_ney(counts: DataFrame) -> tuple[DataFrame, float]:
+    """(order, w0, ..., p, backoff) of every n-gram seen, by joins of counts and context sums, and an unseen piece's p.
 
-    ``p`` is the interpolated probability of the last symbol after the others and
-    ``backoff`` the weight that the context leaves to the lower order.  Lower
-    orders count the different symbols seen before an n-gram.
+    ``p`` is the interpolated probability of the last piece after the others,
+    ``backoff`` the weight that the n-gram as a context leaves to the lower order.
+    Lower orders count the different pieces seen before an n-gram.
     """
     grams = {ORDER: written(counts, "ngrams")}
     for order in range(ORDER - 1, 0, -1):
-        lower = (F.col("code") % ALPHABET**order).alias("code")
-        grams[order] = written(grams[order + 1].groupBy(lower).agg(F.count("*").alias("n")), "ngrams")
-    lower = None
-    levels = []
+        grams[order] = written(grams[order + 1].groupBy(*_NAMES[-order:]).agg(F.count("*").alias("n")), "ngrams")
+    unseen, levels = 1.0, {}
     for order in range(1, ORDER + 1):
-        gram = grams[order].withColumn("context", F.floor(F.col("code") / ALPHABET))
+        gram = grams[order]
         share = [F.count(F.when(F.col("n") == k, 1)).cast("double") for k in (1, 2, 3, 4)]
         n1, n2, n3, n4 = (F.col(f"n{k}") for k in (1, 2, 3, 4))
         y = F.when(n1 + 2 * n2 > 0, n1 / (n1 + 2 * n2)).otherwise(0.5)
@@ -110,112 +136,204 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         spread = gram.agg(*(s.alias(f"n{k}") for k, s in enumerate(share, 1))).select(
             discount(1, n1, n2).alias("d1"), discount(2, n2, n3).alias("d2"), discount(3, n3, n4).alias("d3")
         )
-        d1, d2, d3 = spread.first() or (0.5, 1.0, 1.5)
+        d1, d2, d3 = spread.first()
         less = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        context = gram.groupBy("context").agg(F.sum("n").alias("total"), F.sum(less).alias("less"))
-        gram = gram.join(context, "context").withColumn("backoff", F.col("less") / F.col("total"))
-        own = (F.col("n") - less) / F.col("total")
-        if lower is None:
-            level = gram.withColumn("p", own + F.col("backoff") / ALPHABET)
+        sums = [F.sum("n").alias("total"), F.sum(less).alias("less")]
+        if order == 1:
+            total, left, kinds = gram.agg(*sums, F.count("*")).first()
+            if kinds:
+                unseen = left / total / (kinds + 1)  # what is left goes to all pieces and one unseen alike
+            level = gram.withColumn("p", (F.col("n") - less) / F.lit(float(total or 1)) + F.lit(unseen))
         else:
-            below = lower.select(F.col("code").alias("below"), F.col("p").alias("q"))
-            gram = gram.withColumn("below", F.col("code") % ALPHABET ** (order - 1))
-            level = gram.join(below, "below").withColumn("p", own + F.col("backoff") * F.col("q"))
-        lower = written(level.select(F.lit(order).alias("order"), "code", "p", "backoff"), "levels")
-        levels.append(lower)
-    out = levels[0]
-    for level in levels[1:]:
+            context = written(gram.groupBy(*_NAMES[-order:-1]).agg(*sums).withColumn("backoff", F.col("less") / F.col("total")), "contexts")
+            lower = levels[order - 1].select(*_NAMES[1 - order :], F.col("p").alias("q"))
+            own = (F.col("n") - less) / F.col("total")
+            level = gram.join(context, _NAMES[-order:-1]).join(lower, _NAMES[1 - order :]).withColumn("p", own + F.col("backoff") * F.col("q"))
+            moved = context.select(*(F.col(a).alias(b) for a, b in zip(_NAMES[-order:-1], _NAMES[1 - order :], strict=True)), "backoff")
+            levels[order - 1] = levels[order - 1].join(moved, _NAMES[1 - order :], "full")
+        levels[order] = written(level.select(*_NAMES[-order:], "p"), "levels")
+    levels[ORDER] = levels[ORDER].withColumn("backoff", F.lit(1.0))
+    rows = [
+        levels[n].select(F.lit(n).alias("order"), *(F.col(c) if c in _NAMES[-n:] else F.lit(0).cast("long").alias(c) for c in _NAMES), "p", F.coalesce("backoff", F.lit(1.0)).alias("backoff"))
+        for n in range(1, ORDER + 1)
+    ]
+    out = rows[0]
+    for level in rows[1:]:
         out = out.union(level)
-    return out
+    return out, unseen
 
 
-def surprise_table(model: DataFrame) -> np.ndarray:
-    """-ln p for every possible 4-gram: a table of fixed size, filled up by the backoff weights."""
-    rows = model.toPandas()
-    table = np.full(ALPHABET, 1 / ALPHABET)
-    for order in range(1, ORDER + 1):
-        level = rows[rows["order"] == order]
-        code = level["code"].to_numpy()
-        if order > 1:
-            weight = np.ones(ALPHABET ** (order - 1))
-            weight[code // ALPHABET] = level["backoff"]
-            table = _backed(weight, table)
-        table[code] = level["p"]
-    return -np.log(table).astype(np.float32)
+def keyed(model: DataFrame) -> DataFrame:
+    """(key, p, backoff) of the model's n-grams; p is null for what is only a context."""
 
+    def rows(batches):
+        for batch in batches:
+            order = batch.column("order").to_numpy()
+            pieces = [batch.column(c).to_numpy().view(np.uint64) for c in _NAMES]
+            key = np.zeros(len(order), np.uint64)
+            for n in range(1, ORDER + 1):
+                own = order == n
+                key[own] = _key([p[own] for p in pieces[-n:]])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("p"), batch.column("backoff")], ["key", "p", "backoff"])
 
-def _backed(weight: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """weight[c] * p(last | c without its first symbol) over all contexts c."""
-    lower = np.tile(table.reshape(-1, ALPHABET), (ALPHABET, 1))
-    return (weight[:, None] * lower).reshape(-1)
+    return model.mapInArrow(rows, "key long, p double, backoff double")
 
 
-def perplexities(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """``docs`` with n_symbols and perplexity (null for an empty text) of every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-    names = docs.columns
-    text = names.index("text")
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as the bytes of their differences, equal places together."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(packed, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _in_blocks(docs: DataFrame) -> DataFrame:
+    """``docs`` with _block, of neighbouring rows; written, so that every later pass sees the same blocks."""
 
-    def score(batches):
-        surprise = shared.value
+    def rows(batches):
+        part, size = TaskContext.get().partitionId(), 0
         for batch in batches:
-            sums, sizes = [], []
-            for _, _, code, first in _codes(batch.column(text)):
-                total = np.concatenate([[0.0], np.cumsum(surprise[code], dtype=np.float64)])
-                sums.append(np.diff(total[first]))
-                sizes.append(np.diff(first))
-            size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-            mean = np.concatenate(sums) / np.maximum(size, 1) if sums else np.zeros(0)
-            value = pa.array(np.exp(mean), mask=size == 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size, pa.int64()), value], [*names, "_symbols", "_perplexity"])
+            ends = utf8(batch.column("text"))[1]
+            block = (part << 32) + (size + ends[:-1]) // BLOCK_BYTES
+            size += int(ends[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block, pa.int64())], [*batch.schema.names, "_block"])
 
-    from pyspark.sql import types as T
+    return written(docs.mapInArrow(rows, T.StructType([*docs.schema.fields, T.StructField("_block", T.LongType())])), "blocks")
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_symbols", T.LongType()), T.StructField("_perplexity", T.DoubleType())])
-    return docs.mapInArrow(score, schema)
+
+def _answers(docs: DataFrame, model: DataFrame, shards: int) -> DataFrame:
+    """(_block, keys, values): what the model's shards hold of the n-grams of each block."""
+
+    def asked(batches):
+        def sent(block, keys):
+            keys = np.unique(np.concatenate(keys))
+            shard = ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+            some, begin = np.unique(shard, return_index=True)
+            packed = [_packed(keys[a:b]) for a, b in zip(begin, np.append(begin, len(keys))[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), block)), pa.array(packed, pa.binary())], ["shard", "_block", "keys"])
+
+        now, held = None, []
+        for batch in batches:
+            blocks = batch.column("_block").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if blocks[a] != now and held:
+                    yield sent(now, held)
+                    held = []
+                now = blocks[a]
+                for pieces, first in _pieces(batch.column("text").slice(a, b - a)):
+                    grams, contexts = _chains(_grams(pieces, first))
+                    # contexts are n-grams of the place before, but for those at a text's start
+                    starts = first[:-1][np.diff(first) > 0]
+                    held.append(np.unique(np.concatenate([*grams, *(c[starts] for c in contexts)])))
+        if held:
+            yield sent(now, held)
+
+    def found(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys = left.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        keys = keys[order]
+        values = np.stack([left.column(c).to_numpy()[order].astype(np.float32) for c in ("p", "backoff")], axis=1)
+        hits = []
+        for packed in right.column("keys"):
+            own = _unpacked(packed.as_py())
+            place = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
+            there = keys[place] == own if len(keys) else np.zeros(len(own), bool)
+            hits.append((_packed(own[there]), values[place[there]].tobytes()))
+        return pa.table([right.column("_block"), pa.array([k for k, _ in hits], pa.binary()), pa.array([v for _, v in hits], pa.binary())], ["_block", "keys", "values"])
+
+    queries = docs.select("_block", "text").mapInArrow(asked, "shard long, _block long, keys binary")
+    shard = F.shiftright(F.shiftrightunsigned("key", 32) * F.lit(shards).cast("long"), 32)
+    return model.withColumn("shard", shard).groupBy("shard").cogroup(queries.groupBy("shard")).applyInArrow(found, "_block long, keys binary, values binary")
+
+
+def perplexities(docs: DataFrame, model: DataFrame, unseen: float) -> DataFrame:
+    """``docs`` with _pieces and _perplexity (null for a text without pieces) of every whole text."""
+    names = docs.columns
+    schema = T.StructType([*docs.schema.fields, T.StructField("_pieces", T.LongType()), T.StructField("_perplexity", T.DoubleType())])
+    docs = _in_blocks(docs)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-size // SHARD_BYTES), -(-model.count() // SHARD_ROWS))
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.zeros(0, np.uint64), *(_unpacked(k.as_py()) for k in right.column("keys"))])
+        values = np.concatenate([np.zeros((0, 2), np.float32), *(np.frombuffer(v.as_py(), np.float32).reshape(-1, 2) for v in right.column("values"))])
+        order = np.argsort(keys)
+        # an entry behind the last stands for all that the model does not hold
+        keys, values = keys[order], np.concatenate([values[order], [[np.nan, 1.0]]]).astype(np.float64)
+
+        def looked_up(own, column):
+            place = np.searchsorted(keys, own)
+            there = place < len(keys)
+            there[there] = keys[place[there]] == own[there]
+            return values[np.where(there, place, len(keys)), column]
+
+        sums, sizes = [np.zeros(0)], [np.zeros(0, np.int64)]
+        for pieces, first in _pieces(left.column("text")):
+            grams, contexts = _chains(_grams(pieces, first))
+            p = np.full(len(pieces), unseen)
+            for n, own in enumerate(grams):
+                lower = p * looked_up(contexts[n - 1], 1) if n else p
+                p = looked_up(own, 0)
+                p = np.where(np.isnan(p), lower, p)
+            total = np.concatenate([[0.0], np.cumsum(-np.log(p))])
+            sums.append(np.diff(total[first]))
+            sizes.append(np.diff(first))
+        size = np.concatenate(sizes).astype(np.int64)
+        value = pa.array(np.exp(np.concatenate(sums) / np.maximum(size, 1)), mask=size == 0)
+        return pa.table([*(left.column(c) for c in names), pa.array(size), value], schema=None, names=[*names, "_pieces", "_perplexity"])
+
+    return docs.groupBy("_block").cogroup(_answers(docs, model, shards).groupBy("_block")).applyInArrow(score, schema)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, lang): doc_id, lang, n_symbols, perplexity, threshold, kept.
+def quality_scores(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text, lang): doc_id, lang, n_symbols (pieces), perplexity, threshold, kept.
 
-    Trusted are the documents with ``labels.quality`` 1; all of them give counts,
-    and their perplexities give each language's threshold.  A language without
-    trusted texts takes the threshold of all of them; without any trusted text
-    nothing is rejected.  Null or empty texts have no perplexity and are not kept.
-    Null ids and languages are scored like others, repeated rows each, very long
-    texts whole; other columns are ignored; an empty table gives no rows.
+    Trusted are the documents with ``labels.quality`` 1.  One in HELD_OUT distinct
+    trusted texts, by a hash of the text, is held out of the counts with all its
+    copies; the quantile of their perplexities is each language's threshold.  A
+    language without held-out texts takes the quantile of all of them; without any
+    nothing is rejected.  Texts without pieces (null, empty, blanks only) have no
+    perplexity and are not kept.  Null ids and languages are scored like others,
+    repeated rows each, very long texts whole; other columns are ignored; an empty
+    table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    return _scored(docs, labels, quantile, slack).select(
-        "doc_id", "lang", F.col("_symbols").alias("n_symbols"), F.col("_perplexity").alias("perplexity"), F.col("_threshold").alias("threshold"), F.col("_kept").alias("kept")
+    return _scored(docs, labels, quantile).select(
+        "doc_id", "lang", F.col("_pieces").alias("n_symbols"), F.col("_perplexity").alias("perplexity"), F.col("_threshold").alias("threshold"), F.col("_kept").alias("kept")
     )
 
 
-def _scored(docs: DataFrame, labels: DataFrame, quantile: float, slack: float) -> DataFrame:
-    """``docs`` with _symbols, _perplexity, _threshold and _kept."""
+def _scored(docs: DataFrame, labels: DataFrame, quantile: float) -> DataFrame:
+    """``docs`` (doc_id, text, lang, ...) with _pieces, _perplexity, _threshold and _kept."""
     small_batches(docs.sparkSession)
     ids = checked_broadcast(written(trusted_ids(labels), "trusted"))
-    trusted = docs.join(ids, "doc_id", "left_semi")
-    table = surprise_table(kneser_ney(ngram_counts(trusted)))
-    own = perplexities(trusted.select("text", "lang"), table).where("_perplexity is not null")
-    # one row per language is left, so both sums are small
-    limits = written(own.groupBy("lang").agg((F.percentile_approx("_perplexity", quantile, 10_000) * slack).alias("_own"), F.count("*").alias("_n")), "limits")
-    every = limits.agg((F.sum(F.col("_own") * F.col("_n")) / F.sum("_n")).alias("_every"))
-    default = every.first()[0]
-    scored = perplexities(docs, table)
-    limits = limits.select(F.col("lang").alias("_lang"), "_own")
+    trusted = docs.select("doc_id", "text", "lang").join(ids, "doc_id", "left_semi").where("text is not null")
+    held = F.pmod(F.xxhash64("text", F.lit("held")), F.lit(HELD_OUT)) == 0
+    model, unseen = kneser_ney(ngram_counts(trusted.where(~held)))
+    model = written(keyed(model), "model")
+    own = written(perplexities(trusted.where(held).select("text", "lang"), model, unseen).where("_perplexity is not null").select("lang", "_perplexity"), "held_out")
+    limit = F.percentile_approx("_perplexity", quantile, 10_000)
+    default = own.agg(limit).first()[0]
+    limits = written(own.groupBy(F.col("lang").alias("_lang")).agg(limit.alias("_own")), "limits")
+    scored = perplexities(docs, model, unseen)
     scored = scored.join(checked_broadcast(limits, 64), F.col("lang").eqNullSafe(F.col("_lang")), "left")
     limit = F.coalesce("_own", F.lit(default).cast("double"))
     kept = F.col("_perplexity").isNotNull() & F.coalesce(F.col("_perplexity") <= limit, F.lit(True))
     return scored.withColumn("_threshold", limit).withColumn("_kept", kept).drop("_lang", "_own")
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+def keep_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns in their order."""
-    fields = [F.col(f"`{c}`") for c in docs.columns]
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.struct(*fields).alias("_row"))
-    return _scored(whole, labels, quantile, slack).where("_kept").select("_row.*")
+    rest = [c for c in docs.columns if c != "text"]
+    # the text travels once, the other columns as they are beside it
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_row"))
+    kept = _scored(whole, labels, quantile).where("_kept")
+    return kept.select(*(F.col("text").cast(docs.schema[c].dataType).alias(c) if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns))

@@ -192,6 +192,27 @@ def test_held_out_toxicity_and_quality(spark):
     assert scored.where("kept and quality = 0").count() <= 0.3 * scored.where("quality = 0").count()
 
 
+def test_quality_knows_word_order_and_every_script(spark):
+    chance = random.Random(8)
+    rows = []
+    for lang, letters in (("en", "abdeginorst"), ("ru", "абвгдеийнорст")):
+        words = ["".join(chance.choice(letters) for _ in range(chance.randint(2, 6))) for _ in range(60)]
+        follow = {w: chance.sample(words, 2) for w in words}
+        for k in range(150):
+            text = [chance.choice(words)]
+            while len(text) < 120:
+                text.append(chance.choice(follow[text[-1]]))
+            if k >= 120:  # the same words in another order
+                chance.shuffle(text)
+            rows.append((len(rows), " ".join(text), lang, k < 120))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, clean boolean")
+    labels = docs.where("clean and doc_id % 3 > 0").selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    got = quality_scores(docs, labels).join(docs, "doc_id").collect()
+    for lang in ("en", "ru"):
+        rows = [r.kept for r in got if r[1] == lang and r.clean], [r.kept for r in got if r[1] == lang and not r.clean]
+        assert sum(rows[0]) >= 0.9 * len(rows[0]) == 108 and sum(rows[1]) == 0
+
+
 def test_html_extraction(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     layout = """<body><div id="header"><a href=x>Home</a></div><div class="sidebar"><ul><li><a>One</a><li><a>Two</a></ul></div><div id="content"><h2>A title</h2>
