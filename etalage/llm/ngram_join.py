@@ -68,7 +68,7 @@ def common_shingles(docs: DataFrame, words: int, percent: int) -> np.ndarray:
 def _prefixes(docs: DataFrame, words: int, percent: int, common: np.ndarray) -> DataFrame:
     """doc_id, n, class_key (of the set), group_key (of prefix and size), prefix.
 
-    A task gives a group's prefix once, however many copies it holds.
+    A task gives a group's prefix once, with its first row that has an id, however many copies it holds.
     """
 
     def rows(batches):
@@ -81,12 +81,14 @@ def _prefixes(docs: DataFrame, words: int, percent: int, common: np.ndarray) ->
             late = common[place] == tokens if len(common) else np.zeros(n, bool)
             prefix = np.concatenate([tokens[~late], tokens[late]])[: prefix_length(n, percent)]
             key = [_set_key(tokens, n, 1), _set_key(prefix, n, 2)]
-            out[0].append(batch.column("doc_id")[row].as_py())
+            doc = batch.column("doc_id")[row].as_py()
+            out[0].append(doc)
             out[1].append(n)
             out[2].append(key[0])
             out[3].append(key[1])
-            out[4].append(None if key[1] in given else prefix.view(np.int64))
-            given.add(key[1])
+            out[4].append(None if doc is None or key[1] in given else prefix.view(np.int64))
+            if doc is not None:
+                given.add(key[1])
             if len(out[0]) == 2000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types, strict=True)], schema=schema)
                 out = ([], [], [], [], [])

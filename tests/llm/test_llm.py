@@ -83,6 +83,13 @@ def test_join_equals_brute_force(spark, edges):
     assert ngram_jaccard_join(edges.limit(0)).count() == 0
 
 
+def test_join_with_a_null_id_before_its_copies(spark):
+    words = [f"w{k}" for k in range(60)]
+    text, near = " ".join(words), " ".join([*words[:-1], "other"])
+    docs = spark.createDataFrame([(None, text), (1, text), (2, near)], "doc_id bigint, text string").coalesce(1)
+    assert {r.doc_id: r.component_id for r in ngram_jaccard_join(docs).collect()} == {None: None} | _linked({1: text, 2: near}) == {None: None, 1: 1, 2: 1}
+
+
 def test_license_scan(spark, edges):
     assert collision_probability(LIKENESS, BANDS) > 0.999
     rows = [(k, f"some words before it. {text} and words after it") for k, (_, text) in enumerate(NOTICES)] + [(99, "licensed under nothing at all, see the apache helicopter")]
@@ -154,6 +161,20 @@ def test_top_k_equals_brute_force(spark):
     assert len(got) == 40 and top_k(table.limit(0), table).count() == 0
 
 
+def test_top_k_with_repeated_ids(spark):
+    vectors = np.random.RandomState(6).randn(40, 8).round(1)
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id bigint, embedding array<float>")
+    many = table
+    for _ in range(6):
+        many = many.union(table)
+    whole = np.floor(256 * vectors.astype(np.float32).astype(float)).astype(int)
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in top_k(many, table, pivots=40).collect()}
+    for query in range(40):
+        score = whole @ whole[query]
+        best = [k for k in np.lexsort((np.arange(40), -score)) if k != query]
+        assert [got[query, n] for n in range(1, 6)] == [(best[0], score[best[0]])] * 5
+
+
 def test_vector_dedup_recall(spark):
     chance = np.random.RandomState(4)
     base = chance.randn(200, 16)
@@ -180,6 +201,16 @@ def test_classifiers_on_edges(spark, edges, labels):
     assert toxicity_scores(edges.limit(0), labels).count() == 0 and quality_scores(edges, labels.limit(0)).count() == len(EDGES)
 
 
+def test_labelled_sample_is_scanned_by_all_tasks(spark, monkeypatch):
+    from etalage.llm import toxicity
+
+    seen, write = {}, toxicity.written
+    monkeypatch.setattr(toxicity, "written", lambda df, purpose: seen.update({purpose: df.rdd.getNumPartitions()}) or write(df, purpose))
+    docs = spark.range(0, 60, 1, 12).selectExpr("id AS doc_id", "concat('some text ', id) AS text")
+    toxicity._trained(docs, docs.selectExpr("doc_id", "0 AS toxic"), 100)
+    assert seen["sample"] == 12
+
+
 def test_held_out_toxicity_and_quality(spark):
     sf = "/root/testdata/sf0.1"
     known = spark.read.parquet(f"{sf}/labels.parquet")
@@ -196,7 +227,8 @@ def test_quality_knows_word_order_and_every_script(spark):
     chance = random.Random(8)
     rows = []
     for lang, letters in (("en", "abdeginorst"), ("ru", "абвгдеийнорст")):
-        words = ["".join(chance.choice(letters) for _ in range(chance.randint(2, 6))) for _ in range(60)]
+        # all words begin and end alike, so the order shows in no few letters
+        words = sorted({letters[:2] + chance.choice(letters) + chance.choice(letters) + letters[:2] for _ in range(60)})
         follow = {w: chance.sample(words, 2) for w in words}
         for k in range(150):
             text = [chance.choice(words)]
@@ -230,6 +262,23 @@ def test_html_extraction(spark):
         assert got[row.page_id] == "\n\n".join(x for x in parts if x)
 
 
+def test_packing_follows_the_mixture(spark, tmp_path):
+    import corpus_pipeline
+
+    # later files are larger, and larger files are read first
+    docs = spark.range(0, 400, 1, 1).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), int(20 + id)) AS text")
+    docs.repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id").write.parquet(str(tmp_path / "mixed"))
+    read = spark.read.parquet(str(tmp_path / "mixed"))
+    for frame in (read, read.limit(400)):
+        assert {r.doc_id for r in pack(frame, window=256, in_file_order=True).collect()} == set(range(400))
+    files = {r.doc_id: int(r.f.split("-")[1]) for r in read.select("doc_id", F.col("_metadata.file_name").alias("f")).collect()}
+    for packed in (corpus_pipeline.packing(spark, read, SF), pack(read, window=64, open_windows=2, in_file_order=True)):
+        pieces = [(p.sequence_id < 1 << 62, p.sequence_id, p.offset, files[p.doc_id]) for p in packed.collect()]
+        for closed in {p[0] for p in pieces}:
+            along = [p[-1] for p in sorted(pieces) if p[0] == closed]
+            assert len(set(along)) > 3 and along == sorted(along)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
