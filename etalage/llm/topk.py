@@ -40,41 +40,53 @@ def _distances(points: np.ndarray, extra: np.ndarray, pivots: np.ndarray) -> np.
 
 
 def _summaries(rows: DataFrame, pivots: np.ndarray, width: int, top: float | None, k: int) -> pd.DataFrame:
-    """For each cell: rows, largest distance and the k smallest distances (as a list).
+    """For each cell: rows, largest distance and the k smallest distances of different ids (as lists).
 
     Tasks sum up their own rows; what is gathered is bounded by pivots and k.
     """
 
+    def smallest(away, ids):
+        order = np.argsort(away, kind="stable")
+        first = np.sort(np.unique(ids[order], return_index=True)[1])[:k]
+        return away[order][first], ids[order][first]
+
     def summarise(batches):
-        near, size, far = [np.zeros(0)] * len(pivots), np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
+        near, size, far = [(np.zeros(0), np.zeros(0, np.int64))] * len(pivots), np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
         for batch in batches:
-            points = matrix(batch.column("vector"), width)
+            points, ids = matrix(batch.column("vector"), width), batch.column("vec_id").to_numpy()
             extra = np.zeros(len(points)) if top is None else np.sqrt(np.maximum(top - (points**2).sum(1), 0))
             away = _distances(points, extra, pivots)
             cell = away.argmin(1) if len(points) else np.zeros(0, int)
             for c in np.unique(cell):
                 own = away[cell == c, c]
-                near[c] = np.sort(np.concatenate([near[c], own]))[:k]
+                near[c] = smallest(np.concatenate([near[c][0], own]), np.concatenate([near[c][1], ids[cell == c]]))
                 size[c] += len(own)
                 far[c] = max(far[c], own.max())
         some = np.flatnonzero(size)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(size[some]), pa.array(far[some]), pa.array([near[c] for c in some], pa.list_(pa.float64()))], ["cell", "size", "far", "near"])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(size[some]), pa.array(far[some]), *(pa.array([near[c][k] for c in some], pa.list_(t)) for k, t in enumerate((pa.float64(), pa.int64())))], ["cell", "size", "far", "near", "ids"])
 
-    parts = rows.select("vector").mapInArrow(summarise, "cell long, size long, far double, near array<double>")
+    parts = rows.select("vec_id", "vector").mapInArrow(summarise, "cell long, size long, far double, near array<double>, ids array<long>")
     parts = written(parts, "cells")
     sums = parts.groupBy("cell").agg(F.sum("size").alias("size"), F.max("far").alias("far"))
-    first = F.row_number().over(Window.partitionBy("cell").orderBy("d"))
-    least = parts.select("cell", F.explode("near").alias("d")).withColumn("n", first).where(F.col("n") <= k)
-    least = least.groupBy("cell").agg(F.sort_array(F.collect_list("d")).alias("near"))
+    first = F.row_number().over(Window.partitionBy("cell").orderBy("d", "id"))
+    least = parts.select("cell", F.explode(F.arrays_zip(F.col("near").alias("d"), F.col("ids").alias("id"))).alias("x")).groupBy("cell", F.col("x.id").alias("id")).agg(F.min("x.d").alias("d"))
+    least = least.withColumn("n", first).where(F.col("n") <= k).groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("d", "id"))).alias("x"))
+    least = least.select("cell", F.col("x.d").alias("near"), F.col("x.id").alias("ids"))
     return sums.join(least, "cell").orderBy("cell").toPandas()
 
 
 def radii(pivots: np.ndarray, queries: pd.DataFrame, data: pd.DataFrame, k: int) -> dict[int, float]:
-    """For each query cell the distance from its pivot beyond which no neighbour can be."""
+    """For each query cell the distance from its pivot beyond which no neighbour can be.
+
+    Rows of k different ids lie within; a query's own id is one of them at most.
+    """
+    ids = np.concatenate([np.array(x, np.int64) for x in data["ids"]])
     out = {}
     for cell, reach in zip(queries["cell"], queries["far"], strict=True):
         apart = np.sqrt(((pivots[data["cell"]] - pivots[cell]) ** 2).sum(1))
-        bounds = np.sort(np.concatenate([a + reach + np.array(near) for a, near in zip(apart, data["near"], strict=True)]))
+        bounds = np.concatenate([a + reach + np.array(near) for a, near in zip(apart, data["near"], strict=True)])
+        order = np.argsort(bounds, kind="stable")
+        bounds = bounds[order][np.sort(np.unique(ids[order], return_index=True)[1])]
         kth = bounds[k - 1] if len(bounds) >= k else np.inf
         out[int(cell)] = (kth + reach) * (1 + 1e-9) + 1e-6
     return out
