@@ -158,7 +158,8 @@ def _trained(docs: DataFrame, labels: DataFrame, max_train: int):
     usable = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     picked = written(usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train), "labelled")
     picked = picked.withColumn("use", F.abs(F.xxhash64("doc_id", F.lit("use"))) % 6)
-    sample = written(docs.join(checked_broadcast(picked), "doc_id").select("text", "toxic", "use").coalesce(4), "sample")
+    # the scan keeps its own tasks; only the small sample is read by few
+    sample = written(docs.join(checked_broadcast(picked), "doc_id").select("text", "toxic", "use"), "sample").coalesce(4)
     if sample.agg(F.countDistinct("toxic")).first()[0] < 2:
         return None
     lexicon = learn_lexicon(sample.where("use < 3"))
