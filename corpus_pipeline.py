@@ -47,8 +47,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in training sequences."""
-    return pack(docs)
+    """The pieces of all documents in training sequences, numbered along the mixture."""
+    return pack(docs, in_file_order=True)
 
 
 STAGES = [

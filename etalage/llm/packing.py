@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,7 +153,24 @@ def _fill(documents: Iterator[tuple[int | None, np.ndarray]], part: int, window:
             place += 1
 
 
-def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, window: int = WINDOW, open_windows: int = OPEN_WINDOWS) -> DataFrame:
+def file_order(docs: DataFrame) -> dict[tuple[str, int], int] | None:
+    """The number of each split (file, first byte) of written docs in the order they were written in; None for others.
+
+    Spark reads the largest files first and several in one task, so a read partition says nothing of the order.
+    """
+    try:
+        splits = docs.select("_metadata.file_name", "_metadata.file_block_start").distinct()
+    except AnalysisException:
+        return None
+
+    def place(split):
+        number = re.match(r"part-(\d+)", split[0])
+        return (int(number[1]) if number else -1, *split)
+
+    return {split: n for n, split in enumerate(sorted(map(tuple, splits.collect()), key=place))}
+
+
+def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, window: int = WINDOW, open_windows: int = OPEN_WINDOWS, in_file_order: bool = False) -> DataFrame:
     """Pieces of the documents (doc_id, text) in sequences of at most ``window`` ids.
 
     Each partition keeps ``open_windows`` windows: a document's rest goes where it
@@ -160,6 +178,9 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, wind
     emitted.  What the partitions leave open is laid end to end, by prefix sums,
     and cut at the window's length, so only the very last sequence needs padding.
 
+    With ``in_file_order`` each split of the files that ``docs`` is read from is packed
+    by itself, and sequences are numbered in the order of the files' names.
+
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: each
     id (``end_id`` after each document's own) is in exactly one piece.  A null or
     empty text is the single ``end_id``; a null doc_id and repeated rows are packed
@@ -175,11 +196,12 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, wind
                 for at in range(0, batch.num_rows, 1024):
                     some = batch.slice(at, 1024)
                     ids = encoder.texts(some.column("text").to_pylist())
-                    for doc, own in zip(some.column("doc_id").to_pylist(), ids, strict=True):
-                        yield doc, np.append(own, np.int32(end_id))
+                    parts = [part] * some.num_rows if splits is None else [splits[s] for s in zip(some.column("file").to_pylist(), some.column("at").to_pylist(), strict=True)]
+                    for own_part, doc, own in zip(parts, some.column("doc_id").to_pylist(), ids, strict=True):
+                        yield own_part, doc, np.append(own, np.int32(end_id))
 
         out: list[tuple] = []
-        for row in _fill(documents(), part, window, open_windows):
+        for row in chain.from_iterable(_fill((d[1:] for d in own), n, window, open_windows) for n, own in groupby(documents(), lambda d: d[0])):
             out.append(row)
             if len(out) == 4096:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
@@ -188,7 +210,9 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, wind
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    splits = file_order(docs) if in_file_order else None
+    place = [] if splits is None else [F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("at")]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *place)
     laid = written(docs.mapInArrow(rows, PIECES), "packed")
     full = laid.where("ids is null").drop("part", "place", "ids")
     left = laid.where("ids is not null")
