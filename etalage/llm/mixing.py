@@ -1,20 +1,30 @@
-"""Mixing sources to target weights by Pfair scheduling, in DataFrame operations only.
+"""Mixing sources to target weights, in DataFrame operations only.
 
-A source's blocks are the subtasks of a task with its weight: block i of weight w
-may run from floor((i - 1) / w) and must have run by ceil(i / w).  Weights are whole
-parts of PERIOD, so the schedule repeats after PERIOD slots, at which no source is
-ahead or behind; one period is scheduled, earliest deadline first, and every block
-finds its slot from its number alone.
+A source's blocks are the subtasks of a task with its weight: block i of weight w,
+counted from 0, is released at floor(i / w) and due by ceil((i + 1) / w).
+
+Weights are exact fractions.  The two lightest sources (or groups) share the slots
+of a group of their joint weight, evenly by rounding, and so on up to all slots: a
+block finds its slot from its number and the weights on its path, in whole numbers,
+however long the mixture is.  Rounding adds up along a path, to less than 1.7 blocks,
+as the weights on it grow like Fibonacci's numbers.
+
+With a given period the schedule is Pfair: weights are whole parts of the period,
+at least one each, which is scheduled earliest deadline first and repeated.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+from decimal import Decimal
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from etalage.llm.common import checked_broadcast, written
 
-PERIOD = 1_000
 BLOCK_ROWS = 16
 #: Rows of a source that are numbered by one task.
 BUCKET_ROWS = 20_000
@@ -51,7 +61,7 @@ def _ceil_div(a: Column, b: Column) -> Column:
     return F.floor((a + b - 1) / b)
 
 
-def schedule(weights: DataFrame, period: int = PERIOD) -> DataFrame:
+def schedule(weights: DataFrame, period: int) -> DataFrame:
     """(source, turn, slot): the slot of each block of a period, earliest deadline first.
 
     ``weights``: (source, parts), at most ``period`` rows; they are folded slot by
@@ -78,6 +88,74 @@ def schedule(weights: DataFrame, period: int = PERIOD) -> DataFrame:
     return slots.withColumn("turn", turn)
 
 
+def exact_weights(sizes: dict[str | None, int], weights: dict[str | None, float] | None) -> dict[str | None, int]:
+    """Whole numbers in exactly the ratio of the weights, which are decimals as they are printed.
+
+    A source that is not in ``weights`` has weight 0.
+    """
+    if weights is None:
+        exact = {s: Fraction(Decimal(repr(float(n) ** TEMPERATURE))) for s, n in sizes.items()}
+    else:
+        exact = {s: max(Fraction(0), Fraction(Decimal(str(weights.get(s, 0))))) for s in sizes}
+    unit = math.lcm(*(w.denominator for w in exact.values()))
+    whole = {s: int(w * unit) for s, w in exact.items()}
+    most = math.gcd(*whole.values()) or 1
+    return {s: w // most for s, w in whole.items()}
+
+
+def paths(weights: dict[str | None, int]) -> dict[str | None, list[tuple[int, int, bool]]]:
+    """For each source the steps from itself to all slots: own weight, the joint weight, whether it is the first of the two."""
+    order = sorted(weights, key=lambda s: (s is not None, s or ""))
+    heap = [(weights[s], n) for n, s in enumerate(order) if weights[s]]
+    heapq.heapify(heap)
+    up, count = {}, len(order)
+    while len(heap) > 1:
+        (a, left), (b, right) = heapq.heappop(heap), heapq.heappop(heap)
+        up[left], up[right] = (a, a + b, True, count), (b, a + b, False, count)
+        heapq.heappush(heap, (a + b, count))
+        count += 1
+    out = {}
+    for n, source in enumerate(order):
+        steps = []
+        while n in up:
+            own, whole, first, n = up[n]
+            steps.append((own, whole, first))
+        out[source] = steps
+    return out
+
+
+def _exact_turns(spark, sizes: dict[str | None, int], weights: dict[str | None, int]) -> DataFrame:
+    """(_p, own, whole, behind, path): weight, sum of weights, first slot of a source without weight, steps."""
+    along, whole = paths(weights), sum(weights.values())
+
+    def last(source):
+        slot = sizes[source] - 1
+        for own, joint, first in along[source]:
+            slot = -((-(2 * slot + 1) * joint) // (2 * own)) - 1 if first else (2 * slot + 1) * joint // (2 * own)
+        return slot
+
+    behind = max((last(s) + 1 for s in sizes if weights[s]), default=0)
+    rows = []
+    for source in sorted(sizes, key=lambda s: (s is not None, s or "")):
+        rows.append((source, Decimal(weights[source]), Decimal(whole), behind, [(Decimal(a), Decimal(b), c) for a, b, c in along[source]]))
+        behind += 0 if weights[source] else sizes[source]
+    kinds = "_p string, own decimal(38,0), whole decimal(38,0), behind long, path array<struct<own: decimal(38,0), joint: decimal(38,0), first: boolean>>"
+    return written(spark.createDataFrame(rows, kinds), "weights")
+
+
+def _exactly_placed(ranked: DataFrame, sizes: dict[str | None, int], weights: dict[str | None, int], block_rows: int) -> DataFrame:
+    """``ranked`` with block, slot, release, deadline and place by exact weights."""
+    turns = _exact_turns(ranked.sparkSession, sizes, weights)
+    deep = turns.agg(F.max(F.size("path"))).first()[0] or 0
+    step = "case when x.first then ((2 * n + 1) * x.joint) div (2 * x.own) - (case when ((2 * n + 1) * x.joint) % (2 * x.own) = 0 then 1 else 0 end) else ((2 * n + 1) * x.joint) div (2 * x.own) end"
+    slot = F.expr(f"case when own > 0 then aggregate(path, block, (n, x) -> cast({step} as bigint)) else behind + block end")
+    keyed = ranked.join(checked_broadcast(turns, 64 + 48 * deep), F.col("_source").eqNullSafe(F.col("_p")))
+    keyed = keyed.withColumn("block", F.floor(F.col("_rank") / block_rows)).withColumn("slot", slot)
+    keyed = keyed.withColumn("release", F.expr("case when own > 0 then (block * whole) div own end"))
+    keyed = keyed.withColumn("deadline", F.expr("case when own > 0 then ((block + 1) * whole + own - 1) div own end"))
+    return keyed.withColumn("place", F.col("_rank") % block_rows).drop("_p", "own", "whole", "behind", "path", "_rank")
+
+
 def _numbered(docs: DataFrame, bucket_rows: int) -> DataFrame:
     """``docs`` with _rank, from 0 within its source, in the order of a hash of the id.
 
@@ -96,10 +174,14 @@ def _numbered(docs: DataFrame, bucket_rows: int) -> DataFrame:
     return placed.join(checked_broadcast(base, 40), same).withColumn("_rank", F.col("_base") + F.col("_own")).drop("_s", "_b", "_base", "_own", "_bucket")
 
 
-def _mixed(docs: DataFrame, weights: dict[str | None, float] | None, block_rows: int, period: int, bucket_rows: int) -> DataFrame:
-    """``docs`` (_id, _source, _salt, ...) with block, cycle, turn, slot, release, deadline, position."""
+def _mixed(docs: DataFrame, weights: dict[str | None, float] | None, block_rows: int, period: int | None, bucket_rows: int) -> DataFrame:
+    """``docs`` (_id, _source, _salt, ...) with block, slot, release, deadline, place."""
     counted = docs.groupBy(F.col("_source").alias("source")).agg(F.count("*").alias("rows"))
     sizes = counted.withColumn("size", _ceil_div(F.col("rows"), F.lit(block_rows)))
+    if period is None:
+        # one number per source is what the weights are made of
+        known = {r.source: int(r.size) for r in sizes.select("source", "size").collect()}
+        return _exactly_placed(_numbered(docs, bucket_rows), known, exact_weights(known, weights), block_rows)
     parts = written(whole_weights(sizes.select("source", "size"), weights, period), "weights")
     turns = written(schedule(parts.select("source", "parts"), period), "schedule")
     turns = turns.join(parts, turns.source.eqNullSafe(parts.source)).select(turns.source.alias("_s"), F.col("turn").alias("_t"), "slot", "parts")
@@ -119,19 +201,21 @@ def _mixed(docs: DataFrame, weights: dict[str | None, float] | None, block_rows:
     )
 
 
-def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, period: int | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, source): doc_id, source, block, slot, place, release, deadline.
 
     The mixture is the order of (slot, place).  A source's rows are cut into blocks
     of ``block_rows``; at every slot each source that still has rows has had less
-    than one block more or less than its weight's share of the slots.  Slots of a
-    source that has run out stay empty, so the others keep their proportions and
-    every row is in the mixture once.  ``weights`` gives target weights by source;
-    without it a source weighs its blocks to the power of TEMPERATURE.
+    than 1.7 blocks more or less than its exact weight's share of the slots (with a
+    ``period`` less than one, of weights rounded to parts of it).  Slots of a source
+    that has run out stay empty, so the others keep their proportions and every row
+    is in the mixture once.  ``weights`` gives target weights by source, any number
+    of them; without it a source weighs its blocks to the power of TEMPERATURE.
+    Sources of weight 0 follow behind all others, without release and deadline.
 
     A null source is a source of its own; null ids and repeated rows are placed as
-    they are; an empty table gives no rows; more sources than ``period`` raise an
-    error, as no part is left for some.
+    they are; an empty table gives no rows; more sources than a given ``period``
+    raise an error, as no part is left for some.
     """
     text = F.col("text").cast("string") if "text" in docs.columns else F.lit(None).cast("string")
     base = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("source").cast("string").alias("_source"), F.xxhash64(text).alias("_salt"))
@@ -140,13 +224,15 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     return mixed.select(F.col("_id").alias("doc_id"), F.col("_source").alias("source"), "block", "slot", "place", "release", "deadline")
 
 
-def _enough(docs: DataFrame, period: int) -> None:
+def _enough(docs: DataFrame, period: int | None) -> None:
+    if period is None:
+        return
     sources = docs.select(F.count_distinct(F.coalesce("_source", F.lit("\0")))).first()[0]
     if sources > period:
         raise ValueError(f"{sources} sources do not fit into a period of {period} slots")
 
 
-def in_mixed_order(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def in_mixed_order(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, period: int | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """All rows of ``docs``, with their own columns, range-partitioned and sorted into the mixture."""
     fields = [F.col(f"`{c}`") for c in docs.columns]
     base = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("source").cast("string").alias("_source"), F.xxhash64(F.col("text").cast("string")).alias("_salt"), F.struct(*fields).alias("_row"))

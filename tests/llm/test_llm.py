@@ -147,6 +147,18 @@ def test_mixing_keeps_every_row_and_its_window(spark, edges):
         mix_sources(edges, period=1).count()
 
 
+def test_mixing_keeps_exact_weights(spark):
+    weights = {"s0": 0.5} | {f"s{k}": 0.0004 for k in range(1, 1251)} | {"none": 0.0}
+    docs = spark.range(6000).selectExpr("id AS doc_id", "'s0' AS source").union(spark.range(6000, 12000).selectExpr("id", "concat('s', 1 + id % 1250)")).union(spark.range(12000, 12050).selectExpr("id", "'none'"))
+    got = mix_sources(docs, weights, block_rows=1).collect()
+    assert len(got) == len({(r.slot, r.place) for r in got}) == 12050
+    slots = {s: sorted(r.slot for r in got if r.source == s) for s in ("s0", "s1", "s700", "none")}
+    for source in ("s0", "s1", "s700"):
+        assert all(abs(n - slot * weights[source]) < 2 and abs(n + 1 - (slot + 1) * weights[source]) < 2 for n, slot in enumerate(slots[source]))
+    assert slots["none"][0] > max(r.slot for r in got if r.source != "none")
+    assert all(r.release == r.block * 2 and r.deadline == r.block * 2 + 2 for r in got if r.source == "s0")
+
+
 def test_top_k_equals_brute_force(spark):
     vectors = np.random.RandomState(3).randn(400, 8).round(1)
     vectors[50:80] = vectors[50]
@@ -162,7 +174,8 @@ def test_top_k_equals_brute_force(spark):
 
 
 def test_top_k_with_repeated_ids(spark):
-    vectors = np.random.RandomState(6).randn(40, 8).round(1)
+    # all of one length, as data of another length is away from the query that it equals
+    vectors = 1.0 - 2 * ((np.random.RandomState(6).permutation(256)[:40, None] >> np.arange(8)) & 1)
     table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id bigint, embedding array<float>")
     many = table
     for _ in range(6):
