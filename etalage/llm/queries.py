@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from etalage.llm import sql
 from etalage.llm.common import table
+from etalage.llm.conversation_trie import conversation_trie
 from etalage.llm.html import extract_text
+from etalage.llm.lexical import ranked_search
 from etalage.llm.licenses import CONTAINMENT, NOTICES, license_scan
 from etalage.llm.mixing import mix_sources
 from etalage.llm.ngram_join import ngram_jaccard_join
 from etalage.llm.packing import pack
 from etalage.llm.quality import quality_scores
+from etalage.llm.secrets import secret_scan, span_digest
 from etalage.llm.tokens import token_counts
 from etalage.llm.topk import top_k
 from etalage.llm.toxicity import toxicity_scores
@@ -62,11 +66,24 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(secret_scan(table(spark, sf_dir, "documents")))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_exact_top_k, op3_ngram_jaccard_join, op4_toxicity, op5_quality_classifier,
         op6_embedding_near_dedup, op7_source_mixing, op8_token_counts, op9_packing, op10_html_extraction,
+        op11_secret_scan, op12_conversation_trie, op13_ranked_search,
     )
 } | {"pipeline": corpus_pipeline.run}
 
@@ -123,4 +140,7 @@ ORACLE: dict[str, str] = {
     "op2_exact_top_k": _TOP_K,
     "op3_ngram_jaccard_join": _JOIN,
     "op6_embedding_near_dedup": _DEDUP,
+    "op11_secret_scan": sql.secrets(),
+    "op12_conversation_trie": sql.CONVERSATIONS,
+    "op13_ranked_search": sql.LEXICAL,
 } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
