@@ -7,53 +7,36 @@ Pages: ``category, page_no, magasin, url, html``.  Listings: one row per card wi
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from etalage import vocab
 from etalage.functions import text as tx
+from etalage.functions.markup import (
+    Test,
+    attribute,
+    element_lists,
+    has_class,
+    stripped,
+    stripped_text_of,
+    text_of,
+    unescape,
+)
 from etalage.functions.numbers import ratio
 
 # The markup the shops use.  Repeats run over single characters only,
 # never over groups, so a page of any length stays within the matcher's stack.
 TAG = r"(?s)<[^>]*>"
 ANCHOR = r"""(?is)<a\b[^>]*?href\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a>"""
-CARD_START = (
-    r"""(?i)(?=<(?:article|div|li)\b[^>]*class\s*=\s*["'][^"']*"""
-    r"""\b(?:product-miniature|js-product-miniature|product-item)\b)"""
-)
-CARD_END = "</article>"
-HEADING_START = r"(?i)(?=<h2\b)"
-HEADING = r"(?is)^<h2\b[^>]*>(.*?)</h2>"
-AFTER_HEADING = r"(?is)</h2>(.*)$"
-SIBLING = r"(?is)<(\w+)\b[^>]*>.*?</\1>|<[^>]+>|[^<]+"
-UNIT_PRICE_MARKS = ("/ L", "/ KG", "/ PIECE")
 ENTITIES = (
     ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
     ("&apos;", "'"), ("&amp;", "&"),
 )
-TILE_NAMES = (
-    r"(?is)<h2\b[^>]*>(.*?)</h2>",
-    r"(?is)<h3\b[^>]*>(.*?)</h3>",
-    r"""(?is)class\s*=\s*["'][^"']*\b(?:product-name|product-title|thumbnail-top|product-thumbnail)\b[^"']*["'][^>]*>(.*?)</""",
-    r"""(?is)<a\b[^>]*\btitle\s*=\s*["']([^"']*)["']""",
-    r"""(?is)<a\b[^>]*\baria-label\s*=\s*["']([^"']*)["']""",
-    r"(?is)<a\b[^>]*>(.*?)</a>",
-    r"""(?is)<img\b[^>]*\balt\s*=\s*["']([^"']*)["']""",
-    r"""(?is)<img\b[^>]*\btitle\s*=\s*["']([^"']*)["']""",
-)
-TILE_LINK = r"""(?is)<a\b[^>]*href\s*=\s*["']([^"']*)["']"""
-TILE_PRICE = r"""(?is)class\s*=\s*["'](?:[^"']*\s)?(?:price|product-price)(?:\s[^"']*)?["'][^>]*>(.*?)</"""
-ACTIVE_PAGE = (
-    r"""(?is)<(?:li|a|span|div)\b[^>]*class\s*=\s*["'][^"']*\b(?:current|active)\b[^"']*["'][^>]*>(.*?)</(?:li|a|span|div)>"""
-)
-NEXT_ITEM = (
-    r"""(?is)<(?:li|div|span)\b[^>]*class\s*=\s*["'](?![^"']*\bdisabled\b)[^"']*\b(?:next|pagination_next)\b[^"']*["'][^>]*>\s*<a\b"""
-)
-NEXT_REL = r"""(?is)<a\b[^>]*\brel\s*=\s*["'][^"']*\bnext\b[^"']*["']"""
-NEXT_CLASS = r"""(?is)^<a\b[^>]*class\s*=\s*["'][^"']*next"""
+UNIT_PRICE_MARKS = ("/ L", "/ KG", "/ PIECE")
+#: A price is looked for in so many siblings after a heading, texts included.
+SIBLINGS = 25
 
 OVERLAP_LIMIT = 0.8
 
@@ -77,108 +60,231 @@ def page_links(pages: DataFrame, keys: Sequence[str], html: str = "html") -> Dat
     )
 
 
-def _price_after(tail: Column, store: Column) -> Column:
-    """First text after the heading that states a price of the product itself."""
-    siblings = F.regexp_extract_all(tail, F.lit(SIBLING), F.lit(0))
-    texts = F.transform(siblings, lambda s: F.trim(F.regexp_replace(s, TAG, "")))
+def _tagged(name: str, *classes: str) -> Test:
+    """Elements of a name ('' for any) with all the classes."""
 
-    def states_price(text: Column) -> Column:
-        upper = F.upper(text)
-        per_unit = F.lit(False)
-        for mark in UNIT_PRICE_MARKS:
-            per_unit = per_unit | upper.contains(mark)
-        return F.when(store == "Sakanal", upper.contains("FCFA")).otherwise(
-            upper.contains("CFA") & ~per_unit
-        )
+    def test(element: Column, up: Column) -> Column:
+        wanted = F.lit(True) if not name else element["name"] == name
+        for one in classes:
+            wanted = wanted & has_class(element, one)
+        return wanted
 
-    return F.get(F.filter(texts, states_price), F.lit(0))
+    return test
 
 
-def _headings(markup: Column) -> Column:
-    """Pieces of the markup that start with a heading holding a link."""
-    pieces = F.transform(
-        F.split(markup, HEADING_START), lambda p: F.substring_index(p, CARD_END, 1)
-    )
-    return F.filter(pieces, lambda p: F.regexp_extract(p, HEADING, 1).rlike(ANCHOR))
+def _within(test: Test, place: int) -> Test:
+    """Elements that pass a test below one that passes the test of that place."""
+    return lambda element, up: test(element, up) & (F.get(up, F.lit(place)) > 0)
+
+
+def _enabled(test: Test) -> Test:
+    return lambda element, up: test(element, up) & ~has_class(element, "disabled")
+
+
+_MINIATURES = (_tagged("article", "product-miniature"), _tagged("", "product-miniature"), _tagged("", "js-product-miniature"))
+#: Product cards of three kinds, headings in each kind, and any heading.
+CARD_TESTS: tuple[Test, ...] = (*_MINIATURES, *(_within(_tagged("h2"), k) for k in range(3)), _tagged("h2"))
+HEADING = 6
+
 
+def _states_price(text: Column, store: Column) -> Column:
+    upper = F.upper(text)
+    per_unit = F.lit(False)
+    for mark in UNIT_PRICE_MARKS:
+        per_unit = per_unit | upper.contains(mark)
+    return F.when(store == "Sakanal", upper.contains("FCFA")).otherwise(upper.contains("CFA") & ~per_unit)
 
-def _tiles(markup: Column) -> Column:
-    """Pieces of the markup that start with a product card."""
-    pieces = F.split(markup, CARD_START)
-    return F.filter(pieces, lambda p: F.regexp_like(p, F.lit(CARD_START.replace("(?=", "^(?:", 1))))
 
+STRIDE = 6
+_WALK = "struct<at:int,in_text:boolean,left:int,found:string,over:boolean>"
 
-def extract_cards(pages: DataFrame) -> DataFrame:
-    """Product cards of the shops that put the name in a heading, in document order.
 
-    Headings inside product cards; on a page without any, all linked headings.
+def _price_after(heading: Column, gaps: Column, elements: Column, store: Column, reach: int) -> Column:
+    """First text among a heading's next siblings that states a price of the product itself."""
+
+    def walk(at: Column, in_text: bool, left: Column, found: Column, over: Column) -> Column:
+        return F.struct(at, F.lit(in_text), left, found, over).cast(_WALK)
+
+    nothing = F.lit(None).cast("string")
+
+    def read_text(w: Column) -> Column:
+        text = F.coalesce(F.get(gaps, w["at"]), F.lit(""))
+        plain = stripped(unescape(text))
+        return walk(w["at"], False, w["left"] - (text != "").cast("int"), F.when(_states_price(plain, store), plain), F.lit(False))
+
+    def read_tag(w: Column) -> Column:
+        nearby = F.get(elements, w["at"])
+        text = stripped_text_of(gaps, nearby)
+        return (
+            F.when(nearby.isNull() | (nearby["close"] & (nearby["end"] == 0)), walk(w["at"], False, w["left"], nothing, F.lit(True)))
+            .when(nearby["close"], walk(w["at"] + 1, True, w["left"], nothing, F.lit(False)))
+            .otherwise(walk(nearby["end"], True, w["left"] - 1, F.when(_states_price(text, store), text), F.lit(False)))
+        )
+
+    def step(w: Column, _: Column) -> Column:
+        ended = w["over"] | w["found"].isNotNull() | (w["left"] <= 0)
+        return F.when(ended, w).when(w["in_text"], read_text(w)).otherwise(read_tag(w))
+
+    def stride(w: Column, _: Column) -> Column:
+        """A few steps at once, so that a walk that has ended is passed over quickly."""
+        ended = w["over"] | w["found"].isNotNull() | (w["left"] <= 0)
+        return F.when(ended, w).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(STRIDE)), w, step))
+
+    start = walk(heading["end"], True, F.lit(reach), nothing, F.lit(False))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(3 * reach // STRIDE + 1)), start, stride, lambda w: w["found"])
+
+
+def extract_cards(pages: DataFrame, siblings: int = SIBLINGS) -> DataFrame:
+    """Links of product headings in document order, one row each; a page without any is one row.
+
+    Headings inside article cards, else inside other product cards, else, on a page without any, all
+    linked headings.  Every link of a heading is a card.  The price is the first that the heading's
+    following ``siblings`` state, so a card's end is where its heading's parent ends.
     """
     keys = [c for c in pages.columns if c != "html"]
-    inside = F.flatten(F.transform(_tiles(F.col("html")), _headings))
-    title = F.regexp_extract("_carte", HEADING, 1)
+    elements, gaps = F.col("_elements"), F.col("_gaps")
+    found = [F.filter(elements, _linked_in(place)) for place in (3, 4, 5, HEADING)]
+    links = F.coalesce(*[F.when(F.size(f) > 0, f) for f in found], F.slice(elements, 1, 0))
+    card = F.transform(
+        "_liens",
+        lambda a: F.struct(
+            tx.collapse_spaces(text_of(gaps, a)).alias("name"),
+            F.trim(F.coalesce(attribute(a, "href"), F.lit(""))).alias("href"),
+            _price_after(F.get(elements, F.get(a["up"], F.lit(HEADING)) - 1), gaps, elements, F.col("magasin"), siblings).alias("price_text"),
+        ),
+    )
     return (
-        pages.select(*keys, "html", inside.alias("_dedans"))
-        .select(
-            *keys,
-            F.posexplode_outer(
-                F.when(F.size("_dedans") > 0, F.col("_dedans")).otherwise(_headings(F.col("html")))
-            ).alias("_pos", "_carte"),
-        )
-        .select(
-            *keys,
-            (F.col("_pos") + 1).cast("bigint").alias("pos"),
-            plain_text(F.regexp_extract(title, ANCHOR, 2)).alias("name"),
-            F.trim(F.regexp_extract(title, ANCHOR, 1)).alias("href"),
-            _price_after(F.regexp_extract("_carte", AFTER_HEADING, 1), F.col("magasin")).alias(
-                "price_text"
-            ),
-        )
+        element_lists(pages, CARD_TESTS)
+        .select(*keys, "_gaps", "_elements", F.explode(F.array(links)).alias("_liens"))
+        .select(*keys, F.posexplode_outer(card).alias("_pos", "_carte"))
+        .select(*keys, (F.col("_pos") + 1).cast("bigint").alias("pos"), "_carte.*")
     )
 
 
+def _linked_in(place: int) -> Callable[[Column], Column]:
+    return lambda e: ~e["close"] & (e["name"] == "a") & (F.get(e["up"], F.lit(place)) > 0)
+
+
+#: What the name of a tile may lie in.
+TILE_TESTS: tuple[Test, ...] = (_tagged("h2"), _tagged("h3"), _tagged("", "thumbnail-top"))
+
+
 def extract_tiles(pages: DataFrame) -> DataFrame:
     """Product tiles of the shop whose name may sit in a heading, a link or an image.
 
-    The price is the one marked as such, else whatever the tile's text states.
+    The name is the text of the first named place, else of its link's title, label or text, else of its
+    image.  The price is the one marked as such, else whatever the tile's text states.
     """
     keys = [c for c in pages.columns if c != "html"]
-    tile = F.col("_tuile")
+    elements, gaps = F.col("_elements"), F.col("_gaps")
+    empty = F.lit("")
 
-    def text_of(pattern: str) -> Column:
-        return F.nullif(plain_text(F.regexp_extract(tile, pattern, 1)), F.lit(""))
+    def is_tile(e: Column) -> Column:
+        return ~e["close"] & (
+            ((e["name"] == "article") & has_class(e, "product-miniature")) | has_class(e, "product-item") | has_class(e, "js-product-miniature")
+        )
 
-    return pages.select(
-        *keys, F.posexplode_outer(_tiles(F.col("html"))).alias("_pos", "_tuile")
-    ).select(
-        *keys,
-        (F.col("_pos") + 1).cast("bigint").alias("pos"),
-        F.coalesce(*[text_of(p) for p in TILE_NAMES], F.lit("")).alias("name"),
-        F.regexp_extract(tile, TILE_LINK, 1).alias("href"),
-        F.coalesce(text_of(TILE_PRICE), plain_text(tile)).alias("price_text"),
+    def inside(tile: Column) -> Column:
+        return F.slice(elements, tile["at"] + 1, F.greatest(tile["end"] - tile["at"] - 1, F.lit(0)))
+
+    def first(tile: Column, wanted: Callable[[Column], Column]) -> Column:
+        return F.get(F.filter(inside(tile), lambda e: ~e["close"] & wanted(e)), F.lit(0))
+
+    def names(e: Column) -> Column:
+        up = [F.get(e["up"], F.lit(k)) > 0 for k in range(3)]
+        link = e["name"] == "a"
+        return (
+            (link & (up[0] | up[1] | up[2] | has_class(e, "product-thumbnail")))
+            | (e["name"] == "h3") | has_class(e, "product-name") | has_class(e, "product-title")
+        )
+
+    def said(text: Column) -> Column:
+        return F.nullif(tx.collapse_spaces(text), empty)
+
+    def with_places(tile: Column) -> Column:
+        return F.struct(
+            tile.alias("tile"),
+            first(tile, names).alias("name"),
+            first(tile, lambda e: has_class(e, "price") | has_class(e, "product-price")).alias("price"),
+            first(tile, lambda e: (e["name"] == "a") & attribute(e, "href").isNotNull()).alias("link"),
+            first(tile, lambda e: (e["name"] == "img") & (attribute(e, "alt").isNotNull() | attribute(e, "title").isNotNull())).alias("image"),
+        )
+
+    def as_card(t: Column) -> Column:
+        def text(part: str) -> Column:
+            return F.when(t[part].isNotNull(), said(text_of(gaps, t[part])))
+
+        return F.struct(
+            F.coalesce(
+                text("name"), said(attribute(t["name"], "title")), said(attribute(t["name"], "aria-label")),
+                said(attribute(t["link"], "title")), said(attribute(t["link"], "aria-label")), text("link"),
+                said(attribute(t["image"], "alt")), said(attribute(t["image"], "title")), empty,
+            ).alias("name"),
+            F.coalesce(attribute(t["link"], "href"), empty).alias("href"),
+            F.coalesce(text("price"), tx.collapse_spaces(text_of(gaps, t["tile"]))).alias("price_text"),
+        )
+
+    places = F.transform(F.filter(elements, is_tile), with_places)
+    return (
+        element_lists(pages, TILE_TESTS)
+        .select(*keys, "_gaps", F.explode(F.array(places)).alias("_tuiles"))
+        .select(*keys, F.posexplode_outer(F.transform("_tuiles", as_card)).alias("_pos", "_carte"))
+        .select(*keys, (F.col("_pos") + 1).cast("bigint").alias("pos"), "_carte.*")
+        .withColumn("name", F.coalesce("name", empty))
     )
 
 
+_PAGER = _tagged("", "pagination")
+#: The pager, current and active places in it, current and active items, places that lead on, any item.
+PAGER_TESTS: tuple[Test, ...] = (
+    _PAGER,
+    _within(_tagged("", "current"), 0),
+    _within(_tagged("", "active"), 0),
+    _tagged("li", "current"),
+    _tagged("li", "active"),
+    _within(_enabled(_tagged("", "next")), 0),
+    _enabled(_tagged("", "pagination_next")),
+    _enabled(_tagged("li", "next")),
+    _tagged("li"),
+)
+
+
 def pagination_facts(pages: DataFrame) -> DataFrame:
-    """The page the shop says it served (1 when it does not say) and whether one follows."""
-    active = F.regexp_replace(F.regexp_extract("html", ACTIVE_PAGE, 1), TAG, " ")
-    number = F.regexp_extract(active, r"(?U)\b(\d+)\b", 1)
-    anchors = F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(0))
-    linked = F.exists(
-        anchors,
-        lambda a: F.regexp_extract(a, ANCHOR, 1).contains("page=")
-        & (
-            F.lower(plain_text(F.regexp_extract(a, ANCHOR, 2))).rlike("next|suivant")
-            | a.rlike(NEXT_CLASS)
-        ),
+    """The page the shop says it served (1 when it does not say) and whether one follows.
+
+    The places where the page number may stand are asked in order: links of the pager's current or active place,
+    the place itself, then current or active items anywhere.  Only the first of each kind is read, and a kind whose
+    first has no number is passed over.  A page follows if an enabled next place holds a link, a link is
+    declared as next, or a link of the pager or of an item leads to a page and calls itself next.
+    """
+    elements, gaps = F.col("_elements"), F.col("_gaps")
+
+    def number(wanted: Callable[[Column], Column]) -> Column:
+        first = F.get(F.filter(elements, lambda e: ~e["close"] & wanted(e)), F.lit(0))
+        text = stripped_text_of(gaps, first, " ")
+        return F.when(first.isNotNull(), F.regexp_extract(text, r"(?U)\b(\d+)\b", 1).try_cast("bigint"))
+
+    served = []
+    for place in (1, 2, 3, 4):
+        served += [number(_linked_in(place)), number(_passes(place))]
+
+    def leads_on(e: Column) -> Column:
+        up = [F.get(e["up"], F.lit(k)) > 0 for k in range(len(PAGER_TESTS))]
+        called = F.lower(stripped_text_of(gaps, e, " ")).rlike("next|suivant") | F.lower(e["cls"]).contains("next")
+        declared = F.coalesce(attribute(e, "rel") == "next", F.lit(False))
+        paged = F.coalesce(attribute(e, "href").contains("page="), F.lit(False))
+        return ~e["close"] & (e["name"] == "a") & (up[5] | up[6] | up[7] | declared | ((up[0] | up[8]) & paged & called))
+
+    keys = [c for c in pages.columns if c != "html"]
+    return element_lists(pages, PAGER_TESTS).select(
+        *keys,
+        F.coalesce(*served, F.lit(1).cast("bigint")).alias("served_page"),
+        F.exists(elements, leads_on).alias("has_next"),
     )
-    return pages.withColumns(
-        {
-            "served_page": F.coalesce(number.try_cast("bigint"), F.lit(1).cast("bigint")),
-            "has_next": F.col("html").rlike(NEXT_ITEM)
-            | F.col("html").rlike(NEXT_REL)
-            | linked,
-        }
-    ).drop("html")
+
+
+def _passes(place: int) -> Callable[[Column], Column]:
+    return lambda e: PAGER_TESTS[place](e, e["up"])
 
 
 # --- listings ----------------------------------------------------------------

@@ -94,8 +94,26 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _pages(spark: SparkSession, sf_dir: str, card: Column, pager: Column) -> DataFrame:
+    """Pages of the listing as markup, each put together from its own few cards."""
+    paged = listing(spark, sf_dir).groupBy(
+        "category", "page_no", "magasin", "served_page", "has_next"
+    ).agg(
+        F.transform(
+            F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", card.alias("c"))))),
+            lambda x: x.c,
+        ).alias("_cartes")
+    )
+    return paged.select(
+        "category",
+        "page_no",
+        "magasin",
+        F.concat(F.lit("<html><body>"), F.array_join("_cartes", "\n"), pager, F.lit("</body></html>")).alias("html"),
+    )
+
+
 def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same pages as markup, each put together from its own few cards."""
+    """The same pages as markup, all cards and pagers of one shape."""
     card = F.concat(
         F.lit('<article class="product-miniature"><h2 class="title"><a href="'),
         F.col("href"),
@@ -105,14 +123,6 @@ def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("price_text"),
         F.lit("</span></article>"),
     )
-    paged = listing(spark, sf_dir).groupBy(
-        "category", "page_no", "magasin", "served_page", "has_next"
-    ).agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", card.alias("c"))))),
-            lambda x: x.c,
-        ).alias("_cartes")
-    )
     pager = F.concat(
         F.lit('<ul class="pagination"><li class="current"><a href="?page='),
         F.col("served_page").cast("string"),
@@ -124,9 +134,60 @@ def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         F.lit("</ul>"),
     )
-    return paged.select(
-        "category",
-        "page_no",
-        "magasin",
-        F.concat(F.lit("<html><body>"), F.array_join("_cartes", "\n"), pager, F.lit("</body></html>")).alias("html"),
+    return _pages(spark, sf_dir, card, pager)
+
+
+def mixed_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pages in four shapes by page number.
+
+    Article cards; block cards with prices of something else behind them; item cards whose heading holds two
+    links; headings without cards.  Pagers with a link, with a slide marked active before them, with another active
+    item before them, and with the current item outside the pager beside links that only sound like next.
+    """
+    shape = F.col("page_no") % 4
+    heading = F.concat(
+        F.lit("<h2 class='t'><a href='"), F.col("href"), F.lit("'>"), F.replace(F.col("name"), F.lit(" "), F.lit("&nbsp; ")), F.lit("</a>")
+    )
+    prices = F.concat(
+        F.lit('</h2>\n<!-- 9 FCFA --><br><span class="unit">1 000 <i>FCFA</i> / KG</span><span class="price"><b>'), F.col("price_text"), F.lit("</b></span>")
     )
+    card = F.concat(
+        F.when(shape == 0, F.lit('<article class="product-miniature">'))
+        .when(shape == 1, F.lit('<div class="x product-miniature" data-note="a > b">'))
+        .when(shape == 2, F.lit('<li class="js-product-miniature">'))
+        .otherwise(F.lit("")),
+        heading,
+        F.when(shape == 2, F.lit('<a href="#avis">avis</a>')).otherwise(F.lit("")),
+        prices,
+        F.when(shape == 0, F.lit("</article>"))
+        .when(shape == 1, F.lit("</div><p>pied: 500 FCFA</p>"))
+        .when(shape == 2, F.lit("</li><li>500 FCFA</li>"))
+        .otherwise(F.lit("")),
+    )
+    number, more = F.col("served_page").cast("string"), F.col("has_next")
+
+    def if_more(markup: str, else_markup: str = "") -> Column:
+        return F.when(more, F.lit(markup)).otherwise(F.lit(else_markup))
+
+    pager = (
+        F.when(
+            shape == 0,
+            F.concat(F.lit('<nav class="pagination"><span class="current"><a href="?page=1">'), number, F.lit("</a></span>"),
+                     if_more('<span class="next"><a href="?p=n">&gt;</a></span>', '<span class="next disabled"><a href="?p=n">&gt;</a></span>'), F.lit("</nav>")),
+        )
+        .when(
+            shape == 1,
+            F.concat(F.lit('<div class="slide active">5 offres</div><ul class="pagination"><li class="active"><a>'), number, F.lit("</a></li>"),
+                     if_more('<li class="next"><span><a href="#">&gt;</a></span></li>'), F.lit("</ul>")),
+        )
+        .when(
+            shape == 2,
+            F.concat(F.lit('<ul><li class="active">Accueil</li></ul><div class="pagination"><p class="active"><span> page </span>'), number, F.lit("</p></div>"),
+                     if_more('<a rel="next" href="/n">n</a>', '<a rel="nextgen" href="/n">n</a>')),
+        )
+        .otherwise(
+            F.concat(F.lit('<li class="active"><a>promo</a></li><li class="current">'), number, F.lit('</li><a href="/x?page=2">nextgen phones</a>'),
+                     if_more('<ul><li><a class="btn" href="?page=n">page suivante</a></li></ul>', '<ul><li><a href="?p=n">suivante</a></li></ul>')),
+        )
+    )
+    return _pages(spark, sf_dir, card, pager)

@@ -1,3 +1,4 @@
+from etalage.functions import markup
 from etalage.plans import capture
 
 PAGE = """
@@ -148,3 +149,52 @@ def test_shops_and_snapshots_with_the_same_category_stay_apart(spark):
 def test_shop_without_a_floor_keeps_its_rows(spark):
     listing = spark.createDataFrame([_card("Nouveau", 1, 1, "Riz 5kg", 5)], _CARDS)
     assert [r.prix for r in capture.valid_listing(listing).collect()] == [5.0]
+
+
+def test_pager_places_are_asked_in_order(spark):
+    slide = '<div class="slide active">5 offres</div><ul class="pagination"><li class="active"><a>3</a></li><li class="next"><span><a href="#">x</a></span></li></ul>'
+    home = '<ul><li class="active">Accueil</li></ul><ul class="pagination"><li class="active"><a>4</a></li></ul>'
+    plain = '<a href="/x?page=2">nextgen phones</a>'
+    fallen = '<ul class="pagination"><li class="current"><a>un</a></li><li class="active">7</li></ul>'
+    disabled = '<ul class="pagination"><li class="next disabled"><a href="/x">x</a></li></ul><a rel="nextgen">x</a>'
+    item = '<li><a href="?page=9" class="btn-next">&gt;</a></li><script>"<li class=\'current\'>8</li>"</script><!-- <li class="current">6</li> -->'
+    cases = [slide, home, plain, fallen, disabled, item, None, ""]
+    got = capture.pagination_facts(pages(spark, *[("c", k, "Auchan", h) for k, h in enumerate(cases)])).collect()
+    assert [(r.served_page, r.has_next) for r in sorted(got, key=lambda r: r.page_no)] == [
+        (3, True), (4, False), (1, False), (7, False), (1, False), (1, True), (1, False), (1, False),
+    ]
+
+
+def test_cards_end_with_their_heading_s_parent(spark):
+    outside = '<div class="product-miniature"><h2><a href="/1">A</a></h2></div><p>pied: 500 FCFA</p>'
+    two = '<li class="js-product-miniature"><h2><a href="/1">A</a> <a href="/2">B</a></h2><div><b>1&nbsp;500</b> CFA</div></li>'
+    nested = '<div class="product-miniature"><h2><a href="/1">A</a></h2><div><div>note</div> <div>700 CFA</div></div></div>'
+    stray = '<article class="product-miniature"><h2><a href="/1"><span>A</a></h2></b></i> 800 CFA</article>'
+    unclosed = '<div class="product-miniature"><p><h2><a href=/1>A &eacute;&#233;&#xE9;&bogus;</a></h2><br/>900 CFA'
+    far = "<h2><a href='/1'>A</a></h2>" + "<br>" * 24 + "100 CFA" + "<h2><a href='/2'>B</a></h2>" + "<br>" * 25 + "200 CFA"
+    cases = [outside, two, nested, stray, unclosed, far]
+    got = capture.extract_cards(pages(spark, *[("c", k, "Auchan", h) for k, h in enumerate(cases)])).collect()
+    found = {k: [(r.name, r.href, r.price_text) for r in sorted(got, key=lambda r: r.pos) if r.page_no == k] for k in range(6)}
+    assert found == {
+        0: [("A", "/1", None)],
+        1: [("A", "/1", "1\xa0500CFA"), ("B", "/2", "1\xa0500CFA")],
+        2: [("A", "/1", "note700 CFA")],
+        3: [("A", "/1", "800 CFA")],
+        4: [("A ééé&bogus;", "/1", "900 CFA")],
+        5: [("A", "/1", "100 CFA"), ("B", "/2", None)],
+    }
+
+
+def test_elements_are_intervals(spark):
+    html = '<div class="a b"><p>x<br>y</div></p><ul><li>1<li>2</ul><img alt="a>b"/>'
+    rows = markup.element_table(pages(spark, ("c", 1, "Auchan", html))).orderBy("at").collect()
+    assert [(r.name, r.at, r.end, r.parent, r.depth) for r in rows] == [
+        ("div", 1, 4, 0, 0), ("p", 2, 4, 1, 1), ("br", 3, 3, 2, 2), ("ul", 6, 9, 0, 0), ("li", 7, 9, 6, 1), ("li", 8, 9, 7, 2), ("img", 10, 10, 0, 0),
+    ]
+    assert rows[0].classes == "a b" and [r.n_chars for r in rows] == [2, 2, 0, 2, 2, 1, 0]
+
+
+def test_malformed_pages_are_read_once(spark):
+    bad = ['<b x="1' * 40_000, "<" * 200_000, "<!--" * 50_000, "<script>" + "x" * 200_000, "</p>" * 3_000, "<div>" * 1_500]
+    got = capture.pagination_facts(pages(spark, *[("c", k, "Auchan", h) for k, h in enumerate(bad)])).collect()
+    assert len(got) == len(bad) and {r.served_page for r in got} == {1}
