@@ -478,6 +478,23 @@ FROM (SELECT page_id, unnest(regexp_extract_all(html, '{_ANCHOR}', 0)) AS a,
     "page_tiles": _LISTING
     + """SELECT category, page_no, magasin, CASE WHEN pos IS NOT NULL THEN row_number() OVER (PARTITION BY magasin, category, page_no ORDER BY pos) END AS pos,
   nom AS name, href, price_text FROM chiffre""",
+    "mixed_cards": _LISTING
+    + """, lies AS (SELECT category, page_no, magasin, pos, nom, href, price_text FROM chiffre
+  UNION ALL SELECT category, page_no, magasin, pos + 0.5, 'avis', '#avis', price_text FROM chiffre WHERE page_no % 4 = 2 AND pos IS NOT NULL)
+  SELECT category, page_no, magasin, CASE WHEN pos IS NOT NULL THEN row_number() OVER (PARTITION BY magasin, category, page_no ORDER BY pos) END AS pos,
+  CASE WHEN pos IS NOT NULL THEN nom END AS name, href, CASE WHEN pos IS NULL THEN NULL WHEN magasin = 'Sakanal' THEN '1 000FCFA/ KG'
+  WHEN price_text LIKE '%CFA%' THEN price_text END AS price_text FROM lies""",
+    "mixed_tiles": _LISTING
+    + """, vues AS (SELECT category, page_no, magasin, pos, nom, href, price_text FROM chiffre WHERE page_no % 4 IN (0, 2)
+  UNION ALL SELECT category, page_no, magasin, NULL, '', NULL, NULL FROM pages_vues WHERE page_no % 4 IN (1, 3))
+  SELECT category, page_no, magasin, CASE WHEN pos IS NOT NULL THEN row_number() OVER (PARTITION BY magasin, category, page_no ORDER BY pos) END AS pos,
+  nom AS name, href, price_text FROM vues""",
+    "mixed_pagination": _LISTING
+    + "SELECT category, page_no, magasin, served_page, has_next FROM pages_vues",
+    "page_elements": """
+SELECT page_id, name, count(*) AS nb_elements FROM (SELECT page_id, lower(regexp_extract(tag, '^<([A-Za-z][A-Za-z0-9]*)', 1)) AS name FROM (
+  SELECT page_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<(?:script|style)\\b[^>]*>.*?</(?:script|style)>', '', 'g'),
+  '<[A-Za-z][^>]*>')) AS tag FROM pages)) GROUP BY ALL""",
     "pagination_facts": _LISTING
     + "SELECT category, page_no, magasin, served_page, has_next FROM pages_vues",
     "page_pagination": """
@@ -501,7 +518,7 @@ SELECT page_id, url, coalesce(try_cast(regexp_extract(regexp_replace(regexp_extr
 
 _NORMAL = tidy("regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\\s&+-]', ' ', 'g')")
 _MESSAGES = f"""
-WITH m AS (SELECT conv_id, turn, text, role, {_NORMAL} AS t FROM conversations),
+WITH RECURSIVE m AS (SELECT conv_id, turn, text, role, {_NORMAL} AS t FROM conversations),
 h AS (SELECT *, contains(t, 'the') AS a, contains(t, 'and') AS b, contains(t, 'with') AS c, contains(t, 'une') AS d,
         contains(t, 'que') AS e, contains(t, 'der') AS f, contains(t, 'from') OR contains(t, 'this') AS c2,
         contains(t, 'die') OR contains(t, 'und') AS f2, contains(t, 'les') OR contains(t, 'leur') AS e2 FROM m),
@@ -511,21 +528,38 @@ g AS (SELECT *, concat_ws(' | ', CASE WHEN a THEN 'The' END, CASE WHEN b THEN 'A
         CASE WHEN e2 AND NOT e THEN 'Que' END) AS categories FROM h),
 etiquettes(r, l, n) AS (VALUES (0, 'The', 'the'), (1, 'And', 'and'), (2, 'With', 'with'), (3, 'Une', 'une'), (4, 'Que', 'que'), (5, 'Der', 'der')),
 u AS (SELECT * FROM g WHERE categories = ''),
-entier AS (
-  SELECT conv_id, turn, array_to_string(list(l ORDER BY s DESC, r)[1:6], ' | ') AS p FROM (
-    SELECT conv_id, turn, l, r, {r6('1 - levenshtein(t, n)::double / greatest(length(t), length(n))')} AS s FROM u, etiquettes)
-  WHERE s >= 0.35 GROUP BY ALL),
 mots AS (SELECT conv_id, turn, unnest(string_split(t, ' ')) AS w, generate_subscripts(string_split(t, ' '), 1) AS i FROM u),
+paires AS (SELECT DISTINCT x, n FROM (SELECT t AS x FROM u UNION SELECT w FROM mots WHERE w <> ''), etiquettes
+  WHERE 2.0 * least(length(x), length(n)) / (length(x) + length(n)) >= 0.35),
+blocs(x, n, a, b, k) AS (
+  SELECT x, n, n, x, 0::bigint FROM paires UNION ALL
+  SELECT x, n, c.a, c.b, c.k FROM (SELECT x, n, unnest([
+      {{'a': substring(a, 1, m.i - 1), 'b': substring(b, 1, j - 1), 'k': -m.k}},
+      {{'a': substring(a, m.i - m.k), 'b': substring(b, j - m.k), 'k': 0}}]) AS c
+    FROM (SELECT *, strpos(b, substring(a, m.i, -m.k)) AS j FROM (
+      SELECT x, n, a, b, list_sort(flatten([[{{'k': -k, 'i': i}} FOR k IN range(1, length(a) - i + 2) IF contains(b, substring(a, i, k))]
+        FOR i IN range(1, length(a) + 1)]))[1] AS m FROM blocs WHERE a <> '' AND b <> '') WHERE m IS NOT NULL))),
+ratios AS (SELECT x, n, 2.0 * sum(k) / (length(x) + length(n)) AS s FROM blocs GROUP BY x, n),
+entier AS (
+  SELECT conv_id, turn, array_to_string(list(l ORDER BY s DESC, n DESC)[1:6], ' | ') AS p
+  FROM u JOIN ratios ON x = t JOIN etiquettes USING (n) WHERE s >= 0.35 GROUP BY ALL),
 parmot AS (
-  SELECT conv_id, turn, i, array_to_string(list(l ORDER BY s DESC, r)[1:3], ' | ') AS p FROM (
-    SELECT conv_id, turn, i, l, r, {r6('1 - levenshtein(w, n)::double / greatest(length(w), length(n))')} AS s FROM mots, etiquettes)
-  WHERE s >= 0.6 GROUP BY ALL),
+  SELECT conv_id, turn, i, array_to_string(list(l ORDER BY s DESC, n DESC)[1:3], ' | ') AS p
+  FROM mots JOIN ratios ON x = w JOIN etiquettes USING (n) WHERE s >= 0.6 GROUP BY ALL),
 premier AS (SELECT conv_id, turn, arg_min(p, i) AS p FROM parmot GROUP BY ALL)
 """
 
 ORACLE |= {
     "normalize_message": _MESSAGES + "SELECT conv_id, turn, t AS texte FROM m",
     "message_categories": _MESSAGES + "SELECT conv_id, turn, categories FROM g",
+    "message_labels": _MESSAGES
+    + """, mots_vus AS (SELECT DISTINCT unnest(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\s&+-]', ' ', 'g'), '\\s+', ' ', 'g')), ' ')) AS label FROM benchmark),
+  dim AS (SELECT label FROM mots_vus WHERE length(label) >= 4),
+  phrases AS (SELECT label AS phrase, 0 AS kind, '' AS ap, label FROM dim
+    UNION ALL SELECT left(label, 6), 1, label, label FROM dim WHERE length(label) >= 8),
+  vus AS (SELECT t, label, min({'k': kind, 'a': ap, 'l': label}) AS o FROM (SELECT DISTINCT t FROM m) JOIN phrases ON contains(t, phrase) GROUP BY ALL),
+  listes AS (SELECT t, string_agg(label, ' | ' ORDER BY o) AS categories FROM vus GROUP BY ALL)
+  SELECT conv_id, turn, coalesce(categories, '') AS categories FROM m LEFT JOIN listes USING (t)""",
     "category_suggestions": _MESSAGES
     + "SELECT u.conv_id, u.turn, coalesce(entier.p, premier.p, '') AS suggestions FROM u "
     "LEFT JOIN entier ON u.conv_id = entier.conv_id AND u.turn = entier.turn "

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from etalage import vocab
 from etalage.functions import matching as m
 from etalage.functions import text as tx
+from etalage.functions.markup import element_table
 from etalage.functions.numbers import half_up
 from etalage.operators.stats import grouped_stats
 from etalage.plans import capture, cleaning, compare, kpi, messages
@@ -222,6 +223,16 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return star.table(spark, sf_dir, "conversations")
 
 
+def _message_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages against a label dimension of thousands: the longer words of the benchmark, the longest with a short form."""
+    words = F.explode(F.split(tx.normalize_message(F.col("text")), " ")).alias("label")
+    labels = star.table(spark, sf_dir, "benchmark").select(words).distinct().where(F.length("label") >= 4)
+    aliases = labels.where(F.length("label") >= 8).select(F.col("label").alias("canonical"), F.substring("label", 1, 6).alias("alias"))
+    return messages.message_labels(_messages(spark, sf_dir), labels, aliases).select(
+        "conv_id", "turn", F.array_join("categories", " | ").alias("categories")
+    )
+
+
 # --- registry ----------------------------------------------------------------
 
 QUERIES: dict[str, Query] = {
@@ -240,6 +251,12 @@ QUERIES: dict[str, Query] = {
     ),
     "page_cards": lambda spark, sf_dir: capture.extract_cards(star.crawl(spark, sf_dir)),
     "page_tiles": lambda spark, sf_dir: capture.extract_tiles(star.crawl(spark, sf_dir)),
+    "mixed_cards": lambda spark, sf_dir: capture.extract_cards(star.mixed_crawl(spark, sf_dir)),
+    "mixed_tiles": lambda spark, sf_dir: capture.extract_tiles(star.mixed_crawl(spark, sf_dir)),
+    "mixed_pagination": lambda spark, sf_dir: capture.pagination_facts(star.mixed_crawl(spark, sf_dir)),
+    "page_elements": lambda spark, sf_dir: element_table(
+        star.table(spark, sf_dir, "pages").select("page_id", "html")
+    ).groupBy("page_id", "name").agg(F.count(F.lit(1)).alias("nb_elements")),
     "pagination_facts": lambda spark, sf_dir: capture.pagination_facts(star.crawl(spark, sf_dir)),
     "page_pagination": lambda spark, sf_dir: capture.pagination_facts(
         star.table(spark, sf_dir, "pages")
@@ -270,6 +287,7 @@ QUERIES: dict[str, Query] = {
     "normalize_message": lambda spark, sf_dir: _messages(spark, sf_dir).select(
         "conv_id", "turn", tx.normalize_message(F.col("text")).alias("texte")
     ),
+    "message_labels": _message_labels,
     "message_categories": lambda spark, sf_dir: messages.message_categories(
         _messages(spark, sf_dir), LABELS, ALIASES
     ).select("conv_id", "turn", F.array_join("categories", " | ").alias("categories")),

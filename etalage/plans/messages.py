@@ -1,25 +1,27 @@
 """Message analytics: categories named in a message, intents, and advice from the context table.
 
-The label and alias lists are parameters of a few entries, so tagging is a set
-of column expressions over each message: no join, no shuffle.
+A short list of labels is a parameter: tagging is a set of column expressions over each message, no
+join, no shuffle.  A label dimension of any size is a table: its names and aliases are filed by a gram.
 """
 
 from __future__ import annotations
 
-import difflib
 import re
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from etalage import vocab
 from etalage.functions.numbers import half_up
+from etalage.functions.similarity import matching_ratio, shared_characters_ratio
 from etalage.functions.text import normalize_message
 from etalage.plans.compare import filter_selection
 
+#: Label lists up to this length are tested in place, longer ones and tables through an index of grams.
+IN_PLACE, GRAM = 64, 3
+# How many labels are suggested, and how similar they are at least.
 SUGGESTED, SIMILAR = 6, 0.35
 SUGGESTED_BY_WORD, SIMILAR_WORD = 3, 0.6
 
@@ -105,88 +107,146 @@ def message_categories(
     )
 
 
-def _similar(text: Column, labels: Sequence[str], floor: float, top: int) -> Column:
-    """The ``top`` labels whose edit similarity to the text reaches ``floor``, best first."""
-    scored = []
-    for rank, label in enumerate(labels):
-        name = F.lit(normalized_label(label))
-        likeness = 1 - F.try_divide(
-            F.levenshtein(text, name).cast("double"),
-            F.greatest(F.length(text), F.length(name)).cast("double"),
-        )
-        scored.append(
-            F.struct((-half_up(likeness, 6)).alias("s"), F.lit(rank).alias("r"), F.lit(label).alias("l"))
-        )
-    kept = F.filter(F.array(*scored), lambda x: -x.s >= floor)
-    return F.transform(F.slice(F.sort_array(kept), 1, top), lambda x: x.l)
+def label_table(spark: SparkSession, labels: Sequence[str] | DataFrame) -> DataFrame:
+    """(place, label, name): the labels in their order with their normalised names.
 
+    A table has its labels in the column ``label``; their order is that of the texts.
+    """
+    if isinstance(labels, DataFrame):
+        order = F.col("label").alias("place")
+        return labels.select("label", order).distinct().select("place", "label", normalize_message(F.col("label")).alias("name"))
+    rows = [(f"{k:09d}", label) for k, label in enumerate(labels)]
+    return spark.createDataFrame(rows, "place string, label string").withColumn("name", normalize_message(F.col("label")))
 
-def _untagged(
-    messages: DataFrame, labels: Sequence[str], aliases: Mapping[str, Sequence[str]]
-) -> DataFrame:
-    return message_categories(messages, labels, aliases).filter(F.size("categories") == 0)
 
+def _grams(text: Column, size: int) -> Column:
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda k: F.substring(text, k, F.lit(size))))
 
-def category_suggestions(
-    messages: DataFrame,
-    labels: Sequence[str],
-    aliases: Mapping[str, Sequence[str]] = vocab.CATEGORY_ALIASES,
+
+def label_phrases(
+    spark: SparkSession,
+    labels: Sequence[str] | DataFrame,
+    aliases: Mapping[str, Sequence[str]] | DataFrame = vocab.CATEGORY_ALIASES,
 ) -> DataFrame:
-    """Labels close to an untagged message, else close to its first word that has any.
+    """(phrase, gram, kind, alias_place, place, label): the inverted index of all that names a label.
 
-    Similarity is one minus the edit distance over the longer length.
+    A label is named by its own name or by an alias of it.  A phrase is filed under one of its
+    grams of three characters, the whole phrase if it is shorter: a message without that gram cannot
+    hold the phrase.  Aliases are a mapping or a table (canonical, alias).
     """
-    said = F.col("_message")
-    whole = _similar(said, labels, SIMILAR, SUGGESTED)
-    by_word = F.filter(
-        F.transform(
-            F.split(said, " "), lambda w: _similar(w, labels, SIMILAR_WORD, SUGGESTED_BY_WORD)
-        ),
-        lambda found: F.size(found) > 0,
+    named = label_table(spark, labels).where("name <> ''")
+    if not isinstance(aliases, DataFrame):
+        rows = [(f"{k:09d}", c, word) for k, (c, words) in enumerate(aliases.items()) for word in words]
+        aliases = spark.createDataFrame(rows, "alias_place string, canonical string, alias string")
+    else:
+        aliases = aliases.select(F.col("canonical").alias("alias_place"), "canonical", "alias")
+    own = named.select(F.col("name").alias("phrase"), F.lit(0).alias("kind"), F.lit("").alias("alias_place"), "place", "label")
+    other = aliases.where("alias <> ''").join(named, normalize_message(F.col("canonical")) == F.col("name")).select(
+        F.col("alias").alias("phrase"), F.lit(1).alias("kind"), "alias_place", "place", "label"
     )
-    return (
-        _untagged(messages, labels, aliases)
-        .withColumn("_proches", whole)
-        .withColumn(
-            "suggestions",
-            F.when(F.size("_proches") > 0, F.col("_proches")).otherwise(
-                F.coalesce(F.get(by_word, F.lit(0)), F.array().cast("array<string>"))
-            ),
-        )
-        .drop("_proches")
+    # of a phrase's grams the one with the least hash: frequent beginnings are not all filed together
+    grams = F.transform(_grams(F.col("phrase"), GRAM), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))
+    return own.union(other).withColumn("gram", F.array_min(grams)["g"])
+
+
+def tagged_messages(messages: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(_message, categories) of the distinct normalised messages that name a label.
+
+    Grams of the messages meet the phrases filed under them, then the whole phrase is looked for.
+    """
+    said = messages.select(normalize_message(F.col("text")).alias("_message")).distinct()
+    every = F.flatten(F.array(*[_grams(F.col("_message"), size) for size in range(1, GRAM + 1)]))
+    met = (
+        said.select("_message", F.explode(F.array_distinct(every)).alias("gram"))
+        .join(phrases, "gram")
+        .where(F.col("_message").contains(F.col("phrase")))
     )
+    found = F.sort_array(F.collect_set(F.struct("kind", "alias_place", "place", "label")))
+    return met.groupBy("_message").agg(F.array_distinct(F.transform(found, lambda x: x["label"])).alias("categories"))
 
 
-def closest_labels(
+def message_labels(
     messages: DataFrame,
-    labels: Sequence[str],
-    aliases: Mapping[str, Sequence[str]] = vocab.CATEGORY_ALIASES,
+    labels: Sequence[str] | DataFrame,
+    aliases: Mapping[str, Sequence[str]] | DataFrame = vocab.CATEGORY_ALIASES,
 ) -> DataFrame:
-    """As ``category_suggestions`` with the matching-blocks ratio of ``difflib``.
+    """``message_categories`` for a label dimension of any size: the plan does not grow with it."""
+    tagged = tagged_messages(messages, label_phrases(messages.sparkSession, labels, aliases))
+    return (
+        messages.withColumn("_message", normalize_message(F.col("text")))
+        .join(tagged, "_message", "left")
+        .withColumn("categories", F.coalesce("categories", F.array().cast("array<string>")))
+    )
+
+
+def _tagged(
+    messages: DataFrame, labels: Sequence[str] | DataFrame, aliases: Mapping[str, Sequence[str]] | DataFrame
+) -> DataFrame:
+    """Short lists are tested in place, without a shuffle; tables and long lists are joined."""
+    if isinstance(labels, DataFrame) or isinstance(aliases, DataFrame) or len(labels) > IN_PLACE:
+        return message_labels(messages, labels, aliases)
+    return message_categories(messages, labels, aliases)
+
+
+def similar_labels(texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, whole, suggestions): the labels most similar to each text, best first, ties by later name.
 
-    That ratio has no built-in counterpart, so the distinct normalised messages
-    go through Arrow batches once.
+    ``texts`` has distinct (text, whole); a whole message takes six labels of a ratio of 0.35, a word three
+    of 0.6.  A ratio needs lengths that are not too different: each label is listed under the lengths it can
+    match, and texts meet the labels listed under theirs.  Of those, pairs without enough characters in
+    common are left out before blocks are matched.
     """
-    by_name = {normalized_label(label): label for label in labels}
-    names = list(by_name)
-
-    @F.pandas_udf("array<string>")
-    def closest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def suggest(message: str) -> list[str]:
-            close = difflib.get_close_matches(message, names, n=SUGGESTED, cutoff=SIMILAR)
-            words = iter(message.split())
-            while not close and (word := next(words, None)) is not None:
-                close = difflib.get_close_matches(
-                    word, names, n=SUGGESTED_BY_WORD, cutoff=SIMILAR_WORD
-                )
-            return [by_name[c] for c in close]
+    floors = {True: (SIMILAR, SUGGESTED), False: (SIMILAR_WORD, SUGGESTED_BY_WORD)}
+    size = F.length("name").cast("double")
+    listed = None
+    for whole, (floor, _) in floors.items():
+        least = F.greatest(F.floor(size * floor / (2 - floor)).cast("int"), F.lit(0))
+        most = F.ceil(size * (2 - floor) / floor).cast("int")
+        part = labels.withColumns({"whole": F.lit(whole), "size": F.explode(F.sequence(least, most))})
+        listed = part if listed is None else listed.union(part)
+    floor = F.when(F.col("whole"), F.lit(SIMILAR)).otherwise(F.lit(SIMILAR_WORD))
+    top = F.when(F.col("whole"), F.lit(SUGGESTED)).otherwise(F.lit(SUGGESTED_BY_WORD))
+    best = Window.partitionBy("text", "whole").orderBy(F.col("ratio").desc(), F.col("name").desc())
+    return (
+        texts.withColumn("size", F.length("text"))
+        .join(listed, ["whole", "size"])
+        .where(shared_characters_ratio(F.col("name"), F.col("text")) >= floor)
+        .withColumn("ratio", matching_ratio(F.col("name"), F.col("text")))
+        .where(F.col("ratio") >= floor)
+        .withColumn("_rang", F.row_number().over(best))
+        .where((F.col("_rang") <= SUGGESTED) & (F.col("_rang") <= top))
+        .groupBy("text", "whole")
+        .agg(F.sort_array(F.collect_list(F.struct("_rang", "label"))).alias("_l"))
+        .select("text", "whole", F.array_distinct(F.transform("_l", lambda x: x["label"])).alias("suggestions"))
+    )
+
 
-        for batch in batches:
-            yield batch.map(suggest)
+def category_suggestions(
+    messages: DataFrame,
+    labels: Sequence[str] | DataFrame,
+    aliases: Mapping[str, Sequence[str]] | DataFrame = vocab.CATEGORY_ALIASES,
+) -> DataFrame:
+    """Labels close to an untagged message, else close to its first word that has any.
 
-    untagged = _untagged(messages, labels, aliases)
-    suggested = untagged.select("_message").distinct().withColumn("suggestions", closest("_message"))
-    return untagged.join(suggested, "_message")
+    Similarity is the ratio of matching blocks.  It is computed once per distinct message and word.
+    Of labels with one normalised name the last counts.
+    """
+    spark = messages.sparkSession
+    untagged = _tagged(messages, labels, aliases).where(F.size("categories") == 0)
+    names = label_table(spark, labels).groupBy("name").agg(F.max_by("label", "place").alias("label"))
+    said = F.col("_message")
+    words = F.filter(F.split(said, " "), lambda w: w != "")
+    places = F.concat(
+        F.array(F.struct(said.alias("text"), F.lit(True).alias("whole"))),
+        F.transform(words, lambda w: F.struct(w.alias("text"), F.lit(False).alias("whole"))),
+    )
+    pieces = untagged.select("_message").distinct().select("_message", F.posexplode(places).alias("_place", "_p")).select("_message", "_place", "_p.*")
+    similar = similar_labels(pieces.select("text", "whole").distinct(), names)
+    first = pieces.join(similar, ["text", "whole"]).groupBy("_message").agg(F.min_by("suggestions", "_place").alias("suggestions"))
+    return untagged.join(first, "_message", "left").withColumn(
+        "suggestions", F.coalesce("suggestions", F.array().cast("array<string>"))
+    )
 
 
 def message_intents(

@@ -1,6 +1,10 @@
 import difflib
 import json
+import random
 
+from pyspark.sql import functions as F
+
+from etalage.functions.similarity import matching_ratio, shared_characters_ratio
 from etalage.plans import messages
 
 LABELS = ["Boissons", "Epicerie", "Produits Locaux", "Bebe & Puériculture"]
@@ -29,17 +33,53 @@ def test_suggestions(spark):
     assert 3 not in got
 
 
-def test_closest_labels_equal_difflib(spark):
-    texts = ["boison", "je veux epiceri pas cher", "xyz", "produit", "", "locau produi"]
-    got = {r.i: r.suggestions for r in messages.closest_labels(table(spark, *texts), LABELS).collect()}
-    names = {messages.normalized_label(label): label for label in LABELS}
-    for i, text in enumerate(texts):
-        want = difflib.get_close_matches(text, list(names), n=6, cutoff=0.35)
-        for word in [] if want else text.split():
+def _suggested(texts, labels):
+    names = {messages.normalized_label(label): label for label in labels}
+    out = []
+    for text in texts:
+        said = messages.normalized_label(text)
+        want = difflib.get_close_matches(said, list(names), n=6, cutoff=0.35)
+        for word in [] if want else said.split():
             want = difflib.get_close_matches(word, list(names), n=3, cutoff=0.6)
             if want:
                 break
-        assert got[i] == [names[w] for w in want]
+        out.append([names[w] for w in want])
+    return out
+
+
+def test_suggestions_equal_a_plain_matcher(spark):
+    texts = ["boison", "je veux epiceri pas cher", "xyz", "produit", "", "locau produi", "puericulteur bbe", "frai", "???", "abcabc cabcab"]
+    texts += ["hygienne et boite " * 14, "zq " * 80 + "locaux"]
+    labels = [*LABELS, "abcab", "cabca", "Produits Frais", "produits frais", "Hygiene et boites " * 4 + "de toutes sortes", "b", "boissons"]
+    untagged = [t for t in texts if not any(messages.normalized_label(x) in messages.normalized_label(t) for x in labels)]
+    for given in (labels, spark.createDataFrame([(x,) for x in labels], "label string")):
+        got = {r.text: r.suggestions for r in messages.category_suggestions(table(spark, *texts), given, {}).collect()}
+        assert [got[t] for t in untagged] == _suggested(untagged, labels)
+        assert set(got) == set(untagged)
+
+
+def test_matching_size_equals_a_plain_matcher(spark):
+    chance = random.Random(11)
+    pairs = [("", ""), ("", "a"), ("abcd", "bcde"), ("aXbXc", "abc"), ("xaxa", "axax")]
+    pairs += [tuple("".join(chance.choices("abc d", k=chance.randrange(0, 14))) for _ in range(2)) for _ in range(60)]
+    pairs += [("ab cd" * 12 + "xyz", "".join(chance.choices("abcd ", k=230)) + "xyz"), ("aaa" * 20, "a" * 300)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for r in df.select("a", "b", matching_ratio(F.col("a"), F.col("b")).alias("r"), shared_characters_ratio(F.col("a"), F.col("b")).alias("q")).collect():
+        assert r.r == difflib.SequenceMatcher(None, r.a, r.b).ratio() <= r.q + 1e-12, (r.a, r.b)
+
+
+def test_an_index_of_labels_tags_like_the_list(spark):
+    labels = [*LABELS, "a", "&", "ép", "Produits  locaux", "ici et la"]
+    df = table(spark, "Quelles boissons et EPICERIE ?", "un drink local", None, "", "ici et la & co", "xici et lax", "produits locaux locaux")
+    short = {r.i: r.categories for r in messages.message_categories(df, labels).collect()}
+    index = {r.i: r.categories for r in messages.message_labels(df, labels).collect()}
+    assert index == short and index[5][0] == "ici et la" or "ici et la" in index[5]
+    aliases = spark.createDataFrame([("boissons", "drink"), ("Epicerie", "grocery")], "canonical string, alias string")
+    many = spark.createDataFrame([(f"etiquette {k}",) for k in range(3_000)] + [("Boissons",), ("Boissons",), (None,)], "label string")
+    found = messages.message_labels(table(spark, "drink etiquette 17", "etiquette 2999"), many, aliases)
+    got = {r.i: r.categories for r in found.collect()}
+    assert got == {0: ["etiquette 1", "etiquette 17", "Boissons"], 1: ["etiquette 2", "etiquette 29", "etiquette 299", "etiquette 2999"]}
+    assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 20_000
 
 
 def test_intents(spark):
