@@ -403,6 +403,8 @@ ORACLE |= {
     ),
 }
 ORACLE["dedup_listing"] = ORACLE["merge_sources"]
+ORACLE["text_mart_manifest"] = ORACLE["mart_manifest"]
+ORACLE["incremental_rows"] = ORACLE["history"]
 
 # --- capture -----------------------------------------------------------------
 
@@ -595,3 +597,12 @@ FROM context s JOIN b ON s.categorie_standardisee = b.categorie_standardisee AND
     "FROM conversations WHERE role = 'assistant'",
 }
 ORACLE["serving_panel"] = ORACLE["daily_panel"]
+ORACLE["incremental_panel"] = ORACLE["daily_panel"]
+ORACLE["incremental_variation"] = ORACLE["variation_index"]
+ORACLE["incremental_inflation_category"] = ORACLE["inflation_category"]
+ORACLE["incremental_inflation_global"] = ORACLE["inflation_global"]
+ORACLE["product_search"] = after(
+    "serving",
+    "SELECT motif, nom_nettoye, magasin_standardise, jour, prix, url_produit FROM serving, "
+    "(VALUES ('PLATE.*(kg|cl)$'), ('red.+plate'), ('^[o-s]ld'), ('gear|anvil'), ('1l')) v(motif) WHERE regexp_matches(nom_nettoye, '(?i)' || motif)",
+)

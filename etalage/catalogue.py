@@ -6,7 +6,7 @@ A query is ``(spark, sf_dir) -> DataFrame``; nothing runs until the result is us
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +17,10 @@ from etalage.functions import text as tx
 from etalage.functions.markup import element_table
 from etalage.functions.numbers import half_up
 from etalage.operators.stats import grouped_stats
-from etalage.plans import capture, cleaning, compare, kpi, messages
+from etalage.plans import capture, cleaning, compare, kpi, messages, search
 from etalage.session import shared_folder
 from etalage.sources import retail_star as star
-from etalage.sources.mart import mart_checked, mart_written, write_mart
+from etalage.sources.mart import mart_checked, mart_written, table_path, text_mart_checked, write_mart
 from etalage.sources.snapshots import (
     dedup_listing,
     history_union,
@@ -30,7 +30,7 @@ from etalage.sources.snapshots import (
     required_columns,
     with_lineage,
 )
-from etalage.streaming.ingest import incremental_history
+from etalage.streaming.ingest import incremental_history, incremental_index, incremental_panel, incremental_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 STORES, CATEGORIES = star.STORES, star.CATEGORIES
@@ -198,10 +198,27 @@ def _serving_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = kpi.daily_panel_rounded(Tables(spark, sf_dir).panel)
     path = shared_folder(spark, "mart")
     write_mart({"daily_panel": panel}, path, "latest", fmt="csv")
-    text = read_source(spark, f"{path}/daily_panel/snapshot=latest", panel.columns, "csv")
+    text = read_source(spark, table_path(spark, path, "daily_panel", "latest"), panel.columns, "csv")
     return compare.serving_table(text, "daily_panel")
 
 
+#: A tail, two literals around a wildcard, a class, a choice that has no literal of its own, and a short one.
+SEARCHES = ("PLATE.*(kg|cl)$", "red.+plate", "^[o-s]ld", "gear|anvil", "1l")
+
+
+def _product_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several searches over one index of the serving table's names."""
+    serving = Tables(spark, sf_dir).serving
+    index = search.index_names(serving, "nom_nettoye")
+    found = [
+        search.search_index(serving, index, term, "nom_nettoye").select(
+            F.lit(term).alias("motif"), "nom_nettoye", "magasin_standardise", "jour", "prix", "url_produit"
+        )
+        for term in SEARCHES
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
 # --- capture -----------------------------------------------------------------
 
 
@@ -244,7 +261,14 @@ QUERIES: dict[str, Query] = {
     "dedup_listing": _of(lambda t: dedup_listing(t.raw)),
     "write_mart": lambda spark, sf_dir: mart_written(spark, Tables(spark, sf_dir)),
     "mart_manifest": lambda spark, sf_dir: mart_checked(spark, Tables(spark, sf_dir)),
+    "text_mart_manifest": lambda spark, sf_dir: text_mart_checked(spark, Tables(spark, sf_dir)),
     "incremental_history": incremental_history,
+    "incremental_rows": incremental_rows,
+    "incremental_panel": incremental_panel,
+    "incremental_variation": partial(incremental_index, index=kpi.variation_index),
+    "incremental_inflation_category": partial(incremental_index, index=kpi.inflation_category),
+    "incremental_inflation_global": partial(incremental_index, index=kpi.inflation_global),
+    "product_search": _product_search,
     # capture
     "page_links": lambda spark, sf_dir: capture.page_links(
         star.table(spark, sf_dir, "pages"), ["page_id"]

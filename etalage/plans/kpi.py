@@ -12,7 +12,7 @@ from etalage import vocab
 from etalage.functions.numbers import exact_mean, half_up, percent, ratio
 from etalage.functions.text import blank_to_null
 from etalage.operators.dedupe import keep_last
-from etalage.operators.stats import counted_stats, grouped_stats, join_null_safe, whole
+from etalage.operators.stats import counted_stats, join_null_safe, value_counts, whole
 
 
 def _round6(*columns: str) -> dict[str, Column]:
@@ -22,12 +22,8 @@ def _round6(*columns: str) -> dict[str, Column]:
 # --- history -----------------------------------------------------------------
 
 
-def prepare_history(snapshots: DataFrame) -> DataFrame:
-    """Usable rows of the united snapshots, one per shop, day, key, price and source file.
-
-    Texts that a CSV export would read back as missing become null here; a row
-    without date, price, shop or key is dropped.
-    """
+def usable_rows(snapshots: DataFrame) -> DataFrame:
+    """Typed rows; one without date, price, shop or key is dropped."""
     typed = snapshots.withColumns(
         {
             "date_scraping": F.col("date_scraping").try_cast("date"),
@@ -37,7 +33,7 @@ def prepare_history(snapshots: DataFrame) -> DataFrame:
             "prix_par_piece": F.col("prix_par_piece").try_cast("double"),
         }
     )
-    usable = typed.filter(
+    return typed.filter(
         F.col("date_scraping").isNotNull()
         & F.col("jour").isNotNull()
         & (F.col("prix") > 0)
@@ -45,6 +41,14 @@ def prepare_history(snapshots: DataFrame) -> DataFrame:
         & blank_to_null("magasin_standardise").isNotNull()
         & blank_to_null("cle_matching_exacte").isNotNull()
     )
+
+
+def prepare_history(snapshots: DataFrame) -> DataFrame:
+    """Usable rows of the united snapshots, one per shop, day, key, price and source file.
+
+    Texts that a CSV export would read back as missing become null here.
+    """
+    usable = usable_rows(snapshots)
     kept = keep_last(
         usable,
         ["magasin_standardise", "jour", "cle_matching_exacte", "prix", "source_file"],
@@ -173,12 +177,33 @@ def competitiveness(panel: DataFrame) -> DataFrame:
 # --- monthly indices ---------------------------------------------------------
 
 
+#: The finest groups of a monthly index; coarser ones are sums of these.
+MONTHLY_GROUPS = ("mois", "magasin_standardise", "categorie_standardisee")
+
+
+def price_counts(prices: DataFrame) -> DataFrame:
+    """How often each price occurs per month, shop and category.
+
+    The state of every monthly index: counts of other months, shops and categories add to it, and
+    counts, exact sums and medians of any coarser group follow from it.
+    """
+    return value_counts(prices, MONTHLY_GROUPS, "prix_comparable")
+
+
 def _monthly(
     prices: DataFrame, by: Sequence[str], change: str, index: str, unless_null: str | None
 ) -> DataFrame:
     """Monthly count, mean and median per ``by``, change on the previous month present,
-    and index 100 on the first month.  Groups with a null ``unless_null`` get neither."""
-    stats = grouped_stats(prices, ["mois", *by], "prix_comparable", {"prix_median": 0.5})
+    and index 100 on the first month.  Groups with a null ``unless_null`` get neither.
+
+    ``prices`` may be their counts instead (see ``price_counts``).
+    """
+    groups = ["mois", *by]
+    if "_c" in prices.columns:
+        counts = prices.groupBy(*groups, "_v").agg(F.sum("_c").alias("_c"))
+    else:
+        counts = value_counts(prices, groups, "prix_comparable")
+    stats = counted_stats(counts, groups, {"prix_median": 0.5})
     series = Window.partitionBy(*by) if by else Window.partitionBy()
     ordered = series.orderBy("mois")
     before = F.lag("moyenne").over(ordered)

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from etalage import vocab
 from etalage.plans import cleaning, compare, kpi
-from etalage.sources import mart, snapshots
+from etalage.sources import mart, snapshots, versions
 from etalage.sources import retail_star as star
 from etalage.streaming import ingest
 
@@ -57,7 +57,7 @@ def test_parts_of_a_snapshot_are_one_snapshot(spark, tmp_path):
 
     assert len(keys([one])) == table.count()
     assert keys([one]) == keys([many])
-    from_text = keys([f"{text}/t/snapshot=x"], "csv")
+    from_text = keys([mart.table_path(spark, text, "t", "x")], "csv")
     assert [k[:4] for k in from_text] == [k[:4] for k in keys([one])]
     assert {k[4] for k in from_text} == {"snapshot=x"}
 
@@ -98,20 +98,87 @@ def test_mart(spark, tmp_path):
         mart.check_mart(mart.mart_manifest(spark, path, "2024-01-02"))
 
 
-def test_stream_equals_batch_and_resumes(spark, tmp_path):
+def test_a_lost_run_leaves_the_old_mart(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "mart")
+    texts = spark.createDataFrame([("a, \"b\"", " x "), (None, "y\\")], "a string, b string")
+    mart.write_mart({"t": texts, "u": spark.range(3)}, path, "1", fmt="csv")
+    before = mart.mart_entries(spark, path, "1")
+    assert before["t"]["rows"] == 2 and not mart.damaged_tables(spark, path, "1")
+
+    class Lost(Exception):
+        pass
+
+    def lose(df, folder, fmt="parquet"):
+        if folder.endswith("/u/snapshot=1"):
+            raise Lost
+        return staged(df, folder, fmt)
+
+    staged = mart.stage_table
+    monkeypatch.setattr(mart, "stage_table", lose)
+    with pytest.raises(Lost):
+        mart.write_mart({"t": spark.range(50), "u": spark.range(50)}, path, "1")
+    monkeypatch.undo()
+    assert mart.mart_entries(spark, path, "1") == before
+    assert mart.read_mart(spark, path, "t", "1").count() == 2
+    mart.write_mart({"t": spark.range(5)}, path, "1")
+    mart.write_mart({"w": spark.range(4)}, path, "2", fmt="json")
+    counts = {r.jeu: r.nb_lignes for r in mart.mart_manifest(spark, path, "1", ("t", "u", "w")).collect()}
+    assert counts == {"t": 5, "u": 3, "w": None}
+    versions.drop_versions(spark, path, keep=1)
+    assert mart.read_mart(spark, path, "u", "1").count() == 3 and mart.read_mart(spark, path, "w", "2").count() == 4
+    assert len(versions.versions(spark, path)) == 1 and len(list((tmp_path / "mart").glob("v-*"))) == 3
+    part = next((tmp_path / "mart" / before["u"]["path"]).glob("part-*.csv"))
+    part.write_text("id\n7\n")
+    for crc in part.parent.glob(".*.crc"):
+        crc.unlink()
+    assert mart.damaged_tables(spark, path, "1") == ["u"]
+
+
+def test_stream_equals_batch_and_resumes(spark, tmp_path, monkeypatch):
     inbox, out = tmp_path / "in", str(tmp_path / "out")
-    raw = star.raw_listing(spark, SF).filter(F.col("date_scraping") < "1996-01-01").cache()
-    first = raw.filter(F.col("date_scraping") < "1995-07-01")
+    raw = star.raw_listing(spark, SF).filter(F.col("date_scraping") < "1995-09-01").cache()
+    odd = raw.limit(4).withColumns({"prix": F.lit(float("nan")), "nom_produit": F.lit("blanc 500g")}).union(
+        raw.limit(4).withColumns({"magasin": F.lit(" "), "nom_produit": F.lit("blanc 1kg")})
+    )
+    # listings that repeat under another spelling decide which of them stays, whatever file they come in
+    again = raw.limit(200).withColumn("nom_produit", F.upper("nom_produit"))
+    first = raw.filter(F.col("date_scraping") < "1995-07-01").union(odd)
     first.write.mode("append").parquet(str(inbox))
+    merge = ingest.merge_batch
+
+    def run(merge=merge):
+        stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 2).parquet(str(inbox))
+        return ingest.run_available(stream, out, merge)
+
+    progress = run()
+    assert progress and all(not p["stateOperators"] for p in progress)  # the stream keeps no state
+    before = ingest.stored_history(spark, out).count()
+
+    class Lost(Exception):
+        pass
 
-    def run():
-        stream = spark.readStream.schema(raw.schema).parquet(str(inbox))
-        ingest.run_available(spark, ingest.history_stream(stream), out)
-        return spark.read.parquet(f"{out}/rows")
+    def publish(*args):
+        raise Lost
 
+    raw.union(again).repartition(3).write.mode("append").parquet(str(inbox))  # late and repeated rows
+    monkeypatch.setattr(ingest, "publish", publish)
+    with pytest.raises(Exception, match="Lost"):
+        run()
+    assert ingest.stored_history(spark, out).count() == before  # a lost batch leaves the history readable
+    monkeypatch.undo()
     run()
-    raw.write.mode("append").parquet(str(inbox))  # repeats the first half
-    got = run()
-    want = kpi.prepare_history(snapshots.with_lineage(cleaning.analytics(raw))).select(*ingest.KEYS)
-    assert got.count() == want.count()
-    assert got.select(*ingest.KEYS).exceptAll(want).count() == 0
+    got = ingest.stored_history(spark, out)
+    everything = raw.union(odd).union(again)
+    want = kpi.prepare_history(snapshots.with_lineage(cleaning.analytics(everything))).cache()
+    assert got.count() == want.count() > before
+    assert got.select(*want.columns).exceptAll(want).count() == 0
+    prices = kpi.reliable_prices(want)
+    panel = kpi.daily_panel(prices)
+    assert ingest.stored(spark, out, "panel").select(*panel.columns).exceptAll(panel).count() == 0
+    values = ingest.stored(spark, out, "values")
+    for index in (kpi.variation_index, kpi.inflation_category, kpi.inflation_global):
+        full = index(prices)
+        assert index(values).exceptAll(full).count() == 0 and index(values).count() == full.count() > 0
+    kept = versions.read_manifest(spark, out)
+    ingest.merge_batch(out, everything, kept["batch"])  # a repeated batch changes nothing
+    assert versions.read_manifest(spark, out) == kept
