@@ -23,16 +23,45 @@ WINDOW = 4096
 OPEN_WINDOWS = 32
 #: Sequence ids of merged leftovers start here; those of a partition at its number times 2^32.
 MERGED = 1 << 62
-#: Words a task remembers before it starts anew.
-REMEMBERED = 450_000
+#: Words, and words of letters only, of one generation that a task remembers; it holds two.
+REMEMBERED = 350_000
+#: Words that one call of the tokenizer encodes.
+CALL_WORDS = 64
 #: A word of Latin letters, then marks without an apostrophe: its ids are those of the two parts.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?:;|#$%&*()-]*)")
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part long, place long, ids array<int>"
 
 
+def _lowered(text: str) -> str:
+    """The tokenizer lowers every letter; for texts of Latin-1 letters, each of which has one lower form, it is done before."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
+class _Memory:
+    """Ids by text in two generations: when the younger is full, what was not used since the last time goes."""
+
+    def __init__(self, size: int) -> None:
+        self.size = size
+        self.young: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def missing(self, texts: set[str]) -> list[str]:
+        """Those of the texts that are not known; ones of the older generation become young."""
+        if len(self.young) > self.size:
+            self.young, self.older = {}, self.young
+        texts = texts - self.young.keys()
+        kept = texts & self.older.keys()
+        self.young.update((text, self.older[text]) for text in kept)
+        return list(texts - kept)
+
+
 class Encoder:
-    """Ids of whole texts, each distinct word encoded once per task.
+    """Ids of whole texts as bytes of 32-bit numbers, each distinct word encoded once as long as a task remembers it.
 
     The tokenizer never joins text across a blank or a line feed, so the ids of a
     text are those of its words in order.
@@ -46,65 +75,57 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self._forget()
-
-    def _forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.letters: dict[str, list[int]] = {}
-        self.marks: dict[str, list[int]] = {}
-        self.lengths = np.zeros(0, np.int64)
-        self.starts = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.int32)
+        self.words = _Memory(REMEMBERED)
+        self.letters = _Memory(REMEMBERED)
+        self.marks: dict[str, bytes] = {}
 
     def _encode_letters(self, words: list[str]) -> None:
-        """Words of letters only, many to a call: an id that ends a word parts them."""
-        for at in range(0, len(words), 1000):
-            group = words[at : at + 1000]
-            ids = self.tokenizer.encode(" ".join(group), add_special_tokens=False).ids
-            start = 0
-            for word, end in zip(group, (np.flatnonzero(self.closes[ids]) + 1).tolist(), strict=True):
-                self.letters[word] = ids[start:end]
+        """Words of letters only, some to a call: an id that ends a word parts them."""
+        known = self.letters.young
+        for at in range(0, len(words), CALL_WORDS):
+            group = words[at : at + CALL_WORDS]
+            ids = np.array(self.tokenizer.encode(" ".join(group), add_special_tokens=False).ids, np.int32)
+            ends = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
+            data, start = ids.tobytes(), 0
+            for word, end in zip(group, ends, strict=True):
+                known[word] = data[start:end]
                 start = end
 
-    def _encode_any(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def _encode_any(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32).tobytes()
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.place]
+        new = self.words.missing(words)
         if not new:
             return
         parts = [m and (m[1].lower(), m[2]) for m in map(_PLAIN.fullmatch, new)]
-        self._encode_letters(sorted({p[0] for p in parts if p} - self.letters.keys()))
-        found = []
+        self._encode_letters(self.letters.missing({p[0] for p in parts if p}))
+        known, letters, marks = self.words.young, self.letters.young, self.marks
         for word, part in zip(new, parts, strict=True):
             if part is None:
-                found.append(self._encode_any(word))
+                known[word] = self._encode_any(word)
             elif not part[1]:
-                found.append(self.letters[part[0]])
+                known[word] = letters[part[0]]
             else:
-                if part[1] not in self.marks:
-                    self.marks[part[1]] = self._encode_any(part[1])
-                found.append(self.letters[part[0]] + self.marks[part[1]])
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum()))])
+                if part[1] not in marks:
+                    if len(marks) > CALL_WORDS * 100:
+                        marks.clear()
+                    marks[part[1]] = self._encode_any(part[1])
+                known[word] = letters[part[0]] + marks[part[1]]
 
     def texts(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text, some hundred texts looked up at a time."""
         for at in range(0, len(texts), 256):
-            split = [list(filter(None, (t or "").replace("\n", " ").split(" "))) for t in texts[at : at + 256]]
-            if len(self.place) > REMEMBERED:
-                self._forget()
-            self.learn(set(chain.from_iterable(split)))
-            for words in split:
-                place = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-                lengths = self.lengths[place]
-                ends = np.cumsum(lengths)
-                total = int(ends[-1]) if len(ends) else 0
-                index = np.repeat(self.starts[place] - ends + lengths, lengths) + np.arange(total)
-                yield self.flat[index]
+            split = [_lowered(t or "").replace("\n", " ").split(" ") for t in texts[at : at + 256]]
+            self.words.young[""] = b""
+            found = [list(map(self.words.young.get, words)) for words in split]
+            unknown = {w for words, ids in zip(split, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}
+            self.learn(unknown)
+            known = self.words.young
+            for words, ids in zip(split, found, strict=True):
+                if None in ids:
+                    ids = [i if i is not None else known[w] for w, i in zip(words, ids, strict=True)]
+                yield np.frombuffer(b"".join(ids), np.int32)
 
 
 def _crc(ids: np.ndarray) -> int:
