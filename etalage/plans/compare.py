@@ -20,6 +20,7 @@ from etalage.functions.numbers import (
 from etalage.functions.text import blank_to_null
 from etalage.operators.stats import counted_stats, grouped_stats, value_counts, whole
 from etalage.operators.wide import long_rows, wide_prices
+from etalage.session import stored
 
 SHELF, UNIT = "prix_affiche", "prix_normalise"
 
@@ -331,22 +332,22 @@ def dispersion(
 ) -> DataFrame:
     """Box-plot figures by category and shop, outliers beyond the 1 % and 99 % quantiles cut.
 
-    When that interval keeps no price, all are kept.  Prices are counted once;
-    the interval and the boxes come from the counts.  The cut is stated on a
-    price's count, so that it stays above the shared shuffle.
+    When that interval keeps no price, all are kept.  Prices are counted once, and
+    the counts, one row per category, shop and price, are stored: the interval, what it keeps and the
+    boxes are read from them, without the chain of cleaning below.
     """
     box = ["categorie_standardisee", "magasin_standardise"]
     rows = filter_selection(serving, stores, categories).filter(
         F.col("categorie_standardisee").isNotNull()
     )
-    counts = value_counts(rows, box, mode)
+    counts = stored(value_counts(rows, box, mode), "prices")
     if trim:
         prices = counts.groupBy("_v").agg(F.sum("_c").alias("_c"))
         bounds = counted_stats(prices, [], {"bas": 0.01, "haut": 0.99})
         interval = bounds.select(F.struct("bas", "haut")).scalar()
         inside = F.col("_v").between(interval.getField("bas"), interval.getField("haut"))
         kept = counts.agg(F.sum(F.when(inside, F.col("_c")))).scalar()
-        counts = counts.filter(F.when(inside | kept.isNull(), F.col("_c")) > 0)
+        counts = counts.filter(inside | kept.isNull())
     stats = counted_stats(counts, box, {"q1": 0.25, "mediane": 0.5, "q3": 0.75})
     return stats.select(
         "categorie_standardisee",
