@@ -24,7 +24,7 @@ OPEN_WINDOWS = 32
 #: Sequence ids of merged leftovers start here; those of a partition at its number times 2^32.
 MERGED = 1 << 62
 #: Words, and words of letters only, of one generation that a task remembers; it holds two.
-REMEMBERED = 350_000
+REMEMBERED = 400_000
 #: Words that one call of the tokenizer encodes.
 CALL_WORDS = 64
 #: A word of Latin letters, then marks without an apostrophe: its ids are those of the two parts.
@@ -54,10 +54,15 @@ class _Memory:
         """Those of the texts that are not known; ones of the older generation become young."""
         if len(self.young) > self.size:
             self.young, self.older = {}, self.young
-        texts = texts - self.young.keys()
-        kept = texts & self.older.keys()
-        self.young.update((text, self.older[text]) for text in kept)
-        return list(texts - kept)
+        young, older, new = self.young, self.older, []
+        for text in texts:
+            if text not in young:
+                ids = older.get(text)
+                if ids is None:
+                    new.append(text)
+                else:
+                    young[text] = ids
+        return new
 
 
 class Encoder:
