@@ -6,23 +6,18 @@ chain is cut after the last one a query needs.
 
 from __future__ import annotations
 
+from etalage import vocab
+
 UNIT = "(kg|g|mg|l|cl|ml)"
 NUM = r"(\d+(?:\.\d+)?)"
 STORES = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 CATEGORIES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
-PACKAGING = (
-    "auchan sakanal diarle pet brique bouteille sachet sachets boite boites carton canette "
-    "canettes flacon pot format familial promo pack barquette poche etui stick sticks tube"
-).split()
-WEAK = "de du des la le les au aux a et en avec sans pour sur par the".split()
+PACKAGING, WEAK = vocab.PACKAGING_WORDS, vocab.WEAK_WORDS
 PHRASES = (
     r"\blot\s+de\b", r"\bla\s+bouteille\s+de\b", r"\ble\s+flacon\s+de\b", r"\bla\s+boite\s+de\b",
     r"\ble\s+pot\s+de\b", r"\ble\s+sachet\s+de\b", r"\ble\s+pack\s+de\b",
 )
-NA = (
-    "'', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', "
-    "'<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null'"
-)
+NA = ", ".join(f"'{text}'" for text in vocab.NA_TEXTS)
 
 
 def hu(x: str, places: int) -> str:
