@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from etalage.llm.common import _power, checked_broadcast, chunks, mix, small_batches, utf8, written
+from etalage.llm.common import _power, checked_broadcast, chunks, dropped, mix, released, small_batches, utf8, written
 
 ORDER = 3
 #: Runs of letters and digits are cut into pieces of about so many bytes, whole characters each.
@@ -112,17 +112,20 @@ def ngram_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(count, f"{kinds}, n long").groupBy(*_NAMES).agg(F.sum("n").alias("n"))
 
 
-def kneser_ney(counts: DataFrame) -> tuple[DataFrame, float]:
-    """(order, w0, ..., p, backoff) of every n-gram seen, by joins of counts and context sums, and an unseen piece's p.
+def kneser_ney(counts: DataFrame) -> tuple[DataFrame, float, list[DataFrame]]:
+    """(order, w0, ..., p, backoff) of every n-gram seen, by joins of counts and context sums, an unseen piece's p,
+    and the tables that the first reads: they can be dropped when it is written.
 
     ``p`` is the interpolated probability of the last piece after the others,
     ``backoff`` the weight that the n-gram as a context leaves to the lower order.
     Lower orders count the different pieces seen before an n-gram.
     """
+    spark = counts.sparkSession
     grams = {ORDER: written(counts, "ngrams")}
+    released(spark)
     for order in range(ORDER - 1, 0, -1):
         grams[order] = written(grams[order + 1].groupBy(*_NAMES[-order:]).agg(F.count("*").alias("n")), "ngrams")
-    unseen, levels = 1.0, {}
+    unseen, levels, scratch = 1.0, {}, []
     for order in range(1, ORDER + 1):
         gram = grams[order]
         share = [F.count(F.when(F.col("n") == k, 1)).cast("double") for k in (1, 2, 3, 4)]
@@ -146,12 +149,16 @@ def kneser_ney(counts: DataFrame) -> tuple[DataFrame, float]:
             level = gram.withColumn("p", (F.col("n") - less) / F.lit(float(total or 1)) + F.lit(unseen))
         else:
             context = written(gram.groupBy(*_NAMES[-order:-1]).agg(*sums).withColumn("backoff", F.col("less") / F.col("total")), "contexts")
+            scratch.append(context)
             lower = levels[order - 1].select(*_NAMES[1 - order :], F.col("p").alias("q"))
             own = (F.col("n") - less) / F.col("total")
             level = gram.join(context, _NAMES[-order:-1]).join(lower, _NAMES[1 - order :]).withColumn("p", own + F.col("backoff") * F.col("q"))
             moved = context.select(*(F.col(a).alias(b) for a, b in zip(_NAMES[-order:-1], _NAMES[1 - order :], strict=True)), "backoff")
             levels[order - 1] = levels[order - 1].join(moved, _NAMES[1 - order :], "full")
         levels[order] = written(level.select(*_NAMES[-order:], "p"), "levels")
+        scratch.append(levels[order])
+        dropped(gram)
+        released(spark)
     levels[ORDER] = levels[ORDER].withColumn("backoff", F.lit(1.0))
     rows = [
         levels[n].select(F.lit(n).alias("order"), *(F.col(c) if c in _NAMES[-n:] else F.lit(0).cast("long").alias(c) for c in _NAMES), "p", F.coalesce("backoff", F.lit(1.0)).alias("backoff"))
@@ -160,7 +167,7 @@ def kneser_ney(counts: DataFrame) -> tuple[DataFrame, float]:
     out = rows[0]
     for level in rows[1:]:
         out = out.union(level)
-    return out, unseen
+    return out, unseen, scratch
 
 
 def keyed(model: DataFrame) -> DataFrame:
@@ -317,11 +324,14 @@ def _scored(docs: DataFrame, labels: DataFrame, quantile: float) -> DataFrame:
     ids = checked_broadcast(written(trusted_ids(labels), "trusted"))
     trusted = docs.select("doc_id", "text", "lang").join(ids, "doc_id", "left_semi").where("text is not null")
     held = F.pmod(F.xxhash64("text", F.lit("held")), F.lit(HELD_OUT)) == 0
-    model, unseen = kneser_ney(ngram_counts(trusted.where(~held)))
+    model, unseen, scratch = kneser_ney(ngram_counts(trusted.where(~held)))
     model = written(keyed(model), "model")
+    dropped(*scratch)
+    released(docs.sparkSession)
     own = written(perplexities(trusted.where(held).select("text", "lang"), model, unseen).where("_perplexity is not null").select("lang", "_perplexity"), "held_out")
     limit = F.percentile_approx("_perplexity", quantile, 10_000)
     default = own.agg(limit).first()[0]
+    released(docs.sparkSession)
     limits = written(own.groupBy(F.col("lang").alias("_lang")).agg(limit.alias("_own")), "limits")
     scored = perplexities(docs, model, unseen)
     scored = scored.join(checked_broadcast(limits, 64), F.col("lang").eqNullSafe(F.col("_lang")), "left")
