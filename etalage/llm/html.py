@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html as markup
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -45,7 +46,8 @@ ASIDE_WORDS = frozenset((
 ).split())
 MAIN_WORDS = frozenset("article content main post entry story body text page maincontent articlebody".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!?/?[a-zA-Z][^\s>/]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[!?][^>]*>|</?[a-zA-Z][^<>]*$|<!--|<", re.DOTALL)
+_OPENED = re.compile(r"<!?/?[a-zA-Z][^\s>/]*")
+_SIGN = re.compile("[>\"']")
 _NAME = re.compile(r"</?([a-zA-Z][^\s>/]*)")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -73,26 +75,57 @@ def nearest(frames: list[tuple[str, tuple[str, ...]]]) -> str:
     return ""
 
 
+def _tag_ends(page: str) -> tuple[list[int], list[int]]:
+    """The places of ``>`` and quotes, and for each where a tag read from there ends, -1 for nowhere.
+
+    One pass from the right, so a page of tags that never end takes no more time than another.
+    """
+    signs = [found.start() for found in _SIGN.finditer(page)]
+    ends = [-1] * (len(signs) + 1)
+    closing = {'"': len(signs), "'": len(signs)}
+    for k in range(len(signs) - 1, -1, -1):
+        sign = page[signs[k]]
+        if sign == ">":
+            ends[k] = signs[k] + 1
+        else:
+            ends[k] = ends[min(closing[sign] + 1, len(signs))]
+            closing[sign] = k
+    return signs, ends
+
+
 def _texts(page: str) -> Iterator[tuple[str, str]]:
     """(tag, text) tokens; a sign that opens no tag is text."""
+    signs, ends = _tag_ends(page)
+    last_end, last_start = page.rfind(">"), page.rfind("<")
     place = 0
     while place < len(page):
-        found = _TOKEN.search(page, place)
-        if not found:
+        start = page.find("<", place)
+        if start < 0:
             yield "", page[place:]
             return
-        if found.start() > place:
-            yield "", page[place : found.start()]
-        token, place = found[0], found.end()
-        if token == "<":
-            yield "", token
+        if start > place:
+            yield "", page[place:start]
+        if page.startswith("<!--", start):
+            close = page.find("-->", start + 4)
+            if close < 0:
+                return
+            place = close + 3
             continue
-        if token == "<!--":  # never closed
-            return
+        opened = _OPENED.match(page, start)
+        place = ends[bisect_left(signs, opened.end())] if opened else -1
+        if place < 0 and start < last_end and page[start + 1] in "!?":
+            place = page.index(">", start) + 1
+        if place < 0 and opened and start == last_start and start > last_end and page[start + 1] != "!":
+            place = len(page)  # cut off in its last tag
+        if place < 0:
+            place = start + 1
+            yield "", "<"
+            continue
+        token = page[start:place]
         name = _NAME.match(token)
         yield token, ""
-        if name and token[1] != "/" and name[1].lower() in RAW:
-            close = re.compile(rf"</{re.escape(name[1])}\b", re.IGNORECASE).search(page, place)
+        if name and token[1] != "/" and (raw := name[1].lower()) in RAW:
+            close = re.compile(rf"</{re.escape(raw)}\b", re.IGNORECASE).search(page, place)
             place = close.start() if close else len(page)
 
 

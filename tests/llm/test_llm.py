@@ -304,3 +304,15 @@ def test_pipeline_stages(spark):
     roots = _linked(texts)
     left = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()}
     assert left == {d for d, r in roots.items() if d == r}
+
+
+def test_tags_that_never_end_take_linear_time():
+    import time
+
+    from etalage.llm.html import blocks
+
+    started = time.monotonic()
+    assert "".join(blocks('<b x="1' * 20_000 + "'>")[0].text.split()).startswith("<bx=")
+    assert [b.text for b in blocks("<!" * 20_000)] == ["<!" * 20_000]
+    assert [b.text for b in blocks('<p title="a > b">one</p><!-- <p>no</p> --><p>two < three</p><p>four</p><p')] == ["one", "two < three", "four"]
+    assert time.monotonic() - started < 5
