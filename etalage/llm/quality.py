@@ -1,17 +1,19 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of subword n-grams.
 
 Texts are cut into pieces of words and single signs, without folding any letter.
-The model holds every n-gram of the trusted texts, so it grows with them: its
-tables stay sharded, and blocks of documents send their distinct n-grams to the
-shards and get back probabilities and backoff weights of those that are there.
+The model holds the counts of every n-gram of the trusted texts, so it grows with
+them: its tables stay sharded, and blocks of documents send their distinct n-grams
+to the shards and get back the counts and context sums of those that are there.
+Keys and counts travel as bytes of many n-grams at once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,10 +28,14 @@ PIECE_BYTES = 6
 QUANTILE = 0.97
 #: One in so many distinct trusted texts is held out of the counts.
 HELD_OUT = 5
-#: Text whose n-grams are looked up together, text and model rows to a shard (about).
+#: Text whose n-grams are looked up together, text that asks one shard in a round, trusted text to a shard (about).
 BLOCK_BYTES = 8 << 20
 SHARD_BYTES = 64 << 20
-SHARD_ROWS = 500_000
+MODEL_BYTES = 8 << 20
+#: Parts in which the documents are scored, one after the other, at every size.
+ROUNDS = 8
+#: Different n-grams that a task collects before it sends them.
+BUNDLED = 2_000_000
 
 _RANDOM = np.random.RandomState(20240301)
 _BYTE, _PLACE = (_RANDOM.randint(0, 2**63, n, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1) for n in (256, ORDER))
@@ -39,7 +45,6 @@ _BLANK, _LETTER, _SIGN = 0, 1, 2
 _KIND = np.full(256, _SIGN, np.uint8)
 _KIND[[0x20, 0x09, 0x0B, 0x0C, 0x0D]] = _BLANK
 _KIND[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
-_NAMES = [f"w{k}" for k in range(ORDER)]
 
 
 def _pieces(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -98,101 +103,190 @@ def _chains(grams: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]
     return [_key(grams[-n:]) for n in range(1, ORDER + 1)], [_key(grams[-n:-1]) for n in range(2, ORDER + 1)]
 
 
-def ngram_counts(texts: DataFrame) -> DataFrame:
-    """(w0, ..., n) of all n-grams of order ORDER of the whole texts, counted piece by piece before the shuffle."""
+def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as the bytes of their differences, equal places together."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.cumsum(_from_planes(packed).view(np.uint64), dtype=np.uint64)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """64-bit numbers with equal places of their bytes together: the high ones are mostly zero and compress well."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_planes(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel()
+
+
+def _runs(ordered: np.ndarray) -> np.ndarray:
+    """Places at which another value begins."""
+    new = np.ones(len(ordered), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    return np.flatnonzero(new)
+
+
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their columns of ``values`` (one row a number)."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    begin = _runs(keys)
+    return keys[begin], np.add.reduceat(values[:, order], begin, axis=1) if len(keys) else values
+
+
+def _by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
+    """The shards of sorted keys and where each lies."""
+    shard = _shard(keys, shards)
+    begin = _runs(shard)
+    for a, b in zip(begin, np.append(begin, len(keys))[1:], strict=True):
+        yield int(shard[a]), slice(a, b)
+
+
+def _bundle(grams: list[np.ndarray], n: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Distinct n-grams and their numbers as the distinct pieces and the places of each n-gram's pieces among them."""
+    words, place = np.unique(np.concatenate(grams), return_inverse=True)
+    place = place.reshape(len(grams), -1)
+    order = np.lexsort(place[[0, *range(len(grams) - 1, 0, -1)]])
+    place = place[:, order]
+    place[1] = np.diff(place[1], prepend=0)
+    return _packed(words), b"".join(_planes(p.astype(np.int64)) for p in place), _planes(n[order].astype(np.int64))
+
+
+def _unbundle(words: bytes, grams: bytes, n: bytes) -> tuple[list[np.ndarray], np.ndarray]:
+    size = len(grams) // ORDER
+    place = [_from_planes(grams[k * size : (k + 1) * size]) for k in range(ORDER)]
+    place[1] = np.cumsum(place[1])
+    known = _unpacked(words)
+    return [known[p] for p in place], _from_planes(n)
+
+
+_COUNTED = "kind string, shard long, level int, keys binary, values binary, n1 long, n2 long, n3 long, n4 long, total long, kinds long"
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    types = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in _COUNTED.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return pa.table([pa.array(c, types[t]) for c, (_, t) in zip(columns, fields, strict=True)], [name for name, _ in fields])
+
+
+def _counted(level: int, shard: int, keys: np.ndarray, n: np.ndarray) -> tuple:
+    """The row of one shard's n-grams of a level, with what the discounts are made of."""
+    return ("count", shard, level, _packed(keys), _planes(n), *(int((n == k).sum()) for k in (1, 2, 3, 4)), int(n.sum()), len(n))
+
+
+def _classes(n: np.ndarray) -> np.ndarray:
+    """For each count: itself, and whether it is 1, 2, or more."""
+    return np.stack([n, n == 1, n == 2, n > 2]).astype(np.int64)
+
+
+def ngram_counts(texts: DataFrame, shards: int) -> DataFrame:
+    """(shard, words, grams, n): bundles of the distinct n-grams of order ORDER of some whole texts.
+
+    An n-gram's shard is that of its last ORDER - 1 pieces, so all counts below come from one shard.
+    """
+
+    def bundles(held):
+        grams = [np.concatenate(g) for g in zip(*(g for g, _ in held), strict=True)]
+        key, place, group = np.unique(_key(grams), return_index=True, return_inverse=True)
+        n = np.bincount(group.ravel(), np.concatenate([n for _, n in held]), len(key)).astype(np.int64)
+        grams = [g[place] for g in grams]
+        shard = _shard(_key(grams[1:]), shards)
+        order = np.argsort(shard, kind="stable")
+        begin = _runs(shard[order])
+        for part in np.split(order, begin[1:]) if len(order) else []:
+            yield int(shard[part[0]]), *_bundle([g[part] for g in grams], n[part])
 
     def count(batches):
+        held, size = [], 0
+
+        def sent():
+            rows = list(bundles(held))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))], ["shard", "words", "grams", "n"])
+
         for batch in batches:
             for pieces, first in _pieces(batch.column("text")):
                 grams = _grams(pieces, first)
                 _, place, n = np.unique(_key(grams), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([*(pa.array(g[place].view(np.int64)) for g in grams), pa.array(n.astype(np.int64))], [*_NAMES, "n"])
+                held.append(([g[place] for g in grams], n))
+                size += len(place)
+                if size > BUNDLED:
+                    yield sent()
+                    held, size = [], 0
+        if held:
+            yield sent()
 
-    kinds = ", ".join(f"{name} long" for name in _NAMES)
-    return texts.select("text").mapInArrow(count, f"{kinds}, n long").groupBy(*_NAMES).agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(count, "shard long, words binary, grams binary, n binary")
 
 
-def kneser_ney(counts: DataFrame) -> tuple[DataFrame, float, list[DataFrame]]:
-    """(order, w0, ..., p, backoff) of every n-gram seen, by joins of counts and context sums, an unseen piece's p,
-    and the tables that the first reads: they can be dropped when it is written.
+def kneser_ney(texts: DataFrame, shards: int) -> tuple[list[DataFrame], dict[int, tuple[float, float, float]], tuple[float, float]]:
+    """The tables of the model, the discounts of each order, and (share of one count, p of an unseen piece) of order 1.
 
-    ``p`` is the interpolated probability of the last piece after the others,
-    ``backoff`` the weight that the n-gram as a context leaves to the lower order.
-    Lower orders count the different pieces seen before an n-gram.
+    The tables hold, by shard, the counts of all n-grams and the sums of their
+    contexts, from which a modified Kneser-Ney probability is made when it is asked
+    for.  Lower orders count the different pieces seen before an n-gram.
     """
-    spark = counts.sparkSession
-    grams = {ORDER: written(counts, "ngrams")}
+    spark = texts.sparkSession
+
+    def merged(left: pa.Table) -> pa.Table:
+        shard, parts = left.column("shard")[0].as_py(), [_unbundle(*(v.as_py() for v in row)) for row in zip(*(left.column(c) for c in ("words", "grams", "n")), strict=True)]
+        grams = [np.concatenate(g) for g in zip(*(g for g, _ in parts), strict=True)]
+        order = np.argsort(_key(grams), kind="stable")
+        key = _key(grams)[order]
+        begin = _runs(key)
+        n = np.add.reduceat(np.concatenate([n for _, n in parts])[order], begin)
+        grams = [g[order[begin]] for g in grams]
+        rows = [_counted(ORDER, shard, key[begin], n)]
+        for level in range(ORDER, 1, -1):
+            keys, sums = _summed(_key(grams[:-1]), _classes(n))
+            rows += [("context", s, level - 1, _packed(keys[at]), b"".join(_planes(v[at]) for v in sums), *[None] * 6) for s, at in _by_shard(keys, shards)]
+            tail, place, n = np.unique(_key(grams[1:]), return_index=True, return_counts=True)
+            grams = [g[place] for g in grams[1:]]
+            if level > 2:
+                rows.append(_counted(level - 1, shard, tail, n))
+            else:  # the different pieces before one piece lie in many shards
+                rows += [("piece", s, 1, _packed(tail[at]), _planes(n[at].astype(np.int64)), *[None] * 6) for s, at in _by_shard(tail, shards)]
+        return _table(rows)
+
+    def united(left: pa.Table) -> pa.Table:
+        shard, rows = left.column("shard")[0].as_py(), []
+        for kind, width in (("context", 4), ("piece", 1)):
+            part = left.filter(pc.equal(left.column("kind"), kind))
+            if part.num_rows:
+                keys = np.concatenate([_unpacked(k.as_py()) for k in part.column("keys")])
+                values = np.concatenate([_from_planes_of(v.as_py(), width) for v in part.column("values")], axis=1)
+                keys, values = _summed(keys, values)
+                rows.append(_counted(1, shard, keys, values[0]) if width == 1 else ("context", shard, 0, _packed(keys), b"".join(_planes(v) for v in values), *[None] * 6))
+        return _table(rows)
+
+    parts = written(ngram_counts(texts, shards).groupBy("shard").applyInArrow(merged, _COUNTED), "ngrams")
     released(spark)
-    for order in range(ORDER - 1, 0, -1):
-        grams[order] = written(grams[order + 1].groupBy(*_NAMES[-order:]).agg(F.count("*").alias("n")), "ngrams")
-    unseen, levels, scratch = 1.0, {}, []
-    for order in range(1, ORDER + 1):
-        gram = grams[order]
-        share = [F.count(F.when(F.col("n") == k, 1)).cast("double") for k in (1, 2, 3, 4)]
-        n1, n2, n3, n4 = (F.col(f"n{k}") for k in (1, 2, 3, 4))
-        y = F.when(n1 + 2 * n2 > 0, n1 / (n1 + 2 * n2)).otherwise(0.5)
-
-        def discount(k, this, following, y=y):
-            value = F.when(this > 0, k - (k + 1) * y * following / this).otherwise(k / 2)
-            return F.greatest(F.lit(0.1), F.least(F.lit(k - 0.1), value))
-
-        spread = gram.agg(*(s.alias(f"n{k}") for k, s in enumerate(share, 1))).select(
-            discount(1, n1, n2).alias("d1"), discount(2, n2, n3).alias("d2"), discount(3, n3, n4).alias("d3")
-        )
-        d1, d2, d3 = spread.first()
-        less = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        sums = [F.sum("n").alias("total"), F.sum(less).alias("less")]
-        if order == 1:
-            total, left, kinds = gram.agg(*sums, F.count("*")).first()
-            if kinds:
-                unseen = left / total / (kinds + 1)  # what is left goes to all pieces and one unseen alike
-            level = gram.withColumn("p", (F.col("n") - less) / F.lit(float(total or 1)) + F.lit(unseen))
-        else:
-            context = written(gram.groupBy(*_NAMES[-order:-1]).agg(*sums).withColumn("backoff", F.col("less") / F.col("total")), "contexts")
-            scratch.append(context)
-            lower = levels[order - 1].select(*_NAMES[1 - order :], F.col("p").alias("q"))
-            own = (F.col("n") - less) / F.col("total")
-            level = gram.join(context, _NAMES[-order:-1]).join(lower, _NAMES[1 - order :]).withColumn("p", own + F.col("backoff") * F.col("q"))
-            moved = context.select(*(F.col(a).alias(b) for a, b in zip(_NAMES[-order:-1], _NAMES[1 - order :], strict=True)), "backoff")
-            levels[order - 1] = levels[order - 1].join(moved, _NAMES[1 - order :], "full")
-        levels[order] = written(level.select(*_NAMES[-order:], "p"), "levels")
-        scratch.append(levels[order])
-        dropped(gram)
-        released(spark)
-    levels[ORDER] = levels[ORDER].withColumn("backoff", F.lit(1.0))
-    rows = [
-        levels[n].select(F.lit(n).alias("order"), *(F.col(c) if c in _NAMES[-n:] else F.lit(0).cast("long").alias(c) for c in _NAMES), "p", F.coalesce("backoff", F.lit(1.0)).alias("backoff"))
-        for n in range(1, ORDER + 1)
-    ]
-    out = rows[0]
-    for level in rows[1:]:
-        out = out.union(level)
-    return out, unseen, scratch
-
-
-def keyed(model: DataFrame) -> DataFrame:
-    """(key, p, backoff) of the model's n-grams; p is null for what is only a context."""
-
-    def rows(batches):
-        for batch in batches:
-            order = batch.column("order").to_numpy()
-            pieces = [batch.column(c).to_numpy().view(np.uint64) for c in _NAMES]
-            key = np.zeros(len(order), np.uint64)
-            for n in range(1, ORDER + 1):
-                own = order == n
-                key[own] = _key([p[own] for p in pieces[-n:]])
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("p"), batch.column("backoff")], ["key", "p", "backoff"])
-
-    return model.mapInArrow(rows, "key long, p double, backoff double")
-
-
-def _packed(keys: np.ndarray) -> bytes:
-    """Sorted keys as the bytes of their differences, equal places together."""
-    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    sums = written(parts.where("kind <> 'count'").groupBy("shard").applyInArrow(united, _COUNTED), "contexts")
+    grams = written(parts.where("kind = 'count'"), "grams")
+    dropped(parts)
+    released(spark)
+    whole = grams.union(sums).where("kind = 'count'").groupBy("level").agg(*(F.sum(c).alias(c) for c in ("n1", "n2", "n3", "n4", "total", "kinds"))).collect()  # one row an order
+    discounts, base = {}, (0.0, 1.0)
+    for r in whole:
+        y = r.n1 / (r.n1 + 2 * r.n2) if r.n1 + 2 * r.n2 else 0.5
+        pairs = ((1, r.n1, r.n2), (2, r.n2, r.n3), (3, r.n3, r.n4))
+        discounts[r.level] = tuple(max(0.1, min(k - 0.1, k - (k + 1) * y * after / this if this else k / 2)) for k, this, after in pairs)
+        if r.level == 1:
+            d1, d2, d3 = discounts[1]
+            left = d1 * r.n1 + d2 * r.n2 + d3 * (r.kinds - r.n1 - r.n2)
+            base = (1 / r.total, left / r.total / (r.kinds + 1))  # what is left goes to all pieces and one unseen alike
+    return [grams, sums], discounts, base
 
 
-def _unpacked(packed: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(packed, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel(), dtype=np.uint64)
+def _from_planes_of(packed: bytes, width: int) -> np.ndarray:
+    size = len(packed) // width
+    return np.stack([_from_planes(packed[k * size : (k + 1) * size]) for k in range(width)])
 
 
 def _in_blocks(docs: DataFrame) -> DataFrame:
@@ -210,15 +304,19 @@ def _in_blocks(docs: DataFrame) -> DataFrame:
 
 
 def _answers(docs: DataFrame, model: DataFrame, shards: int) -> DataFrame:
-    """(_block, keys, values): what the model's shards hold of the n-grams of each block."""
+    """(_block, kind, keys, values): the counts and context sums that the model's shards hold of the n-grams of each block."""
 
     def asked(batches):
-        def sent(block, keys):
-            keys = np.unique(np.concatenate(keys))
-            shard = ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-            some, begin = np.unique(shard, return_index=True)
-            packed = [_packed(keys[a:b]) for a, b in zip(begin, np.append(begin, len(keys))[1:], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), block)), pa.array(packed, pa.binary())], ["shard", "_block", "keys"])
+        def sent(block, held):
+            keys, home = (np.concatenate(h) for h in zip(*held, strict=True))
+            keys, place = np.unique(keys, return_index=True)
+            shard = home[place]
+            order = np.argsort(shard, kind="stable")  # keys stay in order within a shard
+            begin = _runs(shard[order])
+            cells = np.split(order, begin[1:])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(shard[order[begin]], pa.int64()), pa.array(np.full(len(begin), block)), pa.array([_packed(keys[c]) for c in cells], pa.binary())], ["shard", "_block", "keys"]
+            )
 
         now, held = None, []
         for batch in batches:
@@ -232,68 +330,113 @@ def _answers(docs: DataFrame, model: DataFrame, shards: int) -> DataFrame:
                     held = []
                 now = blocks[a]
                 for pieces, first in _pieces(batch.column("text").slice(a, b - a)):
+                    if not len(pieces):
+                        continue
                     grams, contexts = _chains(_grams(pieces, first))
                     # contexts are n-grams of the place before, but for those at a text's start
                     starts = first[:-1][np.diff(first) > 0]
-                    held.append(np.unique(np.concatenate([*grams, *(c[starts] for c in contexts)])))
+                    keys = [*grams, *(c[starts] for c in contexts)]
+                    home = [_shard(k, shards) for k in [*grams[:-1], grams[-2], *keys[len(grams) :]]]
+                    distinct, place = np.unique(np.concatenate(keys), return_index=True)
+                    held.append((distinct, np.concatenate(home)[place].astype(np.int32)))
         if held:
             yield sent(now, held)
 
     def found(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys = left.column("key").to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        keys = keys[order]
-        values = np.stack([left.column(c).to_numpy()[order].astype(np.float32) for c in ("p", "backoff")], axis=1)
-        hits = []
-        for packed in right.column("keys"):
-            own = _unpacked(packed.as_py())
-            place = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
-            there = keys[place] == own if len(keys) else np.zeros(len(own), bool)
-            hits.append((_packed(own[there]), values[place[there]].tobytes()))
-        return pa.table([right.column("_block"), pa.array([k for k, _ in hits], pa.binary()), pa.array([v for _, v in hits], pa.binary())], ["_block", "keys", "values"])
+        out = []
+        for kind, width in (("count", 1), ("context", 4)):
+            part = left.filter(pc.equal(left.column("kind"), kind))
+            if not part.num_rows:
+                continue
+            keys = np.concatenate([_unpacked(k.as_py()) for k in part.column("keys")])
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            values = np.concatenate([_from_planes_of(v.as_py(), width) for v in part.column("values")], axis=1)[:, order]
+            for block, packed in zip(right.column("_block"), right.column("keys"), strict=True):
+                own = _unpacked(packed.as_py())
+                place = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                there = keys[place] == own
+                out.append((block.as_py(), kind, _packed(own[there]), b"".join(_planes(v) for v in values[:, place[there]])))
+        columns = zip(*out, strict=True) if out else [()] * 4
+        types = [pa.int64(), pa.string(), pa.binary(), pa.binary()]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["_block", "kind", "keys", "values"])
 
     queries = docs.select("_block", "text").mapInArrow(asked, "shard long, _block long, keys binary")
-    shard = F.shiftright(F.shiftrightunsigned("key", 32) * F.lit(shards).cast("long"), 32)
-    return model.withColumn("shard", shard).groupBy("shard").cogroup(queries.groupBy("shard")).applyInArrow(found, "_block long, keys binary, values binary")
-
-
-def perplexities(docs: DataFrame, model: DataFrame, unseen: float) -> DataFrame:
-    """``docs`` with _pieces and _perplexity (null for a text without pieces) of every whole text."""
-    names = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("_pieces", T.LongType()), T.StructField("_perplexity", T.DoubleType())])
-    docs = _in_blocks(docs)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-size // SHARD_BYTES), -(-model.count() // SHARD_ROWS))
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.zeros(0, np.uint64), *(_unpacked(k.as_py()) for k in right.column("keys"))])
-        values = np.concatenate([np.zeros((0, 2), np.float32), *(np.frombuffer(v.as_py(), np.float32).reshape(-1, 2) for v in right.column("values"))])
-        order = np.argsort(keys)
-        # an entry behind the last stands for all that the model does not hold
-        keys, values = keys[order], np.concatenate([values[order], [[np.nan, 1.0]]]).astype(np.float64)
-
-        def looked_up(own, column):
-            place = np.searchsorted(keys, own)
-            there = place < len(keys)
-            there[there] = keys[place[there]] == own[there]
-            return values[np.where(there, place, len(keys)), column]
-
-        sums, sizes = [np.zeros(0)], [np.zeros(0, np.int64)]
-        for pieces, first in _pieces(left.column("text")):
-            grams, contexts = _chains(_grams(pieces, first))
-            p = np.full(len(pieces), unseen)
-            for n, own in enumerate(grams):
-                lower = p * looked_up(contexts[n - 1], 1) if n else p
-                p = looked_up(own, 0)
-                p = np.where(np.isnan(p), lower, p)
-            total = np.concatenate([[0.0], np.cumsum(-np.log(p))])
-            sums.append(np.diff(total[first]))
-            sizes.append(np.diff(first))
-        size = np.concatenate(sizes).astype(np.int64)
-        value = pa.array(np.exp(np.concatenate(sums) / np.maximum(size, 1)), mask=size == 0)
-        return pa.table([*(left.column(c) for c in names), pa.array(size), value], schema=None, names=[*names, "_pieces", "_perplexity"])
-
-    return docs.groupBy("_block").cogroup(_answers(docs, model, shards).groupBy("_block")).applyInArrow(score, schema)
+    return model.select("shard", "kind", "keys", "values").groupBy("shard").cogroup(queries.groupBy("shard")).applyInArrow(found, "_block long, kind string, keys binary, values binary")
+
+
+class Model:
+    """A model of some texts: its tables, and what of it is the same for all n-grams."""
+
+    def __init__(self, texts: DataFrame, shards: int) -> None:
+        self.shards = shards
+        self.tables, self.discounts, self.base = kneser_ney(texts, shards)
+
+    def perplexities(self, docs: DataFrame, rounds: int = 1, kept: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """``docs`` with _pieces and _perplexity (null for a text without pieces) of every whole text, after ``kept``.
+
+        The rows are scored in ``rounds`` parts, by a hash, one after the other, so
+        that what a part shuffles is gone before the next.
+        """
+        part = F.pmod(F.xxhash64("text", "doc_id"), F.lit(rounds)) if rounds > 1 else None
+        out = None
+        for k in range(rounds):
+            rows = docs if part is None else docs.where(part == k)
+            blocks = _in_blocks(rows)
+            scored = self._scores(blocks, docs.columns)
+            scored = written(kept(scored) if kept else scored, "scored")
+            dropped(blocks)
+            released(docs.sparkSession)
+            out = scored if out is None else out.union(scored)
+        return out
+
+    def _scores(self, blocks: DataFrame, names: list[str]) -> DataFrame:
+        discounts, (unit, unseen) = {n: np.array([0.0, *d]) for n, d in self.discounts.items()}, self.base
+        schema = T.StructType([*(f for f in blocks.schema.fields if f.name in names), T.StructField("_pieces", T.LongType()), T.StructField("_perplexity", T.DoubleType())])
+
+        def score(left: pa.Table, right: pa.Table) -> pa.Table:
+            held = {}
+            for kind, width in (("count", 1), ("context", 4)):
+                part = right.filter(pc.equal(right.column("kind"), kind))
+                keys = np.concatenate([np.zeros(0, np.uint64), *(_unpacked(k.as_py()) for k in part.column("keys"))])
+                order = np.argsort(keys, kind="stable")
+                values = np.concatenate([np.zeros((width, 0), np.int64), *(_from_planes_of(v.as_py(), width) for v in part.column("values"))], axis=1)
+                # a column of zeros behind the last stands for all that the model does not hold
+                held[kind] = keys[order], np.concatenate([values[:, order], np.zeros((width, 1), np.int64)], axis=1)
+
+            def looked_up(kind, own):
+                keys, values = held[kind]
+                distinct, group = np.unique(own, return_inverse=True)
+                place = np.searchsorted(keys, distinct)
+                there = place < len(keys)
+                there[there] = keys[place[there]] == distinct[there]
+                return values[:, np.where(there, place, len(keys))[group.ravel()]]
+
+            sums, sizes = [np.zeros(0)], [np.zeros(0, np.int64)]
+            for pieces, first in _pieces(left.column("text")):
+                grams, contexts = _chains(_grams(pieces, first))
+                p = np.full(len(pieces), unseen)
+                for n, own in enumerate(grams, 1):
+                    if n not in discounts:
+                        continue  # a model of no texts
+                    seen = looked_up("count", own)[0]
+                    less = seen - discounts[n][np.minimum(seen, 3)]
+                    if n == 1:
+                        p = less * unit + unseen
+                        continue
+                    total, *classes = looked_up("context", contexts[n - 2])
+                    known = total > 0
+                    left_over = sum(d * c for d, c in zip(discounts[n][1:], classes, strict=True))
+                    p = np.where(known, (less + left_over * p) / np.maximum(total, 1), p)
+                total = np.concatenate([[0.0], np.cumsum(-np.log(p))])
+                sums.append(np.diff(total[first]))
+                sizes.append(np.diff(first))
+            size = np.concatenate(sizes).astype(np.int64)
+            value = pa.array(np.exp(np.concatenate(sums) / np.maximum(size, 1)), mask=size == 0)
+            return pa.table([*(left.column(c) for c in names), pa.array(size), value], names=[*names, "_pieces", "_perplexity"])
+
+        model = self.tables[0].union(self.tables[1])
+        return blocks.groupBy("_block").cogroup(_answers(blocks, model, self.shards).groupBy("_block")).applyInArrow(score, schema)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -313,31 +456,35 @@ def quality_scores(docs: DataFrame, labels: DataFrame, quantile: float = QUANTIL
     table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    return _scored(docs, labels, quantile).select(
+    return _scored(docs, labels, quantile, lambda scored: scored.select(
         "doc_id", "lang", F.col("_pieces").alias("n_symbols"), F.col("_perplexity").alias("perplexity"), F.col("_threshold").alias("threshold"), F.col("_kept").alias("kept")
-    )
+    ))
 
 
-def _scored(docs: DataFrame, labels: DataFrame, quantile: float) -> DataFrame:
-    """``docs`` (doc_id, text, lang, ...) with _pieces, _perplexity, _threshold and _kept."""
+def _scored(docs: DataFrame, labels: DataFrame, quantile: float, result: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``result`` of ``docs`` (doc_id, text, lang, ...) with _pieces, _perplexity, _threshold and _kept."""
     small_batches(docs.sparkSession)
     ids = checked_broadcast(written(trusted_ids(labels), "trusted"))
     trusted = docs.select("doc_id", "text", "lang").join(ids, "doc_id", "left_semi").where("text is not null")
     held = F.pmod(F.xxhash64("text", F.lit("held")), F.lit(HELD_OUT)) == 0
-    model, unseen, scratch = kneser_ney(ngram_counts(trusted.where(~held)))
-    model = written(keyed(model), "model")
-    dropped(*scratch)
-    released(docs.sparkSession)
-    own = written(perplexities(trusted.where(held).select("text", "lang"), model, unseen).where("_perplexity is not null").select("lang", "_perplexity"), "held_out")
+    size = F.sum(F.octet_length("text"))
+    shards = max(1, -(-(trusted.where(~held).agg(size).first()[0] or 0) // MODEL_BYTES), -(-(docs.agg(size).first()[0] or 0) // (SHARD_BYTES * ROUNDS)))
+    model = Model(trusted.where(~held), shards)
+    own = model.perplexities(trusted.where(held).select("text", "lang"), 1, lambda scored: scored.where("_perplexity is not null").select("lang", "_perplexity"))
     limit = F.percentile_approx("_perplexity", quantile, 10_000)
     default = own.agg(limit).first()[0]
+    limits = checked_broadcast(written(own.groupBy(F.col("lang").alias("_lang")).agg(limit.alias("_own")), "limits"), 64)
     released(docs.sparkSession)
-    limits = written(own.groupBy(F.col("lang").alias("_lang")).agg(limit.alias("_own")), "limits")
-    scored = perplexities(docs, model, unseen)
-    scored = scored.join(checked_broadcast(limits, 64), F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    limit = F.coalesce("_own", F.lit(default).cast("double"))
-    kept = F.col("_perplexity").isNotNull() & F.coalesce(F.col("_perplexity") <= limit, F.lit(True))
-    return scored.withColumn("_threshold", limit).withColumn("_kept", kept).drop("_lang", "_own")
+
+    def judged(scored: DataFrame) -> DataFrame:
+        scored = scored.join(limits, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+        limit = F.coalesce("_own", F.lit(default).cast("double"))
+        kept = F.col("_perplexity").isNotNull() & F.coalesce(F.col("_perplexity") <= limit, F.lit(True))
+        return result(scored.withColumn("_threshold", limit).withColumn("_kept", kept).drop("_lang", "_own"))
+
+    found = model.perplexities(docs, ROUNDS, judged)
+    dropped(*model.tables)
+    return found
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -345,5 +492,5 @@ def keep_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE)
     rest = [c for c in docs.columns if c != "text"]
     # the text travels once, the other columns as they are beside it
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_row"))
-    kept = _scored(whole, labels, quantile).where("_kept")
-    return kept.select(*(F.col("text").cast(docs.schema[c].dataType).alias(c) if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns))
+    own = [F.col("text").cast(docs.schema[c].dataType).alias(c) if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns]
+    return _scored(whole, labels, quantile, lambda scored: scored.where("_kept").select(*own))
