@@ -31,11 +31,11 @@ HELD_OUT = 5
 #: Text whose n-grams are looked up together, text that asks one shard in a round, trusted text to a shard (about).
 BLOCK_BYTES = 8 << 20
 SHARD_BYTES = 64 << 20
-MODEL_BYTES = 8 << 20
+MODEL_BYTES = 3 << 20
 #: Parts in which the documents are scored, one after the other, at every size.
 ROUNDS = 8
 #: Different n-grams that a task collects before it sends them.
-BUNDLED = 2_000_000
+BUNDLED = 1_000_000
 
 _RANDOM = np.random.RandomState(20240301)
 _BYTE, _PLACE = (_RANDOM.randint(0, 2**63, n, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1) for n in (256, ORDER))
@@ -237,8 +237,9 @@ def kneser_ney(texts: DataFrame, shards: int) -> tuple[list[DataFrame], dict[int
     def merged(left: pa.Table) -> pa.Table:
         shard, parts = left.column("shard")[0].as_py(), [_unbundle(*(v.as_py() for v in row)) for row in zip(*(left.column(c) for c in ("words", "grams", "n")), strict=True)]
         grams = [np.concatenate(g) for g in zip(*(g for g, _ in parts), strict=True)]
-        order = np.argsort(_key(grams), kind="stable")
-        key = _key(grams)[order]
+        key = _key(grams)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
         begin = _runs(key)
         n = np.add.reduceat(np.concatenate([n for _, n in parts])[order], begin)
         grams = [g[order[begin]] for g in grams]
