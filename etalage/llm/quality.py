@@ -345,19 +345,15 @@ def _answers(docs: DataFrame, model: DataFrame, shards: int) -> DataFrame:
 
     def found(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        for kind, width in (("count", 1), ("context", 4)):
-            part = left.filter(pc.equal(left.column("kind"), kind))
-            if not part.num_rows:
+        asks = [(block.as_py(), _unpacked(packed.as_py())) for block, packed in zip(right.column("_block"), right.column("keys"), strict=True)]
+        for kind, held, packed in zip(*(left.column(c).to_pylist() for c in ("kind", "keys", "values")), strict=True):
+            keys, values = _unpacked(held), _from_planes_of(packed, 1 if kind == "count" else 4)
+            if not len(keys):
                 continue
-            keys = np.concatenate([_unpacked(k.as_py()) for k in part.column("keys")])
-            order = np.argsort(keys, kind="stable")
-            keys = keys[order]
-            values = np.concatenate([_from_planes_of(v.as_py(), width) for v in part.column("values")], axis=1)[:, order]
-            for block, packed in zip(right.column("_block"), right.column("keys"), strict=True):
-                own = _unpacked(packed.as_py())
+            for block, own in asks:
                 place = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
                 there = keys[place] == own
-                out.append((block.as_py(), kind, _packed(own[there]), b"".join(_planes(v) for v in values[:, place[there]])))
+                out.append((block, kind, _packed(own[there]), b"".join(_planes(v) for v in values[:, place[there]])))
         columns = zip(*out, strict=True) if out else [()] * 4
         types = [pa.int64(), pa.string(), pa.binary(), pa.binary()]
         return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["_block", "kind", "keys", "values"])
