@@ -243,7 +243,7 @@ def hash_word(word: str) -> int:
     if found is None:
         if len(_hashes) > 100_000:
             _hashes.clear()
-        value = int.from_bytes(word.encode("utf-8", "replace")[:64].ljust(8, b"\0"), "little") % (2**64 - 59)
+        value = int.from_bytes(word.encode("utf-8", "replace").ljust(8, b"\0"), "little") % (2**64 - 59)
         found = _hashes[word] = int(mix(np.array([value], np.uint64))[0] % np.uint64(WIDTH))
     return found
 
@@ -368,7 +368,7 @@ def fit(pages: DataFrame, max_train: int = MAX_TRAIN) -> Chain:
     # only hashes are ordered, so tasks do not each send their own candidates' pages
     last = some.select("h").orderBy("h").limit(max_train).agg(F.max("h")).first()[0]
     rows = some.where(F.col("h") <= F.lit(last)).limit(max_train).select("html").collect()
-    return train(labelled_pages([blocks(r.html)[:300] for r in rows]))
+    return train(labelled_pages([blocks(r.html) for r in rows]))
 
 
 def extract_text(pages: DataFrame, chain: Chain | None = None) -> DataFrame:
