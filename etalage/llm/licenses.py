@@ -71,7 +71,8 @@ def _listed(spark: SparkSession, notices, words: int) -> DataFrame:
     """(template, license, notice) of the notices that have a shingle."""
     rows = [(k, name, text) for k, (name, text) in enumerate(notices) if len(re.findall(r"[^\W_]+", text)) >= words]
     values = [F.struct(F.lit(k).alias("template"), F.lit(name).alias("license"), F.lit(text).alias("notice")) for k, name, text in rows]
-    return spark.range(1).select(F.explode(F.array(*values)).alias("t")).select("t.*")
+    listed = F.array(*values).cast("array<struct<template:int,license:string,notice:string>>")  # the type of an empty list, too
+    return spark.range(1).select(F.explode(listed).alias("t")).select("t.*")
 
 
 def _telling_words(notices: DataFrame, words: int, shingles: list[int]) -> list[str]:

@@ -29,8 +29,12 @@ SCALE = 256
 
 
 def quantised(embeddings: DataFrame) -> DataFrame:
+    """(vec_id, vector) of the usable rows, in whole steps; fails where n components pass 2^31 / sqrt(n) steps, as scores could wrap."""
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE).cast("double"))
-    return usable(embeddings).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("vector"))
+    # so many components of at most this size have products that a 64-bit integer holds
+    fits = F.forall(whole, lambda v: F.abs(v) <= F.sqrt(F.lit(2.0**62) / F.size("embedding")))
+    checked = F.when(fits, whole).otherwise(F.raise_error(F.lit("a vector is too long for scores of 64 bits")).cast("array<double>"))
+    return usable(embeddings).select(F.col("vec_id").cast("long").alias("vec_id"), checked.alias("vector"))
 
 
 def _distances(points: np.ndarray, extra: np.ndarray, pivots: np.ndarray) -> np.ndarray:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from etalage.llm.common import components, written
-from etalage.llm.vectors import centres, matrix, usable
+from etalage.llm.vectors import centres, matrix, is_usable, usable
 
 COSINE = 0.95
 SHARD_ROWS = 1_024
@@ -155,18 +155,23 @@ def vector_dedup(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     are searched, so some may be missed (audit_recall measures how many), and none
     is below.  Equal vectors are one class in the search and all linked.  Vectors
     that are null, zero or hold null or non-finite components link with nothing; rows
-    without an id take no part (null component, not kept); a shorter vector counts as
+    without an id take no part (null component, not kept); each row has a result of its
+    own, also where rows share an id; a shorter vector counts as
     ending in zeros; repeated rows count each; other columns are ignored; an empty
     table gives no rows.
     """
     base = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    fine = usable(base).where(F.exists("embedding", lambda x: x != 0)).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    linkable = is_usable() & F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False))
+    fine = base.where(linkable).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
     fine = fine.withColumn("class", F.xxhash64("vector", F.lit(7)))
     classes = written(fine.groupBy("class").agg(F.min("vec_id").alias("id"), F.first("vector").alias("vector"), F.count("*").alias("n")), "vectors")
     traits = classes.agg(F.max(F.size("vector")), F.count("*")).first()
-    alone = base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+
+    def unlinked(rows: DataFrame) -> DataFrame:
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+
     if not traits[1]:
-        return alone
+        return unlinked(base)
     width, rows = int(traits[0]), int(traits[1])
     shards, _ = _shards(classes, width, rows)
     shards = written(shards, "shards")
@@ -229,9 +234,7 @@ def vector_dedup(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     named = written(named.select("class", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "id").alias("component")), "named")
     keyed = fine.select("vec_id", "class").join(named, "class")
     linked = keyed.select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"), (F.col("vec_id") == F.col("component")).alias("kept"))
-    other = base.join(fine.select("vec_id").distinct(), "vec_id", "left_anti")
-    rest = alone.join(other.select("vec_id").distinct(), "vec_id", "left_semi").union(alone.where("vec_id is null"))
-    return linked.union(rest)
+    return linked.union(unlinked(base.where(~linkable)))
 
 
 def audit_recall(embeddings: DataFrame, result: DataFrame, cosine: float = COSINE, every: int = 20) -> tuple[int, int]:
