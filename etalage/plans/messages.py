@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,7 +21,9 @@ from etalage.functions.text import normalize_message
 from etalage.plans.compare import filter_selection
 
 #: Label lists up to this length are tested in place, longer ones and tables through an index of grams.
-IN_PLACE, GRAM = 64, 3
+IN_PLACE, GRAM = 64, 4
+#: An index up to this size goes to the messages, beside a larger one the messages' grams are shuffled.
+SENT_BYTES = 16 << 20
 # How many labels are suggested, and how similar they are at least.
 SUGGESTED, SIMILAR = 6, 0.35
 SUGGESTED_BY_WORD, SIMILAR_WORD = 3, 0.6
@@ -132,7 +135,7 @@ def label_phrases(
     """(phrase, gram, kind, alias_place, place, label): the inverted index of all that names a label.
 
     A label is named by its own name or by an alias of it.  A phrase is filed under one of its
-    grams of three characters, the whole phrase if it is shorter: a message without that gram cannot
+    grams of four characters, the whole phrase if it is shorter: a message without that gram cannot
     hold the phrase.  Aliases are a mapping or a table (canonical, alias).
     """
     named = label_table(spark, labels).where("name <> ''")
@@ -150,18 +153,29 @@ def label_phrases(
     return own.union(other).withColumn("gram", F.array_min(grams)["g"])
 
 
-def tagged_messages(messages: DataFrame, phrases: DataFrame) -> DataFrame:
+def _grams_of_messages(text: Column, sizes: Sequence[int]) -> Column:
+    """The distinct grams of normalised texts, whose characters are single bytes, in one pass for each size."""
+    cut = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)) for size in sizes]
+    return F.array_distinct(F.concat(*cut)) if cut else F.array().cast("array<string>")
+
+
+def tagged_messages(messages: DataFrame, phrases: DataFrame, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """(_message, categories) of the distinct normalised messages that name a label.
 
-    Grams of the messages meet the phrases filed under them, then the whole phrase is looked for.
+    Grams of the messages meet the phrases filed under them, then the whole phrase is looked for.  An index that is
+    small when counted is broadcast, so that no gram is shuffled; beside a larger one a gram carries
+    the hash of its message only, and the texts meet the phrases that are left.
     """
     said = messages.select(normalize_message(F.col("text")).alias("_message")).distinct()
-    every = F.flatten(F.array(*[_grams(F.col("_message"), size) for size in range(1, GRAM + 1)]))
-    met = (
-        said.select("_message", F.explode(F.array_distinct(every)).alias("gram"))
-        .join(phrases, "gram")
-        .where(F.col("_message").contains(F.col("phrase")))
-    )
+    row = reduce(lambda a, b: a + b, [F.octet_length(F.coalesce(c, F.lit(""))) for c in phrases.columns if c != "kind"]) + 64
+    size, sizes = phrases.agg(F.coalesce(F.sum(row), F.lit(0)), F.collect_set(F.length("gram"))).first()
+    grams = F.explode(_grams_of_messages(F.col("_message"), sorted(sizes))).alias("gram")
+    if size <= sent_bytes:
+        named = said.select("_message", grams).join(F.broadcast(phrases), "gram")
+    else:
+        hashed = said.select(F.xxhash64("_message").alias("_hash"), "_message")
+        named = hashed.select("_hash", grams).join(phrases, "gram").drop("gram").join(hashed, "_hash")
+    met = named.where(F.col("_message").contains(F.col("phrase")))
     found = F.sort_array(F.collect_set(F.struct("kind", "alias_place", "place", "label")))
     return met.groupBy("_message").agg(F.array_distinct(F.transform(found, lambda x: x["label"])).alias("categories"))
 

@@ -82,6 +82,25 @@ def test_an_index_of_labels_tags_like_the_list(spark):
     assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 20_000
 
 
+def test_messages_do_not_travel_with_their_grams(spark, tmp_path):
+    labels = spark.createDataFrame([(w,) for w in ("lait", "riz", "&", "pain complet", "lait entier", "absent")], "label string")
+    df = table(spark, "du LAIT entier et du riz & du pain complet", "lait", "pain", None, "riz au lait " * 400)
+    phrases = messages.label_phrases(spark, labels, {"riz": ["au l", "basmati"]}).localCheckpoint()
+    sent = messages.tagged_messages(df, phrases)
+    shuffled = messages.tagged_messages(df, phrases, sent_bytes=0)
+    want = {
+        "du lait entier et du riz & du pain complet": ["&", "lait", "lait entier", "pain complet", "riz"],
+        "lait": ["lait"],
+        ("riz au lait " * 400).strip(): ["lait", "riz"],
+    }
+    for found in (sent, shuffled):
+        assert {r._message: r.categories for r in found.collect()} == want
+    plan = sent._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    # three sizes of grams occur; a message's grams are cut in one pass each
+    assert sorted(r[0] for r in phrases.selectExpr("length(gram)").distinct().collect()) == [1, 3, 4]
+
+
 def test_intents(spark):
     df = table(spark, "Bonjour !", "bonjour je cherche du riz", "Quel magasin est le moins cher", "")
     got = [(r.salutation, r.conseil_general) for r in messages.message_intents(df).orderBy("i").collect()]
