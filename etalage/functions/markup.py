@@ -1,4 +1,4 @@
-"""Markup as lists of elements: one fold over a page's tags, in column expressions.
+"""Markup as lists of elements: one fold over a page's tags; all else is column expressions.
 
 An element is an interval of tags: ``at`` is the place of its start tag, ``end`` that of the tag
 that closes it, both counted from 1, so that an element lies in another exactly if its interval does.  The texts
@@ -8,8 +8,12 @@ between tags are kept beside them: ``gaps[i]`` follows tag i, and ``gaps[0]`` pr
 from __future__ import annotations
 
 import html.entities
+import re
+from array import array
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,23 +25,40 @@ HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b[^>]*+>.*?(?:</\1[^>]*+>|\z)"
 TAG = r"""(?s)<[!?][^>]*+(?:>|\z)|</?[A-Za-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+(?:>|["'].*\z|\z)"""
 TAG_NAME = r"^</?([A-Za-z][^\s/>]*)"
 ATTRIBUTE = r"""(?s)[^\s"'>/=]+(?:\s*=\s*(?:"[^"]*+"|'[^']*+'|[^\s"'>]+))?"""
+REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{0,31});"
 #: Elements that hold nothing and are closed by their start tag.
 VOID = (
     "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr",
     "basefont", "bgsound", "command", "frame", "image", "isindex", "keygen", "menuitem", "nextid", "spacer",
 )
 
-#: Decides on an element (fields name, cls, raw) and the places of its nearest marked ancestors.
-Test = Callable[[Column, Column], Column]
 
+@dataclass(frozen=True)
+class Test:
+    """Marks elements of a name ('' for any) with all of some classes and none of others.
 
-def has_class(element: Column, name: str) -> Column:
-    return element["cls"].contains(f" {name} ")
+    ``within`` is the place of the test that one of its ancestors has to pass.
+    """
+
+    name: str = ""
+    classes: tuple[str, ...] = ()
+    without: tuple[str, ...] = ()
+    within: int | None = None
 
+    __test__ = False  # not one of pytest's
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    def column(self, element: Column) -> Column:
+        """Does an element pass, by its name, classes and marked ancestors?"""
+        passed = F.lit(True) if not self.name else element["name"] == self.name
+        for c in self.classes:
+            passed = passed & has_class(element, c)
+        for c in self.without:
+            passed = passed & ~has_class(element, c)
+        return passed if self.within is None else passed & (F.get(element["up"], F.lit(self.within)) > 0)
+
+
+def has_class(element: Column, name: str) -> Column:
+    return element["cls"].contains(f" {name} ")
 
 
 def unescape(text: Column) -> Column:
@@ -49,7 +70,7 @@ def unescape(text: Column) -> Column:
     )
 
     def decoded(piece: Column) -> Column:
-        name = F.regexp_extract(piece, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{0,31});", 1)
+        name = F.regexp_extract(piece, REFERENCE, 1)
         digits = F.regexp_extract(name, "^#[xX]?(.*)$", 1)
         code = F.when(name.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("int")
         valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
@@ -90,100 +111,116 @@ def stripped_text_of(gaps: Column, element: Column, between: str = "") -> Column
     return F.array_join(F.filter(texts, lambda t: t != ""), between)
 
 
-_OPEN = "array<struct<at:int,name:string,down:array<int>>>"
-_MADE = "array<struct<parent:int,depth:int,up:array<int>>>"
-_DONE = "array<struct<at:int,end:int>>"
-_STATE = f"struct<n:int,open:{_OPEN},made:{_MADE},done:{_DONE}>"
+_ELEMENTS = (
+    "array<struct<at:int,end:int,parent:int,depth:int,up:array<int>,name:string,close:boolean,cls:string,raw:string>>"
+)
 
 
-def _folded(tags: Column, tests: Sequence[Test]) -> Column:
-    """Open and close the elements in turn.
+def _elements(tests: Sequence[Test]) -> Callable[[Column], Column]:
+    """The tags of each page as elements, by one pass over a page's tags whatever their depth.
 
     A close tag closes the innermost open element of its name and all that is open within it; one
     without such an element is stray.  What is open at the end closes there.  An element inherits
-    from its parent the nearest ancestors that pass each test.
-
-    An aggregate copies its state at every step.  So the tags are folded in blocks of about the root of
-    their number: within one, the state is the open elements and what the block has made.
+    from its parent the nearest ancestors that pass each test.  A batch's different tags are parsed once.
+    The function holds all it needs, so that tasks run it without this package.
     """
-    zeros = F.array(*[F.lit(0) for _ in tests]) if tests else F.array().cast("array<int>")
-
-    def inherited(top: Column, tag: Column, n: Column) -> Column:
-        """What a new element knows of its ancestors, and what it passes on; small, as it is computed twice."""
-        up = F.coalesce(top["down"], zeros)
-        down = F.array(*[F.when(t(tag, up), n).otherwise(F.get(up, F.lit(j))) for j, t in enumerate(tests)]) if tests else zeros
-        return F.struct(F.coalesce(top["at"], F.lit(0)).alias("parent"), up.alias("up"), down.alias("down"))
-
-    def step(acc: Column, tag: Column) -> Column:
-        # the state's arrays are only ever extended: nothing here copies them element by element
-        n, size = acc["n"] + 1, F.size(acc["open"])
-        back = F.array_position(F.reverse(F.transform(acc["open"], lambda o: o["name"])), tag["name"]).cast("int")
-        own = _let(F.get(acc["open"], size - 1), lambda top: inherited(top, tag, n))
-        entry = F.array(F.struct(n.alias("at"), tag["name"].alias("name"), own["down"].alias("down")))
-        made = F.when(tag["close"], F.struct(F.lit(0).alias("parent"), size.alias("depth"), zeros.alias("up"))).otherwise(
-            F.struct(own["parent"].alias("parent"), size.alias("depth"), own["up"].alias("up"))
-        )
-        shut = _let(
-            back,
-            lambda k: F.concat(
-                F.transform(F.slice(acc["open"], size - k + 1, k), lambda o: F.struct(o["at"].alias("at"), n.alias("end"))),
-                F.array(F.struct(n.alias("at"), F.when(k > 0, 0).otherwise(-1).alias("end"))),
-            ),
-        )
-        return F.struct(
-            n.alias("n"),
-            F.when(tag["close"], F.slice(acc["open"], 1, size - back)).when(tag["void"], acc["open"]).otherwise(F.concat(acc["open"], entry)).alias("open"),
-            F.concat(acc["made"], F.array(made)).alias("made"),
-            F.when(tag["close"], F.concat(acc["done"], shut))
-            .when(tag["void"], F.concat(acc["done"], F.array(F.struct(n.alias("at"), n.alias("end")))))
-            .otherwise(acc["done"]).alias("done"),
-        )
-
-    nothing = F.struct(F.lit(0).alias("n"), F.array().alias("open"), F.array().alias("made"), F.array().alias("done")).cast(_STATE)
-    block = F.greatest(F.ceil(F.sqrt(F.size(tags))).cast("int"), F.lit(32))
-
-    def over_block(acc: Column, _: Column) -> Column:
-        start = F.struct(acc["n"].alias("n"), acc["open"].alias("open"), nothing["made"].alias("made"), nothing["done"].alias("done"))
-        made = F.aggregate(F.slice(tags, acc["n"] + 1, block), start, step)
-        return _let(
-            made,
-            lambda own: F.struct(
-                own["n"].alias("n"), own["open"].alias("open"),
-                F.concat(acc["made"], own["made"]).alias("made"), F.concat(acc["done"], own["done"]).alias("done"),
-            ),
-        )
-
-    blocks = F.sequence(F.lit(1), F.greatest(F.ceil(F.size(tags) / block).cast("int"), F.lit(1)))
-
-    def finish(acc: Column) -> Column:
-        rest = F.transform(acc["open"], lambda o: F.struct(o["at"].alias("at"), (acc["n"] + 1).alias("end")))
-        ends = F.sort_array(F.concat(acc["done"], rest))
-        return F.zip_with(
-            F.zip_with(acc["made"], ends, lambda m, d: F.struct(m.alias("m"), d.alias("d"))),
-            tags,
-            lambda x, t: F.struct(
-                x["d"]["at"].alias("at"), x["d"]["end"].alias("end"), x["m"]["parent"].alias("parent"), x["m"]["depth"].alias("depth"),
-                x["m"]["up"].alias("up"), t["name"].alias("name"), t["close"].alias("close"), t["cls"].alias("cls"), t["raw"].alias("raw"),
-            ),
-        )
-
-    return F.aggregate(blocks, nothing, over_block, finish)
-
-
-def _tags(raw: Column) -> Column:
-    def parsed(tag: Column) -> Column:
-        name = F.lower(F.regexp_extract(tag, TAG_NAME, 1))
-        element = F.struct(tag.alias("raw"))
-        classes = F.concat(F.lit(" "), F.regexp_replace(F.coalesce(attribute(element, "class"), F.lit("")), r"\s+", " "), F.lit(" "))
-        return F.struct(
-            name.alias("name"),
-            tag.startswith("</").alias("close"),
-            (name.isin("", *VOID) | tag.endswith("/>")).alias("void"),
-            F.when(tag.rlike("(?i)class"), classes).otherwise(F.lit("  ")).alias("cls"),
-            tag.alias("raw"),
+    marks = [(t.name, [f" {c} " for c in t.classes], [f" {c} " for c in t.without], t.within) for t in tests]
+    zeros, void_names = (0,) * len(marks), {"", *VOID}
+    known = {name: chr(code) for name, code in html.entities.name2codepoint.items()} | {"apos": "'"}
+    # \s is ASCII's, as in the patterns of the columns
+    tag_name, attributes, own_name, own_value, spaces, reference = (
+        re.compile(x, re.ASCII) for x in (TAG_NAME, ATTRIBUTE, r"[^\s=]+", r"(?s)=\s*(.*)", r"\s+", REFERENCE)
+    )
+
+    def unescaped(text: str) -> str:
+        first, *pieces = text.split("&")
+        for piece in pieces:
+            found = reference.match(piece)
+            name, char = found[1] if found else "", None
+            if name.startswith("#"):
+                code = int(name[2:], 16) if name[1] in "xX" else int(name[1:])
+                char = chr(code) if 0 < code < 0x110000 and not 0xD800 <= code <= 0xDFFF else "\ufffd"
+            elif name:
+                char = known.get(name)
+            first += "&" + piece if char is None else char + piece[len(name) + 1 :]
+        return first
+
+    def class_of(raw: str) -> str:
+        mine = [p for p in attributes.findall(raw) if own_name.match(p)[0].lower() == "class"]
+        value = own_value.search(mine[-1]) if mine else None
+        text = value[1] if value else ""
+        if len(text) > 1 and text[0] in "\"'" and text[-1] == text[0]:
+            text = text[1:-1]
+        return f" {spaces.sub(' ', unescaped(text))} "
+
+    def parsed(raw: str) -> tuple:
+        """Name, is it a close tag, is it closed by itself, classes, and the tests that these pass."""
+        found = tag_name.match(raw)
+        name = found[1].lower() if found else ""
+        classes = class_of(raw) if "class" in raw.lower() else "  "
+        passed = [
+            (j, within)
+            for j, (wanted, having, without, within) in enumerate(marks)
+            if wanted in ("", name) and all(c in classes for c in having) and not any(c in classes for c in without)
+        ]
+        return name, raw.startswith("</"), name in void_names or raw.endswith("/>"), classes, passed
+
+    def intervals(tags: list[tuple]) -> tuple[list, ...]:
+        """End, parent, depth and marked ancestors of each tag of one page."""
+        size = len(tags)
+        ends, parents, depths, ups = [size + 1] * size, [0] * size, [0] * size, [zeros] * size
+        opened: list[tuple[int, str, tuple[int, ...]]] = []
+        places: dict[str, list[int]] = {}  # of each name, where it lies among the open elements
+        for k, (name, closes, void, _, passed) in enumerate(tags):
+            depths[k] = len(opened)
+            if closes:
+                held = places.get(name)
+                ends[k] = 0 if held else -1
+                floor = held[-1] if held else len(opened)
+                while len(opened) > floor:
+                    at, inner, _ = opened.pop()
+                    ends[at - 1] = k + 1
+                    places[inner].pop()
+                continue
+            if opened:
+                parents[k], _, ups[k] = opened[-1]
+            if void:
+                ends[k] = k + 1
+                continue
+            up = down = ups[k]
+            for j, within in passed:
+                if within is None or up[within] > 0:
+                    down = (*down[:j], k + 1, *down[j + 1 :])
+            places.setdefault(name, []).append(len(opened))
+            opened.append((k + 1, name, down))
+        return ends, parents, depths, ups
+
+    @F.arrow_udf(returnType=_ELEMENTS)
+    def fold(pages: pa.Array) -> pa.Array:
+        offsets = pages.offsets.to_pylist()
+        start = offsets[0]
+        raw = pages.values.slice(start, offsets[-1] - start)
+        coded = raw.dictionary_encode()
+        different = [parsed(x) for x in coded.dictionary.to_pylist()]
+        tags = [different[x] for x in coded.indices.to_pylist()]
+        at, found, inner = array("i"), [array("i") for _ in range(3)], array("i")
+        for first, last in zip(offsets, offsets[1:]):
+            at.extend(range(1, last - first + 1))
+            *page, ups = intervals(tags[first - start : last - start])
+            for whole, part in zip(found, page):
+                whole.extend(part)
+            for up in ups:
+                inner.extend(up)
+        places = pa.array(range(0, len(zeros) * len(at) + 1, len(zeros)) if zeros else [0] * (len(at) + 1), pa.int32())
+        up, *numbers = (pa.Array.from_buffers(pa.int32(), len(x), [None, pa.py_buffer(x)]) for x in (inner, at, *found))
+        up = pa.ListArray.from_arrays(places, up)
+        own = [pa.array([t[k] for t in different], kind).take(coded.indices) for k, kind in ((0, pa.string()), (1, pa.bool_()), (3, pa.string()))]
+        elements = pa.StructArray.from_arrays(
+            [*numbers, up, *own, raw], ["at", "end", "parent", "depth", "up", "name", "close", "cls", "raw"]
         )
+        return pa.ListArray.from_arrays(pa.array([x - start for x in offsets], pa.int32()), elements)
 
-    return F.transform(raw, parsed)
+    return fold
 
 
 def element_lists(pages: DataFrame, tests: Sequence[Test] = (), html: str = "html", gaps: str = "_gaps", elements: str = "_elements") -> DataFrame:
@@ -194,13 +231,15 @@ def element_lists(pages: DataFrame, tests: Sequence[Test] = (), html: str = "htm
     and styles are elements without a name and without text.  A null page has no tags.
     Each step leaves through a one-row generator, so that the optimizer does not repeat it.
     """
+    session = pages.sparkSession
+    if session.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default, which is many pages at once
+        session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     keys = [c for c in pages.columns if c != html]
     shown = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), HIDDEN, "<!>")
     return (
         pages.select(*keys, F.explode(F.array(shown)).alias("_shown"))
         .select(*keys, F.explode(F.array(F.struct(F.regexp_extract_all("_shown", F.lit(TAG), F.lit(0)).alias("raw"), F.split("_shown", TAG, -1).alias("gaps")))).alias("_cut"))
-        .select(*keys, F.col("_cut.gaps").alias(gaps), F.explode(F.array(_tags(F.col("_cut.raw")))).alias("_tags"))
-        .select(*keys, gaps, F.explode(F.array(_folded(F.col("_tags"), tests))).alias(elements))
+        .select(*keys, F.col("_cut.gaps").alias(gaps), F.explode(F.array(_elements(tests)(F.col("_cut.raw")))).alias(elements))
     )
 
 

@@ -8,6 +8,7 @@ Pages: ``category, page_no, magasin, url, html``.  Listings: one row per card wi
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,23 +63,16 @@ def page_links(pages: DataFrame, keys: Sequence[str], html: str = "html") -> Dat
 
 def _tagged(name: str, *classes: str) -> Test:
     """Elements of a name ('' for any) with all the classes."""
-
-    def test(element: Column, up: Column) -> Column:
-        wanted = F.lit(True) if not name else element["name"] == name
-        for one in classes:
-            wanted = wanted & has_class(element, one)
-        return wanted
-
-    return test
+    return Test(name, classes)
 
 
 def _within(test: Test, place: int) -> Test:
     """Elements that pass a test below one that passes the test of that place."""
-    return lambda element, up: test(element, up) & (F.get(up, F.lit(place)) > 0)
+    return replace(test, within=place)
 
 
 def _enabled(test: Test) -> Test:
-    return lambda element, up: test(element, up) & ~has_class(element, "disabled")
+    return replace(test, without=("disabled",))
 
 
 _MINIATURES = (_tagged("article", "product-miniature"), _tagged("", "product-miniature"), _tagged("", "js-product-miniature"))
@@ -284,7 +278,7 @@ def pagination_facts(pages: DataFrame) -> DataFrame:
 
 
 def _passes(place: int) -> Callable[[Column], Column]:
-    return lambda e: PAGER_TESTS[place](e, e["up"])
+    return PAGER_TESTS[place].column
 
 
 # --- listings ----------------------------------------------------------------

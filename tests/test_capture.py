@@ -198,3 +198,35 @@ def test_malformed_pages_are_read_once(spark):
     bad = ['<b x="1' * 40_000, "<" * 200_000, "<!--" * 50_000, "<script>" + "x" * 200_000, "</p>" * 3_000, "<div>" * 1_500]
     got = capture.pagination_facts(pages(spark, *[("c", k, "Auchan", h) for k, h in enumerate(bad)])).collect()
     assert len(got) == len(bad) and {r.served_page for r in got} == {1}
+
+
+def test_tags_are_folded_once_whatever_the_page(spark):
+    html = (
+        "<DIV class='a &amp;  b'><p>x<br/><b CLASS=\"x\" class=\"b disabled\">y</p></b><!-- <p> --><script><p></script>"
+        "<p class=b>z<h2 data-class='b'></h2 ></div><i title='1>2'><a/>t"
+    )
+    df = pages(spark, ("c", 1, "Auchan", html), ("c", 2, "Auchan", ""), ("c", 3, "Auchan", None), ("c", 4, "Auchan", "<p>" * 3000))
+    tests = (markup.Test("div", ("&", "b")), markup.Test("", ("b",), ("disabled",), within=0), markup.Test("p"))
+    lists = markup.element_lists(df, tests)
+    got = {r.page_no: [(e.at, e.end, e.parent, e.depth, e.up, e.name, e.close, e.cls) for e in r._elements] for r in lists.collect()}
+    assert got[1] == [
+        (1, 12, 0, 0, [0, 0, 0], "div", False, " a & b "),
+        (2, 5, 1, 1, [1, 0, 0], "p", False, "  "),
+        (3, 3, 2, 2, [1, 0, 2], "br", False, "  "),
+        (4, 5, 2, 2, [1, 0, 2], "b", False, " b disabled "),
+        (5, 0, 0, 3, [0, 0, 0], "p", True, "  "),
+        (6, -1, 0, 1, [0, 0, 0], "b", True, "  "),
+        (7, 7, 1, 1, [1, 0, 0], "", False, "  "),
+        (8, 8, 1, 1, [1, 0, 0], "", False, "  "),
+        (9, 12, 1, 1, [1, 0, 0], "p", False, " b "),
+        (10, 11, 9, 2, [1, 9, 9], "h2", False, "  "),
+        (11, 0, 0, 3, [0, 0, 0], "h2", True, "  "),
+        (12, 0, 0, 2, [0, 0, 0], "div", True, "  "),
+        (13, 15, 0, 0, [0, 0, 0], "i", False, "  "),
+        (14, 14, 13, 1, [0, 0, 0], "a", False, "  "),
+    ]
+    assert got[2] == [] == got[3]
+    assert got[4][-1][:5] == (3000, 3001, 2999, 2999, [0, 0, 2999])
+    # one function makes the elements; no fold of the optimizer's expressions copies its state
+    plan = lists._jdf.queryExecution().optimizedPlan().toString()
+    assert "fold" in plan and "aggregate(" not in plan
