@@ -147,19 +147,27 @@ def priced(listings: DataFrame) -> DataFrame:
     )
 
 
-def dedup_daily(df: DataFrame) -> DataFrame:
+def dedup_daily(df: DataFrame, day: str = "jour") -> DataFrame:
     """One row per shop, day, exact key, price and link: the first of the merged order."""
     return keep_first(
         df,
-        ["magasin_standardise", "jour", "cle_matching_exacte", "prix", "url_produit"],
+        ["magasin_standardise", day, "cle_matching_exacte", "prix", "url_produit"],
         ["magasin", "categorie", "nom_produit"],
     )
 
 
+def daily_rows(raw: DataFrame, share_names: bool = True) -> DataFrame:
+    """Listings with all their columns, one per shop, day, exact key, price and link.
+
+    What follows from a row alone is added after the repeats are gone, so that it is not shuffled with it.
+    """
+    named = with_name_features(coerce_required(raw), share_names)
+    return calendar_columns(priced(dedup_daily(named, "date_scraping")))
+
+
 def analytics(raw: DataFrame, share_names: bool = True) -> DataFrame:
     """The 29-column analytics table (unsorted; see ``analytics_sorted``)."""
-    rows = priced(with_name_features(coerce_required(raw), share_names))
-    return dedup_daily(calendar_columns(rows)).select(*vocab.ANALYTICS_COLUMNS)
+    return daily_rows(raw, share_names).select(*vocab.ANALYTICS_COLUMNS)
 
 
 def analytics_sorted(table: DataFrame) -> DataFrame:

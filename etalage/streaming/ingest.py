@@ -30,8 +30,7 @@ ORDER = ("magasin", "categorie")
 
 def cleaned_rows(raw: DataFrame) -> DataFrame:
     """Analytics rows with the columns that decide between repeated listings, each by the month it belongs to."""
-    rows = cleaning.calendar_columns(cleaning.priced(cleaning.with_name_features(cleaning.coerce_required(raw))))
-    return cleaning.dedup_daily(rows).select(*vocab.ANALYTICS_COLUMNS, *ORDER, F.date_format("jour", "yyyy-MM").alias("_part"))
+    return cleaning.daily_rows(raw).select(*vocab.ANALYTICS_COLUMNS, *ORDER, F.date_format("jour", "yyyy-MM").alias("_part"))
 
 
 def _read(spark: SparkSession, root: str, kind: str, parts: dict[str, str]) -> DataFrame | None:

@@ -161,3 +161,17 @@ def test_row_order_does_not_matter(spark):
         assert got == want
     # one link per shop: the first category and spelling of each key and price stay
     assert len(want[2]) == 2
+
+
+def test_derived_columns_are_not_shuffled_with_the_rows(spark):
+    rows = [("Riz long 1kg", "Epicerie", 900.0, "auchan", "2024-01-02", "/1")] * 3
+    raw = spark.createDataFrame(rows, "nom_produit string, categorie string, prix double, magasin string, date_scraping string, url_produit string")
+    table = cleaning.analytics(raw)
+    (row,) = table.collect()
+    assert str(row.jour) == "2024-01-02" and row.mois_nom == "2024-01" and row.prix_par_kg_ou_l == 900.0
+    # the ranking comes below the columns that follow from a row alone
+    lines = table._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    ranked = next(k for k, line in enumerate(lines) if "Window [row_number()" in line)
+    below = "\n".join(lines[ranked:])
+    assert not any(name in below for name in ("statut_comparabilite", "motif_comparabilite", "mois_nom", "trimestre"))
+    assert "statut_comparabilite" in "\n".join(lines[:ranked])
