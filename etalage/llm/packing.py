@@ -15,7 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from etalage.llm.common import small_batches, written
+from etalage.llm.common import chunks, small_batches, utf8, written
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -23,54 +23,85 @@ WINDOW = 4096
 OPEN_WINDOWS = 32
 #: Sequence ids of merged leftovers start here; those of a partition at its number times 2^32.
 MERGED = 1 << 62
-#: Words, and words of letters only, of one generation that a task remembers; it holds two.
+#: Pieces of one generation that a task remembers; it holds two.
 REMEMBERED = 400_000
-#: Words that one call of the tokenizer encodes.
+#: Pieces of letters that one call of the tokenizer encodes.
 CALL_WORDS = 64
-#: A word of Latin letters, then marks without an apostrophe: its ids are those of the two parts.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?:;|#$%&*()-]*)")
+#: Texts are cut and looked up in parts of about this many bytes, whole documents each.
+PART_BYTES = 2 << 20
+#: Kinds of bytes: a blank or line feed, a Latin letter (those of two bytes are found in the text), a mark without an apostrophe, any other.
+_BLANK, _LETTER, _MARK, _OTHER = 0, 1, 2, 3
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[0x20, 0x0A]] = _BLANK
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[list(b".,!?:;|#$%&*()-")] = _MARK
+#: The lower form of a byte of a Latin letter: A-Z, and the second byte of À-Þ.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_LOWER[0x80:0x9F] += 32
+_LETTERS = re.compile("[a-zà-öø-ÿ]+")
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part long, place long, ids array<int>"
 
 
-def _lowered(text: str) -> str:
-    """The tokenizer lowers every letter; for texts of Latin-1 letters, each of which has one lower form, it is done before."""
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return text
-    return text.lower()
-
-
 class _Memory:
-    """Ids by text in two generations: when the younger is full, what was not used since the last time goes."""
+    """Ids by piece in two generations: when the younger is full, what was not used since the last time goes."""
 
     def __init__(self, size: int) -> None:
         self.size = size
-        self.young: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
-    def missing(self, texts: set[str]) -> list[str]:
-        """Those of the texts that are not known; ones of the older generation become young."""
+    def missing(self, pieces: list[bytes]) -> list[bytes]:
+        """Those of the pieces that are not known; ones of the older generation become young."""
         if len(self.young) > self.size:
             self.young, self.older = {}, self.young
         young, older, new = self.young, self.older, []
-        for text in texts:
-            if text not in young:
-                ids = older.get(text)
+        for piece in pieces:
+            if piece not in young:
+                ids = older.get(piece)
                 if ids is None:
-                    new.append(text)
+                    new.append(piece)
                 else:
-                    young[text] = ids
+                    young[piece] = ids
         return new
 
 
-class Encoder:
-    """Ids of whole texts as bytes of 32-bit numbers, each distinct word encoded once as long as a task remembers it.
+def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of some texts (their bytes, and where each begins) and each text's first piece.
 
-    The tokenizer never joins text across a blank or a line feed, so the ids of a
-    text are those of its words in order.
+    The tokenizer never joins text across a blank or a line feed.  A word of Latin letters, then marks, is cut
+    in two, as its ids are those of the two parts; the letters are lowered, as the tokenizer would.
     """
+    size = len(data)
+    kind = _KIND[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    second = data[lead + 1]
+    lead = lead[(second & 0xC0 == 0x80) & (second != 0x97) & (second != 0xB7)]  # À-ÿ without the signs of product and quotient
+    kind[lead] = kind[lead + 1] = _LETTER
+    before = np.zeros(size, np.uint8)
+    before[1:] = kind[:-1]
+    before[offsets[:-1][offsets[:-1] < size]] = _BLANK
+    text = kind != _BLANK
+    begins = text & (before == _BLANK)
+    word = np.flatnonzero(begins)
+    if not len(word):
+        return pa.array([], pa.large_binary()), np.zeros(len(offsets), np.int64)
+    letter = kind == _LETTER
+    odd = (kind == _OTHER) | (letter & (before == _MARK))
+    plain = letter[word] & ~np.logical_or.reduceat(odd, word)
+    within = np.zeros(size, bool)
+    within[word[0] :] = np.repeat(plain, np.diff(word, append=size))
+    begins |= within & (kind == _MARK) & (before == _LETTER)
+    data = np.where(within & letter, _LOWER[data], data)[text]
+    piece = np.flatnonzero(begins)
+    ends = np.cumsum(np.add.reduceat(text, piece, dtype=np.int64))
+    cut = pa.Array.from_buffers(pa.large_binary(), len(piece), [None, pa.py_buffer(np.concatenate([[0], ends])), pa.py_buffer(data)])
+    return cut, np.searchsorted(piece, offsets)
+
+
+class Encoder:
+    """Ids of whole texts, each distinct piece encoded once as long as a task remembers it (as bytes of 32-bit numbers)."""
 
     def __init__(self, tokenizer: str) -> None:
         import public_tokenizers
@@ -80,57 +111,48 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.words = _Memory(REMEMBERED)
-        self.letters = _Memory(REMEMBERED)
-        self.marks: dict[str, bytes] = {}
-
-    def _encode_letters(self, words: list[str]) -> None:
-        """Words of letters only, some to a call: an id that ends a word parts them."""
-        known = self.letters.young
-        for at in range(0, len(words), CALL_WORDS):
-            group = words[at : at + CALL_WORDS]
-            ids = np.array(self.tokenizer.encode(" ".join(group), add_special_tokens=False).ids, np.int32)
+        self.known = _Memory(REMEMBERED)
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+
+    def learn(self, pieces: list[bytes]) -> None:
+        """Pieces of letters go some to a call: an id that ends a word parts them."""
+        known, letters = self.known.young, []
+        for piece in pieces:
+            text = piece.decode()
+            if _LETTERS.fullmatch(text):
+                letters.append(text)
+            else:
+                known[piece] = self._encode(text).tobytes()
+        for at in range(0, len(letters), CALL_WORDS):
+            group = letters[at : at + CALL_WORDS]
+            ids = self._encode(" ".join(group))
             ends = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
             data, start = ids.tobytes(), 0
-            for word, end in zip(group, ends, strict=True):
-                known[word] = data[start:end]
+            for text, end in zip(group, ends, strict=True):
+                known[text.encode()] = data[start:end]
                 start = end
 
-    def _encode_any(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32).tobytes()
-
-    def learn(self, words: set[str]) -> None:
-        new = self.words.missing(words)
-        if not new:
-            return
-        parts = [m and (m[1].lower(), m[2]) for m in map(_PLAIN.fullmatch, new)]
-        self._encode_letters(self.letters.missing({p[0] for p in parts if p}))
-        known, letters, marks = self.words.young, self.letters.young, self.marks
-        for word, part in zip(new, parts, strict=True):
-            if part is None:
-                known[word] = self._encode_any(word)
-            elif not part[1]:
-                known[word] = letters[part[0]]
-            else:
-                if part[1] not in marks:
-                    if len(marks) > CALL_WORDS * 100:
-                        marks.clear()
-                    marks[part[1]] = self._encode_any(part[1])
-                known[word] = letters[part[0]] + marks[part[1]]
-
-    def texts(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """The ids of each text, some hundred texts looked up at a time."""
-        for at in range(0, len(texts), 256):
-            split = [_lowered(t or "").replace("\n", " ").split(" ") for t in texts[at : at + 256]]
-            self.words.young[""] = b""
-            found = [list(map(self.words.young.get, words)) for words in split]
-            unknown = {w for words, ids in zip(split, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}
-            self.learn(unknown)
-            known = self.words.young
-            for words, ids in zip(split, found, strict=True):
-                if None in ids:
-                    ids = [i if i is not None else known[w] for w, i in zip(words, ids, strict=True)]
-                yield np.frombuffer(b"".join(ids), np.int32)
+    def texts(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text; a null counts as empty."""
+        data, offsets = utf8(column)
+        for row, end in chunks(offsets, PART_BYTES):
+            part = offsets[row : end + 1]
+            cut, first = _pieces(data[part[0] : part[-1]], part - part[0])
+            cut = cut.dictionary_encode()
+            distinct = cut.dictionary.to_pylist()
+            self.learn(self.known.missing(distinct))
+            found = list(map(self.known.young.__getitem__, distinct))
+            ids = np.frombuffer(b"".join(found), np.int32)
+            size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            begin = np.cumsum(size) - size
+            place = cut.indices.to_numpy()
+            ends = np.concatenate([[0], np.cumsum(size[place])])
+            ids = ids[np.repeat(begin[place] - ends[:-1], size[place]) + np.arange(ends[-1])]
+            bounds = ends[first].tolist()
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                yield ids[a:b]
 
 
 def _crc(ids: np.ndarray) -> int:
@@ -221,7 +243,7 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, wind
             for batch in batches:
                 for at in range(0, batch.num_rows, 1024):
                     some = batch.slice(at, 1024)
-                    ids = encoder.texts(some.column("text").to_pylist())
+                    ids = encoder.texts(some.column("text"))
                     parts = [part] * some.num_rows if splits is None else [splits[s] for s in zip(some.column("file").to_pylist(), some.column("at").to_pylist(), strict=True)]
                     for own_part, doc, own in zip(parts, some.column("doc_id").to_pylist(), ids, strict=True):
                         yield own_part, doc, np.append(own, np.int32(end_id))
