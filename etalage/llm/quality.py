@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from etalage.llm.common import _power, checked_broadcast, chunks, dropped, mix, released, small_batches, utf8, written
+from etalage.session import shared_folder
 
 ORDER = 3
+#: Text that is cut at once; its arrays fit the processor's cache.
+PARSED_BYTES = 1 << 17
 #: Runs of letters and digits are cut into pieces of about so many bytes, whole characters each.
 PIECE_BYTES = 6
 #: A document is kept up to this quantile of the held-out trusted texts of its language.
@@ -31,11 +34,13 @@ HELD_OUT = 5
 #: Text whose n-grams are looked up together, text that asks one shard in a round, trusted text to a shard (about).
 BLOCK_BYTES = 8 << 20
 SHARD_BYTES = 64 << 20
-MODEL_BYTES = 3 << 20
+MODEL_BYTES = 2 << 20
+#: Shards that lie in one bucket of the model's table (about).
+BUCKET_SHARDS = 2
 #: Parts in which the documents are scored, one after the other, at every size.
 ROUNDS = 8
 #: Different n-grams that a task collects before it sends them.
-BUNDLED = 1_000_000
+BUNDLED = 800_000
 
 _RANDOM = np.random.RandomState(20240301)
 _BYTE, _PLACE = (_RANDOM.randint(0, 2**63, n, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1) for n in (256, ORDER))
@@ -54,7 +59,7 @@ def _pieces(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     a blank or the text's start is before it belongs to it.  No hash is 0.
     """
     data, offsets = utf8(column)
-    for row, end in chunks(offsets):
+    for row, end in chunks(offsets, PARSED_BYTES):
         part, edges = data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         size = len(part)
         edge = np.zeros(size + 1, bool)
@@ -63,12 +68,18 @@ def _pieces(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         before = np.zeros(size, np.uint8)
         before[1:] = kind[:-1]
         before[edge[:size]] = _BLANK
-        run = np.maximum.accumulate(np.where((kind != _LETTER) | (before != _LETTER), np.arange(size), 0)) if size else np.zeros(0, np.int64)
-        lead = np.flatnonzero(((part & 0xC0) != 0x80) | edge[:size])
-        number = (lead - run[lead]) // PIECE_BYTES
-        new = (kind[lead] != _LETTER) | (run[lead] == lead)
-        new[1:] |= number[1:] != number[:-1]
-        mark = lead[new]
+        begins = (kind != _LETTER) | (before != _LETTER)
+        run = np.flatnonzero(begins).astype(np.int32)
+        since = np.arange(size, dtype=np.int32) - np.repeat(run, np.diff(run, append=np.int32(size)))
+        number, lead = since // PIECE_BYTES, ((part & 0xC0) != 0x80) | edge[:size]
+        if lead.all():
+            begins[1:] |= number[1:] != number[:-1]
+            mark = np.flatnonzero(begins)
+        else:
+            place = np.flatnonzero(lead)
+            number, new = number[place], begins[place]
+            new[1:] |= number[1:] != number[:-1]
+            mark = place[new]
         stop = np.append(mark[1:], size)
         some = kind[mark] != _BLANK
         start, stop = mark[some], stop[some]
@@ -108,21 +119,40 @@ def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _packed(keys: np.ndarray) -> bytes:
-    """Sorted keys as the bytes of their differences, equal places together."""
-    return _planes(np.diff(keys, prepend=np.uint64(0)))
+    """Sorted keys as the first one and the bytes of their differences."""
+    return keys[:1].tobytes() + _planes(np.diff(keys))
 
 
 def _unpacked(packed: bytes) -> np.ndarray:
-    return np.cumsum(_from_planes(packed).view(np.uint64), dtype=np.uint64)
+    if not packed:
+        return np.zeros(0, np.uint64)
+    steps = next(_from_planes(packed, 8)).view(np.uint64)
+    return np.cumsum(np.concatenate([np.frombuffer(packed, np.uint64, 1), steps]), dtype=np.uint64)
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """64-bit numbers with equal places of their bytes together: the high ones are mostly zero and compress well."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Numbers as how many they are, of how many bytes, and these with equal places together; places that are zero everywhere are left out."""
+    if not len(values):
+        return b""
+    places = np.ascontiguousarray(values, np.uint64 if values.dtype == np.uint64 else np.int64).view(np.uint64)
+    width = max(1, (int(places.max()).bit_length() + 7) // 8)
+    return np.array([len(values) << 4 | width]).tobytes() + places.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _from_planes(packed: bytes, at: int = 0) -> Iterator[np.ndarray]:
+    """The rows of numbers that were put one after the other, from a byte on; without bytes there is one row of none."""
+    if at == len(packed):
+        yield np.zeros(0, np.int64)
+    while at < len(packed):
+        size, width = divmod(int(np.frombuffer(packed, np.int64, 1, at)[0]), 16)
+        values = np.zeros((size, 8), np.uint8)
+        values[:, :width] = np.frombuffer(packed, np.uint8, size * width, at + 8).reshape(width, size).T
+        yield values.view(np.int64).ravel()
+        at += 8 + size * width
 
 
-def _from_planes(packed: bytes) -> np.ndarray:
-    return np.frombuffer(packed, np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel()
+def _from_planes_of(packed: bytes, width: int) -> np.ndarray:
+    return np.stack(list(_from_planes(packed))) if packed else np.zeros((width, 0), np.int64)
 
 
 def _runs(ordered: np.ndarray) -> np.ndarray:
@@ -132,9 +162,17 @@ def _runs(ordered: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, one place of each, and how often they are there."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    begin = _runs(keys)
+    return keys[begin], order[begin], np.diff(begin, append=len(keys))
+
+
 def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and the sums of their columns of ``values`` (one row a number)."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     begin = _runs(keys)
     return keys[begin], np.add.reduceat(values[:, order], begin, axis=1) if len(keys) else values
@@ -159,11 +197,10 @@ def _bundle(grams: list[np.ndarray], n: np.ndarray) -> tuple[bytes, bytes, bytes
 
 
 def _unbundle(words: bytes, grams: bytes, n: bytes) -> tuple[list[np.ndarray], np.ndarray]:
-    size = len(grams) // ORDER
-    place = [_from_planes(grams[k * size : (k + 1) * size]) for k in range(ORDER)]
+    place = list(_from_planes(grams))
     place[1] = np.cumsum(place[1])
     known = _unpacked(words)
-    return [known[p] for p in place], _from_planes(n)
+    return [known[p] for p in place], next(_from_planes(n))
 
 
 _COUNTED = "kind string, shard long, level int, keys binary, values binary, n1 long, n2 long, n3 long, n4 long, total long, kinds long"
@@ -194,9 +231,11 @@ def ngram_counts(texts: DataFrame, shards: int) -> DataFrame:
 
     def bundles(held):
         grams = [np.concatenate(g) for g in zip(*(g for g, _ in held), strict=True)]
-        key, place, group = np.unique(_key(grams), return_index=True, return_inverse=True)
-        n = np.bincount(group.ravel(), np.concatenate([n for _, n in held]), len(key)).astype(np.int64)
-        grams = [g[place] for g in grams]
+        key = _key(grams)
+        order = np.argsort(key)
+        begin = _runs(key[order])
+        n = np.add.reduceat(np.concatenate([n for _, n in held])[order], begin)
+        grams = [g[order[begin]] for g in grams]
         shard = _shard(_key(grams[1:]), shards)
         order = np.argsort(shard, kind="stable")
         begin = _runs(shard[order])
@@ -213,7 +252,7 @@ def ngram_counts(texts: DataFrame, shards: int) -> DataFrame:
         for batch in batches:
             for pieces, first in _pieces(batch.column("text")):
                 grams = _grams(pieces, first)
-                _, place, n = np.unique(_key(grams), return_index=True, return_counts=True)
+                _, place, n = _distinct(_key(grams))
                 held.append(([g[place] for g in grams], n))
                 size += len(place)
                 if size > BUNDLED:
@@ -225,10 +264,20 @@ def ngram_counts(texts: DataFrame, shards: int) -> DataFrame:
     return texts.select("text").mapInArrow(count, "shard long, words binary, grams binary, n binary")
 
 
-def kneser_ney(texts: DataFrame, shards: int) -> tuple[list[DataFrame], dict[int, tuple[float, float, float]], tuple[float, float]]:
-    """The tables of the model, the discounts of each order, and (share of one count, p of an unseen piece) of order 1.
+def _bucketed(model: DataFrame, shards: int) -> DataFrame:
+    """The model written in buckets of shards, so that nothing that asks it shuffles it again."""
+    spark, path = model.sparkSession, shared_folder(model.sparkSession, "model")
+    name, buckets = path.rsplit("/", 1)[1].replace("-", "_"), -(-shards // BUCKET_SHARDS)
+    model.repartition(buckets, "shard").write.bucketBy(buckets, "shard").option("path", path).saveAsTable(name)
+    table = spark.table(name)
+    table.named, table.written_to = name, path
+    return table
 
-    The tables hold, by shard, the counts of all n-grams and the sums of their
+
+def kneser_ney(texts: DataFrame, shards: int) -> tuple[DataFrame, dict[int, tuple[float, float, float]], tuple[float, float]]:
+    """The table of the model, the discounts of each order, and (share of one count, p of an unseen piece) of order 1.
+
+    The table holds, by shard, the counts of all n-grams and the sums of their
     contexts, from which a modified Kneser-Ney probability is made when it is asked
     for.  Lower orders count the different pieces seen before an n-gram.
     """
@@ -238,7 +287,7 @@ def kneser_ney(texts: DataFrame, shards: int) -> tuple[list[DataFrame], dict[int
         shard, parts = left.column("shard")[0].as_py(), [_unbundle(*(v.as_py() for v in row)) for row in zip(*(left.column(c) for c in ("words", "grams", "n")), strict=True)]
         grams = [np.concatenate(g) for g in zip(*(g for g, _ in parts), strict=True)]
         key = _key(grams)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key = key[order]
         begin = _runs(key)
         n = np.add.reduceat(np.concatenate([n for _, n in parts])[order], begin)
@@ -247,7 +296,7 @@ def kneser_ney(texts: DataFrame, shards: int) -> tuple[list[DataFrame], dict[int
         for level in range(ORDER, 1, -1):
             keys, sums = _summed(_key(grams[:-1]), _classes(n))
             rows += [("context", s, level - 1, _packed(keys[at]), b"".join(_planes(v[at]) for v in sums), *[None] * 6) for s, at in _by_shard(keys, shards)]
-            tail, place, n = np.unique(_key(grams[1:]), return_index=True, return_counts=True)
+            tail, place, n = _distinct(_key(grams[1:]))
             grams = [g[place] for g in grams[1:]]
             if level > 2:
                 rows.append(_counted(level - 1, shard, tail, n))
@@ -269,10 +318,10 @@ def kneser_ney(texts: DataFrame, shards: int) -> tuple[list[DataFrame], dict[int
     parts = written(ngram_counts(texts, shards).groupBy("shard").applyInArrow(merged, _COUNTED), "ngrams")
     released(spark)
     sums = written(parts.where("kind <> 'count'").groupBy("shard").applyInArrow(united, _COUNTED), "contexts")
-    grams = written(parts.where("kind = 'count'"), "grams")
-    dropped(parts)
+    model = _bucketed(parts.where("kind = 'count'").union(sums), shards)
+    dropped(parts, sums)
     released(spark)
-    whole = grams.union(sums).where("kind = 'count'").groupBy("level").agg(*(F.sum(c).alias(c) for c in ("n1", "n2", "n3", "n4", "total", "kinds"))).collect()  # one row an order
+    whole = model.where("kind = 'count'").groupBy("level").agg(*(F.sum(c).alias(c) for c in ("n1", "n2", "n3", "n4", "total", "kinds"))).collect()  # one row an order
     discounts, base = {}, (0.0, 1.0)
     for r in whole:
         y = r.n1 / (r.n1 + 2 * r.n2) if r.n1 + 2 * r.n2 else 0.5
@@ -282,12 +331,7 @@ def kneser_ney(texts: DataFrame, shards: int) -> tuple[list[DataFrame], dict[int
             d1, d2, d3 = discounts[1]
             left = d1 * r.n1 + d2 * r.n2 + d3 * (r.kinds - r.n1 - r.n2)
             base = (1 / r.total, left / r.total / (r.kinds + 1))  # what is left goes to all pieces and one unseen alike
-    return [grams, sums], discounts, base
-
-
-def _from_planes_of(packed: bytes, width: int) -> np.ndarray:
-    size = len(packed) // width
-    return np.stack([_from_planes(packed[k * size : (k + 1) * size]) for k in range(width)])
+    return model, discounts, base
 
 
 def _in_blocks(docs: DataFrame) -> DataFrame:
@@ -310,7 +354,7 @@ def _answers(docs: DataFrame, model: DataFrame, shards: int) -> DataFrame:
     def asked(batches):
         def sent(block, held):
             keys, home = (np.concatenate(h) for h in zip(*held, strict=True))
-            keys, place = np.unique(keys, return_index=True)
+            keys, place, _ = _distinct(keys)
             shard = home[place]
             order = np.argsort(shard, kind="stable")  # keys stay in order within a shard
             begin = _runs(shard[order])
@@ -338,7 +382,7 @@ def _answers(docs: DataFrame, model: DataFrame, shards: int) -> DataFrame:
                     starts = first[:-1][np.diff(first) > 0]
                     keys = [*grams, *(c[starts] for c in contexts)]
                     home = [_shard(k, shards) for k in [*grams[:-1], grams[-2], *keys[len(grams) :]]]
-                    distinct, place = np.unique(np.concatenate(keys), return_index=True)
+                    distinct, place, _ = _distinct(np.concatenate(keys))
                     held.append((distinct, np.concatenate(home)[place].astype(np.int32)))
         if held:
             yield sent(now, held)
@@ -363,11 +407,15 @@ def _answers(docs: DataFrame, model: DataFrame, shards: int) -> DataFrame:
 
 
 class Model:
-    """A model of some texts: its tables, and what of it is the same for all n-grams."""
+    """A model of some texts: its table, and what of it is the same for all n-grams."""
 
     def __init__(self, texts: DataFrame, shards: int) -> None:
         self.shards = shards
-        self.tables, self.discounts, self.base = kneser_ney(texts, shards)
+        self.table, self.discounts, self.base = kneser_ney(texts, shards)
+
+    def drop(self) -> None:
+        self.table.sparkSession.sql(f"DROP TABLE IF EXISTS {self.table.named}")
+        dropped(self.table)
 
     def perplexities(self, docs: DataFrame, rounds: int = 1, kept: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
         """``docs`` with _pieces and _perplexity (null for a text without pieces) of every whole text, after ``kept``.
@@ -401,30 +449,38 @@ class Model:
                 # a column of zeros behind the last stands for all that the model does not hold
                 held[kind] = keys[order], np.concatenate([values[:, order], np.zeros((width, 1), np.int64)], axis=1)
 
-            def looked_up(kind, own):
-                keys, values = held[kind]
-                distinct, group = np.unique(own, return_inverse=True)
+            def places(kind, distinct):
+                keys = held[kind][0]
                 place = np.searchsorted(keys, distinct)
                 there = place < len(keys)
                 there[there] = keys[place[there]] == distinct[there]
-                return values[:, np.where(there, place, len(keys))[group.ravel()]]
+                return np.where(there, place, len(keys))
 
             sums, sizes = [np.zeros(0)], [np.zeros(0, np.int64)]
             for pieces, first in _pieces(left.column("text")):
                 grams, contexts = _chains(_grams(pieces, first))
-                p = np.full(len(pieces), unseen)
+                starts = first[:-1][np.diff(first) > 0]
+                p, sums_before = np.full(len(pieces), unseen), None
                 for n, own in enumerate(grams, 1):
                     if n not in discounts:
                         continue  # a model of no texts
-                    seen = looked_up("count", own)[0]
+                    # a context is the n-gram of the place before, but for those at a text's start
+                    more = contexts[n - 1][starts] if n < ORDER else own[:0]
+                    distinct, group = np.unique(np.concatenate([own, more]), return_inverse=True)
+                    seen = held["count"][1][0][places("count", distinct)[group[: len(own)]]]
                     less = seen - discounts[n][np.minimum(seen, 3)]
                     if n == 1:
                         p = less * unit + unseen
-                        continue
-                    total, *classes = looked_up("context", contexts[n - 2])
-                    known = total > 0
-                    left_over = sum(d * c for d, c in zip(discounts[n][1:], classes, strict=True))
-                    p = np.where(known, (less + left_over * p) / np.maximum(total, 1), p)
+                    else:
+                        total, *classes = sums_before
+                        left_over = sum(d * c for d, c in zip(discounts[n][1:], classes, strict=True))
+                        p = np.where(total > 0, (less + left_over * p) / np.maximum(total, 1), p)
+                    if n < ORDER:
+                        place = places("context", distinct)[group]
+                        before = np.empty(len(own), np.int64)
+                        before[1:] = place[: len(own) - 1]
+                        before[starts] = place[len(own) :]
+                        sums_before = held["context"][1][:, before]
                 total = np.concatenate([[0.0], np.cumsum(-np.log(p))])
                 sums.append(np.diff(total[first]))
                 sizes.append(np.diff(first))
@@ -432,8 +488,7 @@ class Model:
             value = pa.array(np.exp(np.concatenate(sums) / np.maximum(size, 1)), mask=size == 0)
             return pa.table([*(left.column(c) for c in names), pa.array(size), value], names=[*names, "_pieces", "_perplexity"])
 
-        model = self.tables[0].union(self.tables[1])
-        return blocks.groupBy("_block").cogroup(_answers(blocks, model, self.shards).groupBy("_block")).applyInArrow(score, schema)
+        return blocks.groupBy("_block").cogroup(_answers(blocks, self.table, self.shards).groupBy("_block")).applyInArrow(score, schema)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -480,7 +535,7 @@ def _scored(docs: DataFrame, labels: DataFrame, quantile: float, result: Callabl
         return result(scored.withColumn("_threshold", limit).withColumn("_kept", kept).drop("_lang", "_own"))
 
     found = model.perplexities(docs, ROUNDS, judged)
-    dropped(*model.tables)
+    model.drop()
     return found
 
 

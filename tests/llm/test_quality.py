@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 
 from etalage.llm import quality
@@ -72,3 +73,21 @@ def test_model_of_no_texts_rejects_nothing(spark):
     got = quality_scores(docs.withColumn("kept", docs.lang).withColumn("_block", docs.lang), labels).collect()
     assert sorted((r.kept, r.threshold) for r in got) == [(False, None), (True, None), (True, None)]
     assert HELD_OUT > 1 and quality_scores(docs.limit(0), labels).count() == 0
+
+
+def test_numbers_travel_in_the_bytes_they_need():
+    for values in (np.ones(1000, np.int64), np.array([0, 255, 3]), np.array([2**40, 1]), np.zeros(3, np.int64), np.zeros(0, np.int64)):
+        packed = quality._planes(values)
+        assert np.array_equal(next(quality._from_planes(packed)), values)
+    assert len(quality._planes(np.ones(1000, np.int64))) < 1100
+    for keys in (np.array([5], np.uint64), np.array([1, 2**63, 2**64 - 1], np.uint64), np.zeros(0, np.uint64)):
+        assert np.array_equal(quality._unpacked(quality._packed(keys)), keys)
+
+
+def test_the_model_is_not_shuffled_again_to_be_asked(spark):
+    model = Model(spark.createDataFrame([(t,) for t in _texts(30, 4)], "text string"), 6)
+    docs = quality._in_blocks(spark.createDataFrame(list(enumerate(_texts(5, 5))), "doc_id bigint, text string"))
+    plan = quality._answers(docs, model.table, model.shards)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1, plan
+    model.drop()
+    assert not spark.catalog.tableExists(model.table.named)
