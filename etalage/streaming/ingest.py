@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from etalage import vocab
@@ -28,9 +28,13 @@ KINDS = ("rows", "history", "values", "panel")
 ORDER = ("magasin", "categorie")
 
 
+def _month() -> Column:
+    return F.date_format("jour", "yyyy-MM").alias("_mois")
+
+
 def cleaned_rows(raw: DataFrame) -> DataFrame:
     """Analytics rows with the columns that decide between repeated listings, each by the month it belongs to."""
-    return cleaning.daily_rows(raw).select(*vocab.ANALYTICS_COLUMNS, *ORDER, F.date_format("jour", "yyyy-MM").alias("_part"))
+    return cleaning.daily_rows(raw).select(*vocab.ANALYTICS_COLUMNS, *ORDER, _month())
 
 
 def _read(spark: SparkSession, root: str, kind: str, parts: dict[str, str]) -> DataFrame | None:
@@ -39,6 +43,10 @@ def _read(spark: SparkSession, root: str, kind: str, parts: dict[str, str]) -> D
     return spark.read.parquet(*folders) if folders else None
 
 
+def _months(rows: DataFrame) -> list[str]:
+    return [r[0] for r in rows.select("_mois").distinct().collect()]  # one per month
+
+
 def merge_batch(root: str, batch: DataFrame, batch_id: int) -> None:
     """Merge one micro-batch of raw listings and publish the version with it.
 
@@ -51,22 +59,27 @@ def merge_batch(root: str, batch: DataFrame, batch_id: int) -> None:
     current: dict[str, Any] = read_manifest(spark, root) or {"batch": -1, **{kind: {} for kind in KINDS}}
     if batch_id <= current["batch"]:
         return
-    scratch = shared_folder(spark, "batch")
-    cleaned_rows(batch).write.parquet(scratch)
-    fresh = spark.read.parquet(scratch)
-    touched = [r[0] for r in fresh.select("_part").distinct().collect()]  # one per month
     parts: dict[str, dict[str, str]] = {kind: dict(current[kind]) for kind in KINDS}
-    if touched:
+    cleaned, folder = cleaned_rows(batch), staging_folder(root)
+    name = folder.rsplit("/", 1)[1]
+    names = [c for c in cleaned.columns if c != "_mois"]
+    if not parts["rows"]:  # nothing to merge with: the rows go to their months at once
+        cleaned.write.partitionBy("_mois").parquet(f"{folder}/rows")
+        touched = _months(spark.read.schema(cleaned.schema).parquet(f"{folder}/rows"))
+    else:
+        scratch = shared_folder(spark, "batch")
+        cleaned.write.parquet(scratch)
+        fresh = spark.read.schema(cleaned.schema).parquet(scratch)
+        touched = _months(fresh)
         known = _read(spark, root, "rows", {m: parts["rows"][m] for m in touched if m in parts["rows"]})
-        fresh = fresh.drop("_part")
-        merged = cleaning.dedup_daily(fresh.unionByName(known) if known is not None else fresh)
-        folder = staging_folder(root)
-        name = folder.rsplit("/", 1)[1]
-        month = F.date_format("jour", "yyyy-MM").alias("_mois")
-        merged.select("*", month).write.partitionBy("_mois").parquet(f"{folder}/rows")
-        rows = spark.read.schema(merged.schema).parquet(*[f"{folder}/rows/_mois={m}" for m in touched]).drop(*ORDER)
+        if known is not None:  # a batch has no daily repeats of its own left
+            fresh = cleaning.dedup_daily(fresh.drop("_mois").unionByName(known)).withColumn("_mois", _month())
+        if touched:
+            fresh.write.partitionBy("_mois").parquet(f"{folder}/rows")
+    if touched:
+        rows = spark.read.schema(cleaned.select(*names).schema).parquet(*[f"{folder}/rows/_mois={m}" for m in touched]).drop(*ORDER)
         history = kpi.prepare_history(with_lineage(rows))
-        history.select("*", month).write.partitionBy("_mois").parquet(f"{folder}/history")
+        history.select("*", _month()).write.partitionBy("_mois").parquet(f"{folder}/history")
         written = [m for m in touched if exists(spark, f"{folder}/history/_mois={m}")]
         prices = kpi.reliable_prices(_read(spark, root, "history", dict.fromkeys(written, name))) if written else None
         states = {"values": kpi.price_counts, "panel": kpi.daily_panel} if written else {}

@@ -182,3 +182,17 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path, monkeypatch):
     kept = versions.read_manifest(spark, out)
     ingest.merge_batch(out, everything, kept["batch"])  # a repeated batch changes nothing
     assert versions.read_manifest(spark, out) == kept
+
+
+def test_a_first_batch_is_deduplicated_once(spark, tmp_path, monkeypatch):
+    raw = star.raw_listing(spark, SF).limit(300).cache()
+    merges = []
+    monkeypatch.setattr(ingest.cleaning, "dedup_daily", lambda df, *day, kept=ingest.cleaning.dedup_daily: merges.append(day) or kept(df, *day))
+    ingest.merge_batch(str(tmp_path / "t"), raw, 0)
+    assert merges == [("date_scraping",)]
+    ingest.merge_batch(str(tmp_path / "t"), raw, 1)  # all repeats of what is known
+    assert merges[1:] == [("date_scraping",), ()]
+    got, want = ingest.stored(spark, str(tmp_path / "t"), "rows"), ingest.cleaned_rows(raw).drop("_mois")
+    assert got.count() == want.count() and got.select(*want.columns).exceptAll(want).count() == 0
+    ingest.merge_batch(str(tmp_path / "e"), raw.limit(0), 0)
+    assert ingest.stored_history(spark, str(tmp_path / "e")) is None
