@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -289,6 +290,11 @@ def crawl_key(listing: DataFrame) -> list[str]:
     return [c for c in ("magasin", "snapshot", "category") if c in listing.columns]
 
 
+def _believable(name: Column, price: Column, floors: Mapping[str, float] = vocab.PRICE_FLOORS) -> Column:
+    table = F.create_map(*[F.lit(p) for pair in floors.items() for p in pair])
+    return (name != "") & (price >= F.coalesce(F.try_element_at(table, F.col("magasin")), F.lit(0.0)))
+
+
 def valid_listing(
     listing: DataFrame, floors: Mapping[str, float] = vocab.PRICE_FLOORS
 ) -> DataFrame:
@@ -296,16 +302,13 @@ def valid_listing(
 
     A shop without a floor keeps all its priced cards.
     """
-    table = F.create_map(*[F.lit(p) for pair in floors.items() for p in pair])
     priced = listing.withColumns(
         {
             "nom_produit": tx.clean_name(F.col("name")),
             "prix": tx.price_text(F.col("price_text")),
             "url_produit": tx.resolve_url(F.col("href"), F.col("magasin")),
         }
-    ).filter(
-        (F.col("nom_produit") != "") & (F.col("prix") >= F.coalesce(F.try_element_at(table, F.col("magasin")), F.lit(0.0)))
-    )
+    ).filter(_believable(F.col("nom_produit"), F.col("prix"), floors))
     first = Window.partitionBy(*crawl_key(listing), "page_no", "nom_produit").orderBy("pos")
     return (
         priced.withColumn("_rang", F.row_number().over(first))
@@ -314,62 +317,64 @@ def valid_listing(
     )
 
 
-def _items(listing: DataFrame) -> DataFrame:
-    """Distinct (name, href) of each page with their count and first page in the category."""
+def _placed(listing: DataFrame) -> DataFrame:
+    """Rows with their item ``nom`` and ``lien``, whether they show one, and the first page of the crawl that does.
+
+    Rows are dealt by crawl, so what is asked of its pages and items needs no further shuffle.
+    """
     key = crawl_key(listing)
-    cleaned = listing.select(
-        *key,
-        "page_no",
-        tx.clean_name(F.col("name")).alias("nom"),
-        F.trim(F.coalesce("href", F.lit(""))).alias("lien"),
-    ).filter((F.col("nom") != "") | (F.col("lien") != ""))
-    counted = cleaned.groupBy(*key, "page_no", "nom", "lien").agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    first = counted.groupBy(*key, "nom", "lien").agg(F.min("page_no").alias("_premiere"))
-    return counted.join(first, [*key, "nom", "lien"])
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*key, "page_no")])
+    shown = listing.repartition(*key).withColumns(
+        {"nom": tx.clean_name(F.col("name")), "lien": F.trim(F.coalesce("href", F.lit("")))}
+    ).withColumn("_montre", whole & ((F.col("nom") != "") | (F.col("lien") != "")))
+    first = F.min(F.when(F.col("_montre"), F.col("page_no"))).over(Window.partitionBy(*key, "nom", "lien"))
+    return shown.withColumn("_premiere", first)
+
+
+def _overlap() -> Column:
+    """Aggregate: share of a page's shown items that an earlier page showed."""
+    repeated = F.count_if(F.col("_montre") & (F.col("_premiere") < F.col("page_no")))
+    return F.coalesce(ratio(repeated, F.count_if("_montre")), F.lit(0.0)).alias("recouvrement")
 
 
 def page_overlap(listing: DataFrame) -> DataFrame:
     """Share of each page's items that an earlier page of the category already showed."""
-    repeated = F.sum(F.when(F.col("_premiere") < F.col("page_no"), F.col("_n")).otherwise(0))
-    key = [*crawl_key(listing), "page_no"]
-    shares = _items(listing).groupBy(*key).agg(
-        ratio(repeated, F.sum("_n")).alias("recouvrement")
-    )
-    pages = listing.select(*key).distinct()
-    return pages.join(shares, key, "left").na.fill(0.0, ["recouvrement"])
+    return _placed(listing).groupBy(*crawl_key(listing), "page_no").agg(_overlap())
 
 
 def crawl_pages(listing: DataFrame, threshold: float = OVERLAP_LIMIT) -> DataFrame:
     """One row per page with the first reason, if any, to stop the category there.
 
-    A signature is as long as its page, so the per-page lists stay small; a digest
-    of it is what meets the next page's.
+    All facts of a page are one aggregate over its rows.  A signature is as long as its page, so the
+    per-page lists stay small; a digest of it is what meets the next page's.
     """
     crawl = crawl_key(listing)
     key = [*crawl, "page_no"]
-    nom, lien = tx.clean_name(F.col("name")), F.trim(F.coalesce("href", F.lit("")))
     carded = F.col("pos").isNotNull()
-    pages = listing.groupBy(*key).agg(
-        F.max("served_page").alias("served_page"),
-        F.bool_or("has_next").alias("has_next"),
-        F.count_if(carded).alias("_cartes"),
-        F.sort_array(
-            F.collect_list(
-                F.when(
-                    carded & ((nom != "") | (lien != "")),
-                    F.struct("pos", nom.alias("nom"), lien.alias("lien")),
-                )
-            )
-        ).alias("_positions"),
-    ).withColumn("_signature", F.md5(F.to_json(F.transform("_positions", lambda i: F.struct(i.nom, i.lien))))).drop("_positions")
-    new_valid = (
-        valid_listing(listing)
-        .select(*key, F.col("nom_produit").alias("nom"), F.trim("href").alias("lien"))
-        .join(_items(listing), [*key, "nom", "lien"])
+    rank = F.row_number().over(Window.partitionBy(*key, "nom", "_credible").orderBy("pos"))
+    pages = (
+        _placed(listing)
+        .withColumn("_credible", F.coalesce(_believable(F.col("nom"), tx.price_text(F.col("price_text"))), F.lit(False)))
+        .withColumn("_valide", F.col("_credible") & (rank == 1))
+        .na.drop(subset=key)
         .groupBy(*key)
-        .agg(F.count_if(F.col("_premiere") == F.col("page_no")).alias("nouveaux"))
+        .agg(
+            F.max("served_page").alias("served_page"),
+            F.bool_or("has_next").alias("has_next"),
+            F.count_if(carded).alias("_cartes"),
+            F.sort_array(
+                F.collect_list(
+                    F.when(
+                        carded & ((F.col("nom") != "") | (F.col("lien") != "")),
+                        F.struct("pos", "nom", "lien"),
+                    )
+                )
+            ).alias("_positions"),
+            _overlap(),
+            F.count_if(F.col("_valide") & F.col("href").isNotNull() & (F.col("_premiere") == F.col("page_no"))).alias("nouveaux"),
+        )
+        .withColumn("_signature", F.md5(F.to_json(F.transform("_positions", lambda i: F.struct(i.nom, i.lien)))))
+        .drop("_positions")
     )
     before = F.lag("_signature").over(Window.partitionBy(*crawl).orderBy("page_no"))
     reason = (
@@ -380,13 +385,7 @@ def crawl_pages(listing: DataFrame, threshold: float = OVERLAP_LIMIT) -> DataFra
         .when((F.col("nouveaux") == 0) & (F.col("page_no") > 1), F.lit("rien_de_nouveau"))
         .when(~F.col("has_next"), F.lit("derniere_page"))
     )
-    return (
-        pages.join(page_overlap(listing), key)
-        .join(new_valid, key, "left")
-        .na.fill(0, ["nouveaux"])
-        .withColumn("motif_arret", reason)
-        .select(*key, "recouvrement", "nouveaux", "motif_arret")
-    )
+    return pages.withColumn("motif_arret", reason).select(*key, "recouvrement", "nouveaux", "motif_arret")
 
 
 def crawl_cutoff(listing: DataFrame, threshold: float = OVERLAP_LIMIT) -> DataFrame:
@@ -404,6 +403,12 @@ def crawl_cutoff(listing: DataFrame, threshold: float = OVERLAP_LIMIT) -> DataFr
 
 def kept_listing(listing: DataFrame, threshold: float = OVERLAP_LIMIT) -> DataFrame:
     """Valid cards of the pages before and at the stop; the stopping page counts."""
-    key = [*crawl_key(listing), "page_no"]
-    kept = crawl_cutoff(listing, threshold).select(*key)
-    return valid_listing(listing).join(kept, key, "left_semi")
+    crawl = crawl_key(listing)
+    stop = F.min(F.when(F.col("motif_arret").isNotNull(), F.col("page_no"))).alias("_arret")
+    stops = crawl_pages(listing, threshold).groupBy(*crawl).agg(stop)
+    cards = valid_listing(listing.repartition(*crawl))
+    return (
+        cards.join(stops, crawl)
+        .filter(F.col("page_no").isNotNull() & (F.col("_arret").isNull() | (F.col("page_no") <= F.col("_arret"))))
+        .select(*crawl, "page_no", *[c for c in cards.columns if c not in (*crawl, "page_no")])
+    )

@@ -230,3 +230,35 @@ def test_tags_are_folded_once_whatever_the_page(spark):
     # one function makes the elements; no fold of the optimizer's expressions copies its state
     plan = lists._jdf.queryExecution().optimizedPlan().toString()
     assert "fold" in plan and "aggregate(" not in plan
+
+
+def test_a_crawl_is_shuffled_once_and_keeps_rows_as_before(spark):
+    schema = "magasin string, category string, page_no bigint, pos bigint, name string, href string, price_text string, served_page bigint, has_next boolean"
+    rows = [
+        ("X", "c", 1, 1, "riz", "/a", "900 FCFA", 1, True),
+        ("X", "c", 1, 2, "riz", "/b", "800 FCFA", 1, True),  # a second card of that name
+        ("X", "c", 1, 3, "the", None, "700 FCFA", 1, True),
+        ("X", "c", 2, 1, "riz", "/a", "900 FCFA", 2, True),
+        ("X", "c", 2, 2, "sel", "/s", "x", 2, True),
+        ("X", "c", 3, 1, "riz", "/a", "900 FCFA", 3, True),
+        ("X", "c", 4, 1, "eau", "/e", "900 FCFA", 4, True),
+        ("X", None, 1, 1, "riz", "/a", "900 FCFA", 1, True),
+        ("X", "c", None, 1, "riz", "/a", "900 FCFA", 1, True),
+        ("X", "d", 1, None, None, None, None, 1, True),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    found = {(r.category, r.page_no): (r.recouvrement, r.nouveaux, r.motif_arret) for r in capture.crawl_pages(df).collect()}
+    assert found == {
+        ("c", 1): (0.0, 1, None), ("c", 2): (0.5, 0, "rien_de_nouveau"), ("c", 3): (1.0, 0, "page_deja_vue"),
+        ("c", 4): (0.0, 1, None), ("d", 1): (0.0, 0, "page_vide"),
+    }
+    kept = capture.kept_listing(df)
+    assert kept.columns[:3] == ["magasin", "category", "page_no"]
+    assert sorted((r.page_no, r.pos) for r in kept.collect()) == [(1, 1), (1, 3), (2, 1)]
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plans = [f(df)._jdf.queryExecution().executedPlan().toString() for f in (capture.crawl_cutoff, capture.kept_listing)]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [1, 2]
