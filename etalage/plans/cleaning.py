@@ -14,6 +14,11 @@ from etalage.functions import text as tx
 from etalage.operators.dedupe import keep_first
 from etalage.operators.stats import join_null_safe
 from etalage.operators.wide import wide_prices
+from etalage.session import stored
+
+
+#: What the name features and the labels depend on.
+ENTRY = ("nom_produit", "categorie", "magasin")
 
 
 def coerce_required(raw: DataFrame) -> DataFrame:
@@ -79,6 +84,12 @@ def with_labels(df: DataFrame) -> DataFrame:
     )
 
 
+def catalogue(listings: DataFrame) -> DataFrame:
+    """The distinct entries of the listings, each name parsed and each entry labelled once."""
+    entries = listings.select(*ENTRY).distinct()
+    return with_labels(entries).join(name_features(entries.select("nom_produit").distinct()), "nom_produit")
+
+
 def with_name_features(listings: DataFrame, share_names: bool = True) -> DataFrame:
     """Add the name features and the standard labels to every listing.
 
@@ -93,10 +104,7 @@ def with_name_features(listings: DataFrame, share_names: bool = True) -> DataFra
     """
     if not share_names:
         return with_labels(name_features(listings))
-    entry = ["nom_produit", "categorie", "magasin"]
-    entries = listings.select(*entry).distinct()
-    names = name_features(entries.select("nom_produit").distinct())
-    return join_null_safe(listings, with_labels(entries).join(names, "nom_produit"), entry)
+    return join_null_safe(listings, catalogue(listings), ENTRY)
 
 
 def calendar_columns(df: DataFrame, date: str = "date_scraping") -> DataFrame:
@@ -148,10 +156,13 @@ def priced(listings: DataFrame) -> DataFrame:
 
 
 def dedup_daily(df: DataFrame, day: str = "jour") -> DataFrame:
-    """One row per shop, day, exact key, price and link: the first of the merged order."""
+    """One row per shop, day, exact key, price and link: the first of the merged order.
+
+    The price leads, as the sort then mostly compares numbers.
+    """
     return keep_first(
         df,
-        ["magasin_standardise", day, "cle_matching_exacte", "prix", "url_produit"],
+        ["prix", day, "cle_matching_exacte", "magasin_standardise", "url_produit"],
         ["magasin", "categorie", "nom_produit"],
     )
 
@@ -160,9 +171,17 @@ def daily_rows(raw: DataFrame, share_names: bool = True) -> DataFrame:
     """Listings with all their columns, one per shop, day, exact key, price and link.
 
     What follows from a row alone is added after the repeats are gone, so that it is not shuffled with it.
+    With shared names the rows are shuffled as they are delivered, with their shop and exact key only, and meet
+    the rest of the catalogue, which is stored, afterwards.  They are dealt by day and key: the history's dedupe
+    and the daily panel need no other order, and every table of one query that starts here has the same shuffle.
     """
-    named = with_name_features(coerce_required(raw), share_names)
-    return calendar_columns(priced(dedup_daily(named, "date_scraping")))
+    rows = coerce_required(raw)
+    if not share_names:
+        return calendar_columns(priced(dedup_daily(with_name_features(rows, False), "date_scraping")))
+    entries, keys = stored(catalogue(rows), "catalogue"), ("magasin_standardise", "cle_matching_exacte")
+    keyed = join_null_safe(rows, entries.select(*ENTRY, *keys), ENTRY)
+    kept = dedup_daily(keyed.repartition("date_scraping", "cle_matching_exacte"), "date_scraping")
+    return calendar_columns(priced(join_null_safe(kept, entries.drop(*keys), ENTRY)))
 
 
 def analytics(raw: DataFrame, share_names: bool = True) -> DataFrame:

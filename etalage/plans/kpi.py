@@ -46,12 +46,12 @@ def usable_rows(snapshots: DataFrame) -> DataFrame:
 def prepare_history(snapshots: DataFrame) -> DataFrame:
     """Usable rows of the united snapshots, one per shop, day, key, price and source file.
 
-    Texts that a CSV export would read back as missing become null here.
+    Texts that a CSV export would read back as missing become null here; shop and key of a usable row are none.
     """
     usable = usable_rows(snapshots)
     kept = keep_last(
         usable,
-        ["magasin_standardise", "jour", "cle_matching_exacte", "prix", "source_file"],
+        ["prix", "jour", "cle_matching_exacte", "magasin_standardise", "source_file"],
         [
             c
             for c in ("date_scraping", "categorie_standardisee", "nom_nettoye", "nom_produit", "url_produit")
@@ -61,7 +61,7 @@ def prepare_history(snapshots: DataFrame) -> DataFrame:
     texts = {
         f.name: blank_to_null(f.name)
         for f in kept.schema
-        if isinstance(f.dataType, T.StringType) and f.name != "source_file"
+        if isinstance(f.dataType, T.StringType) and f.name not in ("source_file", "magasin_standardise", "cle_matching_exacte")
     }
     return kept.withColumns(texts).withColumns(
         {

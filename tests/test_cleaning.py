@@ -175,3 +175,22 @@ def test_derived_columns_are_not_shuffled_with_the_rows(spark):
     below = "\n".join(lines[ranked:])
     assert not any(name in below for name in ("statut_comparabilite", "motif_comparabilite", "mois_nom", "trimestre"))
     assert "statut_comparabilite" in "\n".join(lines[:ranked])
+
+
+def test_rows_are_shuffled_once_and_narrow_from_listing_to_panel(spark):
+    from etalage.plans import kpi
+    from etalage.sources.snapshots import with_lineage
+
+    raw = spark.createDataFrame([("Riz long 1kg", "Epicerie", 900.0, "auchan", "2024-01-02", "/1")] * 3, RAW).repartition(2)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        table = cleaning.analytics(raw)
+        panel = kpi.daily_panel(kpi.reliable_prices(kpi.prepare_history(with_lineage(table))))
+        plan = panel._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert plan.count("Exchange hashpartitioning") == 1  # dedupe, history, panel and its windows
+    below = plan[plan.index("Exchange hashpartitioning") :].split("BroadcastHashJoin")[0]
+    assert "nom_nettoye" not in below and "quantite" not in below
+    assert [(r.prix_obs, r.nb_magasins_jour) for r in panel.collect()] == [(900.0, 1)]
