@@ -18,7 +18,7 @@ from etalage.functions.markup import element_table
 from etalage.functions.numbers import half_up
 from etalage.operators.stats import grouped_stats
 from etalage.plans import capture, cleaning, compare, kpi, messages, search
-from etalage.session import shared_folder
+from etalage.session import shared_folder, stored
 from etalage.sources import retail_star as star
 from etalage.sources.mart import mart_checked, mart_written, table_path, text_mart_checked, write_mart
 from etalage.sources.snapshots import (
@@ -193,6 +193,19 @@ def _merge_sources(t: Tables) -> DataFrame:
     return merge_sources([*shops, unusable])
 
 
+def _kpi_summary(t: Tables) -> DataFrame:
+    """The summary of indicators that all start from the reliable prices, which are stored for them."""
+    prices = stored(t.prices.select(*kpi.INDICATOR_COLUMNS), "prices")
+    values = stored(kpi.price_counts(prices), "values")
+    return kpi.kpi_summary(
+        prices,
+        kpi.variation_index(values),
+        kpi.competitiveness(kpi.daily_panel(prices)),
+        kpi.fluctuation(prices),
+        kpi.inflation_global(values),
+    )
+
+
 def _serving_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The daily panel published as delimited text, read back and typed."""
     panel = kpi.daily_panel_rounded(Tables(spark, sf_dir).panel)
@@ -405,15 +418,7 @@ QUERIES: dict[str, Query] = {
     "inflation_global": _of(lambda t: kpi.inflation_global(t.prices)),
     "category_store_score": _of(lambda t: kpi.category_store_score(t.prices)),
     "context_table": _of(lambda t: t.context),
-    "kpi_summary": _of(
-        lambda t: kpi.kpi_summary(
-            t.prices,
-            kpi.variation_index(t.prices),
-            t.competition,
-            kpi.fluctuation(t.prices),
-            kpi.inflation_global(t.prices),
-        )
-    ),
+    "kpi_summary": _of(_kpi_summary),
     "quality_report": _of(lambda t: kpi.quality_report(t.history, t.panel)),
     # comparison
     "serving_prices": _of(

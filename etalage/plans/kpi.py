@@ -95,6 +95,14 @@ def reliable_prices(history: DataFrame) -> DataFrame:
     return comparable_price(reliable(history))
 
 
+#: What the indicators read of a reliable row.
+INDICATOR_COLUMNS = (
+    "jour", "mois", "date_scraping", "source_file", "magasin_standardise", "categorie_standardisee",
+    "cle_matching_exacte", "nom_nettoye", "prix_comparable", "type_prix_comparable", "score_matching",
+    "statut_comparabilite",
+)
+
+
 # --- daily panel and competitiveness -----------------------------------------
 
 

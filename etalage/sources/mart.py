@@ -133,14 +133,16 @@ def publish_mart(spark: SparkSession, history: DataFrame, path: str, snapshot: s
     history.write.parquet(f"{work}/history")
     history = spark.read.parquet(f"{work}/history")
     prices = kpi.reliable_prices(history)
+    kpi.price_counts(prices).write.parquet(f"{work}/values")
+    values = spark.read.parquet(f"{work}/values")
     panel = stored("daily_panel", kpi.daily_panel(prices))
     competition = stored("competitiveness", kpi.competitiveness(panel))
-    variation = stored("variation_index", kpi.variation_index(prices))
+    variation = stored("variation_index", kpi.variation_index(values))
     volatility = stored("fluctuation", kpi.fluctuation(prices))
-    inflation = stored("inflation_global", kpi.inflation_global(prices))
+    inflation = stored("inflation_global", kpi.inflation_global(values))
     score = stored("category_store_score", kpi.category_store_score(prices))
     rest = {
-        "inflation_category": kpi.inflation_category(prices),
+        "inflation_category": kpi.inflation_category(values),
         "ai_context": kpi.context_table(score),
         "summary": kpi.kpi_summary(prices, variation, competition, volatility, inflation),
         "quality": kpi.quality_report(history, panel),

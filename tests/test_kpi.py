@@ -156,3 +156,12 @@ def test_dispersion(spark):
     assert (verdict.magasin_leader, verdict.niveau_dispersion) == ("t", "elevee")
     two = df.filter(F.col("prix_affiche").isin(1.0, 200.0))
     assert compare.dispersion(two, ["s"]).first().nb_points == 2
+
+
+def test_the_summary_reads_listings_only_for_its_stored_prices(spark):
+    from etalage.catalogue import QUERIES
+
+    summary = QUERIES["kpi_summary"](spark, "/root/testdata/sf0.001")
+    plan = summary._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_partkey" not in plan and "prix_comparable" in plan
+    assert summary.count() == 5
