@@ -19,12 +19,19 @@ from etalage.llm.common import checked_broadcast, components, dropped, mix, smal
 
 #: Shingles repeated at least so often are ordered last; the list has a fixed bound.
 COMMON_COUNT = 50
-COMMON_LIMIT = 20_000
+COMMON_LIMIT = 100_000
+#: Shingles that a task holds to count what repeats among them.
+COUNTED = 1 << 22
 #: Leaders that a family meets in a turn, turns before all pairs meet that are left,
-#: and how many pairs for a member a list must still hold to take part in later turns.
+#: how many pairs for a member a list must still hold to take part in later turns,
+#: and one in how many of a turn's pairs must link for another turn.
 LEADERS = 3
 TURNS = 6
 LONG_LIST = 16
+WORTH = 16
+#: Bits of a set's sketch for a pair, and of the small one that goes with a set's elements in columns of 64.
+SKETCH_BITS = 1024
+SMALL_SKETCH = ["s0", "s1", "s2", "s3"]
 #: Stands for sharing all elements of a prefix.
 _WHOLE_PREFIX = 1 << 40
 
@@ -47,69 +54,101 @@ def _set_key(tokens: np.ndarray, n: int, seed: int) -> int:
     return int(mix(total + np.uint64(n)).view(np.int64)[0])
 
 
-def common_shingles(docs: DataFrame, words: int, percent: int) -> np.ndarray:
-    """The most repeated shingles near the front of the documents' sets, at most COMMON_LIMIT.
+def _sketch(tokens: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+    """For each of ``bits`` parts of all hashes whether the set has an odd number of them.
 
-    A task reports what repeats within it, so little is shuffled.  The list only
-    sets the global order: another list gives the same links at another cost.
+    Two sketches differ in at most as many bits as the sets in elements.
+    """
+    odd = np.bincount((tokens % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
+    """The most repeated shingles of the documents, at most COMMON_LIMIT, the least repeated of them first.
+
+    A task reports what repeats among COUNTED shingles, so little is shuffled.  Whole
+    sets are counted: were it only what is in front, a family of near copies would
+    meet in the shingles behind.  The list only sets the global order: another list
+    gives the same links at another cost.
     """
 
     def repeats(batches):
-        front = [t[: prefix_length(len(t), percent) * 5 // 4 + 2] for _, _, t in _sets(batches, words)]
-        token, count = np.unique(np.concatenate(front) if front else np.zeros(0, np.uint64), return_counts=True)
-        keep = count > 1
-        yield pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(count[keep])], ["token", "n"])
+        def counted(held):
+            token, count = np.unique(np.concatenate(held), return_counts=True)
+            keep = count > 1
+            return pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(count[keep])], ["token", "n"])
+
+        held, size = [], 0
+        for _, _, tokens in _sets(batches, words):
+            held.append(tokens)
+            size += len(tokens)
+            if size > COUNTED:
+                yield counted(held)
+                held, size = [], 0
+        if held:
+            yield counted(held)
 
     counted = docs.select("text").mapInArrow(repeats, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     rows = counted.where(F.col("n") >= COMMON_COUNT).orderBy(F.desc("n"), "token").limit(COMMON_LIMIT).collect()
-    return np.sort(np.array([r.token for r in rows], np.int64).view(np.uint64))
+    return np.array([r.token for r in reversed(rows)], np.int64).view(np.uint64)
 
 
 def _prefixes(docs: DataFrame, words: int, percent: int, common: np.ndarray) -> DataFrame:
-    """doc_id, n, class_key (of the set), group_key (of prefix and size), prefix.
+    """doc_id, n, class_key (of the set), group_key (of prefix and size), prefix, SMALL_SKETCH.
 
+    Shingles in ``common`` come last, in its order; the others by hash before them.
     A task gives a group's prefix once, with its first row that has an id, however many copies it holds.
     """
 
+    order = np.argsort(common)
+    known = common[order]
+
+    schema = pa.schema([*((c, pa.int64()) for c in ("doc_id", "n", "class_key", "group_key")), ("prefix", pa.list_(pa.int64())), *((c, pa.int64()) for c in SMALL_SKETCH)])
+
     def rows(batches):
         given: set[int] = set()
-        out: tuple[list, ...] = ([], [], [], [], [])
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("class_key", pa.int64()), ("group_key", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+        out: list[tuple] = []
+
+        def sent():
+            columns = zip(*out, strict=True) if out else [()] * len(schema)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
         for batch, row, tokens in _sets(batches, words):
             n = len(tokens)
-            place = np.minimum(np.searchsorted(common, tokens), max(len(common) - 1, 0))
-            late = common[place] == tokens if len(common) else np.zeros(n, bool)
-            prefix = np.concatenate([tokens[~late], tokens[late]])[: prefix_length(n, percent)]
-            key = [_set_key(tokens, n, 1), _set_key(prefix, n, 2)]
+            place = np.minimum(np.searchsorted(known, tokens), max(len(known) - 1, 0))
+            late = known[place] == tokens if len(known) else np.zeros(n, bool)
+            prefix = np.concatenate([tokens[~late], common[np.sort(order[place[late]])]])[: prefix_length(n, percent)]
+            group = _set_key(prefix, n, 2)
             doc = batch.column("doc_id")[row].as_py()
-            out[0].append(doc)
-            out[1].append(n)
-            out[2].append(key[0])
-            out[3].append(key[1])
-            out[4].append(None if doc is None or key[1] in given else prefix.view(np.int64))
-            if doc is not None:
-                given.add(key[1])
-            if len(out[0]) == 2000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types, strict=True)], schema=schema)
-                out = ([], [], [], [], [])
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types, strict=True)], schema=schema)
+            first = doc is not None and group not in given
+            out.append((doc, n, _set_key(tokens, n, 1), group, prefix.view(np.int64) if first else None, *_sketch(tokens, 64 * len(SMALL_SKETCH)).tolist()))
+            if first:
+                given.add(group)
+            if len(out) == 2000:
+                yield sent()
+                out = []
+        yield sent()
 
-    return docs.mapInArrow(rows, "doc_id long, n long, class_key long, group_key long, prefix array<long>")
+    return docs.mapInArrow(rows, "doc_id long, n long, class_key long, group_key long, prefix array<long>, " + ", ".join(f"{c} long" for c in SMALL_SKETCH))
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of class keys whose whole sets reach the similarity.
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int) -> tuple[DataFrame, int]:
+    """The pairs (a, b) of class keys whose whole sets reach the similarity, and how many pairs were asked.
 
-    Texts travel, not sets: they are shorter, and their sets are made again.
+    Pairs whose sketches differ too much are left out first.  Texts travel, not sets:
+    they are shorter, and their sets are made again.
     """
     pairs = written(pairs, "pairs")
+    asked = pairs.count()
     keys = pairs.select(F.explode(F.array("a", "b")).alias("class_key")).distinct()
     needed = written(classes.join(keys, "class_key", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "needed")
 
     def keyed(batches):
         for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
-            found = [_set_key(t, len(t), 1) for _, _, t in _sets(iter([batch]), words)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), batch.column("text")], ["class_key", "text"])
+            sets = [t for _, _, t in _sets(iter([batch]), words)]
+            found = [_set_key(t, len(t), 1) for t in sets], [len(t) for t in sets]
+            sketches = pa.array([_sketch(t) for t in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(pa.array(f, pa.int64()) for f in found), sketches, batch.column("text")], ["class_key", "n", "sketch", "text"])
 
     def verify(batches):
         for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):  # bounds the sets held
@@ -119,29 +158,48 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int,
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     some = docs.join(checked_broadcast(needed, 8), "doc_id", "left_semi").select("text")
-    texts = written(some.mapInArrow(keyed, "class_key long, text string"), "texts")
+    texts = written(some.mapInArrow(keyed, "class_key long, n long, sketch array<long>, text string"), "texts")
+    own, other = texts.select(F.col("class_key").alias("a"), "n", "sketch"), texts.select(F.col("class_key").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("facing"))
+    differ = "aggregate(zip_with(sketch, facing, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    near = written(pairs.join(own, "a").join(other, "b").where(_may_differ(percent, differ)).select("a", "b"), "near")
     left = texts.select(F.col("class_key").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("class_key").alias("b"), F.col("text").alias("right"))
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+    met = near.join(left, "a").join(right, "b").select("a", "b", "left", "right")
     found = written(met.mapInArrow(verify, "a long, b long").distinct(), "verified")
-    dropped(pairs, needed, texts)
-    return found
+    dropped(pairs, needed, texts, near)
+    return found, asked
 
 
 def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _may_link(percent: int, shared: str | None) -> str:
-    """Whether sets of n and m elements can link, given how many prefix elements they share.
+def _may_link(percent: int) -> str:
+    """Whether sets of n and m elements can link, given that they share k prefix elements.
 
     An element of both is in both prefixes, or behind the end of one of them.
     """
-    sizes = f"100 * least(n, m) >= {percent} * greatest(n, m)"
-    if not shared:
-        return sizes
     rest = f"greatest(n - (n - ceil({percent} * n / 100) + 1), m - (m - ceil({percent} * m / 100) + 1))"
-    return f"{sizes} and {shared} + {rest} >= ceil({percent} * (n + m) / {100 + percent})"
+    return f"100 * least(n, m) >= {percent} * greatest(n, m) and k + {rest} >= ceil({percent} * (n + m) / {100 + percent})"
+
+
+def _may_meet(percent: int) -> str:
+    """Whether sets of n and m elements whose first shared one is their i-th and j-th (from 0) can link.
+
+    All that they share is there or behind.  Of a linked pair the first shared element
+    passes, and with an element all shared ones before it.
+    """
+    return f"100 * least(n, m) >= {percent} * greatest(n, m) and {100 + percent} * least(n - i, m - j) >= {percent} * (n + m)"
+
+
+def _may_still_link(percent: int) -> str:
+    """Whether they can, given k shared elements of which the i-th and j-th is the last, and no other before it."""
+    return f"{100 + percent} * (k + least(n - i, m - j) - 1) >= {percent} * (n + m)"
+
+
+def _may_differ(percent: int, bits: str) -> str:
+    """Whether they can, given in how many bits their sketches differ, which is at most what only one of them has."""
+    return f"{100 + percent} * (n + m - ({bits})) >= {2 * percent} * (n + m)"
 
 
 def _named(links: DataFrame) -> DataFrame:
@@ -163,28 +221,29 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     Members of groups with a common prefix element first meet that element's
     leader only, in some turns with other leaders while that joins components and
     lists of several components stay long, so a family of near copies becomes one
-    component without its pairs.  Then every pair of members that is still in two
-    components meets, and is verified if their sizes and the number of prefix
-    elements they share allow a link: no link between components is lost.
+    component without its pairs.  Then members that are still in two components
+    meet in the elements that can be the first they share, by their places in both
+    sets, unless their sketches differ too much, and are verified if what they share
+    up to the last of these allows a link: no link between components is lost.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    common = common_shingles(docs, words, percent)
+    common = common_shingles(docs, words)
     base = written(_prefixes(docs, words, percent, common), "prefixes")
     linked = base.where("n > 0 and doc_id is not null")
-    classes = written(linked.groupBy("class_key", "group_key", "n").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = written(linked.groupBy("class_key", "group_key", "n").agg(F.min("doc_id").alias("rep"), *(F.min(c).alias(c) for c in SMALL_SKETCH)), "classes")
 
-    tokens = linked.where("prefix is not null").select("group_key", F.explode("prefix").alias("token"))
+    tokens = linked.where("prefix is not null").select("group_key", F.posexplode("prefix").alias("i", "token"))
     shared = tokens.groupBy("token").count().where("count > 1").select("token")
-    met = tokens.join(shared, "token").distinct().join(classes, "group_key").select("token", "class_key", "n", F.lit(1).cast("long").alias("k"))
+    met = tokens.join(shared, "token").distinct().join(classes, "group_key").select("token", "class_key", "n", "i", F.lit(1).cast("long").alias("k"), *SMALL_SKETCH)
     several = classes.groupBy("group_key").count().where("count > 1").select("group_key")
-    alike = classes.join(several, "group_key").select(F.col("group_key").alias("token"), "class_key", "n", F.lit(_WHOLE_PREFIX).cast("long").alias("k"))
+    alike = classes.join(several, "group_key").select(F.col("group_key").alias("token"), "class_key", "n", F.lit(0).alias("i"), F.lit(_WHOLE_PREFIX).cast("long").alias("k"), *SMALL_SKETCH)
     listed = written(met.union(alike), "listed")
 
     whole, links, turn, grown = None, None, 0, True
     while True:
         alone = F.col("class_key").alias("component")
-        rows = listed.select("*", alone) if whole is None else listed.join(whole, "class_key", "left").select("token", "class_key", "n", "k", F.coalesce("component", "class_key").alias("component"))
+        rows = listed.select("*", alone) if whole is None else listed.join(whole, "class_key", "left").select("token", "class_key", "n", "i", "k", *SMALL_SKETCH, F.coalesce("component", "class_key").alias("component"))
         rank = F.xxhash64("class_key", F.lit(turn), F.col("token") % LEADERS)
         lead = F.min(F.struct(rank.alias("rank"), F.col("class_key").alias("other"), F.col("n").alias("m"), F.col("component").alias("own")))
         parts = rows.groupBy("token", "component").agg(F.count("*").alias("c"), lead.alias("lead"))
@@ -195,20 +254,21 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
         if turn == TURNS or not grown or turn and not lists.where("long").head(1):
             break
         if turn == 1:  # lists of one component are done
-            listed = written(mixed.select("token", "class_key", "n", "k"), "listed")
+            listed = written(mixed.select("token", "class_key", "n", "i", "k", *SMALL_SKETCH), "listed")
         led = mixed.where("long").drop("long") if turn else mixed
         led = led.where("component <> own").groupBy("class_key", "other", "n", "m").agg((LEADERS * F.sum("k")).alias("k"))
-        led = led.where(_may_link(percent, "k")).select(*_ordered("class_key", "other")).distinct()
-        found = _verified(docs, classes, led, words, percent)
-        grown = bool(found.head(1))
+        led = led.where(_may_link(percent)).select(*_ordered("class_key", "other")).distinct()
+        found, asked = _verified(docs, classes, led, words, percent)
+        grown = WORTH * found.count() >= max(asked, 1)
         links = found if links is None else links.union(found)
         whole, turn = _named(links), turn + 1
 
-    mixed = mixed.select("token", "class_key", "n", "k", "component")
-    others = mixed.select("token", F.col("class_key").alias("other"), F.col("n").alias("m"), F.col("component").alias("own"))
-    crossed = mixed.join(others, "token").where("component < own").where(_may_link(percent, None))
-    counted = crossed.groupBy("class_key", "other", "n", "m").agg(F.sum("k").alias("k")).where(_may_link(percent, "k"))
-    late = _verified(docs, classes, counted.select(*_ordered("class_key", "other")), words, percent)
+    mixed = mixed.select("token", "class_key", "n", "i", "k", "component", *SMALL_SKETCH)
+    others = mixed.select("token", F.col("class_key").alias("other"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("component").alias("own"), *(F.col(c).alias(f"o{c}") for c in SMALL_SKETCH))
+    differ = " + ".join(f"bit_count({c} ^ o{c})" for c in SMALL_SKETCH)
+    crossed = mixed.join(others, "token").where("component < own").where(_may_meet(percent)).where(_may_differ(percent, differ))
+    counted = crossed.groupBy("class_key", "other", "n", "m").agg(F.sum("k").alias("k"), F.max("i").alias("i"), F.max("j").alias("j")).where(_may_still_link(percent))
+    late, _ = _verified(docs, classes, counted.select(*_ordered("class_key", "other")), words, percent)
     whole = _named(links.union(late)) if late.head(1) else whole
 
     named = classes.join(whole, "class_key", "left").select("class_key", "rep", F.coalesce("component", "class_key").alias("component"))

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from etalage.llm import ngram_join
 from etalage.llm import queries as llm
 from etalage.llm.html import extract_text
 from etalage.llm.licenses import BANDS, LIKENESS, NOTICES, collision_probability, license_scan
@@ -90,6 +91,34 @@ def test_join_with_a_null_id_before_its_copies(spark):
     assert {r.doc_id: r.component_id for r in ngram_jaccard_join(docs).collect()} == {None: None} | _linked({1: text, 2: near}) == {None: None, 1: 1, 2: 1}
 
 
+def test_members_far_from_each_other_do_not_meet_in_what_their_family_shares(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "COMMON_COUNT", 5)
+    chance = random.Random(8)
+    base = [f"w{k}" for k in range(200)]
+    texts: dict[int, str | None] = {}
+    for k in range(60):  # every third one is near the base, the others have 30 words of their own in a row
+        at, own = chance.randrange(170), 2 if k % 3 == 0 else 30
+        texts[k] = " ".join([*base[:at], *(f"own{k}x{x}" for x in range(own)), *base[at + own :]])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").coalesce(2)
+    common = ngram_join.common_shingles(docs, 5)
+    assert len(common) > 150
+    rows = ngram_join._prefixes(docs, 5, 80, common).selectExpr("doc_id", "n", "posexplode(prefix) as (i, token)")
+    others = rows.selectExpr("doc_id as other", "n as m", "i as j", "token")
+    met = rows.join(others, "token").where("doc_id < other and (doc_id % 3 > 0 or other % 3 > 0)")
+    assert met.count() > 100 and met.where(ngram_join._may_meet(80)).count() == 0
+    assert {r.doc_id: r.component_id for r in ngram_jaccard_join(docs).collect()} == _linked(texts)
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_elements():
+    chance = np.random.RandomState(3)
+    for size, changed in ((1, 1), (30, 4), (500, 90), (5000, 0)):
+        left = np.unique(chance.randint(0, 2**63, size).astype(np.uint64))
+        right = np.unique(np.concatenate([left[changed:], chance.randint(0, 2**63, changed).astype(np.uint64)]))
+        for bits in (256, ngram_join.SKETCH_BITS):
+            differ = int(np.unpackbits((ngram_join._sketch(left, bits) ^ ngram_join._sketch(right, bits)).view(np.uint8)).sum())
+            assert differ <= len(np.setxor1d(left, right)) and bool(differ) == bool(changed)
+
+
 def test_license_scan(spark, edges):
     assert collision_probability(LIKENESS, BANDS) > 0.999
     rows = [(k, f"some words before it. {text} and words after it") for k, (_, text) in enumerate(NOTICES)] + [(99, "licensed under nothing at all, see the apache helicopter")]
