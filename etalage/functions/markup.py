@@ -1,4 +1,4 @@
-"""Markup as lists of elements: one fold over a page's tags; all else is column expressions.
+"""Markup as elements, by one pass over a page's tags: as lists in columns, or for functions that read whole batches of pages.
 
 An element is an interval of tags: ``at`` is the place of its start tag, ``end`` that of the tag
 that closes it, both counted from 1, so that an element lies in another exactly if its interval does.  The texts
@@ -7,10 +7,11 @@ between tags are kept beside them: ``gaps[i]`` follows tag i, and ``gaps[0]`` pr
 
 from __future__ import annotations
 
+import functools
 import html.entities
 import re
 from array import array
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -21,7 +22,7 @@ from etalage import vocab
 
 # What counts as a tag.  Groups repeat possessively, which the matcher does in a
 # loop, and a tag or quote that never ends takes the rest of the page, so every page is read once.
-HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b[^>]*+>.*?(?:</\1[^>]*+>|\z)"
+HIDDEN = r"(?is)<(?:!--.*?(?:-->|\z)|(script|style)\b[^>]*+>.*?(?:</\1[^>]*+>|\z))"
 TAG = r"""(?s)<[!?][^>]*+(?:>|\z)|</?[A-Za-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+(?:>|["'].*\z|\z)"""
 TAG_NAME = r"^</?([A-Za-z][^\s/>]*)"
 ATTRIBUTE = r"""(?s)[^\s"'>/=]+(?:\s*=\s*(?:"[^"]*+"|'[^']*+'|[^\s"'>]+))?"""
@@ -116,85 +117,137 @@ _ELEMENTS = (
 )
 
 
-def _elements(tests: Sequence[Test]) -> Callable[[Column], Column]:
-    """The tags of each page as elements, by one pass over a page's tags whatever their depth.
-
-    A close tag closes the innermost open element of its name and all that is open within it; one
-    without such an element is stray.  What is open at the end closes there.  An element inherits
-    from its parent the nearest ancestors that pass each test.  A batch's different tags are parsed once.
-    The function holds all it needs, so that tasks run it without this package.
-    """
-    marks = [(t.name, [f" {c} " for c in t.classes], [f" {c} " for c in t.without], t.within) for t in tests]
-    zeros, void_names = (0,) * len(marks), {"", *VOID}
+def text_tools() -> tuple[Callable[..., str], Callable[..., str | None]]:
+    """Functions on one text, for tasks that run without this package: ``unescape``, and the value of a tag's attribute."""
     known = {name: chr(code) for name, code in html.entities.name2codepoint.items()} | {"apos": "'"}
     # \s is ASCII's, as in the patterns of the columns
-    tag_name, attributes, own_name, own_value, spaces, reference = (
-        re.compile(x, re.ASCII) for x in (TAG_NAME, ATTRIBUTE, r"[^\s=]+", r"(?s)=\s*(.*)", r"\s+", REFERENCE)
-    )
+    pairs, own_name, own_value, reference = (re.compile(x, re.ASCII) for x in (ATTRIBUTE, r"[^\s=]+", r"(?s)=\s*(.*)", REFERENCE))
 
-    def unescaped(text: str) -> str:
+    def unescaped(text: str, mark: str = "") -> str:
+        """With ``mark`` for a byte order mark, which the decoder of the columns takes away."""
+        if "&" not in text:
+            return text
         first, *pieces = text.split("&")
+        done = [first]
         for piece in pieces:
             found = reference.match(piece)
             name, char = found[1] if found else "", None
             if name.startswith("#"):
                 code = int(name[2:], 16) if name[1] in "xX" else int(name[1:])
                 char = chr(code) if 0 < code < 0x110000 and not 0xD800 <= code <= 0xDFFF else "\ufffd"
+                char = mark if char == "\ufeff" else char
             elif name:
                 char = known.get(name)
-            first += "&" + piece if char is None else char + piece[len(name) + 1 :]
-        return first
-
-    def class_of(raw: str) -> str:
-        mine = [p for p in attributes.findall(raw) if own_name.match(p)[0].lower() == "class"]
-        value = own_value.search(mine[-1]) if mine else None
+            done.append("&" + piece if char is None else char + piece[len(name) + 1 :])
+        return "".join(done)
+
+    def attribute_of(raw: str, name: str, mark: str = "") -> str | None:
+        """An attribute's decoded value; None if the tag does not have it, the last if it is repeated."""
+        if name not in raw.lower():
+            return None
+        mine = [p for p in pairs.findall(raw) if own_name.match(p)[0].lower() == name]
+        if not mine:
+            return None
+        value = own_value.search(mine[-1])
         text = value[1] if value else ""
         if len(text) > 1 and text[0] in "\"'" and text[-1] == text[0]:
             text = text[1:-1]
-        return f" {spaces.sub(' ', unescaped(text))} "
+        return unescaped(text, mark)
+
+    return unescaped, attribute_of
+
+
+def _tag_reader(tests: Sequence[Test], facts: Callable[[str, str, str], object] | None = None) -> tuple[Callable, Callable]:
+    """What a tag is by itself, and the intervals of a page's tags, by one pass over them whatever their depth.
+
+    A close tag closes the innermost open element of its name and all that is open within it; one
+    without such an element is stray.  What is open at the end closes there.  An element inherits
+    from its parent the nearest ancestors that pass each test.
+    Both functions hold all they need, so that tasks run them without this package.
+    """
+    marks = [(t.name, [f" {c} " for c in t.classes], [f" {c} " for c in t.without], t.within) for t in tests]
+    zeros, void_names = (0,) * len(marks), {"", *VOID}
+    tag_name, spaces = re.compile(TAG_NAME, re.ASCII), re.compile(r"\s+", re.ASCII)
+    _, attribute_of = text_tools()
 
     def parsed(raw: str) -> tuple:
-        """Name, is it a close tag, is it closed by itself, classes, and the tests that these pass."""
+        """Name, is it a close tag, is it closed by itself, classes, the tests that these pass, and a start tag's further facts."""
         found = tag_name.match(raw)
-        name = found[1].lower() if found else ""
-        classes = class_of(raw) if "class" in raw.lower() else "  "
+        name, closes = found[1].lower() if found else "", raw.startswith("</")
+        classes = f" {spaces.sub(' ', attribute_of(raw, 'class', chr(0xFEFF)) or '')} "
         passed = [
             (j, within)
             for j, (wanted, having, without, within) in enumerate(marks)
             if wanted in ("", name) and all(c in classes for c in having) and not any(c in classes for c in without)
         ]
-        return name, raw.startswith("</"), name in void_names or raw.endswith("/>"), classes, passed
+        return name, closes, name in void_names or raw.endswith("/>"), classes, passed, None if closes or facts is None else facts(name, classes, raw)
 
-    def intervals(tags: list[tuple]) -> tuple[list, ...]:
+    def intervals(tags: Sequence[tuple]) -> tuple[list, ...]:
         """End, parent, depth and marked ancestors of each tag of one page."""
         size = len(tags)
         ends, parents, depths, ups = [size + 1] * size, [0] * size, [0] * size, [zeros] * size
-        opened: list[tuple[int, str, tuple[int, ...]]] = []
-        places: dict[str, list[int]] = {}  # of each name, where it lies among the open elements
-        for k, (name, closes, void, _, passed) in enumerate(tags):
-            depths[k] = len(opened)
+        opened: list[tuple[int, str]] = []
+        held: dict[str, int] = {}  # how many elements of each name are open
+        depth, parent, down, downs = 0, 0, zeros, []
+        for k, (name, closes, void, _, passed, _) in enumerate(tags, 1):
+            depths[k - 1] = depth
             if closes:
-                held = places.get(name)
-                ends[k] = 0 if held else -1
-                floor = held[-1] if held else len(opened)
-                while len(opened) > floor:
-                    at, inner, _ = opened.pop()
-                    ends[at - 1] = k + 1
-                    places[inner].pop()
+                if not held.get(name):
+                    ends[k - 1] = -1
+                    continue
+                ends[k - 1] = 0
+                inner = None
+                while inner != name:
+                    at, inner = opened.pop()
+                    ends[at - 1] = k
+                    held[inner] -= 1
+                    down = downs.pop()
+                depth = len(opened)
+                parent = opened[-1][0] if opened else 0
                 continue
-            if opened:
-                parents[k], _, ups[k] = opened[-1]
+            parents[k - 1], ups[k - 1] = parent, down
             if void:
-                ends[k] = k + 1
+                ends[k - 1] = k
                 continue
-            up = down = ups[k]
-            for j, within in passed:
-                if within is None or up[within] > 0:
-                    down = (*down[:j], k + 1, *down[j + 1 :])
-            places.setdefault(name, []).append(len(opened))
-            opened.append((k + 1, name, down))
+            downs.append(down)
+            if passed:
+                up = down
+                for j, within in passed:
+                    if within is None or up[within] > 0:
+                        down = (*down[:j], k, *down[j + 1 :])
+            held[name] = held.get(name, 0) + 1
+            opened.append((k, name))
+            depth, parent = depth + 1, k
         return ends, parents, depths, ups
 
+    return parsed, intervals
+
+
+def page_reader(tests: Sequence[Test], facts: Callable[[str, str, str], object]) -> Callable[[pa.Array], Iterator[tuple]]:
+    """A function from a batch of pages to the texts between tags, tags, ends and marked ancestors of each.
+
+    A tag is its name, is it a close tag, is it closed by itself, its classes, the tests that these pass, and its
+    facts (of a start tag's name, classes and markup).  A batch's different tags are parsed once.
+    """
+    parsed, intervals = _tag_reader(tests, facts)
+    cut = re.compile(f"({TAG})".replace("(?s)", "").replace(r"\z", r"\Z"), re.DOTALL).split
+
+    def read(pages: pa.Array) -> Iterator[tuple]:
+        known = functools.cache(parsed)
+        for page in pages.cast(pa.large_binary()):
+            parts = cut(page.as_py().decode("utf-8", "replace"))
+            tags = [*map(known, parts[1::2])]
+            ends, _, _, ups = intervals(tags)
+            yield parts[::2], tags, ends, ups
+
+    return read
+
+
+def _elements(tests: Sequence[Test]) -> Callable[[Column], Column]:
+    """The tags of each page as elements; a batch's different tags are parsed once."""
+    parsed, intervals = _tag_reader(tests)
+    width = len(tests)
+
     @F.arrow_udf(returnType=_ELEMENTS)
     def fold(pages: pa.Array) -> pa.Array:
         offsets = pages.offsets.to_pylist()
@@ -211,7 +264,7 @@ def _elements(tests: Sequence[Test]) -> Callable[[Column], Column]:
                 whole.extend(part)
             for up in ups:
                 inner.extend(up)
-        places = pa.array(range(0, len(zeros) * len(at) + 1, len(zeros)) if zeros else [0] * (len(at) + 1), pa.int32())
+        places = pa.array(range(0, width * len(at) + 1, width) if width else [0] * (len(at) + 1), pa.int32())
         up, *numbers = (pa.Array.from_buffers(pa.int32(), len(x), [None, pa.py_buffer(x)]) for x in (inner, at, *found))
         up = pa.ListArray.from_arrays(places, up)
         own = [pa.array([t[k] for t in different], kind).take(coded.indices) for k, kind in ((0, pa.string()), (1, pa.bool_()), (3, pa.string()))]
@@ -223,6 +276,16 @@ def _elements(tests: Sequence[Test]) -> Callable[[Column], Column]:
     return fold
 
 
+def shown(pages: DataFrame, html: str = "html") -> DataFrame:
+    """The pages with what counts as markup in ``_shown``: comments, scripts and styles are a tag without a name."""
+    session = pages.sparkSession
+    if session.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default, which is many pages at once
+        session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    keys = [c for c in pages.columns if c != html]
+    markup = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), HIDDEN, "<!>")
+    return pages.select(*keys, F.explode(F.array(markup)).alias("_shown"))
+
+
 def element_lists(pages: DataFrame, tests: Sequence[Test] = (), html: str = "html", gaps: str = "_gaps", elements: str = "_elements") -> DataFrame:
     """The pages with their texts between tags and, per tag, its element in place of the markup.
 
@@ -231,13 +294,9 @@ def element_lists(pages: DataFrame, tests: Sequence[Test] = (), html: str = "htm
     and styles are elements without a name and without text.  A null page has no tags.
     Each step leaves through a one-row generator, so that the optimizer does not repeat it.
     """
-    session = pages.sparkSession
-    if session.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default, which is many pages at once
-        session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     keys = [c for c in pages.columns if c != html]
-    shown = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), HIDDEN, "<!>")
     return (
-        pages.select(*keys, F.explode(F.array(shown)).alias("_shown"))
+        shown(pages, html)
         .select(*keys, F.explode(F.array(F.struct(F.regexp_extract_all("_shown", F.lit(TAG), F.lit(0)).alias("raw"), F.split("_shown", TAG, -1).alias("gaps")))).alias("_cut"))
         .select(*keys, F.col("_cut.gaps").alias(gaps), F.explode(F.array(_elements(tests)(F.col("_cut.raw")))).alias(elements))
     )

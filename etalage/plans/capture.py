@@ -7,10 +7,12 @@ Pages: ``category, page_no, magasin, url, html``.  Listings: one row per card wi
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import replace
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,10 +22,12 @@ from etalage.functions.markup import (
     Test,
     attribute,
     element_lists,
-    has_class,
+    page_reader,
+    shown,
     stripped,
     stripped_text_of,
     text_of,
+    text_tools,
     unescape,
 )
 from etalage.functions.numbers import ratio
@@ -82,6 +86,21 @@ CARD_TESTS: tuple[Test, ...] = (*_MINIATURES, *(_within(_tagged("h2"), k) for k
 HEADING = 6
 
 
+#: Of a tag (see ``page_reader``): is it a close tag, the tests that it passes, its facts.
+CLOSES, PASSED, FACTS = 1, 4, 5
+
+def _said(unescaped: Callable[[str], str]) -> tuple[Callable[..., str], Callable[..., str]]:
+    """All text from a tag to another with its spaces collapsed, and the stripped texts there that are not blank, joined."""
+
+    def whole(gaps: Sequence[str], at: int, end: int) -> str:
+        return " ".join(unescaped("".join(gaps[at:end])).split())
+
+    def joined(gaps: Sequence[str], at: int, end: int, between: str = "") -> str:
+        return between.join([t for t in [unescaped(g).strip() for g in gaps[at:end]] if t])
+
+    return whole, joined
+
+
 def _states_price(text: Column, store: Column) -> Column:
     upper = F.upper(text)
     per_unit = F.lit(False)
@@ -156,6 +175,17 @@ def extract_cards(pages: DataFrame, siblings: int = SIBLINGS) -> DataFrame:
     )
 
 
+def _one_row_each(pages: DataFrame, cards: Column) -> DataFrame:
+    """Cards read from ``_shown`` with their places from 1; a page without any is one row."""
+    keys = [c for c in pages.columns if c != "html"]
+    return (
+        shown(pages)
+        .select(*keys, cards.alias("_cartes"))
+        .select(*keys, F.posexplode_outer("_cartes").alias("_pos", "_carte"))
+        .select(*keys, (F.col("_pos") + 1).cast("bigint").alias("pos"), "_carte.*")
+    )
+
+
 def _linked_in(place: int) -> Callable[[Column], Column]:
     return lambda e: ~e["close"] & (e["name"] == "a") & (F.get(e["up"], F.lit(place)) > 0)
 
@@ -164,69 +194,88 @@ def _linked_in(place: int) -> Callable[[Column], Column]:
 TILE_TESTS: tuple[Test, ...] = (_tagged("h2"), _tagged("h3"), _tagged("", "thumbnail-top"))
 
 
-def extract_tiles(pages: DataFrame) -> DataFrame:
-    """Product tiles of the shop whose name may sit in a heading, a link or an image.
+def _tile_facts() -> Callable[[str, str, str], tuple | None]:
+    """Of an element: is it a tile, may it be named there (if in a named place), is it a price, a link, an image; None if nothing."""
+    _, attribute_of = text_tools()
 
-    The name is the text of the first named place, else of its link's title, label or text, else of its
-    image.  The price is the one marked as such, else whatever the tile's text states.
-    """
-    keys = [c for c in pages.columns if c != "html"]
-    elements, gaps = F.col("_elements"), F.col("_gaps")
-    empty = F.lit("")
+    def facts(name: str, classes: str, raw: str) -> tuple | None:
+        def has(*wanted: str) -> bool:
+            return any(f" {c} " in classes for c in wanted)
 
-    def is_tile(e: Column) -> Column:
-        return ~e["close"] & (
-            ((e["name"] == "article") & has_class(e, "product-miniature")) | has_class(e, "product-item") | has_class(e, "js-product-miniature")
+        said = (
+            (name == "article" and has("product-miniature")) or has("product-item", "js-product-miniature"),
+            name == "h3" or has("product-name", "product-title") or (name == "a" and has("product-thumbnail")),
+            name == "a",
+            has("price", "product-price"),
+            name == "a" and attribute_of(raw, "href") is not None,
+            name == "img" and (attribute_of(raw, "alt") is not None or attribute_of(raw, "title") is not None),
         )
+        return (*said, raw) if any(said) else None
+
+    return facts
+
+
+def _tile_reader() -> Callable[[Column], Column]:
+    pages_of = page_reader(TILE_TESTS, _tile_facts())
+    unescaped, attribute_of = text_tools()
+    whole, _ = _said(unescaped)
+    facts_at = FACTS
+
+    def first(places: Sequence[int], after: int, end: int) -> int:
+        """The first of sorted places between two tags, or 0."""
+        found = bisect_right(places, after)
+        return places[found] if found < len(places) and places[found] < end else 0
+
+    @F.arrow_udf(returnType="array<struct<name:string,href:string,price_text:string>>")
+    def tiles(html: pa.Array) -> pa.Array:
+        offsets, names, targets, prices = [0], [], [], []
+        for gaps, tags, ends, ups in pages_of(html):
+            tile_at, name_at, price_at, link_at, image_at = [], [], [], [], []
+            for k, tag in enumerate(tags, 1):
+                facts = tag[facts_at]
+                if facts is None:
+                    continue
+                is_tile, is_named, is_link, is_price, leads, is_image, _ = facts
+                if is_tile:
+                    tile_at.append(k)
+                if is_named or (is_link and any(ups[k - 1])):
+                    name_at.append(k)
+                if is_price:
+                    price_at.append(k)
+                if leads:
+                    link_at.append(k)
+                if is_image:
+                    image_at.append(k)
+
+            def text(k: int) -> str:
+                return whole(gaps, k, ends[k - 1]) if k else ""
+
+            def own(k: int, name: str) -> str:
+                return " ".join((attribute_of(tags[k - 1][facts_at][-1], name) or "").split()) if k else ""
+
+            for k in tile_at:
+                end = ends[k - 1]
+                name, price, link, image = (first(places, k, end) for places in (name_at, price_at, link_at, image_at))
+                names.append(
+                    text(name) or own(name, "title") or own(name, "aria-label") or own(link, "title") or own(link, "aria-label")
+                    or text(link) or own(image, "alt") or own(image, "title")
+                )
+                targets.append((attribute_of(tags[link - 1][facts_at][-1], "href") or "") if link else "")
+                prices.append(text(price) or text(k))
+            offsets.append(len(names))
+        found = pa.StructArray.from_arrays([pa.array(x, pa.string()) for x in (names, targets, prices)], ["name", "href", "price_text"])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), found)
+
+    return tiles
 
-    def inside(tile: Column) -> Column:
-        return F.slice(elements, tile["at"] + 1, F.greatest(tile["end"] - tile["at"] - 1, F.lit(0)))
 
-    def first(tile: Column, wanted: Callable[[Column], Column]) -> Column:
-        return F.get(F.filter(inside(tile), lambda e: ~e["close"] & wanted(e)), F.lit(0))
-
-    def names(e: Column) -> Column:
-        up = [F.get(e["up"], F.lit(k)) > 0 for k in range(3)]
-        link = e["name"] == "a"
-        return (
-            (link & (up[0] | up[1] | up[2] | has_class(e, "product-thumbnail")))
-            | (e["name"] == "h3") | has_class(e, "product-name") | has_class(e, "product-title")
-        )
-
-    def said(text: Column) -> Column:
-        return F.nullif(tx.collapse_spaces(text), empty)
-
-    def with_places(tile: Column) -> Column:
-        return F.struct(
-            tile.alias("tile"),
-            first(tile, names).alias("name"),
-            first(tile, lambda e: has_class(e, "price") | has_class(e, "product-price")).alias("price"),
-            first(tile, lambda e: (e["name"] == "a") & attribute(e, "href").isNotNull()).alias("link"),
-            first(tile, lambda e: (e["name"] == "img") & (attribute(e, "alt").isNotNull() | attribute(e, "title").isNotNull())).alias("image"),
-        )
+def extract_tiles(pages: DataFrame) -> DataFrame:
+    """Product tiles of the shop whose name may sit in a heading, a link or an image.
 
-    def as_card(t: Column) -> Column:
-        def text(part: str) -> Column:
-            return F.when(t[part].isNotNull(), said(text_of(gaps, t[part])))
-
-        return F.struct(
-            F.coalesce(
-                text("name"), said(attribute(t["name"], "title")), said(attribute(t["name"], "aria-label")),
-                said(attribute(t["link"], "title")), said(attribute(t["link"], "aria-label")), text("link"),
-                said(attribute(t["image"], "alt")), said(attribute(t["image"], "title")), empty,
-            ).alias("name"),
-            F.coalesce(attribute(t["link"], "href"), empty).alias("href"),
-            F.coalesce(text("price"), tx.collapse_spaces(text_of(gaps, t["tile"]))).alias("price_text"),
-        )
-
-    places = F.transform(F.filter(elements, is_tile), with_places)
-    return (
-        element_lists(pages, TILE_TESTS)
-        .select(*keys, "_gaps", F.explode(F.array(places)).alias("_tuiles"))
-        .select(*keys, F.posexplode_outer(F.transform("_tuiles", as_card)).alias("_pos", "_carte"))
-        .select(*keys, (F.col("_pos") + 1).cast("bigint").alias("pos"), "_carte.*")
-        .withColumn("name", F.coalesce("name", empty))
-    )
+    The name is the text of the first named place, else of its link's title, label or text, else of its
+    image.  The price is the one marked as such, else whatever the tile's text states.
+    """
+    return _one_row_each(pages, _tile_reader()(F.col("_shown"))).withColumn("name", F.coalesce("name", F.lit("")))
 
 
 _PAGER = _tagged("", "pagination")

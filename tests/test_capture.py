@@ -262,3 +262,34 @@ def test_a_crawl_is_shuffled_once_and_keeps_rows_as_before(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before)
     assert [p.count("Exchange hashpartitioning") for p in plans] == [1, 2]
+
+
+def _without_lambdas(df):
+    """Is the page read by functions on whole batches, not by expressions on each of its elements?"""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return "lambda" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_tiles_are_read_in_one_pass(spark):
+    nested = (
+        "<h2><div class='product-item'><a href=' /1?a=1&amp;b=2 '>  Riz <b>&eacute;tuv&#233;</b>\xa0 1kg</a>"
+        "<div class='js-product-miniature'><img alt='' title=\"Th&#xE9; 'vert'\"><span class='x product-price'>900 CFA</span></div></div></h2>"
+    )
+    cases = [
+        nested,
+        "<article class='product-miniature'><a title='Sel fin' href></a>",  # never closed
+        "<article class='product-miniature'/><p class='product-item'></p><!-- <p class='product-item'> -->",
+        "<div class='product-item'><a>x</a><a class='product-thumbnail' aria-label=Eau></a></h3><h3></h3 x='>'>&bogus; 5 CFA</div>",
+        "<p>vide</p>", None,
+    ]
+    tiles = capture.extract_tiles(pages(spark, *[("c", k, "Diarle", h) for k, h in enumerate(cases)]))
+    found = sorted((r.page_no, r.pos or 0, r.name, r.href, r.price_text) for r in tiles.collect())
+    assert found == [
+        (0, 1, "Riz étuvé 1kg", " /1?a=1&b=2 ", "900 CFA"),
+        (0, 2, "Thé 'vert'", "", "900 CFA"),
+        (1, 1, "Sel fin", "", ""),
+        (2, 1, "", "", ""), (2, 2, "", "", ""),
+        (3, 1, "Eau", "", "x&bogus; 5 CFA"),
+        (4, 0, "", None, None), (5, 0, "", None, None),
+    ]
+    assert _without_lambdas(tiles)
