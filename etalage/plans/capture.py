@@ -293,6 +293,64 @@ PAGER_TESTS: tuple[Test, ...] = (
 )
 
 
+#: Places where the number of the page may stand, each asked for its links first.
+NUMBERED = (1, 2, 3, 4)
+
+
+def _pager_facts() -> Callable[[str, str, str], tuple | None]:
+    """Of a link: is it declared as next, does it lead to a page, is it classed as next; None of other elements."""
+    _, attribute_of = text_tools()
+
+    def facts(name: str, classes: str, raw: str) -> tuple | None:
+        if name != "a":
+            return None
+        return attribute_of(raw, "rel") == "next", "page=" in (attribute_of(raw, "href") or ""), "next" in classes.lower()
+
+    return facts
+
+
+def _pager_reader() -> Callable[[Column], Column]:
+    """The texts that may state a page's number, in the order they are asked, and whether a page follows."""
+    pages_of = page_reader(PAGER_TESTS, _pager_facts())
+    _, joined = _said(text_tools()[0])
+    numbered, closes_at, passed_at, facts_at = NUMBERED, CLOSES, PASSED, FACTS
+
+    def leads_on(up: Sequence[int], facts: tuple, gaps: Sequence[str], at: int, end: int) -> bool:
+        declared, paged, classed = facts
+        if up[5] or up[6] or up[7] or declared:
+            return True
+        if not (paged and (up[0] or up[8])):
+            return False
+        called = joined(gaps, at, end, " ").lower()
+        return classed or "next" in called or "suivant" in called
+
+    @F.arrow_udf(returnType="struct<texts:array<string>,has_next:boolean>")
+    def pager(html: pa.Array) -> pa.Array:
+        offsets, texts, follows = [0], [], []
+        for gaps, tags, ends, ups in pages_of(html):
+            first: dict[tuple[int, bool], int] = {}
+            more = False
+            for k, tag in enumerate(tags, 1):
+                if tag[closes_at]:
+                    continue
+                if tag[facts_at] is not None:
+                    up = ups[k - 1]
+                    for place in numbered:
+                        if up[place]:
+                            first.setdefault((place, False), k)
+                    more = more or leads_on(up, tag[facts_at], gaps, k, ends[k - 1])
+                for place, within in tag[passed_at]:
+                    if place in numbered and (within is None or ups[k - 1][within]):
+                        first.setdefault((place, True), k)
+            texts += [joined(gaps, first[x], ends[first[x] - 1], " ") for x in sorted(first)]
+            offsets.append(len(texts))
+            follows.append(more)
+        listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(texts, pa.string()))
+        return pa.StructArray.from_arrays([listed, pa.array(follows, pa.bool_())], ["texts", "has_next"])
+
+    return pager
+
+
 def pagination_facts(pages: DataFrame) -> DataFrame:
     """The page the shop says it served (1 when it does not say) and whether one follows.
 
@@ -301,36 +359,22 @@ def pagination_facts(pages: DataFrame) -> DataFrame:
     first has no number is passed over.  A page follows if an enabled next place holds a link, a link is
     declared as next, or a link of the pager or of an item leads to a page and calls itself next.
     """
-    elements, gaps = F.col("_elements"), F.col("_gaps")
 
-    def number(wanted: Callable[[Column], Column]) -> Column:
-        first = F.get(F.filter(elements, lambda e: ~e["close"] & wanted(e)), F.lit(0))
-        text = stripped_text_of(gaps, first, " ")
-        return F.when(first.isNotNull(), F.regexp_extract(text, r"(?U)\b(\d+)\b", 1).try_cast("bigint"))
-
-    served = []
-    for place in (1, 2, 3, 4):
-        served += [number(_linked_in(place)), number(_passes(place))]
-
-    def leads_on(e: Column) -> Column:
-        up = [F.get(e["up"], F.lit(k)) > 0 for k in range(len(PAGER_TESTS))]
-        called = F.lower(stripped_text_of(gaps, e, " ")).rlike("next|suivant") | F.lower(e["cls"]).contains("next")
-        declared = F.coalesce(attribute(e, "rel") == "next", F.lit(False))
-        paged = F.coalesce(attribute(e, "href").contains("page="), F.lit(False))
-        return ~e["close"] & (e["name"] == "a") & (up[5] | up[6] | up[7] | declared | ((up[0] | up[8]) & paged & called))
+    def number(asked: int) -> Column:
+        return F.regexp_extract(F.get("_pager.texts", F.lit(asked)), r"(?U)\b(\d+)\b", 1).try_cast("bigint")
 
     keys = [c for c in pages.columns if c != "html"]
-    return element_lists(pages, PAGER_TESTS).select(
-        *keys,
-        F.coalesce(*served, F.lit(1).cast("bigint")).alias("served_page"),
-        F.exists(elements, leads_on).alias("has_next"),
+    return (
+        shown(pages)
+        .select(*keys, _pager_reader()(F.col("_shown")).alias("_pager"))
+        .select(
+            *keys,
+            F.coalesce(*[number(asked) for asked in range(2 * len(NUMBERED))], F.lit(1).cast("bigint")).alias("served_page"),
+            F.col("_pager.has_next").alias("has_next"),
+        )
     )
 
 
-def _passes(place: int) -> Callable[[Column], Column]:
-    return PAGER_TESTS[place].column
-
-
 # --- listings ----------------------------------------------------------------
 
 

@@ -293,3 +293,18 @@ def test_tiles_are_read_in_one_pass(spark):
         (4, 0, "", None, None), (5, 0, "", None, None),
     ]
     assert _without_lambdas(tiles)
+
+
+def test_pagers_are_read_in_one_pass(spark):
+    cases = [
+        "<nav class='pagination'><img class='current'><p class='current'><a>un</a> <a>4</a></p><i class='active'>9</i></nav>",  # only firsts are read
+        "<li class='active'>page\xa0<b>12</b></li><li><a href='/?page=13' class='BTN-NEXT'></a></li>",
+        "<ul class='pagination'><a href='?page=2'>page <b>sui</b>vant</a><a href='?page=2'>&nbsp;Suivant&nbsp;</a></ul>",
+        "<p class='next'><a href='?page=2'>Suivant</a></p><li class='current'>a5 _6 99999999999999999999</li>",
+        "<div class='pagination'><p class='next disabled'><a>x</a></p></div><a rel=' next'>x</a></li><a rel=prev REL=next>",
+    ]
+    facts = capture.pagination_facts(pages(spark, *[("c", k, "Auchan", h) for k, h in enumerate(cases)]))
+    assert [(r.served_page, r.has_next) for r in sorted(facts.collect(), key=lambda r: r.page_no)] == [
+        (9, False), (12, True), (1, True), (1, False), (1, True),
+    ]
+    assert facts.columns == ["category", "page_no", "magasin", "served_page", "has_next"] and _without_lambdas(facts)
