@@ -48,19 +48,6 @@ class Test:
 
     __test__ = False  # not one of pytest's
 
-    def column(self, element: Column) -> Column:
-        """Does an element pass, by its name, classes and marked ancestors?"""
-        passed = F.lit(True) if not self.name else element["name"] == self.name
-        for c in self.classes:
-            passed = passed & has_class(element, c)
-        for c in self.without:
-            passed = passed & ~has_class(element, c)
-        return passed if self.within is None else passed & (F.get(element["up"], F.lit(self.within)) > 0)
-
-
-def has_class(element: Column, name: str) -> Column:
-    return element["cls"].contains(f" {name} ")
-
 
 def unescape(text: Column) -> Column:
     """Character references of closed form (``&eacute;``, ``&#233;``, ``&#xe9;``) as characters."""
@@ -85,23 +72,10 @@ def unescape(text: Column) -> Column:
     return F.when(text.contains("&"), joined).otherwise(text)
 
 
-def attribute(element: Column, name: str) -> Column:
-    """An attribute's decoded value; null if the element does not have it, the last if it is repeated."""
-    pairs = F.regexp_extract_all(element["raw"], F.lit(ATTRIBUTE), F.lit(0))
-    mine = F.filter(pairs, lambda p: F.lower(F.regexp_extract(p, r"^([^\s=]+)", 1)) == name)
-    value = F.regexp_replace(F.regexp_extract(F.try_element_at(mine, F.lit(-1)), r"(?s)=\s*(.*)$", 1), r"""(?s)^(["'])(.*)\1$""", "$2")
-    return F.when(F.lower(element["raw"]).contains(name), unescape(value))
-
-
 def _pieces(gaps: Column, element: Column) -> Column:
     return F.slice(gaps, element["at"] + 1, F.greatest(element["end"] - element["at"], F.lit(0)))
 
 
-def text_of(gaps: Column, element: Column) -> Column:
-    """All text within an element as it stands."""
-    return unescape(F.array_join(_pieces(gaps, element), ""))
-
-
 def stripped(text: Column) -> Column:
     return F.regexp_replace(text, vocab.EDGE_WHITESPACE, "")
 

@@ -18,18 +18,7 @@ from pyspark.sql import functions as F
 
 from etalage import vocab
 from etalage.functions import text as tx
-from etalage.functions.markup import (
-    Test,
-    attribute,
-    element_lists,
-    page_reader,
-    shown,
-    stripped,
-    stripped_text_of,
-    text_of,
-    text_tools,
-    unescape,
-)
+from etalage.functions.markup import Test, page_reader, shown, text_tools
 from etalage.functions.numbers import ratio
 
 # The markup the shops use.  Repeats run over single characters only,
@@ -88,6 +77,8 @@ HEADING = 6
 
 #: Of a tag (see ``page_reader``): is it a close tag, the tests that it passes, its facts.
 CLOSES, PASSED, FACTS = 1, 4, 5
+STRIDE = 6
+
 
 def _said(unescaped: Callable[[str], str]) -> tuple[Callable[..., str], Callable[..., str]]:
     """All text from a tag to another with its spaces collapsed, and the stripped texts there that are not blank, joined."""
@@ -101,51 +92,77 @@ def _said(unescaped: Callable[[str], str]) -> tuple[Callable[..., str], Callable
     return whole, joined
 
 
-def _states_price(text: Column, store: Column) -> Column:
-    upper = F.upper(text)
-    per_unit = F.lit(False)
-    for mark in UNIT_PRICE_MARKS:
-        per_unit = per_unit | upper.contains(mark)
-    return F.when(store == "Sakanal", upper.contains("FCFA")).otherwise(upper.contains("CFA") & ~per_unit)
-
-
-STRIDE = 6
-_WALK = "struct<at:int,in_text:boolean,left:int,found:string,over:boolean>"
-
-
-def _price_after(heading: Column, gaps: Column, elements: Column, store: Column, reach: int) -> Column:
+def _price_reader(reach: int) -> Callable[[int, Sequence[str], Sequence[tuple], Sequence[int], bool], str | None]:
     """First text among a heading's next siblings that states a price of the product itself."""
+    unescaped, _ = text_tools()
+    _, joined = _said(unescaped)
+    # a text and a tag at a time; stray tags count as no sibling
+    steps, per_unit = STRIDE * (3 * reach // STRIDE + 1) // 2, UNIT_PRICE_MARKS
+
+    def states_price(text: str, in_francs: bool) -> bool:
+        upper = text.upper()
+        return "FCFA" in upper if in_francs else "CFA" in upper and not any(mark in upper for mark in per_unit)
+
+    def price_after(at: int, gaps: Sequence[str], tags: Sequence[tuple], ends: Sequence[int], in_francs: bool) -> str | None:
+        left = reach
+        for _ in range(steps):
+            if left <= 0 or at > len(tags):
+                return None
+            if text := gaps[at]:
+                left -= 1
+                if (text := unescaped(text).strip()) and states_price(text, in_francs):
+                    return text
+            if left <= 0 or at == len(tags):
+                return None
+            if tags[at][CLOSES]:
+                if ends[at] == 0:
+                    return None
+                at += 1
+                continue
+            left -= 1
+            text, at = joined(gaps, at + 1, ends[at]), ends[at]
+            if text and states_price(text, in_francs):
+                return text
+        return None
+
+    return price_after
+
+
+def _link_facts() -> Callable[[str, str, str], str | None]:
+    """Where a link leads, None of other elements."""
+    _, attribute_of = text_tools()
+    return lambda name, classes, raw: (attribute_of(raw, "href") or "").strip(" ") if name == "a" else None
 
-    def walk(at: Column, in_text: bool, left: Column, found: Column, over: Column) -> Column:
-        return F.struct(at, F.lit(in_text), left, found, over).cast(_WALK)
-
-    nothing = F.lit(None).cast("string")
-
-    def read_text(w: Column) -> Column:
-        text = F.coalesce(F.get(gaps, w["at"]), F.lit(""))
-        plain = stripped(unescape(text))
-        return walk(w["at"], False, w["left"] - (text != "").cast("int"), F.when(_states_price(plain, store), plain), F.lit(False))
-
-    def read_tag(w: Column) -> Column:
-        nearby = F.get(elements, w["at"])
-        text = stripped_text_of(gaps, nearby)
-        return (
-            F.when(nearby.isNull() | (nearby["close"] & (nearby["end"] == 0)), walk(w["at"], False, w["left"], nothing, F.lit(True)))
-            .when(nearby["close"], walk(w["at"] + 1, True, w["left"], nothing, F.lit(False)))
-            .otherwise(walk(nearby["end"], True, w["left"] - 1, F.when(_states_price(text, store), text), F.lit(False)))
-        )
 
-    def step(w: Column, _: Column) -> Column:
-        ended = w["over"] | w["found"].isNotNull() | (w["left"] <= 0)
-        return F.when(ended, w).when(w["in_text"], read_text(w)).otherwise(read_tag(w))
+def _card_reader(siblings: int) -> Callable[[Column, Column], Column]:
+    """The cards of each page of markup; a shop whose prices are all in FCFA says so by the second column."""
+    pages_of = page_reader(CARD_TESTS, _link_facts())
+    whole, _ = _said(text_tools()[0])
+    price_after, kinds, heading = _price_reader(siblings), range(3, HEADING + 1), HEADING
+    facts_at = FACTS
 
-    def stride(w: Column, _: Column) -> Column:
-        """A few steps at once, so that a walk that has ended is passed over quickly."""
-        ended = w["over"] | w["found"].isNotNull() | (w["left"] <= 0)
-        return F.when(ended, w).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(STRIDE)), w, step))
+    @F.arrow_udf(returnType="array<struct<name:string,href:string,price_text:string>>")
+    def cards(html: pa.Array, in_francs: pa.Array) -> pa.Array:
+        offsets, names, targets, prices = [0], [], [], []
+        for (gaps, tags, ends, ups), francs in zip(pages_of(html), in_francs.to_pylist()):
+            linked = [k for k, tag in enumerate(tags) if tag[facts_at] is not None and ups[k][heading] > 0]
+            for kind in kinds:
+                links = [k for k in linked if ups[k][kind] > 0]
+                if links:
+                    break
+            priced: dict[int, str | None] = {}
+            for k in links if linked else ():
+                of = ups[k][heading]
+                if of not in priced:
+                    priced[of] = price_after(ends[of - 1], gaps, tags, ends, francs)
+                names.append(whole(gaps, k + 1, ends[k]))
+                targets.append(tags[k][facts_at])
+                prices.append(priced[of])
+            offsets.append(len(names))
+        found = pa.StructArray.from_arrays([pa.array(x, pa.string()) for x in (names, targets, prices)], ["name", "href", "price_text"])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), found)
 
-    start = walk(heading["end"], True, F.lit(reach), nothing, F.lit(False))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(3 * reach // STRIDE + 1)), start, stride, lambda w: w["found"])
+    return cards
 
 
 def extract_cards(pages: DataFrame, siblings: int = SIBLINGS) -> DataFrame:
@@ -155,24 +172,8 @@ def extract_cards(pages: DataFrame, siblings: int = SIBLINGS) -> DataFrame:
     linked headings.  Every link of a heading is a card.  The price is the first that the heading's
     following ``siblings`` state, so a card's end is where its heading's parent ends.
     """
-    keys = [c for c in pages.columns if c != "html"]
-    elements, gaps = F.col("_elements"), F.col("_gaps")
-    found = [F.filter(elements, _linked_in(place)) for place in (3, 4, 5, HEADING)]
-    links = F.coalesce(*[F.when(F.size(f) > 0, f) for f in found], F.slice(elements, 1, 0))
-    card = F.transform(
-        "_liens",
-        lambda a: F.struct(
-            tx.collapse_spaces(text_of(gaps, a)).alias("name"),
-            F.trim(F.coalesce(attribute(a, "href"), F.lit(""))).alias("href"),
-            _price_after(F.get(elements, F.get(a["up"], F.lit(HEADING)) - 1), gaps, elements, F.col("magasin"), siblings).alias("price_text"),
-        ),
-    )
-    return (
-        element_lists(pages, CARD_TESTS)
-        .select(*keys, "_gaps", "_elements", F.explode(F.array(links)).alias("_liens"))
-        .select(*keys, F.posexplode_outer(card).alias("_pos", "_carte"))
-        .select(*keys, (F.col("_pos") + 1).cast("bigint").alias("pos"), "_carte.*")
-    )
+    in_francs = F.coalesce(F.col("magasin") == "Sakanal", F.lit(False))
+    return _one_row_each(pages, _card_reader(siblings)(F.col("_shown"), in_francs))
 
 
 def _one_row_each(pages: DataFrame, cards: Column) -> DataFrame:
@@ -186,10 +187,6 @@ def _one_row_each(pages: DataFrame, cards: Column) -> DataFrame:
     )
 
 
-def _linked_in(place: int) -> Callable[[Column], Column]:
-    return lambda e: ~e["close"] & (e["name"] == "a") & (F.get(e["up"], F.lit(place)) > 0)
-
-
 #: What the name of a tile may lie in.
 TILE_TESTS: tuple[Test, ...] = (_tagged("h2"), _tagged("h3"), _tagged("", "thumbnail-top"))
 

@@ -308,3 +308,21 @@ def test_pagers_are_read_in_one_pass(spark):
         (9, False), (12, True), (1, True), (1, False), (1, True),
     ]
     assert facts.columns == ["category", "page_no", "magasin", "served_page", "has_next"] and _without_lambdas(facts)
+
+
+def test_cards_of_every_kind_are_read_in_one_pass(spark):
+    blocks = "<h2><a href='/menu'>Menu</a></h2><div class='product-miniature'><h2><a href=' /1 '>A&nbsp; <i>b</i></a><a/></h2>5 CFA / L<b>6 CFA</b></div>"
+    items = "<li class='js-product-miniature'><h2><a>A</a></h2></i></b> 7 cfa<h2>x</h2></li>"
+    strays = "<h2><a href='/1'>A</a></h2>" + "</b>" * 38 + "8 CFA<h2><a href='/2'>B</a></h2>" + "</b>" * 39 + "8 CFA"
+    francs = "<article class='product-miniature'><h2><a href='/1'>A</a></h2>5 CFA<p>6 <b>FCFA / KG</b></p></article>"
+    cases = [("Auchan", blocks), ("Diarle", items), (None, strays), ("Sakanal", francs), ("Auchan", francs), ("Auchan", "<h2>x</h2><a>y</a>")]
+    cards = capture.extract_cards(pages(spark, *[("c", k, m, h) for k, (m, h) in enumerate(cases)]))
+    found = sorted((r.page_no, r.pos or 0, r.name, r.href, r.price_text) for r in cards.collect())
+    assert found == [
+        (0, 1, "A b", "/1", "6 CFA"), (0, 2, "", "", "6 CFA"),
+        (1, 1, "A", "", "7 cfa"),
+        (2, 1, "A", "/1", "8 CFA"), (2, 2, "B", "/2", None),
+        (3, 1, "A", "/1", "6FCFA / KG"), (4, 1, "A", "/1", "5 CFA"),
+        (5, 0, None, None, None),
+    ]
+    assert _without_lambdas(cards)
