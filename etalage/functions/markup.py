@@ -156,43 +156,36 @@ def _tag_reader(tests: Sequence[Test], facts: Callable[[str, str, str], object]
         ]
         return name, closes, name in void_names or raw.endswith("/>"), classes, passed, None if closes or facts is None else facts(name, classes, raw)
 
-    def intervals(tags: Sequence[tuple]) -> tuple[list, ...]:
-        """End, parent, depth and marked ancestors of each tag of one page."""
-        size = len(tags)
-        ends, parents, depths, ups = [size + 1] * size, [0] * size, [0] * size, [zeros] * size
-        opened: list[tuple[int, str]] = []
+    def intervals(tags: Sequence[tuple]) -> tuple[list[int], list[tuple[int, ...]]]:
+        """End and marked ancestors of each tag of one page."""
+        ends, ups = [len(tags) + 1] * len(tags), [zeros] * len(tags)
+        opened: list[tuple[int, str, tuple[int, ...]]] = []  # with the marks around each
         held: dict[str, int] = {}  # how many elements of each name are open
-        depth, parent, down, downs = 0, 0, zeros, []
-        for k, (name, closes, void, _, passed, _) in enumerate(tags, 1):
-            depths[k - 1] = depth
+        down = zeros
+        for k, (name, closes, void, _, passed, _) in enumerate(tags):
             if closes:
                 if not held.get(name):
-                    ends[k - 1] = -1
+                    ends[k] = -1
                     continue
-                ends[k - 1] = 0
+                ends[k] = 0
                 inner = None
                 while inner != name:
-                    at, inner = opened.pop()
-                    ends[at - 1] = k
+                    at, inner, down = opened.pop()
+                    ends[at] = k + 1
                     held[inner] -= 1
-                    down = downs.pop()
-                depth = len(opened)
-                parent = opened[-1][0] if opened else 0
                 continue
-            parents[k - 1], ups[k - 1] = parent, down
+            ups[k] = down
             if void:
-                ends[k - 1] = k
+                ends[k] = k + 1
                 continue
-            downs.append(down)
+            opened.append((k, name, down))
+            held[name] = held.get(name, 0) + 1
             if passed:
                 up = down
                 for j, within in passed:
                     if within is None or up[within] > 0:
-                        down = (*down[:j], k, *down[j + 1 :])
-            held[name] = held.get(name, 0) + 1
-            opened.append((k, name))
-            depth, parent = depth + 1, k
-        return ends, parents, depths, ups
+                        down = (*down[:j], k + 1, *down[j + 1 :])
+        return ends, ups
 
     return parsed, intervals
 
@@ -211,8 +204,7 @@ def page_reader(tests: Sequence[Test], facts: Callable[[str, str, str], object])
         for page in pages.cast(pa.large_binary()):
             parts = cut(page.as_py().decode("utf-8", "replace"))
             tags = [*map(known, parts[1::2])]
-            ends, _, _, ups = intervals(tags)
-            yield parts[::2], tags, ends, ups
+            yield parts[::2], tags, *intervals(tags)
 
     return read
 
@@ -222,6 +214,19 @@ def _elements(tests: Sequence[Test]) -> Callable[[Column], Column]:
     parsed, intervals = _tag_reader(tests)
     width = len(tests)
 
+    def placed(tags: Sequence[tuple], ends: Sequence[int]) -> tuple[list[int], list[int]]:
+        """Parent and depth of each tag; a close tag is as deep as what is open before it."""
+        parents, depths, opened = [0] * len(tags), [0] * len(tags), []
+        for k, (_, closes, void, *_) in enumerate(tags, 1):
+            while opened and ends[opened[-1] - 1] < k:
+                opened.pop()
+            depths[k - 1] = len(opened)
+            if not closes:
+                parents[k - 1] = opened[-1] if opened else 0
+                if not void:
+                    opened.append(k)
+        return parents, depths
+
     @F.arrow_udf(returnType=_ELEMENTS)
     def fold(pages: pa.Array) -> pa.Array:
         offsets = pages.offsets.to_pylist()
@@ -233,8 +238,9 @@ def _elements(tests: Sequence[Test]) -> Callable[[Column], Column]:
         at, found, inner = array("i"), [array("i") for _ in range(3)], array("i")
         for first, last in zip(offsets, offsets[1:]):
             at.extend(range(1, last - first + 1))
-            *page, ups = intervals(tags[first - start : last - start])
-            for whole, part in zip(found, page):
+            own = tags[first - start : last - start]
+            ends, ups = intervals(own)
+            for whole, part in zip(found, (ends, *placed(own, ends))):
                 whole.extend(part)
             for up in ups:
                 inner.extend(up)
