@@ -25,7 +25,7 @@ from etalage import vocab
 HIDDEN = r"(?is)<(?:!--.*?(?:-->|\z)|(script|style)\b[^>]*+>.*?(?:</\1[^>]*+>|\z))"
 TAG = r"""(?s)<[!?][^>]*+(?:>|\z)|</?[A-Za-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+(?:>|["'].*\z|\z)"""
 TAG_NAME = r"^</?([A-Za-z][^\s/>]*)"
-ATTRIBUTE = r"""(?s)[^\s"'>/=]+(?:\s*=\s*(?:"[^"]*+"|'[^']*+'|[^\s"'>]+))?"""
+NAME_AND_VALUE = r"""(?s)([^\s"'>/=]+)(?:\s*=\s*("[^"]*+"|'[^']*+'|[^\s"'>]+))?"""
 REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{0,31});"
 #: Elements that hold nothing and are closed by their start tag.
 VOID = (
@@ -95,7 +95,7 @@ def text_tools() -> tuple[Callable[..., str], Callable[..., str | None]]:
     """Functions on one text, for tasks that run without this package: ``unescape``, and the value of a tag's attribute."""
     known = {name: chr(code) for name, code in html.entities.name2codepoint.items()} | {"apos": "'"}
     # \s is ASCII's, as in the patterns of the columns
-    pairs, own_name, own_value, reference = (re.compile(x, re.ASCII) for x in (ATTRIBUTE, r"[^\s=]+", r"(?s)=\s*(.*)", REFERENCE))
+    pairs, reference = re.compile(NAME_AND_VALUE, re.ASCII).findall, re.compile(REFERENCE, re.ASCII)
 
     def unescaped(text: str, mark: str = "") -> str:
         """With ``mark`` for a byte order mark, which the decoder of the columns takes away."""
@@ -119,11 +119,10 @@ def text_tools() -> tuple[Callable[..., str], Callable[..., str | None]]:
         """An attribute's decoded value; None if the tag does not have it, the last if it is repeated."""
         if name not in raw.lower():
             return None
-        mine = [p for p in pairs.findall(raw) if own_name.match(p)[0].lower() == name]
+        mine = [value for own, value in pairs(raw) if own.lower() == name]
         if not mine:
             return None
-        value = own_value.search(mine[-1])
-        text = value[1] if value else ""
+        text = mine[-1]
         if len(text) > 1 and text[0] in "\"'" and text[-1] == text[0]:
             text = text[1:-1]
         return unescaped(text, mark)
@@ -139,7 +138,9 @@ def _tag_reader(tests: Sequence[Test], facts: Callable[[str, str, str], object]
     from its parent the nearest ancestors that pass each test.
     Both functions hold all they need, so that tasks run them without this package.
     """
-    marks = [(t.name, [f" {c} " for c in t.classes], [f" {c} " for c in t.without], t.within) for t in tests]
+    marks = [(j, frozenset(t.classes), frozenset(t.without), t.within, t.name) for j, t in enumerate(tests)]
+    of_any = [m[:4] for m in marks if not m[4]]
+    of_name = {t.name: [m[:4] for m in marks if m[4] in ("", t.name)] for t in tests if t.name}
     zeros, void_names = (0,) * len(marks), {"", *VOID}
     tag_name, spaces = re.compile(TAG_NAME, re.ASCII), re.compile(r"\s+", re.ASCII)
     _, attribute_of = text_tools()
@@ -148,12 +149,10 @@ def _tag_reader(tests: Sequence[Test], facts: Callable[[str, str, str], object]
         """Name, is it a close tag, is it closed by itself, classes, the tests that these pass, and a start tag's further facts."""
         found = tag_name.match(raw)
         name, closes = found[1].lower() if found else "", raw.startswith("</")
-        classes = f" {spaces.sub(' ', attribute_of(raw, 'class', chr(0xFEFF)) or '')} "
-        passed = [
-            (j, within)
-            for j, (wanted, having, without, within) in enumerate(marks)
-            if wanted in ("", name) and all(c in classes for c in having) and not any(c in classes for c in without)
-        ]
+        own = attribute_of(raw, "class", "\ufeff")
+        classes = f" {spaces.sub(' ', own)} " if own else "  "
+        words = {*classes.split(" ")}
+        passed = [(j, within) for j, having, without, within in of_name.get(name, of_any) if having <= words and without.isdisjoint(words)]
         return name, closes, name in void_names or raw.endswith("/>"), classes, passed, None if closes or facts is None else facts(name, classes, raw)
 
     def intervals(tags: Sequence[tuple]) -> tuple[list[int], list[tuple[int, ...]]]:

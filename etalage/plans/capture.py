@@ -196,15 +196,13 @@ def _tile_facts() -> Callable[[str, str, str], tuple | None]:
     _, attribute_of = text_tools()
 
     def facts(name: str, classes: str, raw: str) -> tuple | None:
-        def has(*wanted: str) -> bool:
-            return any(f" {c} " in classes for c in wanted)
-
+        is_link, words = name == "a", {*classes.split(" ")}
         said = (
-            (name == "article" and has("product-miniature")) or has("product-item", "js-product-miniature"),
-            name == "h3" or has("product-name", "product-title") or (name == "a" and has("product-thumbnail")),
-            name == "a",
-            has("price", "product-price"),
-            name == "a" and attribute_of(raw, "href") is not None,
+            (name == "article" and "product-miniature" in words) or "product-item" in words or "js-product-miniature" in words,
+            name == "h3" or "product-name" in words or "product-title" in words or (is_link and "product-thumbnail" in words),
+            is_link,
+            "price" in words or "product-price" in words,
+            is_link and attribute_of(raw, "href") is not None,
             name == "img" and (attribute_of(raw, "alt") is not None or attribute_of(raw, "title") is not None),
         )
         return (*said, raw) if any(said) else None
